@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fablens import constants as C
@@ -93,3 +93,16 @@ def valid_category_name(name: Column) -> Column:
     """Trimmed, lower-cased category name, or null if the form is not allowed."""
     clean = F.lower(F.trim(name))
     return F.when(F.rlike(clean, F.lit(C.CATEGORY_NAME_PATTERN)), clean)
+
+
+def flatten_result(df: DataFrame, nested: str = "ai_normalized") -> DataFrame:
+    """Move the fields of a nested classification result to the row, with their defaults; a flat frame stays as it is."""
+    if nested not in df.columns:
+        return df
+    field = lambda name, default: F.coalesce(F.col(f"{nested}.{name}"), F.lit(default))
+    return df.withColumns({
+        "ai_category": field("category", "unknown"),
+        "ai_root_cause": field("root_cause", "unknown"),
+        "ai_recommended_action": field("recommended_action", ""),
+        "confidence_score": field("confidence", 0.0),
+    }).drop(nested)

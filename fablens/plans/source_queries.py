@@ -61,7 +61,7 @@ _RECORDS_SQL = """expected AS (
     FROM ev WHERE event_id % 5 = 1
   UNION ALL SELECT event_id, 1, TIMESTAMP '2024-01-31 00:00:00', source, ai_category, 'info', '', 4
     FROM ev WHERE event_id % 5 = 1
-  UNION ALL SELECT event_id, 0, TIMESTAMP '2024-01-31 00:00:00', 'unknown', 'unknown', 'info', '', 5
+  UNION ALL SELECT event_id, 0, TIMESTAMP '2024-01-31 00:00:00', source, event_type, 'info', '', 5
     FROM ev WHERE event_id % 5 = 2
   UNION ALL SELECT event_id, 0, date_trunc('second', ts) - INTERVAL 2 HOUR, source, 'unknown', 'warning', '', 3
     FROM ev WHERE event_id % 5 = 3)"""
@@ -256,9 +256,7 @@ def canonical_record(spark, sf_dir):
 
 
 @query("c6_alias_rules", B.sql(B.EVENTS_SQL, _RECORDS_SQL, select="""
-SELECT event_id, record_index, "timestamp",
-  CASE WHEN event_id % 5 = 2 THEN (SELECT e.source FROM ev e WHERE e.event_id = expected.event_id) ELSE source END
-    AS source,
+SELECT event_id, record_index, "timestamp", source,
   CASE WHEN event_id % 5 = 3 THEN 'WARN' WHEN event_id % 5 = 0
     THEN (SELECT e.severity FROM ev e WHERE e.event_id = expected.event_id) ELSE event_type END AS event_type,
   severity, message
