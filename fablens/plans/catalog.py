@@ -1,6 +1,6 @@
 """All registered queries. Importing this module fills the registry."""
 
-from fablens.plans import scoring_queries, source_queries  # noqa: F401
+from fablens.plans import scoring_queries, source_queries, table_queries  # noqa: F401
 from fablens.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
