@@ -50,7 +50,8 @@ def severity_escalations(events: DataFrame, max_group_rows: int = MAX_GROUP_ROWS
     rows = events.select("source", *ORDER, "severity")
     seq = OrderedGroups(rows, ["source"], ORDER, max_group_rows).lag(prev_severity="severity")
     levels = (severity_code(F.col("severity")) - severity_code(F.col("prev_severity"))).cast("int")
-    return seq.rows().withColumn("levels", levels).filter(F.col("levels") > 0)
+    later = seq.rows().filter(F.col("prev_severity").isNotNull())
+    return later.withColumn("levels", levels).filter(F.col("levels") > 0)
 
 
 def shrinking_gaps(

@@ -132,7 +132,7 @@ def line_records(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     raw = lambda name: F.try_element_at("raw_fields", F.lit(name)).alias(name)
     return S.parse_line_logs(docs, "text").select(
-        "doc_id", "line_no", F.md5("line").alias("line_md5"), raw("timestamp"), raw("severity"), raw("source")
+        "doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line_md5"), raw("timestamp"), raw("severity"), raw("source")
     )
 
 

@@ -83,7 +83,7 @@ def examples(spark, sf_dir):
     asked = events.withColumn("category", joins.tentative_category(F.lit(None).cast("string")))
     found = joins.with_examples(asked, pool, "category")
     ranked = found.select("event_id", "category", F.posexplode("examples").alias("_at", "e"))
-    return ranked.select("event_id", (F.col("_at") + 1).alias("rank"), F.col("e.event_id").alias("example_id"), "category")
+    return ranked.select("event_id", (F.col("_at") + 1).cast("long").alias("rank"), F.col("e.event_id").alias("example_id"), "category")
 
 
 _CATALOG_SQL = """catalog AS (
@@ -285,7 +285,7 @@ def feedback_counters(spark, sf_dir):
 
 @query("e17_rules_by_vendor", f"""
 WITH {_CATALOG_SQL}
-SELECT vendor_id, 0 AS part, count(*) AS rule_count, string_agg(field_value || ':' || category || ':' || priority, ','
+SELECT vendor_id, 0::BIGINT AS part, count(*) AS rule_count, string_agg(field_value || ':' || category || ':' || priority, ','
   ORDER BY field_value) AS rules FROM catalog GROUP BY vendor_id""")
 def rules_by_vendor(spark, sf_dir):
     grouped = review.rules_by_vendor(_catalog(spark, sf_dir))
