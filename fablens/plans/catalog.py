@@ -1,6 +1,8 @@
 """All registered queries. Importing this module fills the registry."""
 
-from fablens.plans import scoring_queries, sequence_queries, source_queries, table_queries  # noqa: F401
+from fablens.plans import (  # noqa: F401
+    scoring_queries, sequence_queries, source_queries, stream_queries, table_queries,
+)
 from fablens.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -117,17 +117,20 @@ def run_hot(events: DataFrame, out: str, checkpoint: str, as_of: Column, trigger
     return for_each_batch(events, handle, checkpoint, trigger, "hot")
 
 
-def run_cold(events: DataFrame, out: str, checkpoint: str, as_of: Column, trigger=COLD_TRIGGER) -> StreamingQuery:
+def run_cold(
+    events: DataFrame, out: str, checkpoint: str, as_of: Column, trigger=COLD_TRIGGER, run: str = "cold"
+) -> StreamingQuery:
     """Event rows in larger batches; the batch size is set on the source (maxFilesPerTrigger or maxOffsetsPerTrigger).
 
     A failed batch is run again from the checkpoint, and what is left at a stop is the next start's first batch.
+    `run` names the writer in the table; a new checkpoint needs a new name.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = event_rows(batch, "cold", as_of)
-        append_if_absent(rows, f"{out}/events", batch_id, ["job_id", "event_index"], ["timestamp"], "timestamp", "cold")
+        append_if_absent(rows, f"{out}/events", batch_id, ["job_id", "event_index"], ["timestamp"], "timestamp", run)
 
-    return for_each_batch(events, handle, checkpoint, trigger, "cold")
+    return for_each_batch(events, handle, checkpoint, trigger, run)
 
 
 def run_dead_letter(events: DataFrame, out: str, checkpoint: str, as_of: Column, trigger=AVAILABLE_NOW) -> StreamingQuery:
