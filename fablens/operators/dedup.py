@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from fablens import constants as C
 from fablens.operators.skew import MAX_GROUP_ROWS, floor_div, lookup_join
-from fablens.session import durable, scratch_path
+from fablens.session import durable, scratch_path, stored
 
 _MICROS = 1_000_000
 _KEYS = "hash string, at long, job long"
@@ -81,6 +81,7 @@ def _registrations(keys: DataFrame, ttl_us: int, max_group_rows: int) -> DataFra
         F.max("slot").alias("last_slot"),
         F.min(F.struct("at", "job")).alias("first"),
     )
+    sizes = stored(sizes, "hashes")
     several = F.col("first_slot") != F.col("last_slot")
     single = sizes.filter(~several).select("hash", "first.at", "first.job")
     large = several & (F.col("copies") > max_group_rows)
@@ -96,9 +97,9 @@ def _registrations(keys: DataFrame, ttl_us: int, max_group_rows: int) -> DataFra
         path = scratch_path(spark, "copies")
         copies = keys.join(F.broadcast(hot.select("hash")), "hash", "left_semi")
         copies.write.partitionBy("slot").parquet(path)
-        stored = spark.read.schema("hash string, at long, job long, slot long").parquet(path)
+        by_slot = spark.read.schema("hash string, at long, job long, slot long").parquet(path)
         slots = list(range(span["a"], span["b"] + 1))
-        result = result.unionByName(_hot_registrations(stored, hot, slots, ttl_us))
+        result = result.unionByName(_hot_registrations(by_slot, hot, slots, ttl_us))
     return result
 
 
@@ -114,11 +115,12 @@ def mark_duplicates(
     """Add `original_job_id`, `first_seen` and `is_duplicate` to each file.
 
     `seen` holds earlier registrations (file_hash, job_id, first_seen); of each hash only the last one counts.
-    `job_id` must be a number that is unique per file.
+    `job_id` must be a number that is unique per file. Hash, time and job are stored once, so the contents behind
+    the hash are read once; pass narrow rows, without the contents.
     """
     ttl_us = ttl_seconds * _MICROS
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    keyed = files.withColumns({"_at": at(ts), "_slot": floor_div(at(ts), ttl_us)})
+    keyed = stored(files.withColumns({"_at": at(ts), "_slot": floor_div(at(ts), ttl_us)}), "files")
     keys = keyed.select(F.col(file_hash).alias("hash"), F.col("_at").alias("at"), F.col(job_id).cast("long").alias("job"))
     if seen is not None:
         last = seen.groupBy("file_hash").agg(F.max(F.struct(at("first_seen").alias("at"), "job_id")).alias("r"))
@@ -135,7 +137,7 @@ def mark_duplicates(
     table = slots.join(inside, ["hash", "slot"], "left").withColumn(
         "before", F.last("inside", ignorenulls=True).over(earlier)
     ).select(F.col("hash").alias(file_hash), F.col("slot").alias("_slot"), "inside", "before")
-    joined = lookup_join(keyed, table, [file_hash, "_slot"], "left", spread_by=[job_id])
+    joined = lookup_join(keyed, stored(table, "registrations"), [file_hash, "_slot"], "left", spread_by=[job_id])
     own = F.struct(F.col("_at").alias("at"), F.col(job_id).cast("long").alias("job"))
     registered = F.when(F.col("inside").isNotNull() & (F.col("inside") <= own), F.col("inside")).otherwise(F.col("before"))
     return joined.withColumn("_r", registered).select(

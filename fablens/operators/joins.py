@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fablens import constants as C
 from fablens.functions.classify import equipment_class, keyword_category
 from fablens.operators.skew import lookup_join
+from fablens.session import durable
 
 _EVENT_ID = ["job_id", "event_id"]
 
@@ -85,7 +86,7 @@ def best_rules(rules: DataFrame) -> DataFrame:
 
 def with_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Events with the best rule of their source; `has_rule` tells whether there is one."""
-    best = best_rules(rules).withColumn("has_rule", F.lit(True))
+    best = durable(best_rules(rules)).withColumn("has_rule", F.lit(True))
     joined = lookup_join(events, best, ["source"], "left", spread_by=_EVENT_ID)
     return joined.withColumn("has_rule", F.coalesce("has_rule", F.lit(False)))
 
@@ -123,7 +124,7 @@ def approved_pool(events: DataFrame, statuses: DataFrame, limit: int = C.POOL_LI
         F.coalesce("ai_category", F.lit("unknown")).alias("category"), "job_id", "event_id", "message", "source",
         F.col("confidence_score").alias("confidence"),
     )
-    return first
+    return durable(first)
 
 
 def tentative_category(rule_category: Column) -> Column:

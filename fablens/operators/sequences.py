@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from fablens import constants as C
 from fablens.functions.scoring import severity_code
-from fablens.operators.skew import MAX_GROUP_ROWS, OrderedGroups, floor_div, lookup_join
+from fablens.operators.skew import MAX_GROUP_ROWS, OrderedGroups, floor_div
 
 ORDER = ["ts", "event_id"]
 _MICROS = 1_000_000
@@ -22,17 +22,21 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def _value_steps(seq: OrderedGroups) -> OrderedGroups:
+    """Add direction of the step from the previous value, and the number of the monotone run it belongs to."""
+    seq = seq.lag(prev_value="value", prev_ts="ts")
+    seq = seq.with_column("direction", F.signum(F.col("value") - F.col("prev_value")).cast("int"))
+    seq = seq.lag(prev_direction="direction")
+    continues = (F.col("direction") != 0) & (F.col("direction") == F.col("prev_direction"))
+    return seq.with_column("starts", F.when(continues, 0).otherwise(1)).running_sum("run", "starts")
+
+
 def numeric_runs(
     events: DataFrame, min_events: int = 3, max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Longest stretches of strictly rising or strictly falling values per machine, of at least `min_events`."""
     rows = events.select("source", *ORDER, "value")
-    seq = OrderedGroups(rows, ["source"], ORDER, max_group_rows).lag(prev_value="value", prev_ts="ts")
-    seq = seq.with_column("direction", F.signum(F.col("value") - F.col("prev_value")).cast("int"))
-    seq = seq.lag(prev_direction="direction")
-    continues = (F.col("direction") != 0) & (F.col("direction") == F.col("prev_direction"))
-    seq = seq.with_column("starts", F.when(continues, 0).otherwise(1)).running_sum("run", "starts")
-    steps = seq.rows().filter(F.col("direction") != 0)
+    steps = _value_steps(OrderedGroups(rows, ["source"], ORDER, max_group_rows)).rows().filter(F.col("direction") != 0)
     at = F.struct(*ORDER)
     runs = steps.groupBy("source", "run").agg(
         F.max("direction").alias("direction"),
@@ -45,13 +49,23 @@ def numeric_runs(
     return runs.filter(F.col("n_events") >= min_events).drop("run")
 
 
+def _levels_up() -> Column:
+    """Severity levels gained since the machine's previous event; null for its first event."""
+    gained = (severity_code(F.col("severity")) - severity_code(F.col("prev_severity"))).cast("int")
+    return F.when(F.col("prev_severity").isNotNull(), gained)
+
+
+def _moved_to_safety() -> Column:
+    """The category changed, and it is safety now or the event is critical."""
+    toward = (F.col("ai_category") == "safety") | (F.upper("severity") == "CRITICAL")
+    return (F.col("prev_category") != F.col("ai_category")) & toward
+
+
 def severity_escalations(events: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Events whose severity is above that of the machine's previous event."""
     rows = events.select("source", *ORDER, "severity")
     seq = OrderedGroups(rows, ["source"], ORDER, max_group_rows).lag(prev_severity="severity")
-    levels = (severity_code(F.col("severity")) - severity_code(F.col("prev_severity"))).cast("int")
-    later = seq.rows().filter(F.col("prev_severity").isNotNull())
-    return later.withColumn("levels", levels).filter(F.col("levels") > 0)
+    return seq.rows().withColumn("levels", _levels_up()).filter(F.col("levels") > 0)
 
 
 def shrinking_gaps(
@@ -78,61 +92,67 @@ def safety_shifts(events: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Da
     """Events that move a machine from another category to safety, or to critical severity in a new category."""
     rows = events.select("source", *ORDER, "ai_category", "severity")
     seq = OrderedGroups(rows, ["source"], ORDER, max_group_rows).lag(prev_category="ai_category")
-    moved = F.col("prev_category") != F.col("ai_category")
-    toward = (F.col("ai_category") == "safety") | (F.upper("severity") == "CRITICAL")
-    return seq.rows().filter(moved & toward)
+    return seq.rows().filter(_moved_to_safety())
 
 
-def time_to_critical(events: DataFrame, limit: float) -> DataFrame:
-    """Linear extrapolation of each machine's values to a limit, in minutes after its last event.
+def _slope_aggregates() -> list[Column]:
+    hours = micros(F.col("ts")) / F.lit(3_600.0 * _MICROS)
+    return [
+        F.regr_slope(F.col("value"), hours).alias("slope"),
+        F.max_by("value", F.struct(*ORDER)).alias("last_value"),
+    ]
 
-    The least-squares slope comes from plain sums, so a machine's rows are combined on the map side.
-    """
-    start = events.groupBy("source").agg(F.min("ts").alias("_start"))
-    rows = lookup_join(events.select("source", *ORDER, "value"), start, ["source"], "left", spread_by=["event_id"])
-    x = (micros(F.col("ts")) - micros(F.col("_start"))) / F.lit(3_600.0 * _MICROS)
-    y = F.col("value")
-    sums = rows.withColumns({"x": x, "y": y}).filter(y.isNotNull()).groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
-        F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.max_by("y", F.struct(*ORDER)).alias("last_value"),
-    )
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    spread = n * F.col("sxx") - sx * sx
-    slope = F.when((n >= 2) & (spread > 0), (n * F.col("sxy") - sx * sy) / spread)
-    minutes = F.when(
-        (slope > 0) & (F.col("last_value") < limit), (F.lit(limit) - F.col("last_value")) / slope * 60
-    )
-    estimate = F.when(F.col("last_value") >= limit, F.lit("now")).when(
+
+def _estimate(slope: Column, last_value: Column, limit: float) -> Column:
+    minutes = F.when((slope > 0) & (last_value < limit), (F.lit(limit) - last_value) / slope * 60)
+    return F.when(last_value >= limit, F.lit("now")).when(
         minutes.isNotNull(), F.concat(F.lit("~"), F.round(minutes).cast("long").cast("string"), F.lit(" minutes"))
     ).otherwise("N/A")
-    return sums.select("source", "last_value", F.round(slope, 6).alias("slope_per_hour"), estimate.alias("estimate"))
 
 
-def _per_source(found: DataFrame, name: str, count: Column) -> DataFrame:
-    return found.groupBy("source").agg(count.cast("long").alias(name))
+def time_to_critical(events: DataFrame, limit: float) -> DataFrame:
+    """Linear extrapolation of each machine's values to a limit, in minutes after its last event."""
+    fits = events.filter(F.col("value").isNotNull()).groupBy("source").agg(*_slope_aggregates())
+    slope = F.col("slope")
+    return fits.select(
+        "source", "last_value", F.round(slope, 6).alias("slope_per_hour"),
+        _estimate(slope, F.col("last_value"), limit).alias("estimate"),
+    )
 
 
 def trend_alerts(
     events: DataFrame, limit: float, min_run: int = 5, min_gaps: int = 5, as_of=None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """One alert per machine with at least two events and at least one pattern."""
+    """One alert per machine with at least two events and at least one pattern.
+
+    Runs, escalations and shifts share one ordered pass over the machines; it is summed per run first and per
+    machine next, so that no machine's rows meet in one task. Repeats need a pass of their own, by event type.
+    """
     at = F.struct(*ORDER)
-    machines = events.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_events"), F.max_by("severity", at).alias("last_severity"), F.max("ts").alias("last_ts")
+    rows = events.select("source", *ORDER, "value", "severity", "ai_category")
+    seq = _value_steps(OrderedGroups(rows, ["source"], ORDER, max_group_rows).lag(
+        prev_severity="severity", prev_category="ai_category"
+    ))
+    one = F.lit(1).cast("long")
+    per_run = seq.rows().groupBy("source", "run").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.sum(F.when(F.col("direction") != 0, one)).alias("n_steps"),
+        F.sum(F.when(_levels_up() > 0, one)).alias("n_escalations"),
+        F.sum(F.when(_moved_to_safety(), one)).alias("n_shifts"),
+        F.max_by("severity", at).alias("severity"), F.max(at).alias("last"),
+    )
+    machines = per_run.groupBy("source").agg(
+        F.sum("n_events").alias("n_events"),
+        F.sum(F.when(F.col("n_steps") + 1 >= min_run, one)).alias("n_runs"),
+        F.sum("n_escalations").alias("n_escalations"), F.sum("n_shifts").alias("n_shifts"),
+        F.max_by("severity", "last").alias("last_severity"), F.max("last.ts").alias("last_ts"),
     ).filter(F.col("n_events") >= 2)
-    one = F.count(F.lit(1))
-    found = [
-        _per_source(numeric_runs(events, min_run, max_group_rows), "n_runs", one),
-        _per_source(severity_escalations(events, max_group_rows), "n_escalations", one),
-        _per_source(shrinking_gaps(events, min_gaps, max_group_rows), "n_shrinking", one),
-        _per_source(safety_shifts(events, max_group_rows), "n_shifts", one),
-        time_to_critical(events, limit).select("source", "estimate"),
-    ]
+    repeats = shrinking_gaps(events, min_gaps, max_group_rows).groupBy("source").agg(F.count(F.lit(1)).alias("n_shrinking"))
     # Every part has one row per machine.
-    for part in found:
-        machines = machines.join(part, "source", "left")
+    found = machines.join(repeats, "source", "left").join(
+        time_to_critical(events, limit).select("source", "estimate"), "source", "left"
+    )
     counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_runs", "n_escalations", "n_shrinking", "n_shifts")}
     texts = [
         ("n_runs", "%d monotone value runs"), ("n_escalations", "%d severity escalations"),
@@ -142,7 +162,7 @@ def trend_alerts(
     kinds = sum(((F.col(c) > 0).cast("int") for c in counts), F.lit(0))
     severe = F.upper("last_severity").isin("CRITICAL", "ERROR") | (F.col("n_shifts") > 0)
     created = F.lit(str(as_of)).cast(events.schema["ts"].dataType) if as_of is not None else F.col("last_ts")
-    rated = machines.withColumns(counts).withColumn("kinds", kinds)
+    rated = found.withColumns(counts).withColumn("kinds", kinds)
     return rated.filter(F.col("kinds") > 0).select(
         F.col("source").alias("machine"),
         pattern.alias("pattern"),

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fablens.session import durable
+from fablens.session import durable, stored
 
 # Rows one task may hold for a single key before the key is split.
 MAX_GROUP_ROWS = 2_000_000
@@ -31,8 +31,20 @@ _BLOCK = "_block"
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
-    """True if `df` has at most `rows` rows; reads no more than `rows + 1` of them."""
-    return df.limit(rows + 1).count() <= rows
+    """True if `df` has at most `rows` rows. Partitions are tried a few at a time, so a large table ends it early."""
+    return len(df.select(F.lit(1).cast("byte").alias("x")).take(rows + 1)) <= rows
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Redistribute a table that is read in fewer tasks than there are cores, for work that is heavy per row.
+
+    A few files that cannot be split would otherwise keep most cores idle. A scan with enough splits, as any large
+    table has, is left as it is. `scan` must be a plain read, so that asking for its splits runs nothing.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
@@ -56,6 +68,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join `rows` to `table`, which has at most one row per key in `on`.
 
+    The size check reads `table`; a table that is costly to derive should be passed in durable form.
     how: left, inner, left_semi or left_anti. `spread_by` names columns that differ between rows of one key;
     hot keys are salted on them when `table` is too large to broadcast.
     """
@@ -116,7 +129,7 @@ class OrderedGroups:
             blocks = max(2, math.ceil(2 * size["total"] / max_group_rows))
             ranged = df.repartitionByRange(blocks, *self.keys, *self.order)
             # The block number must not change when a task is run again, so it is stored with the rows.
-            df = durable(ranged.withColumn(_BLOCK, F.spark_partition_id()))
+            df = stored(ranged.withColumn(_BLOCK, F.spark_partition_id()), "blocks")
         self.df = df
 
     def _with(self, df: DataFrame) -> "OrderedGroups":

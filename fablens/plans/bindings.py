@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fablens.operators.skew import spread_scan
+
 AS_OF = "2024-01-31 00:00:00"
 LIMIT = 150.0
 
@@ -24,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same for work that is heavy per row: on enough tasks even if the table is one unsplittable file."""
+    return spread_scan(table(spark, sf_dir, name))
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a stream; the glob lets the path be a file or a folder."""
     schema = table(spark, sf_dir, name).schema
@@ -212,7 +219,7 @@ READINGS_SQL = """readings AS (
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document per event, in five shapes: object, array, object with a list, mixed array, broken."""
-    ev = events(spark, sf_dir)
+    ev = as_events(wide_table(spark, sf_dir, "events"))
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     second = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     shifted = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
@@ -245,7 +252,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
+    ev = as_events(wide_table(spark, sf_dir, "events"))
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     body = F.concat(
         tag("source", F.col("source")), tag("severity", F.col("severity")), tag("message", F.col("message")),
@@ -261,7 +268,7 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
+    ev = as_events(wide_table(spark, sf_dir, "events"))
     value = F.format_string("%.2f", "value")
     plain = F.concat(
         F.lit("timestamp,source,severity,value\n"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(","),

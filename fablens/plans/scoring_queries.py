@@ -29,7 +29,7 @@ def _code_case(column: str, codes: dict[str, int], default: int) -> str:
 @query("b10_keyword_category", "WITH t AS (SELECT doc_id, lower(text || ' ' || lang || ' ' || source) AS t FROM documents) "
        f"SELECT doc_id, {keyword_case('t')} AS category FROM t")
 def keyword_category(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents")
+    docs = B.wide_table(spark, sf_dir, "documents")
     return docs.select("doc_id", classify.keyword_category(F.col("text"), F.col("lang"), F.col("source")).alias("category"))
 
 

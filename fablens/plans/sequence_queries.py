@@ -148,14 +148,8 @@ def safety_shifts(spark, sf_dir):
 
 
 _SLOPE_SQL = f"""slopes AS (
-  SELECT source, last_value, CASE WHEN n >= 2 AND n * sxx - sx * sx > 0
-    THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS slope
-  FROM (
-    SELECT source, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx,
-      max_by(y, (ts, event_id)) AS last_value
-    FROM (SELECT source, ts, event_id, "value" AS y,
-            (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY source)) / 3600000000.0 AS x FROM ev)
-    GROUP BY source)),
+  SELECT source, max_by("value", (ts, event_id)) AS last_value, regr_slope("value", epoch_us(ts) / 3600000000.0) AS slope
+  FROM ev WHERE "value" IS NOT NULL GROUP BY source),
 estimates AS (
   SELECT source, last_value, round(slope, 6) AS slope_per_hour,
     CASE WHEN last_value >= {B.LIMIT} THEN 'now' WHEN slope > 0 AND last_value < {B.LIMIT}
@@ -239,7 +233,7 @@ def forest_fit(spark, sf_dir):
 
 @query("k2_forest_score")
 def forest_score(spark, sf_dir):
-    rows = with_features(B.events(spark, sf_dir))
+    rows = with_features(B.as_events(B.wide_table(spark, sf_dir, "events")))
     forest = iforest.fit_forest(rows)
     return rows.select("event_id", iforest.novelty(forest, F.col("features")).alias("novelty_score"))
 

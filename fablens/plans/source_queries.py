@@ -129,7 +129,7 @@ SELECT doc_id, line_no, md5(line) AS line_md5,
   nullif(regexp_extract(line, '(?i)\b(machine|tool|device|host)_\w+', 0), '') AS source
 FROM trimmed WHERE line <> ''""")
 def line_records(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = B.wide_table(spark, sf_dir, "documents").select("doc_id", "text")
     raw = lambda name: F.try_element_at("raw_fields", F.lit(name)).alias(name)
     return S.parse_line_logs(docs, "text").select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line_md5"), raw("timestamp"), raw("severity"), raw("source")
@@ -351,7 +351,7 @@ def clean_text(spark, sf_dir):
         F.lit("  \x1b[31m"), F.col("role"), F.lit("\x1b[0m  \r\n\n\n\n\n"), F.col("text"), F.lit(" \t\r"),
         F.col("text"), F.lit("\n "),
     )
-    turns = B.table(spark, sf_dir, "conversations")
+    turns = B.wide_table(spark, sf_dir, "conversations")
     return turns.select("conv_id", "turn", F.md5(text.clean_log_text(given)).alias("cleaned_md5"))
 
 

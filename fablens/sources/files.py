@@ -149,14 +149,19 @@ def parse_json_logs(df: DataFrame, text: str, depth: int | None = None) -> DataF
     if depth is None:
         depth = max(0, json_nesting_depth(df, text) - 1)
     doc = F.col(text)
+    # A failed parse is costly, so each document is tried only as what its first character allows.
+    begins = lambda c, brace: F.ltrim(c).startswith(brace)
+    as_object = lambda c: F.when(begins(c, "{"), F.from_json(c, "MAP<STRING,VARIANT>"))
     member = F.get(F.filter(F.map_entries("_object"), lambda e: _is_array(e["value"])), F.lit(0))["key"]
-    list_text = F.when(F.col("_object").isNull(), doc).otherwise(
-        F.try_element_at(F.from_json(doc, "MAP<STRING,STRING>"), F.col("_member"))
+    list_text = F.when(begins(doc, "["), doc).when(
+        F.col("_member").isNotNull(), F.try_element_at(F.from_json(doc, "MAP<STRING,STRING>"), F.col("_member"))
+    )
+    items = F.when(F.col("_list").isNotNull(), F.from_json("_list", "ARRAY<STRING>"))
+    one = F.when(F.col("_object").isNotNull(), F.array(doc)).when(
+        ~begins(doc, "{") & ~begins(doc, "["), F.when(F.try_parse_json(doc).isNotNull(), F.array(doc))
     )
-    items = F.when(F.from_json("_list", "ARRAY<VARIANT>").isNotNull(), F.from_json("_list", "ARRAY<STRING>"))
-    one = F.when(F.try_parse_json(doc).isNotNull(), F.array(doc))
     parsed = (
-        df.withColumn("_object", F.from_json(doc, "MAP<STRING,VARIANT>"))
+        df.withColumn("_object", as_object(doc))
         .withColumn("_member", member)
         .withColumn("_list", list_text)
         .select(*df.columns, F.posexplode_outer(F.coalesce(items, one)).alias("record_index", "_item"))
@@ -166,7 +171,7 @@ def parse_json_logs(df: DataFrame, text: str, depth: int | None = None) -> DataF
     )
     # Step by step, so that no step is evaluated twice.
     return (
-        parsed.withColumn("_record", F.from_json("_item", "MAP<STRING,VARIANT>"))
+        parsed.withColumn("_record", as_object(F.col("_item")))
         .withColumns({"error": error, "_entries": _text_entries(flatten_entries(F.map_entries("_record"), depth))})
         .withColumn("raw_fields", _as_map(F.col("_entries")))
         .drop("_item", "_record", "_entries")
