@@ -53,6 +53,9 @@ def tree_samples(
     ).withColumn("draw", draw(F.col("row_id"), F.col("tree")))
     if earlier is not None:
         candidates = candidates.unionByName(earlier.select("row_id", "features", "tree", "draw"))
+    # A fixed number of tasks: the rows are few, but growing a tree takes time.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    candidates = candidates.repartition(tasks, "tree")
     smallest = Window.partitionBy("tree").orderBy("draw", "row_id")
     return candidates.withColumn("_rank", F.row_number().over(smallest)).filter(F.col("_rank") <= sample).drop("_rank")
 
@@ -107,7 +110,7 @@ def fit_forest(
 
 def score_udf(forest: DataFrame):
     """Scoring function of a forest as a vectorised UDF over an ARRAY<DOUBLE> column."""
-    nodes = forest.orderBy("tree", "node").toPandas()  # at most 511 rows per tree
+    nodes = forest.toPandas().sort_values(["tree", "node"])  # at most 511 rows per tree
     models = []
     for _, tree in nodes.groupby("tree"):
         leaf_length = (tree["depth"] + _mean_path(tree["size"])).to_numpy()

@@ -16,7 +16,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import BooleanType, StringType, StructType
 
 from fablens.functions.standardize import line_fields
 from fablens.operators.skew import OrderedGroups, first_per_key
@@ -164,9 +164,12 @@ def parse_json_logs(df: DataFrame, text: str, depth: int | None = None) -> DataF
         df.withColumn("_object", as_object(doc))
         .withColumn("_member", member)
         .withColumn("_list", list_text)
-        .select(*df.columns, F.posexplode_outer(F.coalesce(items, one)).alias("record_index", "_item"))
+        .withColumn("_items", F.coalesce(items, one))
+        .select(*df.columns, F.col("_items").isNull().alias("_bad"), F.posexplode_outer("_items").alias("record_index", "_item"))
+        # An empty list leaves no row: it has neither records nor errors.
+        .filter(F.col("_bad") | F.col("record_index").isNotNull())
     )
-    error = F.when(F.col("record_index").isNull(), "document is not valid JSON").when(
+    error = F.when(F.col("_bad"), "document is not valid JSON").when(
         F.col("_record").isNull(), "item is not a JSON object"
     )
     # Step by step, so that no step is evaluated twice.
@@ -174,7 +177,7 @@ def parse_json_logs(df: DataFrame, text: str, depth: int | None = None) -> DataF
         parsed.withColumn("_record", as_object(F.col("_item")))
         .withColumns({"error": error, "_entries": _text_entries(flatten_entries(F.map_entries("_record"), depth))})
         .withColumn("raw_fields", _as_map(F.col("_entries")))
-        .drop("_item", "_record", "_entries")
+        .drop("_bad", "_item", "_record", "_entries")
     )
 
 
@@ -332,18 +335,46 @@ def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+# Escapes of the dump format, in the order in which they are written.
+_DUMP_ESCAPES = [("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")]
+
+
 def read_dump(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
-    r"""Tab-separated table dump with \N for null."""
-    return spark.read.csv(path, sep="\t", nullValue=r"\N", emptyValue="", schema=schema, quote="", escape="")
+    r"""Tab-separated table dump: \N is null, an empty cell the empty text, t and f are booleans, \. ends a block."""
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    lines = spark.read.option("lineSep", "\n").text(path).filter(~F.col("value").isin("\\.", ""))
+    cells = lines.select(F.split("value", "\t", -1).alias("cells"))
+    # A backslash pair must not be taken for the start of an escape, so it is set aside first.
+    mark = "\x00"
+
+    def plain(cell: Column) -> Column:
+        cell = F.replace(cell, F.lit("\\\\"), F.lit(mark))
+        for char, escape in _DUMP_ESCAPES[1:]:
+            cell = F.replace(cell, F.lit(escape), F.lit(char))
+        return F.replace(cell, F.lit(mark), F.lit("\\"))
+
+    values = []
+    for at, field in enumerate(fields):
+        cell = F.get("cells", F.lit(at))
+        value = F.when(cell != "\\N", F.when(F.contains(cell, F.lit("\\")), plain(cell)).otherwise(cell))
+        values.append(value.cast(field.dataType).alias(field.name))
+    return cells.select(*values)
 
 
 def write_dump(df: DataFrame, path: str) -> None:
-    r"""Write the same form."""
-    df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(
-        path, sep="\t", nullValue=r"\N", emptyValue="", quote="", escape="",
-        timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
-        
-    )
+    """Write the same form."""
+
+    def cell(field) -> Column:
+        value = F.col(field.name)
+        if field.dataType == BooleanType():
+            text = F.when(value, "t").when(~value, "f")
+        else:
+            text = value.cast("string")
+            for char, escape in _DUMP_ESCAPES:
+                text = F.replace(text, F.lit(char), F.lit(escape))
+        return F.coalesce(text, F.lit("\\N"))
+
+    df.select(F.concat_ws("\t", *[cell(f) for f in df.schema])).write.mode("overwrite").text(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
