@@ -86,7 +86,7 @@ def _registrations(keys: DataFrame, ttl_us: int, max_group_rows: int) -> DataFra
     single = sizes.filter(~several).select("hash", "first.at", "first.job")
     large = several & (F.col("copies") > max_group_rows)
     hot = durable(sizes.filter(large).select("hash", "first.at", "first_slot", "last_slot"))
-    fold = lookup_join(keys, sizes.filter(several & ~large).select("hash"), ["hash"], "left_semi")
+    fold = lookup_join(keys, sizes.filter(several & ~large).select("hash"), ["hash"], "left_semi", spread_by=["job"])
     chained = (
         fold.select("hash", "at", "job").repartition("hash").sortWithinPartitions("hash", "at", "job")
         .mapInPandas(_chain_function(ttl_us), _KEYS)

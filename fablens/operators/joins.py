@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fablens import constants as C
 from fablens.functions.classify import equipment_class, keyword_category
-from fablens.operators.skew import lookup_join
+from fablens.operators.skew import MAX_BROADCAST_ROWS, has_at_most, lookup_join
 from fablens.session import durable
 
 _EVENT_ID = ["job_id", "event_id"]
@@ -111,6 +111,8 @@ def catalog_match(events: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def catalog_range_match(readings: DataFrame, catalog: DataFrame) -> DataFrame:
     """Numeric form of the match: (vendor, field name) equal and the value inside [low, high)."""
+    if has_at_most(catalog, MAX_BROADCAST_ROWS):
+        catalog = F.broadcast(catalog)
     return readings.join(catalog, ["vendor_id", "field_name"]).filter(
         (F.col("value") >= F.col("low")) & (F.col("value") < F.col("high"))
     )

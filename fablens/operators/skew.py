@@ -77,10 +77,10 @@ def lookup_join(
         return rows.join(F.broadcast(table), on, how)
     if not spread_by:
         return rows.join(table, on, how)
-    hot = hot_keys(rows, on, max_group_rows)
+    hot = durable(hot_keys(rows, on, max_group_rows))
     if not has_at_most(hot, max_broadcast_rows):
         return rows.join(table, on, how)
-    hot = F.broadcast(durable(hot))
+    hot = F.broadcast(hot)
     salted_rows = rows.join(hot, on, "left").withColumn(
         "_salt",
         F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_salts")), F.lit(0)).cast("int"),
@@ -143,6 +143,7 @@ class OrderedGroups:
         return [*self.keys, _BLOCK]
 
     def _over_blocks(self):
+        # One row per key and block; without keys that is one row per block, a few thousand at most.
         return Window.partitionBy(*self.keys).orderBy(_BLOCK)
 
     def with_column(self, name: str, value: Column) -> "OrderedGroups":

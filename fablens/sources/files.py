@@ -86,6 +86,10 @@ def replay_stream(spark: SparkSession, path: str, glob: str, files_per_trigger:
     )
 
 
+# Nesting that is flattened without a look at the data first.
+JSON_DEPTH = 16
+
+
 # ---- JSON --------------------------------------------------------------------------------------------------
 
 def _is_object(value: Column) -> Column:
@@ -139,15 +143,17 @@ def _as_map(entries: Column) -> Column:
     return F.when(unique, F.map_from_entries(entries)).otherwise(F.map_from_entries(last))
 
 
-def parse_json_logs(df: DataFrame, text: str, depth: int | None = None) -> DataFrame:
+def parse_json_logs(df: DataFrame, text: str, depth: int | None = JSON_DEPTH) -> DataFrame:
     """One row per record of a JSON document, or per error.
 
     An array gives its items, an object the items of its first list-valued member or else itself. Items that
-    are no objects are errors of their own; a document that is no JSON is one error. `depth` is the nesting to
-    flatten; left out, it is measured on the data.
+    are no objects are errors of their own; a document that is no JSON is one error. Objects nested in up to
+    `depth` others are flattened; a record with deeper ones is an error, and can be parsed again with depth=None,
+    which measures the depth in a pass of its own.
     """
     if depth is None:
         depth = max(0, json_nesting_depth(df, text) - 1)
+    shallow = min(depth, 2)
     doc = F.col(text)
     # A failed parse is costly, so each document is tried only as what its first character allows.
     begins = lambda c, brace: F.ltrim(c).startswith(brace)
@@ -169,15 +175,22 @@ def parse_json_logs(df: DataFrame, text: str, depth: int | None = None) -> DataF
         # An empty list leaves no row: it has neither records nor errors.
         .filter(F.col("_bad") | F.col("record_index").isNotNull())
     )
-    error = F.when(F.col("_bad"), "document is not valid JSON").when(
-        F.col("_record").isNull(), "item is not a JSON object"
+    nested = lambda entries: F.exists(entries, lambda e: _is_object(e["value"]))
+    error = (
+        F.when(F.col("_bad"), "document is not valid JSON")
+        .when(F.col("_record").isNull(), "item is not a JSON object")
+        .when(nested("_flat"), f"objects are nested deeper than {depth}")
     )
-    # Step by step, so that no step is evaluated twice.
+    # Step by step, so that no step is evaluated twice. Only records with deep objects pay for the deep step.
     return (
         parsed.withColumn("_record", as_object(F.col("_item")))
-        .withColumns({"error": error, "_entries": _text_entries(flatten_entries(F.map_entries("_record"), depth))})
-        .withColumn("raw_fields", _as_map(F.col("_entries")))
-        .drop("_bad", "_item", "_record", "_entries")
+        .withColumn("_near", flatten_entries(F.map_entries("_record"), shallow))
+        .withColumn("_flat", F.when(
+            nested("_near"), flatten_entries(F.col("_near"), depth - shallow)
+        ).otherwise(F.col("_near")))
+        .withColumns({"error": error, "_entries": _text_entries(F.col("_flat"))})
+        .withColumn("raw_fields", F.when(F.col("error").isNull(), _as_map(F.col("_entries"))))
+        .drop("_bad", "_item", "_record", "_near", "_flat", "_entries")
     )
 
 

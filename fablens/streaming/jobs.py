@@ -7,6 +7,7 @@ processes what is there and stops.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -159,18 +160,18 @@ def run_dedup(files: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = read_table(spark, f"{out}/registered")
+        start = batch.agg(F.min("ts").alias("m")).first()["m"]
+        if start is None:
+            return
         if seen is not None:
-            start = batch.agg(F.min("ts").alias("m")).first()["m"]
-            alive = F.col("first_seen") > F.lit(start) - F.make_dt_interval(secs=F.lit(ttl))
-            seen = seen.filter(F.col("batch_id") != batch_id)
-            seen = seen.filter(alive) if start is not None else seen
+            bound = start - dt.timedelta(seconds=ttl)
+            alive = (F.col("event_date") >= F.lit(bound.date())) & (F.col("first_seen") > F.lit(bound))
+            seen = seen.filter(alive & (F.col("batch_id") != batch_id))
             seen = seen.select("file_hash", F.col("original_job_id").alias("job_id"), "first_seen")
         marked = dedup.mark_duplicates(batch, seen=seen, ttl_seconds=ttl).persist()
         append_batch(marked, f"{out}/files", batch_id)
-        append_batch(
-            marked.filter(~F.col("is_duplicate")).select("file_hash", "original_job_id", "first_seen"),
-            f"{out}/registered", batch_id,
-        )
+        new = marked.filter(~F.col("is_duplicate")).select("file_hash", "original_job_id", "first_seen")
+        append_batch(new.withColumn("event_date", F.to_date("first_seen")), f"{out}/registered", batch_id, ["event_date"])
         marked.unpersist()
 
     return for_each_batch(files, handle, checkpoint, trigger, "dedup")
@@ -193,11 +194,12 @@ def run_spikes(
         stored = read_table(spark, f"{out}/times")
         with_context = times
         if stored is not None:
-            reach = F.lit(start) - F.make_dt_interval(secs=F.lit(seconds))
-            context = stored.filter((F.col("batch_id") != batch_id) & (F.col(ts) >= reach))
+            bound = start - dt.timedelta(seconds=seconds)
+            near = (F.col("event_date") >= F.lit(bound.date())) & (F.col(ts) >= F.lit(bound))
+            context = stored.filter(near & (F.col("batch_id") != batch_id))
             with_context = times.unionByName(context.select(ts))
         counts = sequences.rolling_counts(with_context, seconds, threshold, ts).filter(F.col(ts) >= F.lit(start))
-        append_batch(times, f"{out}/times", batch_id)
+        append_batch(times.withColumn("event_date", F.to_date(ts)), f"{out}/times", batch_id, ["event_date"])
         append_batch(counts, f"{out}/counts", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, "spikes")
