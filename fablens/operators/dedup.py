@@ -57,7 +57,8 @@ def _hot_registrations(rows: DataFrame, first: DataFrame, slots: list[int], ttl_
     """Registrations of hashes with very many copies: one step per time slot.
 
     `rows` is (hash, at, job, slot) partitioned by slot on storage, so each step reads one slot. The state is one
-    row per hash: the time from which its next registration is due.
+    row per hash: the time from which its next registration is due. It is a written table after each step; a
+    checkpointed frame would carry the constraints of all earlier steps into the plans of the later ones.
     """
     spark = rows.sparkSession
     due = first.select("hash", F.col("at").alias("due"))
@@ -65,10 +66,10 @@ def _hot_registrations(rows: DataFrame, first: DataFrame, slots: list[int], ttl_
     for slot in slots:
         in_slot = rows.filter(F.col("slot") == slot).join(F.broadcast(due), "hash").filter(F.col("at") >= F.col("due"))
         step = in_slot.groupBy("hash").agg(F.min(F.struct("at", "job")).alias("r")).select("hash", "r.at", "r.job")
-        step = durable(step)
+        step = stored(step, "step")
         found = step if found is None else found.unionByName(step)
         moved = due.join(F.broadcast(step.select("hash", "at")), "hash", "left")
-        due = durable(moved.select("hash", F.coalesce(F.col("at") + ttl_us, F.col("due")).alias("due")))
+        due = stored(moved.select("hash", F.coalesce(F.col("at") + ttl_us, F.col("due")).alias("due")).coalesce(1), "due")
     return found if found is not None else spark.createDataFrame([], _KEYS)
 
 

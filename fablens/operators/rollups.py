@@ -192,7 +192,6 @@ def dashboard_stats(events: DataFrame, statuses: DataFrame, raw_logs: DataFrame,
 
     today = F.to_date(F.lit(str(as_of)).cast("timestamp_ntz"))
     parts = [
-        events.agg(_count("n")).withColumn("figure", F.lit("events_processed")),
         pending_reviews(events, statuses, sort=False).agg(_count("n")).withColumn("figure", F.lit("events_in_review")),
         failed_jobs(raw_logs, events).agg(_count("n")).withColumn("figure", F.lit("errors")),
         raw_logs.filter(F.to_date("created_at") >= today).agg(_count("n")).withColumn("figure", F.lit("jobs_today")),
@@ -201,13 +200,16 @@ def dashboard_stats(events: DataFrame, statuses: DataFrame, raw_logs: DataFrame,
     figures = parts[0]
     for part in parts[1:]:
         figures = figures.unionByName(part)
-    value = lambda name: F.coalesce(F.sum(F.when(F.col("figure") == name, F.col("n"))), F.lit(0)).cast("long")
-    names = ["events_processed", "events_in_review", "errors", "jobs_today"]
+    names = ["events_in_review", "errors", "jobs_today"]
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
+    value = lambda name: total(F.col("figure") == name)
+    # The severity rows add up to all events, so these need no scan of their own.
+    processed = total(F.col("figure").isNull() | ~F.col("figure").isin(names)).alias("events_processed")
     levels = [value(level).alias(f"n_{level.lower()}") for level in SEVERITIES]
     breakdown = F.map_from_entries(F.array_sort(F.collect_list(F.when(
         ~F.col("figure").isin(names), F.struct("figure", "n")
     )))).alias("severity_breakdown")
-    return figures.agg(*[value(n).alias(n) for n in names], *levels, breakdown)
+    return figures.agg(processed, *[value(n).alias(n) for n in names], *levels, breakdown)
 
 
 def summary_panel(stats: DataFrame) -> DataFrame:
