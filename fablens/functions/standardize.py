@@ -14,6 +14,15 @@ _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?([+-]\d{2}(
 _ISO_HOUR = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}$"
 
 
+def computed_once(*columns: Column) -> Column:
+    """The columns as output of a generator, for use in select().
+
+    A filter on a parsed field would otherwise be pushed below the projection that computes it, with the whole
+    expression copied into it, and parse each document again. Filters stay above a generator.
+    """
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def detect_format(content: Column, hint: Column | None = None) -> Column:
     """Format of a file from a hint or, without a known hint, from its first bytes. `content` is binary."""
     # One character per byte, so that the byte limit and the whitespace trim act on bytes.
@@ -74,13 +83,13 @@ def canonical_record(
     """Add the canonical fields resolved from the raw map column. `as_of` replaces missing timestamps."""
     field = lambda name: resolve_field(F.col(raw), name, rule_aliases)
     message = F.coalesce(F.nullif(field("message"), F.lit("")), F.try_element_at(F.col(raw), F.lit("raw_line")), F.lit(""))
-    return df.withColumns({
-        "timestamp": F.coalesce(parse_timestamp(field("timestamp")), as_of.cast("timestamp")),
-        "source": _filled(field("source"), "unknown"),
-        "event_type": _filled(field("event_type"), "unknown"),
-        "severity": canonical_severity(field("severity")),
-        "message": message,
-    })
+    return df.select("*", computed_once(
+        F.coalesce(parse_timestamp(field("timestamp")), as_of.cast("timestamp")).alias("timestamp"),
+        _filled(field("source"), "unknown").alias("source"),
+        _filled(field("event_type"), "unknown").alias("event_type"),
+        canonical_severity(field("severity")).alias("severity"),
+        message.alias("message"),
+    ))
 
 
 def line_fields(line: Column) -> Column:

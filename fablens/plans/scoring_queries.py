@@ -243,11 +243,32 @@ def review_and_reason(spark, sf_dir):
     )
 
 
+@query("b20_review_reasons", B.sql(*SCORED_VIEWS, select="""
+SELECT event_id, CASE WHEN conflict THEN 'Rule and AI categorization conflict' ELSE 'Low confidence in categorization' END
+  AS reason FROM decided WHERE review"""))
+def review_reasons(spark, sf_dir):
+    """Reasons shown in the queue for the events that go to review after scoring."""
+    due = scored_events(B.events(spark, sf_dir), B.rules(spark, sf_dir)).filter("requires_review")
+    return due.select("event_id", scoring.queue_reason(F.col("review_reason")).alias("reason"))
+
+
 @query("b21_route", B.sql(*SCORED_VIEWS, select="SELECT event_id, topic FROM routed"))
 def route(spark, sf_dir):
     return scored_events(B.events(spark, sf_dir), B.rules(spark, sf_dir)).select("event_id", "topic")
 
 
+@query("k3_anomaly_escalation", B.sql(B.EVENTS_SQL, select="""
+SELECT event_id, novelty AS novelty_score, 'ML anomaly detected (novelty_score=' || printf('%.2f', novelty) || ')' AS reason
+FROM (SELECT *, round(least(1.0, floor("value") / 100), 2) AS novelty FROM ev WHERE NOT requires_review)
+WHERE novelty >= 0.72"""))
+def anomaly_escalation(spark, sf_dir):
+    """Events sent to review by their novelty alone."""
+    sure = B.events(spark, sf_dir).filter(~F.col("requires_review")).withColumn("novelty_score", _novelty())
+    reason = scoring.review_reason(F.lit(False), F.col("novelty_score"))
+    due = scoring.requires_review(F.col("confidence_score"), reason, F.col("novelty_score"))
+    return sure.filter(due).select("event_id", "novelty_score", reason.alias("reason"))
+
+
 @query("b22_route_decision", B.sql(B.EVENTS_SQL, select="""
 SELECT event_id,
   CASE WHEN requires_review THEN NULL WHEN ai_category = 'unknown' AND severity = 'ERROR' THEN 'logs.deadletter'

@@ -360,3 +360,15 @@ SELECT doc_id, round((length(text) + length(regexp_replace(text, '[^\\x{10000}-\
   AS tokens FROM documents""".replace("\\\\", "\\"))
 def token_estimate(spark, sf_dir):
     return B.table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("b8_default_fill", B.sql(B.EVENTS_SQL, _RECORDS_SQL, select="""
+SELECT source, event_type, severity, message, count(*) AS records FROM expected
+WHERE source = 'unknown' OR event_type = 'unknown' OR message = '' GROUP BY ALL"""))
+def default_fill(spark, sf_dir):
+    """Records that needed a default, by what they became."""
+    records = _canonical(_json_records(spark, sf_dir))
+    filled = (F.col("source") == "unknown") | (F.col("event_type") == "unknown") | (F.col("message") == "")
+    return records.filter(filled).groupBy("source", "event_type", "severity", "message").agg(
+        F.count(F.lit(1)).alias("records")
+    )

@@ -143,6 +143,22 @@ def cold_sink(spark, sf_dir):
     return _table(spark, f"{out}/events").select(*_ROW, "requires_review")
 
 
+@query("i3_micro_batches", B.sql(B.EVENTS_SQL, _TOPIC_SQL, select="""
+SELECT source, count(*) AS written, count(DISTINCT event_id) AS events FROM t WHERE topic = 'logs.p2' GROUP BY source"""))
+def micro_batches(spark, sf_dir):
+    """Micro-batches bounded by size: one file each; no event is lost or doubled at their borders."""
+    out = scratch_path(spark, "micro")
+    path = scratch_path(spark, "topics")
+    messages = topics.encode_messages(_classified(B.events(spark, sf_dir))).repartition(6, "value")
+    topics.write_messages(messages, path)
+    source = topics.read_topics(spark, path, topics.CONSUMER_TOPICS["cold"], options={"maxFilesPerTrigger": "3"})
+    _finished(jobs.run_cold(topics.decode_messages(source), out, f"{out}/checkpoint", _as_of(), jobs.AVAILABLE_NOW))
+    rows = spark.read.parquet(f"{out}/events")
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("written"), F.countDistinct("event_index").alias("events")
+    )
+
+
 @query("a12_hot_sink", B.sql(B.EVENTS_SQL, _TOPIC_SQL, select=f"""
 SELECT {_ROW_SQL}, topic FROM t WHERE topic IN ('logs.p0', 'logs.p1')"""))
 def hot_sink(spark, sf_dir):

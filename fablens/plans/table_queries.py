@@ -86,6 +86,26 @@ def examples(spark, sf_dir):
     return ranked.select("event_id", (F.col("_at") + 1).cast("long").alias("rank"), F.col("e.event_id").alias("example_id"), "category")
 
 
+@query("f2_ranked_examples", B.sql(*SCORED_VIEWS, B.JOBS_SQL, _POOL_SQL, f"""asked AS (
+  SELECT event_id, source, coalesce(rule_category, {keyword_case("lower(message || ' ' || event_type || ' ' || source)")})
+    AS category, split_part(replace(upper(source), 'TOOL_', ''), '-', 1) AS kind FROM scored)""", select="""
+SELECT source, category, string_agg(CAST(example_id AS VARCHAR), ',' ORDER BY n) AS examples FROM (
+  SELECT a.source, a.category, p.event_id AS example_id, row_number() OVER (PARTITION BY a.source, a.category ORDER BY
+    CASE WHEN p.source = a.source THEN 1 WHEN contains(upper(p.source), a.kind) THEN 2 ELSE 3 END, p.pos) AS n
+  FROM (SELECT DISTINCT source, category, kind FROM asked) a JOIN pool p ON p.category = a.category)
+WHERE n <= 3 GROUP BY source, category"""))
+def ranked_examples(spark, sf_dir):
+    """Tiered top three per machine and category; the category is the rule's, or else the keyword one."""
+    events = B.events(spark, sf_dir)
+    pool = joins.approved_pool(events, B.jobs(spark, sf_dir))
+    ruled = joins.with_rule(events, B.rules(spark, sf_dir))
+    asked = ruled.withColumn("category", joins.tentative_category(F.col("rule_category")))
+    pairs = asked.groupBy("source", "category").agg(F.min("event_id").alias("event_id"))
+    found = joins.with_examples(pairs, pool, "category").filter(F.size("examples") > 0)
+    ids = F.transform("examples", lambda e: e["event_id"].cast("string"))
+    return found.select("source", "category", F.concat_ws(",", ids).alias("examples"))
+
+
 _CATALOG_SQL = """catalog AS (
   SELECT p_brand AS vendor_id, 'type' AS field_name, p_type AS field_value, min(p_name) AS category,
     CASE WHEN max(p_size) > 45 THEN 'P0' ELSE 'P1' END AS priority FROM part GROUP BY p_brand, p_type)"""
@@ -324,6 +344,14 @@ def result_series(spark, sf_dir):
     return rollups.result_series(B.events(spark, sf_dir).select("ts", "severity", "message"))
 
 
+@query("e21_series_passed_through", B.sql(B.EVENTS_SQL, select=f"""
+SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, upper(severity) AS severity, count(*) AS "count" FROM ev
+WHERE ts > {_AS_OF_SQL} - INTERVAL 720 HOUR GROUP BY 1, 2"""))
+def series_passed_through(spark, sf_dir):
+    """A result that is aggregated already keeps its rows."""
+    return rollups.result_series(rollups.events_by_hour(B.events(spark, sf_dir), B.AS_OF, 720))
+
+
 @query("e22_summary_panel", B.sql(B.EVENTS_SQL, B.JOBS_SQL, _STATS_SQL, select="""
 SELECT events_processed, events_in_review, n_critical AS critical, n_error AS errors_shown,
   n_warning + n_info AS non_urgent, errors AS failures, greatest(n_critical, n_error, n_warning + n_info, errors, 1) AS max_count
@@ -405,6 +433,21 @@ def add_categories(spark, sf_dir):
     return categories.add_categories(categories.default_categories(spark), names)
 
 
+@query("h1_category_union", """
+WITH asked AS (SELECT DISTINCT lower(trim(CASE WHEN p_size < 20 THEN p_type WHEN p_size < 30 THEN p_name ELSE ' Thermal ' END))
+  AS name FROM part)
+SELECT unnest(['thermal','mechanical','electrical','gas_leak','contamination','process_drift','safety','software',
+  'maintenance','unknown']) AS name
+UNION SELECT name FROM asked WHERE regexp_matches(name, '^[a-z][a-z0-9_]{0,31}$')""")
+def category_union(spark, sf_dir):
+    """Registry after the valid new names were added."""
+    size = F.col("p_size")
+    names = B.table(spark, sf_dir, "part").select(
+        F.when(size < 20, F.col("p_type")).when(size < 30, F.col("p_name")).otherwise(" Thermal ").alias("name")
+    )
+    return categories.registry_after(categories.default_categories(spark), names)
+
+
 @query("i7_retention", B.sql(B.EVENTS_SQL, select=f"""
 SELECT event_id, ts FROM ev WHERE ts >= {_AS_OF_SQL} - INTERVAL 7 DAY"""))
 def retention(spark, sf_dir):

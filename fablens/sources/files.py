@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructType
 
-from fablens.functions.standardize import line_fields
+from fablens.functions.standardize import computed_once, line_fields
 from fablens.operators.skew import OrderedGroups, first_per_key
 
 _LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{0085}\x{2028}\x{2029}]"
@@ -189,8 +189,9 @@ def parse_json_logs(df: DataFrame, text: str, depth: int | None = JSON_DEPTH) ->
             nested("_near"), flatten_entries(F.col("_near"), depth - shallow)
         ).otherwise(F.col("_near")))
         .withColumns({"error": error, "_entries": _text_entries(F.col("_flat"))})
-        .withColumn("raw_fields", F.when(F.col("error").isNull(), _as_map(F.col("_entries"))))
-        .drop("_bad", "_item", "_record", "_near", "_flat", "_entries")
+        .select(*df.columns, "record_index", computed_once(
+            F.col("error"), F.when(F.col("error").isNull(), _as_map(F.col("_entries"))).alias("raw_fields")
+        ))
     )
 
 
@@ -233,12 +234,10 @@ def _xml_records_udf(texts: pd.Series) -> pd.Series:
 
 def _explode_records(df: DataFrame, result: Column) -> DataFrame:
     schema = "records ARRAY<MAP<STRING,STRING>>, error STRING"
-    parsed = df.withColumn("_result", F.from_json(result, schema))
-    rows = parsed.select(
-        *df.columns,
-        F.posexplode_outer("_result.records").alias("record_index", "raw_fields"),
-        F.col("_result.error").alias("error"),
+    parsed = df.withColumn("_result", F.from_json(result, schema)).select(
+        *df.columns, computed_once(F.col("_result.records").alias("_records"), F.col("_result.error").alias("error"))
     )
+    rows = parsed.select(*df.columns, F.posexplode_outer("_records").alias("record_index", "raw_fields"), "error")
     # A document without records and without an error leaves no row.
     return rows.filter(F.col("record_index").isNotNull() | F.col("error").isNotNull())
 
@@ -324,12 +323,13 @@ def read_csv_logs(spark: SparkSession, path: str, schema: StructType | str) -> D
 
 def parse_line_logs(df: DataFrame, text: str) -> DataFrame:
     """One row per non-blank line of a text, trimmed, with `line_no` counting from 1."""
-    lines = df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(text, _LINE_END)).alias("_at", "_line"))
-    trimmed = F.regexp_replace("_line", r"^[\s\x0B\x1F]+|[\s\x0B\x1F]+$", "")
-    return (
-        lines.withColumn("line", trimmed).filter(F.col("line") != "")
-        .withColumns({"line_no": F.col("_at") + 1, "raw_fields": line_fields(F.col("line"))})
-        .drop("_at", "_line")
+    trimmed = F.transform(
+        F.split(text, _LINE_END), lambda line: F.regexp_replace(line, r"^[\s\x0B\x1F]+|[\s\x0B\x1F]+$", "")
+    )
+    rest = [c for c in df.columns if c != text]
+    lines = df.select(*rest, F.posexplode(trimmed).alias("_at", "line")).filter(F.col("line") != "")
+    return lines.select(
+        *rest, "line", (F.col("_at") + 1).alias("line_no"), computed_once(line_fields(F.col("line")).alias("raw_fields"))
     )
 
 
