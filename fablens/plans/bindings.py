@@ -218,7 +218,7 @@ READINGS_SQL = """readings AS (
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON document per event, in five shapes: object, array, object with a list, mixed array, broken."""
+    """One JSON document per event, its shape by event type: object, array, object with a list, mixed array, broken."""
     ev = as_events(wide_table(spark, sf_dir, "events"))
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     second = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
@@ -240,12 +240,12 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("UNKNOWN_SEV").alias("severity"),
     ))
     late = F.to_json(F.struct(shifted.alias("created_at"), F.col("source").alias("device"), F.lit("WARN").alias("log_level")))
-    shape = F.col("event_id") % 5
+    shape = F.col("event_type")
     document = (
-        F.when(shape == 0, plain)
-        .when(shape == 1, F.concat(F.lit("["), full, F.lit(","), other, F.lit("]")))
-        .when(shape == 2, F.concat(F.lit('{"site":"[F1]","records":['), nested, F.lit("]}")))
-        .when(shape == 3, F.concat(F.lit("["), late, F.lit(",5]")))
+        F.when(shape == "view", plain)
+        .when(shape == "click", F.concat(F.lit("["), full, F.lit(","), other, F.lit("]")))
+        .when(shape == "purchase", F.concat(F.lit('{"site":"[F1]","records":['), nested, F.lit("]}")))
+        .when(shape == "error", F.concat(F.lit("["), late, F.lit(",5]")))
         .otherwise(F.concat(F.lit('{"source": '), F.col("source")))
     )
     return ev.select("event_id", document.alias("document"))

@@ -56,15 +56,15 @@ def raw_log_registry(spark, sf_dir):
 # The records the five payload shapes must give.
 _RECORDS_SQL = """expected AS (
   SELECT event_id, 0 AS record_index, ts AS "timestamp", source, event_type, lower(severity) AS severity, message,
-         5 AS n_fields FROM ev WHERE event_id % 5 = 0
+         5 AS n_fields FROM ev WHERE event_type = 'view'
   UNION ALL SELECT event_id, 0, date_trunc('second', ts), source, event_type, lower(severity), message, 5
-    FROM ev WHERE event_id % 5 = 1
+    FROM ev WHERE event_type = 'click'
   UNION ALL SELECT event_id, 1, TIMESTAMP '2024-01-31 00:00:00', source, ai_category, 'info', '', 4
-    FROM ev WHERE event_id % 5 = 1
+    FROM ev WHERE event_type = 'click'
   UNION ALL SELECT event_id, 0, TIMESTAMP '2024-01-31 00:00:00', source, event_type, 'info', '', 5
-    FROM ev WHERE event_id % 5 = 2
+    FROM ev WHERE event_type = 'purchase'
   UNION ALL SELECT event_id, 0, date_trunc('second', ts) - INTERVAL 2 HOUR, source, 'unknown', 'warning', '', 3
-    FROM ev WHERE event_id % 5 = 3)"""
+    FROM ev WHERE event_type = 'error')"""
 
 
 def _json_records(spark, sf_dir):
@@ -73,8 +73,8 @@ def _json_records(spark, sf_dir):
 
 @query("a4_json_records", B.sql(B.EVENTS_SQL, _RECORDS_SQL, select="""
 SELECT event_id, record_index, n_fields, CAST(NULL AS VARCHAR) AS error FROM expected
-UNION ALL SELECT event_id, 1, 0, 'item is not a JSON object' FROM ev WHERE event_id % 5 = 3
-UNION ALL SELECT event_id, -1, 0, 'document is not valid JSON' FROM ev WHERE event_id % 5 = 4"""))
+UNION ALL SELECT event_id, 1, 0, 'item is not a JSON object' FROM ev WHERE event_type = 'error'
+UNION ALL SELECT event_id, -1, 0, 'document is not valid JSON' FROM ev WHERE event_type = 'signup'"""))
 def json_records(spark, sf_dir):
     parsed = _json_records(spark, sf_dir)
     n_fields = F.when(F.col("error").isNull(), F.size("raw_fields")).otherwise(0)
@@ -234,7 +234,7 @@ def format_detection(spark, sf_dir):
 @query("b2_nested_flatten", B.sql(B.EVENTS_SQL, select="""
 SELECT event_id, unnest(['time', 'machine_id', 'event_type', 'event_fault_code', 'severity']) AS key,
        unnest(['invalid-date', source, event_type, '007', 'UNKNOWN_SEV']) AS value
-FROM ev WHERE event_id % 5 = 2"""))
+FROM ev WHERE event_type = 'purchase'"""))
 def nested_flatten(spark, sf_dir):
     parsed = _json_records(spark, sf_dir)
     nested = parsed.filter(F.array_contains(F.map_keys("raw_fields"), "event_fault_code"))
@@ -256,11 +256,10 @@ def canonical_record(spark, sf_dir):
 
 
 @query("c6_alias_rules", B.sql(B.EVENTS_SQL, _RECORDS_SQL, select="""
-SELECT event_id, record_index, "timestamp", source,
-  CASE WHEN event_id % 5 = 3 THEN 'WARN' WHEN event_id % 5 = 0
-    THEN (SELECT e.severity FROM ev e WHERE e.event_id = expected.event_id) ELSE event_type END AS event_type,
-  severity, message
-FROM expected"""))
+SELECT event_id, record_index, x."timestamp", x.source,
+  CASE ev.event_type WHEN 'error' THEN 'WARN' WHEN 'view' THEN ev.severity ELSE x.event_type END AS event_type,
+  x.severity, x.message
+FROM expected x JOIN ev USING (event_id)"""))
 def alias_rule_lookup(spark, sf_dir):
     """Rule aliases are tried before the built-in ones; the rules come from a table."""
     given = B.table(spark, sf_dir, "region").select(
@@ -313,8 +312,8 @@ def severities(spark, sf_dir):
 
 
 @query("b9_parse_errors", B.sql(B.EVENTS_SQL, select="""
-SELECT event_id, 1 AS record_index, 'item is not a JSON object' AS error FROM ev WHERE event_id % 5 = 3
-UNION ALL SELECT event_id, -1, 'document is not valid JSON' FROM ev WHERE event_id % 5 = 4"""))
+SELECT event_id, 1 AS record_index, 'item is not a JSON object' AS error FROM ev WHERE event_type = 'error'
+UNION ALL SELECT event_id, -1, 'document is not valid JSON' FROM ev WHERE event_type = 'signup'"""))
 def parse_errors(spark, sf_dir):
     _, bad = S.split_errors(_json_records(spark, sf_dir))
     return bad.select("event_id", _index(), "error")
