@@ -25,11 +25,11 @@ marked AS (
   GROUP BY ALL)"""
 
 
-def _chain_sql(copies: str, views: str, select: str, ttl: int = 86_400) -> str:
+def chain_sql(copies: str, views: str, select: str, ttl: int = 86_400) -> str:
     return f"WITH RECURSIVE {views},\ncopies AS ({copies}),\n{_CHAIN.format(ttl=ttl)}\n{select.strip()}"
 
 
-_DOC_COPIES = "SELECT sha256(text) AS hash, ts AS t, job_id AS job FROM files WHERE text <> ''"
+DOC_COPIES = "SELECT sha256(text) AS hash, ts AS t, job_id AS job FROM files WHERE text <> ''"
 
 
 def _hashed_files(spark, sf_dir):
@@ -37,7 +37,7 @@ def _hashed_files(spark, sf_dir):
     return files.select("job_id", "ts", "file_name", content_hash(F.col("text")).alias("file_hash"))
 
 
-@query("f1_first_seen", _chain_sql(
+@query("f1_first_seen", chain_sql(
     "SELECT sha256(source || '|' || event_type) AS hash, ts AS t, event_id AS job FROM ev", B.EVENTS_SQL, """
 SELECT job AS event_id, (r).job AS original_job_id, (r).t AS first_seen, (r).job <> job AS is_duplicate FROM marked"""))
 def first_seen(spark, sf_dir):
@@ -49,8 +49,8 @@ def first_seen(spark, sf_dir):
     return marked.select("event_id", "original_job_id", "first_seen", "is_duplicate")
 
 
-@query("c8_duplicate_lookup", _chain_sql(
-    _DOC_COPIES + " UNION ALL SELECT * FROM seen",
+@query("c8_duplicate_lookup", chain_sql(
+    DOC_COPIES + " UNION ALL SELECT * FROM seen",
     B.FILES_SQL + """, seen AS (
   SELECT sha256(text) AS hash, max(ts) - INTERVAL 36 HOUR AS t, -1 - max(job_id) AS job FROM files
   WHERE text <> '' AND lang <> 'en' GROUP BY 1)""", """
@@ -67,7 +67,7 @@ def duplicate_lookup(spark, sf_dir):
     return marked.select("job_id", "original_job_id", "first_seen", "is_duplicate")
 
 
-@query("c9_active_registrations", _chain_sql(_DOC_COPIES, B.FILES_SQL, """
+@query("c9_active_registrations", chain_sql(DOC_COPIES, B.FILES_SQL, """
 SELECT hash AS file_hash, job AS job_id, t AS first_seen, ttl AS ttl_remaining FROM (
   SELECT hash, max_by(job, (t, job)) AS job, max(t) AS t, 86400 - date_diff('second', max(t),
     (SELECT max(ts) FROM files)) AS ttl FROM reg GROUP BY hash) WHERE ttl > 0"""))
@@ -77,7 +77,7 @@ def active_registrations(spark, sf_dir):
     return dedup.active_registrations(dedup.mark_duplicates(files), as_of)
 
 
-@query("e23_duplicate_summary", _chain_sql(_DOC_COPIES, B.FILES_SQL, """
+@query("e23_duplicate_summary", chain_sql(DOC_COPIES, B.FILES_SQL, """
 SELECT count(*) AS total_checked, count(*) FILTER ((r).job <> job) AS duplicates_found,
        count(*) FILTER ((r).job = job) AS new_files FROM marked"""))
 def duplicate_summary(spark, sf_dir):

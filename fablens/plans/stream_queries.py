@@ -12,6 +12,7 @@ from fablens.functions import routing
 from fablens.plans import bindings as B
 from fablens.plans.registry import query
 from fablens.plans.scoring_queries import SCORED_VIEWS, with_features
+from fablens.plans.sequence_queries import DOC_COPIES, chain_sql
 from fablens.session import scratch_path
 from fablens.sources import topics
 from fablens.sources.files import content_hash
@@ -216,12 +217,15 @@ def streaming_dedup(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("file_hash")
 
 
-@query("i2_streaming_dedup_exact")
+@query("i2_streaming_dedup_exact", chain_sql(DOC_COPIES, B.FILES_SQL, """
+SELECT job AS job_id, t AS ts, hash AS file_hash, (r).job AS original_job_id, (r).t AS first_seen, (r).job <> job AS
+  is_duplicate FROM marked"""))
 def streaming_dedup_exact(spark, sf_dir):
-    """By the exact rule; the result equals that of f1 on the same files (see the tests)."""
+    """By the exact rule, on a stream."""
     out = scratch_path(spark, "dedup-exact")
     _finished(jobs.run_dedup(_file_stream(spark, sf_dir), out, f"{out}/checkpoint"))
-    return read_table(spark, f"{out}/files").drop("batch_id")
+    marked = read_table(spark, f"{out}/files").drop("batch_id")
+    return marked.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "first_seen")})
 
 
 @query("i4_streaming_spikes", B.sql(B.EVENTS_SQL, select="""
