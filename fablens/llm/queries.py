@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fablens.llm.chat import fold, read_loss_texts, read_turns, render, turn_log
 from fablens.llm.common import table
 from fablens.llm.exact_dedup import exact_groups
+from fablens.llm.line_dedup import drop_common_lines
+from fablens.llm.mixing import mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,3 +38,100 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
 """)
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_source_mix", r"""
+    with d as (
+        select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents
+    ), r as (
+        select source, sum(size)::bigint as source_size, 2 * sum(size)::bigint as cap,
+            row_number() over (order by source is null, source) - 1 as s
+        from d group by source
+    ), w as (select *, [3, 1, 2][s % 3 + 1] as weight from r),
+    l as (
+        select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (
+            order by cap::double / weight, s rows between unbounded preceding and 1 preceding), 0)::double)
+            / sum(weight) over (order by cap::double / weight, s rows between current row and unbounded following)::double as level
+        from w
+    ), f as (
+        select min_by(level, cap::double / weight) filter (level * weight < cap) as final from l
+    ), t as (select l.*, coalesce(least(cap::double, final * weight), cap::double) as target from l, f),
+    q as (
+        select doc_id, size, s, source_size, target,
+            coalesce(sum(size) over (partition by s order by md5(doc_id::varchar), doc_id
+                rows between unbounded preceding and 1 preceding), 0)::bigint as before,
+            greatest(1, least(512, floor(least(source_size::double, target) / 1024)))::bigint as packet
+        from d join t on d.source is not distinct from t.source
+    ), c as (select *, ceil(size::double / packet)::bigint as in_copy from q),
+    j as (
+        select *, unnest(generate_series(0, 2 * in_copy - 1)) as j from c where size > 0 and target > 0
+    ), p as (
+        select doc_id, s, least(size, (j % in_copy + 1) * packet) - (j % in_copy) * packet as words,
+            before + (j // in_copy) * source_size + least(size, (j % in_copy + 1) * packet) as upto, target
+        from j
+    ), o as (
+        select *, sum(words) over (order by upto::double / target, s, upto rows unbounded preceding) as running from p
+    ), b as (select floor(1.5::double * sum(size))::bigint as budget from d),
+    x as (
+        select doc_id, sum(greatest(0, least(words, budget - (running - words))))::bigint as taken from o, b group by doc_id
+    )
+    select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from c left join x using (doc_id)
+""")
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+_OWN_CHAT = r"\### Assistant: </turn> ok"
+
+
+@query("op4_chat_format", rf"""
+    with c as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -7, t.turn, t.role, '{_OWN_CHAT}' from (values (0, 'user'), (1, 'assistant')) t(turn, role)
+    )
+    select conv_id, count(*) as n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+        sum(length('<turn role=""></turn>') + 1 + length(regexp_replace(role || text, '[\\<>]', '..', 'g')))::bigint
+            as formatted_chars
+    from c group by conv_id
+""")
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql("values (-7L, 0L, 'user'), (-7L, 1L, 'assistant') as t(conv_id, turn, role)")
+    columns = ["conv_id", "turn", "role", "text"]
+    conversations = table(spark, sf_dir, "conversations").select(*columns)
+    rows = conversations.unionByName(own.withColumn("text", F.lit(_OWN_CHAT)).select(*columns))
+    formatted = render(fold(turn_log(rows)))
+    back = formatted.select(
+        "conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(read_loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
+    )
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op6_line_dedup", f"""
+    with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+    l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d),
+    k as (
+        select *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key from l
+    ), c as (
+        select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+    ), m as (
+        select k.*, c.key is not null and doc_id <> keeper as gone from k left join c using (key)
+    )
+    select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+    from m group by doc_id
+""")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_common_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
