@@ -31,6 +31,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_PREFIX = np.uint64(0xA5A5A5A55A5A5A5A)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -65,14 +66,15 @@ SPACE_WORDS = delimiter_table(SPACES.encode())
 PLAIN_WORDS = delimiter_table(bytes(c for c in range(128) if not chr(c).isalnum()))
 
 
-def word_hashes(data: bytes, limit: int = 1 << 20) -> np.ndarray:
+def word_hashes(data: bytes, prefixes: tuple[int, ...] = (), limit: int = 1 << 20) -> np.ndarray:
     """64-bit hashes of the space-separated words of `data`, in order.
 
     Polynomial prefix sums over pieces of about `limit` bytes, cut at spaces, so memory is bounded whatever the length;
-    a word that is longer than a piece makes that piece longer.
+    a word that is longer than a piece makes that piece longer. With `prefixes`, hashes of the words' beginnings of so many
+    bytes follow those of each piece, for words that are longer than that.
     """
     if len(data) <= limit:
-        return _piece_hashes(data)
+        return _piece_hashes(data, prefixes)
     found, start = [], 0
     while start < len(data):
         end = start + limit
@@ -81,12 +83,12 @@ def word_hashes(data: bytes, limit: int = 1 << 20) -> np.ndarray:
             if cut < 0:
                 cut = data.find(b" ", end)
             end = len(data) if cut < 0 else cut + 1
-        found.append(_piece_hashes(data[start:end]))
+        found.append(_piece_hashes(data[start:end], prefixes))
         start = end
     return np.concatenate(found)
 
 
-def _piece_hashes(data: bytes) -> np.ndarray:
+def _piece_hashes(data: bytes, prefixes: tuple[int, ...]) -> np.ndarray:
     letters = np.frombuffer(data, dtype=np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([False], letters != 32, [False])).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
@@ -96,8 +98,16 @@ def _piece_hashes(data: bytes) -> np.ndarray:
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power("down", _INVERSE, n)[starts]
-    return mix(value + (ends - starts).astype(np.uint64))
+    down = _power("down", _INVERSE, n)
+    value = (sums[ends] - sums[starts]) * down[starts]
+    hashes = mix(value + (ends - starts).astype(np.uint64))
+    if not prefixes:
+        return hashes
+    found = [hashes]
+    for k in prefixes:
+        longer = starts[ends - starts > k]
+        found.append(mix((sums[longer + k] - sums[longer]) * down[longer] + np.uint64(k)) ^ _PREFIX)
+    return np.concatenate(found)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fablens.llm.chat import fold, read_loss_texts, read_turns, render, turn_log
 from fablens.llm.common import table
+from fablens.llm.decontamination import find_matches, n_hit
 from fablens.llm.exact_dedup import exact_groups
 from fablens.llm.line_dedup import drop_common_lines
 from fablens.llm.mixing import mix
@@ -135,3 +136,33 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_common_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op10_decontamination", f"""
+    with d as (select doc_id, {_WORDS.format(_LOWER.format('text'))} as w from documents),
+    i as (select coalesce(item_id::varchar, '') as item_id, {_WORDS.format(_LOWER.format('text'))} as w from benchmark),
+    iw as (
+        select distinct item_id, least(10, len(w)) as n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') as phrase
+        from (select *, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) as p from i where len(w) > 0)
+    ), dw as (
+        select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') as phrase
+        from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as p from d, (select distinct n from iw))
+    ), m as (select doc_id, p, n, item_id from dw join iw using (n, phrase)),
+    h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(generate_series(p, p + n - 1)) as q from m) group by doc_id),
+    t as (
+        select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+        from (select distinct doc_id, item_id from m) group by doc_id
+    )
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join h using (doc_id) left join t using (doc_id)
+""")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches.select(
+        "doc_id", "n_words", n_hit("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
