@@ -11,6 +11,7 @@ from fablens.llm.chat import fold, read_loss_texts, read_turns, render, turn_log
 from fablens.llm.common import table
 from fablens.llm.decontamination import find_matches, n_hit
 from fablens.llm.exact_dedup import exact_groups
+from fablens.llm import language_id, toxicity
 from fablens.llm.line_dedup import drop_common_lines
 from fablens.llm.mixing import mix
 
@@ -166,3 +167,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", n_hit("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.train(documents.filter(~language_id.held_out()))
+    return language_id.predict(documents, model, {"doc_id": F.col("doc_id"), "held_out": language_id.held_out()})
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = toxicity.train(documents, labels, toxicity.label_categories())
+    return toxicity.score(documents, chain, {"doc_id": F.col("doc_id")}).withColumnRenamed("reject", "toxic")
