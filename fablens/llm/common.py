@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fablens.session import stored
+
 # Rows of a narrow table (a few numbers each) that may be broadcast. 400,000 rows of 24 bytes are some 10 MB.
 MAX_BROADCAST_ROWS = 400_000
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -27,6 +29,36 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if not df.select(F.lit(1)).offset(max_rows).take(1) else df
 
 
+def text_print(text_column: str) -> Column:
+    """64-bit print of a text, null as empty. With the id it names a row; rows that share both are repeats."""
+    return F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+
+
+def _keyed(documents: DataFrame, id_column: str, mark: Column) -> DataFrame:
+    return documents.withColumns({"__id": F.col(id_column).cast("long"), "__print": mark})
+
+
+def without(documents: DataFrame, gone: DataFrame, id_column: str, mark: Column) -> DataFrame:
+    """`documents` without the rows that `gone` names by doc_id and print; `mark` computes the print. All columns stay."""
+    names = stored(gone.select(F.col("doc_id").alias("__gone"), F.col("print").alias("__gone_print")).distinct(), "gone")
+    names = broadcast_if_small(names)
+    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__print") == F.col("__gone_print"))
+    return _keyed(documents, id_column, mark).join(names, same, "left_anti").select(*documents.columns)
+
+
+def one_of_each(documents: DataFrame, names: DataFrame, id_column: str, mark: Column) -> DataFrame:
+    """`documents` with repeats of rows that `names` (doc_id, print) lists more than once cut to one row."""
+    tied = names.groupBy("doc_id", "print").count().filter("count > 1")
+    tied = stored(tied.select(F.col("doc_id").alias("__tied"), F.col("print").alias("__tied_print")), "tied")
+    if not tied.take(1):
+        return documents
+    tied = broadcast_if_small(tied)
+    keyed = _keyed(documents, id_column, mark)
+    same = F.col("__id").eqNullSafe(F.col("__tied")) & (F.col("__print") == F.col("__tied_print"))
+    once = keyed.join(tied, same, "left_semi").dropDuplicates(["__id", "__print"])
+    return keyed.join(tied, same, "left_anti").unionByName(once).select(*documents.columns)
+
+
 # --- words of byte strings, in numpy -------------------------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

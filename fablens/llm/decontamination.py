@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fablens.llm.common import PLAIN_WORDS, broadcast_if_small, word_hashes
+from fablens.llm.common import PLAIN_WORDS, text_print, without, word_hashes
 from fablens.session import stored
 
 SHARD_WORDS = 1 << 20
@@ -112,7 +112,7 @@ def build_index(documents: DataFrame, vocabulary: np.ndarray | None, id_column:
         filled = vocabulary if len(vocabulary) else np.zeros(1, dtype=np.uint64)
         shared = documents.sparkSession.sparkContext.broadcast(filled)
     rows = documents.select(
-        F.col(id_column).cast("long"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("print"), F.col(text_column)
+        F.col(id_column).cast("long"), text_print(text_column).alias("print"), F.col(text_column)
     )
     return stored(rows.mapInArrow(_build(shared), _INDEX), "postings")
 
@@ -379,10 +379,4 @@ def n_hit(spans) -> F.Column:
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`documents` without those that hold a window of a benchmark item."""
     matches = find_matches(documents, benchmark, id_column, text_column)
-    gone = stored(matches.filter(F.size("spans") > 0).select("doc_id", "print").distinct(), "contaminated")
-    gone = broadcast_if_small(gone)
-    keyed = documents.withColumns({
-        "__id": F.col(id_column).cast("long"), "__print": F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))),
-    })
-    key = F.col("__id").eqNullSafe(gone["doc_id"]) & F.col("__print").eqNullSafe(gone["print"])
-    return keyed.join(gone, key, "left_anti").select(*documents.columns)
+    return without(documents, matches.filter(F.size("spans") > 0), id_column, text_print(text_column))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fablens.llm.common import ascii_lower, broadcast_if_small
+from fablens.llm.common import ascii_lower, broadcast_if_small, one_of_each, without
 from fablens.session import stored
 
 ROWS_PER_BLOCK = 1 << 16
@@ -148,9 +148,12 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["doc_id", "fp", "sha", "suspect"])
 
 
+def _norm(text_column: str):
+    return ascii_lower(F.coalesce(F.col(text_column), F.lit("")))
+
+
 def _texts(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    norm = ascii_lower(F.coalesce(F.col(text_column), F.lit("")))
-    return documents.select(F.col(id_column).cast("long").alias("doc_id"), norm.alias("norm")).withColumn(
+    return documents.select(F.col(id_column).cast("long").alias("doc_id"), _norm(text_column).alias("norm")).withColumn(
         "fp", F.xxhash64("norm")
     )
 
@@ -195,16 +198,12 @@ def drop_copies(documents: DataFrame, id_column: str = "doc_id", text_column: st
     Rows that repeat both doc_id and text are cut to one of them.
     """
     groups = stored(exact_groups(documents, id_column, text_column).filter("group_size > 1"), "groups")
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_column), F.lit(""))), 256)
-    key = lambda g: (F.col("__id").eqNullSafe(g["doc_id"])) & (F.col("__sha") == g["text_sha256"])
-    keyed = documents.withColumns({"__id": F.col(id_column).cast("long"), "__sha": sha})
-    gone = stored(groups.filter("not kept").select("doc_id", "text_sha256").distinct(), "gone")
-    gone = broadcast_if_small(gone)
-    left = keyed.join(gone, key(gone), "left_anti")
-    tied = groups.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
-    tied = stored(tied.select("doc_id", "text_sha256"), "tied")
-    if tied.take(1):
-        hint = broadcast_if_small(tied)
-        once = left.join(hint, key(hint), "left_semi").dropDuplicates(["__id", "__sha"])
-        left = left.join(hint, key(hint), "left_anti").unionByName(once)
-    return left.select(*documents.columns)
+    mark = F.xxhash64(_norm(text_column))
+    rows = documents.select(
+        F.col(id_column).cast("long").alias("doc_id"), mark.alias("print"), F.sha2(_norm(text_column), 256).alias("sha")
+    )
+    hint = broadcast_if_small(groups.select(F.col("doc_id").alias("id"), "text_sha256", "kept").distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("text_sha256"))
+    named = stored(rows.join(hint, same).select("doc_id", "print", "kept"), "copies")
+    left = without(documents, named.filter("not kept"), id_column, mark)
+    return one_of_each(left, named.filter("kept"), id_column, mark)

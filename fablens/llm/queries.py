@@ -14,6 +14,7 @@ from fablens.llm.exact_dedup import exact_groups
 from fablens.llm import language_id, toxicity
 from fablens.llm.line_dedup import drop_common_lines
 from fablens.llm.mixing import mix
+from fablens.llm.near_dedup import near_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,3 +182,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     chain = toxicity.train(documents, labels, toxicity.label_categories())
     return toxicity.score(documents, chain, {"doc_id": F.col("doc_id")}).withColumnRenamed("reject", "toxic")
+
+
+@query("op7_near_dedup", f"""
+    with recursive w as (
+        select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+') as w from documents
+    ), s as (
+        select distinct doc_id, array_to_string(w[p:p + 2], ' ') as s
+        from (select *, unnest(generate_series(1, greatest(1, len(w) - 2))) as p from w where len(w) > 0)
+    ), n as (select doc_id, count(*) as n from s group by doc_id),
+    i as (
+        select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b using (s) where a.doc_id <> b.doc_id group by 1, 2
+    ), links as (
+        select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)
+    ), reach as (
+        select doc_id, doc_id as other from documents
+        union
+        select r.doc_id, l.b from reach r join links l on l.a = r.other
+    ), c as (select doc_id, min(other) as component_id from reach group by doc_id)
+    select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+    from documents join c using (doc_id) left join n using (doc_id)
+""")
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fablens.llm.common import PLAIN_WORDS, broadcast_if_small, word_hashes
+from fablens.llm.common import PLAIN_WORDS, broadcast_if_small, text_print, without, word_hashes
 from fablens.session import stored
 
 SAMPLE_ROWS = 8192
@@ -251,9 +251,6 @@ def label_categories() -> dict[str, F.Column]:
 def drop_toxic(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`documents` without those that the chain rejects."""
     chain = train(documents, labels, label_categories(), id_column, text_column)
-    keep = {"__id": F.col(id_column).cast("long"), "__print": F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))}
-    gone = stored(score(documents, chain, keep, text_column).filter("reject").select("__id", "__print").distinct(), "toxic")
-    gone = broadcast_if_small(gone.select(F.col("__id").alias("__gone"), F.col("__print").alias("__gone_print")))
-    keyed = documents.withColumns(keep)
-    key = keyed["__id"].eqNullSafe(gone["__gone"]) & (keyed["__print"] == gone["__gone_print"])
-    return keyed.join(gone, key, "left_anti").select(*documents.columns)
+    keep = {"doc_id": F.col(id_column).cast("long"), "print": text_print(text_column)}
+    rejected = score(documents, chain, keep, text_column).filter("reject")
+    return without(documents, rejected, id_column, text_print(text_column))
