@@ -12,9 +12,11 @@ from fablens.llm.common import table
 from fablens.llm.decontamination import find_matches, n_hit
 from fablens.llm.exact_dedup import exact_groups
 from fablens.llm import language_id, toxicity
+from fablens.llm.licenses import scan_licenses
 from fablens.llm.line_dedup import drop_common_lines
 from fablens.llm.mixing import mix
 from fablens.llm.near_dedup import near_groups
+from fablens.llm.secret_scan import find_secrets, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,3 +208,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
+    base, every = F.col("base.label"), F.concat("base.label", "detections.label")
+    names = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"), names(base).alias("base_labels"), names(every).alias("labels"), "score",
+    )
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+    )
