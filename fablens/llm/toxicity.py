@@ -57,7 +57,7 @@ class _Rows:
     """Sparse 0/1 rows with a few dense columns behind them."""
 
     def __init__(self, rows: list[np.ndarray], dense: np.ndarray, width: int):
-        self.lengths = np.array([len(r) for r in rows])
+        self.lengths = np.array([len(r) for r in rows], dtype=np.int64)
         self.columns = np.concatenate(rows) if rows else np.empty(0, np.int64)
         self.owner = np.repeat(np.arange(len(rows)), self.lengths)
         self.dense, self.width = dense, width
@@ -104,7 +104,7 @@ class Chain:
 
 def _choose(found: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Sorted hashes with the largest chi-squared of presence against any category."""
-    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    owner = np.repeat(np.arange(len(found)), np.array([len(f) for f in found], dtype=np.int64))
     distinct, place, count = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
     best = np.zeros(len(distinct))
     for label in labels.T:
