@@ -585,7 +585,7 @@ def test_near_matches(documents, rows, spark):
             if all(places) and any(all(min(abs(p - q) for q in other) <= 60 for other in places[1:]) for p in places[0]):
                 near.append(name)
         want.append((doc_id, near))
-    assert sum(bool(n) for _, n in want) > 1
+    assert any(n for _, n in want)
     assert sorted((str(r.doc_id), r.near_items) for r in got) == sorted((str(i), n) for i, n in want)
 
 
