@@ -209,22 +209,24 @@ def _file_stream(spark, sf_dir):
     )
 
 
-@query("i2_streaming_dedup", "SELECT DISTINCT sha256(text) AS file_hash FROM documents WHERE text <> ''")
+@query("i2_streaming_dedup", chain_sql(DOC_COPIES, B.FILES_SQL, """
+SELECT hash AS file_hash, t AS registered_at FROM marked WHERE (r).job = job"""))
 def streaming_dedup(spark, sf_dir):
+    """The files that register their hash: the first copy, and the first one after each time to live."""
     out = scratch_path(spark, "dedup")
-    kept = jobs.drop_duplicates_within(_file_stream(spark, sf_dir))
-    _finished(jobs.run_append(kept, f"{out}/rows", f"{out}/checkpoint", name="dedup_within"))
-    return spark.read.parquet(f"{out}/rows").select("file_hash")
+    _finished(jobs.run_dedup(_file_stream(spark, sf_dir), out, f"{out}/checkpoint"))
+    kept = jobs.marked_files(spark, out).filter(~F.col("is_duplicate"))
+    return kept.select("file_hash", F.col("ts").cast("timestamp_ntz").alias("registered_at"))
 
 
 @query("i2_streaming_dedup_exact", chain_sql(DOC_COPIES, B.FILES_SQL, """
 SELECT job AS job_id, t AS ts, hash AS file_hash, (r).job AS original_job_id, (r).t AS first_seen, (r).job <> job AS
   is_duplicate FROM marked"""))
 def streaming_dedup_exact(spark, sf_dir):
-    """By the exact rule, on a stream."""
+    """All files with their marks."""
     out = scratch_path(spark, "dedup-exact")
     _finished(jobs.run_dedup(_file_stream(spark, sf_dir), out, f"{out}/checkpoint"))
-    marked = read_table(spark, f"{out}/files").drop("batch_id")
+    marked = jobs.marked_files(spark, out)
     return marked.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "first_seen")})
 
 
@@ -235,22 +237,19 @@ def streaming_spikes(spark, sf_dir):
     out = scratch_path(spark, "spikes")
     times = B.stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
     _finished(jobs.run_spikes(times, out, f"{out}/checkpoint", seconds=3600))
-    counts = read_table(spark, f"{out}/counts")
+    counts = jobs.spike_counts(spark, out)
     return counts.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "window_count", "spike")
 
 
 @query("i4_sliding_spikes", B.sql(B.EVENTS_SQL, select="""
 SELECT window_start, window_start + INTERVAL 300 SECOND AS window_end, count(*) AS n FROM (
   SELECT time_bucket(INTERVAL 30 SECOND, ts) - to_seconds(30 * unnest(range(10))) AS window_start FROM ev)
-WHERE window_start + INTERVAL 300 SECOND <= (SELECT max(ts) FROM ev) - INTERVAL 300 SECOND
 GROUP BY 1 HAVING count(*) >= 3"""))
 def sliding_spikes(spark, sf_dir):
     out = scratch_path(spark, "sliding")
     times = B.stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
-    _finished(jobs.run_append(
-        jobs.sliding_spikes(times, threshold=3), f"{out}/rows", f"{out}/checkpoint", name="sliding"
-    ))
-    rows = spark.read.parquet(f"{out}/rows")
+    _finished(jobs.run_sliding(times, out, f"{out}/checkpoint"))
+    rows = jobs.sliding_spikes(read_table(spark, f"{out}/slots"), threshold=3)
     return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "n")
 
 
@@ -264,30 +263,30 @@ def _reading_stream(spark, sf_dir):
     )
 
 
-def _rollup_sql(bucket: str, minutes: int, delay: str) -> str:
+def _rollup_sql(bucket: str) -> str:
     return B.sql(B.EVENTS_SQL, select=f"""
 SELECT {bucket} AS bucket, source AS tool_id, severity, count(*) AS event_count,
   count(*) FILTER (severity = 'CRITICAL') AS critical_count, count(*) FILTER (severity = 'ERROR') AS error_count,
   round(avg(confidence_score), 8) AS avg_norm_conf, round(avg("value"), 8) AS avg_temp_k,
   round(avg("value" * 2), 8) AS avg_pressure_pa, round(avg("value" / 4), 8) AS avg_rf_power_w
-FROM ev WHERE {bucket} + INTERVAL {minutes} MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL {delay} GROUP BY 1, 2, 3""")
+FROM ev GROUP BY 1, 2, 3""")
 
 
-def _rollup(spark, sf_dir, minutes, delay):
+def _rollup(spark, sf_dir, minutes):
     out = scratch_path(spark, "rollup")
-    rollup = jobs.rollup_stream(_reading_stream(spark, sf_dir), minutes, delay)
-    _finished(jobs.run_append(rollup, f"{out}/rows", f"{out}/checkpoint", name=f"rollup_{minutes}"))
-    return spark.read.parquet(f"{out}/rows").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    _finished(jobs.run_rollup(_reading_stream(spark, sf_dir), f"{out}/parts", f"{out}/checkpoint", minutes))
+    rollup = jobs.read_rollup(read_table(spark, f"{out}/parts"))
+    return rollup.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-@query("i5_rollup_5min", _rollup_sql("time_bucket(INTERVAL 5 MINUTE, ts)", 5, "1 HOUR"))
+@query("i5_rollup_5min", _rollup_sql("time_bucket(INTERVAL 5 MINUTE, ts)"))
 def rollup_5min(spark, sf_dir):
-    return _rollup(spark, sf_dir, 5, "1 hour")
+    return _rollup(spark, sf_dir, 5)
 
 
-@query("i5_rollup_1hour", _rollup_sql("date_trunc('hour', ts)", 60, "3 HOUR"))
+@query("i5_rollup_1hour", _rollup_sql("date_trunc('hour', ts)"))
 def rollup_1hour(spark, sf_dir):
-    return _rollup(spark, sf_dir, 60, "3 hours")
+    return _rollup(spark, sf_dir, 60)
 
 
 @query("i8_feedback_scoring", B.sql(*SCORED_VIEWS, select="""
@@ -306,9 +305,21 @@ def feedback_scoring(spark, sf_dir):
 @query("i10_consumer_metrics", "SELECT 0::BIGINT AS batch_id, count(*) AS total_received, count(*) AS total_written FROM events")
 def consumer_metrics(spark, sf_dir):
     out = scratch_path(spark, "metrics")
-    stream = jobs.observed(_classified(B.as_events(B.stream(spark, sf_dir, "events"))))
-    done = _finished(jobs.run_append(stream, f"{out}/rows", f"{out}/checkpoint", name="metrics"))
-    return jobs.consumer_metrics(spark, done)
+    stream = _classified(B.as_events(B.stream(spark, sf_dir, "events")))
+    _finished(jobs.run_measured(stream, out, f"{out}/checkpoint", name="metrics"))
+    return jobs.consumer_metrics(spark, f"{out}/figures")
+
+
+@query("i10_spike_figures", B.sql(B.EVENTS_SQL, select=f"""
+SELECT count(*) AS spike_window_count, count(*) >= 10 AS spike_active FROM ev
+WHERE ts >= {_AS_OF_SQL} - INTERVAL 7200 SECOND AND ts <= {_AS_OF_SQL}"""))
+def spike_figures(spark, sf_dir):
+    """The spike figures of a consumer: events in the window that ends now, and whether a spike is on."""
+    out = scratch_path(spark, "spike-figures")
+    times = B.stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    _finished(jobs.run_spikes(times, out, f"{out}/checkpoint", seconds=7200))
+    counts = jobs.spike_counts(spark, out).filter(F.col("ts") <= _as_of())
+    return jobs.spike_state(counts, B.AS_OF, seconds=7200)
 
 
 @query("k4_streaming_novelty")

@@ -1,14 +1,15 @@
 """Streaming jobs: fan-out to topics, the three consumers, deduplication, spikes, rollups, scoring, metrics.
 
-All jobs share one form: a streaming frame in, a started StreamingQuery out. State is kept where it is bounded by
-a watermark, or in tables that a batch reads by time range. `trigger` is passed to writeStream.trigger; its default
-processes what is there and stops.
+All jobs share one form: a streaming frame in, a started StreamingQuery out. State is kept in tables that a batch reads
+by time range or key bucket. The order in which rows arrive does not matter: no job drops late rows, and results that a
+late row changes are written again, so that the current rows of the table are those of the batch form. `trigger` is
+passed to writeStream.trigger; its default processes what is there and stops.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,9 @@ from fablens import constants as C
 from fablens.functions import routing, scoring
 from fablens.operators import dedup, iforest, rollups, sequences
 from fablens.operators.joins import with_rule
-from fablens.sources.topics import encode_messages
-from fablens.streaming.tables import append_batch, append_if_absent, read_table
+from fablens.sources.topics import encode_messages, write_messages
+from fablens.session import scratch_scope, stored
+from fablens.streaming.tables import append_batch, append_if_absent, current_rows, keep_last, read_table
 
 AVAILABLE_NOW: Mapping[str, Any] = {"availableNow": True}
 # The cold consumer's pace: a batch each 300 seconds.
@@ -31,12 +33,13 @@ def for_each_batch(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
     trigger: Mapping[str, Any] = AVAILABLE_NOW, name: str | None = None,
 ) -> StreamingQuery:
-    """Start a query that hands each micro-batch, computed once, to `handle`."""
+    """Start a query that hands each micro-batch, computed once, to `handle`. Scratch tables end with the batch."""
 
     def handle_cached(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            handle(batch, batch_id)
+            with scratch_scope(batch.sparkSession):
+                handle(batch, batch_id)
         finally:
             batch.unpersist()
 
@@ -84,9 +87,13 @@ def event_rows(events: DataFrame, consumer: str, as_of: Column) -> DataFrame:
     )
 
 
-def alert_rows(rows: DataFrame, topic: Column, as_of: Column) -> DataFrame:
-    """The nine fields of an alert."""
+_EVENT_KEY = ["job_id", "event_index"]
+
+
+def alert_rows(rows: DataFrame, topic: Column, as_of: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """The nine fields of an alert, after the columns to `keep`."""
     return rows.select(
+        *keep,
         as_of.alias("timestamp"), "job_id", "source", "severity", "message",
         F.col("ai_category").alias("category"), F.col("confidence_score").alias("confidence"),
         topic.alias("topic"), F.col("ai_recommended_action").alias("action"),
@@ -95,25 +102,46 @@ def alert_rows(rows: DataFrame, topic: Column, as_of: Column) -> DataFrame:
 
 # ---- fan-out and consumers ---------------------------------------------------------------------------------
 
-def run_fan_out(events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW) -> StreamingQuery:
-    """Classified events to their topics, and those to be reviewed to the review folder."""
+def batch_figures(batch: DataFrame, valid: Column | None = None) -> DataFrame:
+    """One row: rows received, and those of them that are written (with a job id)."""
+    valid = F.coalesce(F.col("job_id").cast("string"), F.lit("")) != "" if valid is None else valid
+    return batch.agg(F.count(F.lit(1)).alias("total_received"), F.count_if(valid).alias("total_written"))
+
+
+def run_fan_out(
+    events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW, fmt: str = "parquet",
+    options: Mapping[str, str] | None = None,
+) -> StreamingQuery:
+    """Classified events to their topics, and those to be reviewed to the review folder.
+
+    fmt: parquet writes the topics as folders below `out`, kafka sends them with `options`.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        append_batch(encode_messages(batch), f"{out}/topics", batch_id, ["topic"])
+        messages = encode_messages(batch)
+        if fmt == "kafka":
+            write_messages(messages, "", fmt, options)
+        else:
+            append_batch(messages, f"{out}/topics", batch_id, ["topic"])
         append_batch(batch.filter(F.col("topic").isNull()).drop("topic"), f"{out}/review", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, "fan_out")
 
 
 def run_hot(events: DataFrame, out: str, checkpoint: str, as_of: Column, trigger=AVAILABLE_NOW) -> StreamingQuery:
-    """Event rows and alerts, as soon as they come."""
+    """Event rows and alerts, as soon as they come. `events` carries the topic each message came from.
+
+    A message that is delivered again makes neither a second row nor a second alert.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = event_rows(batch, "hot", as_of)
-        append_if_absent(rows, f"{out}/events", batch_id, ["job_id", "event_index"], ["timestamp"], "timestamp", "hot")
-        with_topic = batch.filter(F.coalesce("job_id", F.lit("")) != "")
-        topic = F.when(F.upper("severity") == "CRITICAL", C.TOPIC_P0).otherwise(C.TOPIC_P1)
-        append_batch(alert_rows(event_rows(with_topic, "hot", as_of), topic, as_of), f"{out}/alerts", batch_id)
+        append_if_absent(rows, f"{out}/events", batch_id, _EVENT_KEY, ["timestamp"], "hot")
+        topics = batch.select("job_id", "event_index", "topic").dropDuplicates(_EVENT_KEY)
+        alerts = rows.dropDuplicates(_EVENT_KEY).join(topics, _EVENT_KEY)
+        numbered = alert_rows(alerts, F.col("topic"), as_of, keep=["event_index"])
+        append_if_absent(numbered, f"{out}/alerts", batch_id, _EVENT_KEY, ["timestamp"], "hot")
+        append_batch(batch_figures(batch), f"{out}/figures/run=hot", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, "hot")
 
@@ -129,7 +157,8 @@ def run_cold(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = event_rows(batch, "cold", as_of)
-        append_if_absent(rows, f"{out}/events", batch_id, ["job_id", "event_index"], ["timestamp"], "timestamp", run)
+        append_if_absent(rows, f"{out}/events", batch_id, _EVENT_KEY, ["timestamp"], run)
+        append_batch(batch_figures(batch), f"{out}/figures/run={run}", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, run)
 
@@ -139,103 +168,150 @@ def run_dead_letter(events: DataFrame, out: str, checkpoint: str, as_of: Column,
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = event_rows(batch, "deadletter", as_of)
-        append_if_absent(rows, f"{out}/events", batch_id, ["job_id", "event_index"], ["timestamp"], "timestamp", "deadletter")
+        append_if_absent(rows, f"{out}/events", batch_id, _EVENT_KEY, ["timestamp"], "deadletter")
         pending = rows.select("job_id", F.lit("pending").alias("status"), F.lit(0).alias("at"))
-        append_if_absent(pending, f"{out}/reviews", batch_id, ["job_id"], ["at"], None, "deadletter")
+        append_if_absent(pending, f"{out}/reviews", batch_id, ["job_id"], ["at"], "deadletter")
+        append_batch(batch_figures(batch), f"{out}/figures/run=deadletter", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, "dead_letter")
 
 
 # ---- deduplication -----------------------------------------------------------------------------------------
 
-def drop_duplicates_within(stream: DataFrame, ts: str = "ts", key: str = "file_hash", ttl: int = C.DEDUP_TTL_SECONDS) -> DataFrame:
-    """Stream without repeated keys; state per key ends with the watermark."""
-    return stream.withWatermark(ts, f"{ttl} seconds").dropDuplicatesWithinWatermark([key])
+_FILES = "file_hash STRING, ts TIMESTAMP, job_id LONG, original_job_id LONG, first_seen TIMESTAMP, is_duplicate BOOLEAN, event_date DATE"
 
 
 def run_dedup(files: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW, ttl: int = C.DEDUP_TTL_SECONDS) -> StreamingQuery:
-    """Files with their duplicate mark, by the exact rule. Earlier registrations come from the table written so far,
-    of which only those that may still be alive are read."""
+    """Files (file_hash, ts, job_id) with their duplicate mark, by the exact rule over event time.
+
+    Earlier registrations come from the table written so far, of which only the days that may hold live ones are read.
+    If a file arrives after a later one with the same hash, the marks of that hash's files are worked out again from its
+    whole history, and written as new versions. `marked_files` gives the current marks.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = read_table(spark, f"{out}/registered")
-        start = batch.agg(F.min("ts").alias("m")).first()["m"]
+        rows = batch.select("file_hash", F.col("ts").cast("timestamp").alias("ts"), F.col("job_id").cast("long").alias("job_id"))
+        start = rows.agg(F.min("ts").alias("m")).first()["m"]
         if start is None:
             return
-        if seen is not None:
+        earlier, seen = read_table(spark, f"{out}/files", _FILES), None
+        if earlier is not None:
             bound = start - dt.timedelta(seconds=ttl)
-            alive = (F.col("event_date") >= F.lit(bound.date())) & (F.col("first_seen") > F.lit(bound))
-            seen = seen.filter(alive & (F.col("batch_id") != batch_id))
+            earlier = earlier.filter(F.col("batch_id") != batch_id)
+            recent = stored(current_rows(earlier.filter(F.col("event_date") >= F.lit(bound.date())), ["job_id"]), "recent")
+            first = rows.groupBy("file_hash").agg(F.min("ts").alias("first"))
+            late = recent.join(first, "file_hash").filter(F.col("ts") >= F.col("first")).select("file_hash").distinct()
+            late = stored(late, "late")
+            seen = recent.filter(~F.col("is_duplicate") & (F.col("first_seen") > F.lit(bound)))
             seen = seen.select("file_hash", F.col("original_job_id").alias("job_id"), "first_seen")
-        marked = dedup.mark_duplicates(batch, seen=seen, ttl_seconds=ttl).persist()
-        append_batch(marked, f"{out}/files", batch_id)
-        new = marked.filter(~F.col("is_duplicate")).select("file_hash", "original_job_id", "first_seen")
-        append_batch(new.withColumn("event_date", F.to_date("first_seen")), f"{out}/registered", batch_id, ["event_date"])
-        marked.unpersist()
+            if late.take(1):
+                history = current_rows(earlier.join(late, "file_hash", "left_semi"), ["job_id"])
+                rows = rows.unionByName(history.select("file_hash", "ts", "job_id")).dropDuplicates(["job_id"])
+                seen = seen.join(late, "file_hash", "left_anti")
+        marked = dedup.mark_duplicates(rows, seen=seen, ttl_seconds=ttl).withColumn("event_date", F.to_date("ts"))
+        append_batch(marked, f"{out}/files", batch_id, ["event_date"])
 
     return for_each_batch(files, handle, checkpoint, trigger, "dedup")
 
 
+def marked_files(spark: SparkSession, out: str) -> DataFrame:
+    """The current marks that run_dedup has written."""
+    return current_rows(read_table(spark, f"{out}/files", _FILES), ["job_id"]).drop("event_date")
+
+
 # ---- spikes and rollups ------------------------------------------------------------------------------------
 
 def run_spikes(
     events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW,
     seconds: int = C.SPIKE_WINDOW_SECONDS, threshold: int = C.SPIKE_THRESHOLD, ts: str = "ts",
 ) -> StreamingQuery:
-    """Exact trailing counts on a stream: a batch plus the stored times of the window before it."""
+    """Exact trailing counts on a stream: a batch plus the stored times around it.
+
+    Late times change the counts of the window after them, which are written again; `spike_counts` gives the current ones.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        times = batch.select(ts)
-        start = times.agg(F.min(ts).alias("m")).first()["m"]
-        if start is None:
+        times = batch.select(F.col(ts).cast("timestamp").alias("ts"))
+        span = times.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+        if span["a"] is None:
             return
-        stored = read_table(spark, f"{out}/times")
-        with_context = times
-        if stored is not None:
-            bound = start - dt.timedelta(seconds=seconds)
-            near = (F.col("event_date") >= F.lit(bound.date())) & (F.col(ts) >= F.lit(bound))
-            context = stored.filter(near & (F.col("batch_id") != batch_id))
-            with_context = times.unionByName(context.select(ts))
-        counts = sequences.rolling_counts(with_context, seconds, threshold, ts).filter(F.col(ts) >= F.lit(start))
-        append_batch(times.withColumn("event_date", F.to_date(ts)), f"{out}/times", batch_id, ["event_date"])
-        append_batch(counts, f"{out}/counts", batch_id)
+        reach = dt.timedelta(seconds=seconds)
+        earlier, around = read_table(spark, f"{out}/times", "ts TIMESTAMP, event_date DATE"), times
+        if earlier is not None:
+            low, high = span["a"] - reach, span["b"] + reach
+            days = F.col("event_date").between(F.lit(low.date()), F.lit(high.date()))
+            near = earlier.filter(days & F.col("ts").between(F.lit(low), F.lit(high)) & (F.col("batch_id") != batch_id))
+            around = times.unionByName(near.select("ts"))
+        counts = sequences.rolling_counts(around, seconds, threshold, "ts")
+        touched = counts.filter(F.col("ts").between(F.lit(span["a"]), F.lit(span["b"] + reach)))
+        append_batch(times.withColumn("event_date", F.to_date("ts")), f"{out}/times", batch_id, ["event_date"])
+        append_batch(touched, f"{out}/counts", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, "spikes")
 
 
+def spike_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The current counts that run_spikes has written, one row per time."""
+    schema = "ts TIMESTAMP, n_at_ts LONG, window_count LONG, spike BOOLEAN"
+    return current_rows(read_table(spark, f"{out}/counts", schema), ["ts"])
+
+
+def run_sliding(events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW, slide: int = 30, ts: str = "ts") -> StreamingQuery:
+    """Counts per slot of `slide` seconds, added up over batches by `sliding_spikes`; late rows add to their slot."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        slots = batch.groupBy(F.window(ts, f"{slide} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+        append_batch(slots.select(F.col("w.start").alias("slot"), "n"), f"{out}/slots", batch_id)
+
+    return for_each_batch(events, handle, checkpoint, trigger, "sliding")
+
+
 def sliding_spikes(
-    events: DataFrame, ts: str = "ts", seconds: int = C.SPIKE_WINDOW_SECONDS, slide: int = 30,
-    threshold: int = C.SPIKE_THRESHOLD, delay: str = "300 seconds",
+    slots: DataFrame, seconds: int = C.SPIKE_WINDOW_SECONDS, slide: int = 30, threshold: int = C.SPIKE_THRESHOLD
 ) -> DataFrame:
-    """Watermarked sliding counts that reach the threshold: bounded state, window ends on a fixed grid."""
-    window = F.window(ts, f"{seconds} seconds", f"{slide} seconds")
-    counted = events.withWatermark(ts, delay).groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    """Windows on a grid of `slide` seconds that hold at least `threshold` events, from the slots of run_sliding."""
+    step = lambda k: F.make_dt_interval(secs=(k * slide).cast("decimal(18,6)"))
+    per_slot = slots.groupBy("slot").agg(F.sum("n").alias("n"))
+    spread = per_slot.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(seconds // slide - 1))))
+    counted = spread.groupBy((F.col("slot") - step(F.col("k"))).alias("window_start")).agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= threshold).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"
+        "window_start", (F.col("window_start") + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))).alias("window_end"), "n"
     )
 
 
-def rollup_stream(readings: DataFrame, minutes: int, delay: str) -> DataFrame:
-    """Tumbling rollup by tool and severity; a bucket is final once the watermark has passed it."""
-    means = [
-        F.round(F.avg(c), 8).alias(n) for c, n in (
-            ("normalize_confidence", "avg_norm_conf"), ("temperature_k", "avg_temp_k"),
-            ("pressure_pa", "avg_pressure_pa"), ("rf_power_w", "avg_rf_power_w"),
+_MEANS = {
+    "normalize_confidence": "avg_norm_conf", "temperature_k": "avg_temp_k", "pressure_pa": "avg_pressure_pa",
+    "rf_power_w": "avg_rf_power_w",
+}
+
+
+def run_rollup(readings: DataFrame, out: str, checkpoint: str, minutes: int, trigger=AVAILABLE_NOW) -> StreamingQuery:
+    """Tumbling partial rollups per batch, by tool and severity; `read_rollup` adds them up.
+
+    The newest buckets are there at once, and late rows add to theirs.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        level = F.col("severity")
+        sums = [a for c in _MEANS for a in (F.sum(F.col(c).cast("double")).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n"))]
+        parts = batch.groupBy(F.window("event_time", f"{minutes} minutes").alias("w"), "tool_id", "severity").agg(
+            F.count(F.lit(1)).alias("event_count"), F.count_if(level == "CRITICAL").alias("critical_count"),
+            F.count_if(level == "ERROR").alias("error_count"), *sums,
         )
-    ]
-    level = F.col("severity")
-    grouped = readings.withWatermark("event_time", delay).groupBy(
-        F.window("event_time", f"{minutes} minutes").alias("w"), "tool_id", "severity"
-    )
-    counted = grouped.agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.sum(F.when(level == "CRITICAL", 1).otherwise(0)).alias("critical_count"),
-        F.sum(F.when(level == "ERROR", 1).otherwise(0)).alias("error_count"),
-        *means,
+        append_batch(parts.select(F.col("w.start").alias("bucket"), *[c for c in parts.columns if c != "w"]), out, batch_id)
+
+    return for_each_batch(readings, handle, checkpoint, trigger, f"rollup_{minutes}")
+
+
+def read_rollup(parts: DataFrame) -> DataFrame:
+    """The rollup that the parts written by run_rollup add up to."""
+    mean = lambda c: F.round(F.sum(f"{c}_sum") / F.nullif(F.sum(f"{c}_n"), F.lit(0)), 8)
+    total = lambda c: F.sum(c).alias(c)
+    return parts.groupBy("bucket", "tool_id", "severity").agg(
+        total("event_count"), total("critical_count"), total("error_count"), *[mean(c).alias(n) for c, n in _MEANS.items()]
     )
-    return counted.select(F.col("w.start").alias("bucket"), *[c for c in counted.columns if c != "w"])
 
 
 def run_append(stream: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW, name: str = "append") -> StreamingQuery:
@@ -300,13 +376,13 @@ def run_novelty(
         seen = latest(read_table(spark, f"{out}/seen"), batch_id)
         before = seen.first()["rows"] if seen is not None else 0
         rows = before + batch.count()
-        samples = iforest.tree_samples(
+        samples = stored(iforest.tree_samples(
             batch, "event_id", "features", rows, earlier=latest(read_table(spark, f"{out}/samples"), batch_id)
-        ).persist()
+        ), "samples")
         forest, epoch = latest(read_table(spark, f"{out}/models"), batch_id), iforest.refits_due(before, min_rows, every)
         due = iforest.refits_due(rows, min_rows, every)
         if due > epoch:
-            forest = iforest.build_trees(samples).persist()
+            forest = stored(iforest.build_trees(samples), "forest")
         if forest is not None:
             append_batch(forest.drop("batch_id"), f"{out}/models", batch_id)
         scored = batch.select(
@@ -316,31 +392,28 @@ def run_novelty(
         append_batch(scored, f"{out}/scores", batch_id)
         append_batch(samples, f"{out}/samples", batch_id)
         append_batch(spark.range(1).select(F.lit(rows).cast("long").alias("rows")), f"{out}/seen", batch_id)
-        samples.unpersist()
+        for state in ("models", "samples", "seen"):
+            keep_last(spark, f"{out}/{state}", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, "novelty")
 
 
 # ---- metrics -----------------------------------------------------------------------------------------------
 
-def observed(stream: DataFrame, name: str = "consumer") -> DataFrame:
-    """Stream that counts received and valid rows while they pass."""
-    valid = F.coalesce(F.col("job_id").cast("string"), F.lit("")) != ""
-    return stream.observe(
-        name,
-        F.count(F.lit(1)).alias("total_received"),
-        F.sum(F.when(valid, 1).otherwise(0)).alias("total_written"),
-    )
+def run_measured(stream: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW, name: str = "measured") -> StreamingQuery:
+    """Rows to a table, and the figures of each batch beside them."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch, f"{out}/rows", batch_id)
+        append_batch(batch_figures(batch), f"{out}/figures", batch_id)
+
+    return for_each_batch(stream, handle, checkpoint, trigger, name)
 
 
-def consumer_metrics(spark: SparkSession, query: StreamingQuery, name: str = "consumer") -> DataFrame:
-    """Observed counts per micro-batch of a query, from its progress reports."""
-    rows = []
-    for progress in query.recentProgress:
-        seen = progress.observedMetrics.get(name)
-        if seen is not None and seen["total_received"]:
-            rows.append((progress.batchId, seen["total_received"], seen["total_written"]))
-    return spark.createDataFrame(rows, "batch_id long, total_received long, total_written long")
+def consumer_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Rows received and written in each batch of a consumer, from the figures it has written; of all batches."""
+    figures = read_table(spark, path, "total_received LONG, total_written LONG")
+    return figures.filter(F.col("total_received") > 0).select("batch_id", "total_received", "total_written")
 
 
 def spike_state(counts: DataFrame, as_of, ts: str = "ts", seconds: int = C.SPIKE_WINDOW_SECONDS,

@@ -1,30 +1,43 @@
 """Append-only Parquet tables for foreachBatch sinks.
 
 Every micro-batch writes a folder of its own, named by its batch id, and overwrites it when the batch is run again
-after a failure: delivery is at least once, the result is as if it were once. Insert-if-absent looks only into
-the days the batch touches, which prunes folders.
+after a failure: delivery is at least once, the result is as if it were once. Insert-if-absent tables are partitioned
+by a hash bucket of the key; a lookup reads the key columns of the buckets that a batch touches. Corrected rows are
+appended under a later batch id, and `current_rows` takes the last version of each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fablens.operators.review import rows_to_insert
+from fablens.operators.skew import first_per_key
+from fablens.session import remove_path
 
 BATCH = "batch_id"
+KEY_BUCKETS = 16
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """Table without its batch column, or None if nothing was written yet."""
-    try:
-        reader = spark.read.schema(f"{schema}, {BATCH} LONG") if schema else spark.read
-        return reader.parquet(path)
-    except AnalysisException:
+    """Table with its batch column, or None if nothing was written yet. Every other problem is an error."""
+    system, where = _folder(spark, path)
+    if not system.exists(where):
         return None
+    reader = spark.read.schema(f"{schema}, {BATCH} LONG") if schema else spark.read
+    return reader.parquet(path)
+
+
+def current_rows(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last version of each row, that of the latest batch, without the batch column."""
+    return first_per_key(table.withColumn("_age", -F.col(BATCH)), keys, ["_age"]).drop("_age", BATCH)
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
@@ -32,31 +45,34 @@ def append_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{BATCH}={batch_id}")
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, run: str) -> DataFrame | None:
-    """Rows written by other batches; those of the same batch come from an attempt that is now repeated."""
-    table = read_table(spark, path)
-    return None if table is None else table.filter((F.col(BATCH) != batch_id) | (F.col("run") != run))
+def keep_last(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Delete the folders of batches before the previous one; for tables of which only the last state counts."""
+    system, where = _folder(spark, path)
+    if not system.exists(where):
+        return
+    for status in system.listStatus(where):
+        name = status.getPath().getName()
+        if name.startswith(f"{BATCH}=") and int(name.split("=")[1]) < batch_id - 1:
+            remove_path(spark, f"{path}/{name}")
 
 
 def append_if_absent(
-    df: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: Sequence[str],
-    day_of: str | None = None, run: str = "run",
+    df: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: Sequence[str], run: str = "run",
 ) -> None:
-    """Append the rows of a batch whose key is not in the table yet, the first per key.
+    """Append the rows of a batch whose key is not in the table yet, whenever that was written; the first per key.
 
-    `day_of` names the event-time column the table is partitioned by; the lookup then reads only the batch's
-    days. `run` names the job, so that two jobs may feed one table.
+    `run` names the job, so that two jobs may feed one table. Rows that the same batch wrote in an attempt that is now
+    repeated do not count.
     """
     spark = df.sparkSession
-    rows = df.withColumn("event_date", F.to_date(day_of)) if day_of else df
-    name = f"{path}/run={run}/{BATCH}={batch_id}"
-    table = _earlier(spark, path, batch_id, run)
-    if table is not None and day_of:
-        span = rows.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).first()
-        if span["a"] is not None:
-            table = table.filter(F.col("event_date").between(F.lit(span["a"]), F.lit(span["b"])))
+    rows = df.withColumn("key_bucket", F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    table = read_table(spark, path, f"{columns}, run STRING")
     if table is None:
         table = spark.createDataFrame([], rows.schema)
+    else:
+        touched = [row[0] for row in rows.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS
+        earlier = (F.col(BATCH) != batch_id) | (F.col("run") != run)
+        table = table.filter(F.col("key_bucket").isin(touched) & earlier)
     new = rows_to_insert(table, rows, list(keys), list(order))
-    writer = new.write.mode("overwrite")
-    (writer.partitionBy("event_date") if day_of else writer).parquet(name)
+    new.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{path}/run={run}/{BATCH}={batch_id}")

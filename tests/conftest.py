@@ -9,13 +9,10 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from fablens.session import local_session
 
-    session = local_session(8, "tests")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
-    return session
+    return local_session(8, "tests")
 
 
 @pytest.fixture(scope="session")

@@ -3,9 +3,10 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from fablens.operators import dedup, iforest, sequences
+from fablens.operators import dedup, iforest, rollups, sequences
 from fablens.plans import bindings as B
 from fablens.plans.scoring_queries import with_features
 from fablens.sources import topics
@@ -15,9 +16,11 @@ from fablens.streaming.tables import append_if_absent, read_table
 START = dt.datetime(2024, 1, 1)
 
 
-def in_files(df, path, files, order):
-    """Write a frame as files that a stream reads one after the other, in time order."""
+def in_files(df, path, files, order, shuffled=None):
+    """Write a frame as files that a stream reads one after the other, in time order or shuffled by a seed."""
     rows = df.orderBy(order).collect()
+    if shuffled is not None:
+        random.Random(shuffled).shuffle(rows)
     size = -(-len(rows) // files)
     for i in range(files):
         part = df.sparkSession.createDataFrame(rows[i * size:(i + 1) * size], df.schema).coalesce(1)
@@ -25,33 +28,107 @@ def in_files(df, path, files, order):
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def values_of(df, *columns):
+    return [tuple(r[c] for c in columns) for r in df.collect()]
+
+
 def values(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_exact_dedup_over_batches(spark, tmp_path):
+ORDERS = pytest.mark.parametrize("shuffled", [None, 1, 2])
+
+
+@ORDERS
+def test_exact_dedup_over_batches(spark, tmp_path, shuffled):
     rng = random.Random(5)
     rows = [(f"h{rng.randrange(12)}", START + dt.timedelta(hours=rng.uniform(0, 200)), job) for job in range(300)]
     files = spark.createDataFrame(rows, "file_hash string, ts timestamp, job_id long")
-    stream = in_files(files, str(tmp_path / "in"), 5, "ts")
+    stream = in_files(files, str(tmp_path / "in"), 5, "ts", shuffled)
     jobs.run_dedup(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     columns = ["job_id", "original_job_id", "first_seen", "is_duplicate"]
-    got = read_table(spark, str(tmp_path / "out/files"))
-    assert got.select("batch_id").distinct().count() == 5
+    assert read_table(spark, str(tmp_path / "out/files")).select("batch_id").distinct().count() == 5
+    got = jobs.marked_files(spark, str(tmp_path / "out"))
     assert values(got, *columns) == values(dedup.mark_duplicates(files), *columns)
 
 
-def test_spikes_over_batches(spark, tmp_path):
+def test_expired_hashes_register_anew(spark, tmp_path):
+    rows = [("a", START + dt.timedelta(hours=h), h) for h in (0, 30, 60, 90)]
+    files = spark.createDataFrame(rows, "file_hash string, ts timestamp, job_id long")
+    stream = in_files(files, str(tmp_path / "in"), 4, "ts")
+    jobs.run_dedup(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = jobs.marked_files(spark, str(tmp_path / "out")).filter("not is_duplicate")
+    assert values(got, "job_id") == [(0,), (30,), (60,), (90,)]
+
+
+@ORDERS
+def test_spikes_over_batches(spark, tmp_path, shuffled):
     rng = random.Random(6)
     rows = [(START + dt.timedelta(seconds=rng.randrange(3000)),) for _ in range(400)]
-    events = spark.createDataFrame(rows, "ts timestamp").dropDuplicates()
-    stream = in_files(events, str(tmp_path / "in"), 4, "ts")
+    events = spark.createDataFrame(rows, "ts timestamp")
+    stream = in_files(events, str(tmp_path / "in"), 4, "ts", shuffled)
     jobs.run_spikes(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = read_table(spark, str(tmp_path / "out/counts"))
+    got = jobs.spike_counts(spark, str(tmp_path / "out"))
     columns = ["ts", "n_at_ts", "window_count", "spike"]
     assert values(got, *columns) == values(sequences.rolling_counts(events), *columns)
     state = jobs.spike_state(got, START + dt.timedelta(seconds=2990)).first()
-    assert state["spike_window_count"] == sum(2690 <= (r[0] - START).total_seconds() for r in {*rows})
+    assert state["spike_window_count"] == sum(2690 <= (r[0] - START).total_seconds() for r in rows)
+
+
+@ORDERS
+def test_rollups_over_batches(spark, tmp_path, shuffled):
+    rng = random.Random(7)
+    rows = [(START + dt.timedelta(seconds=rng.randrange(9000)), f"t{rng.randrange(3)}", rng.choice(["ERROR", "CRITICAL"]),
+             rng.choice([None, rng.random()]), rng.random(), rng.random(), rng.random()) for _ in range(300)]
+    names = "event_time timestamp, tool_id string, severity string, normalize_confidence double, temperature_k double, pressure_pa double, rf_power_w double"
+    readings = spark.createDataFrame(rows, names)
+    stream = in_files(readings, str(tmp_path / "in"), 4, "event_time", shuffled)
+    jobs.run_rollup(stream, str(tmp_path / "out"), str(tmp_path / "ck"), 5).awaitTermination()
+    got = jobs.read_rollup(read_table(spark, str(tmp_path / "out")))
+    want = rollups.five_minute_rollup(readings)
+    columns = ["bucket", "tool_id", "severity", "event_count", "avg_norm_conf", "avg_temp_k", "avg_pressure_pa", "avg_rf_power_w"]
+    assert sorted(map(repr, values_of(got, *columns))) == sorted(map(repr, values_of(want, *columns)))
+    jobs.run_sliding(stream.select(F.col("event_time").alias("ts")), str(tmp_path / "s"), str(tmp_path / "ck2")).awaitTermination()
+    windows = jobs.sliding_spikes(read_table(spark, str(tmp_path / "s/slots")), threshold=2)
+    direct = readings.groupBy(F.window("event_time", "300 seconds", "30 seconds").alias("w")).agg(F.count("*").alias("n"))
+    direct = direct.filter("n >= 2").select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
+    assert values(windows, "window_start", "window_end", "n") == values(direct, "window_start", "window_end", "n")
+
+
+def test_figures_of_many_batches(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i) if i % 5 else "",) for i in range(130)], "job_id string")
+    stream = in_files(rows, str(tmp_path / "in"), 130, "job_id")
+    jobs.run_measured(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    figures = jobs.consumer_metrics(spark, str(tmp_path / "out/figures"))
+    assert figures.agg(F.count("*"), F.sum("total_received"), F.sum("total_written")).first() == (130, 130, 104)
+
+
+def test_key_on_two_days_is_inserted_once(spark, tmp_path, sf_dir):
+    """A message without a valid time, delivered again under a later as_of."""
+    from fablens.plans.stream_queries import _classified
+
+    path, out = str(tmp_path / "topics"), str(tmp_path / "out")
+    messages = _classified(B.events(spark, sf_dir)).filter("topic in ('logs.p0', 'logs.p1')").withColumn("timestamp", F.lit("no time"))
+    topics.write_messages(topics.encode_messages(messages), path)
+    for run, as_of in (("one", "2024-01-01 00:00:00"), ("two", "2024-01-05 00:00:00")):
+        source = topics.decode_messages(topics.read_topics(spark, path, ["logs.p0", "logs.p1"]))
+        jobs.run_cold(source, out, str(tmp_path / run), F.lit(as_of).cast("timestamp"), jobs.AVAILABLE_NOW, run).awaitTermination()
+    rows = spark.read.parquet(f"{out}/events")
+    assert rows.count() == messages.count() > 0
+    for attempt in ("a", "b"):
+        source = topics.decode_messages(topics.read_topics(spark, path, ["logs.p0", "logs.p1"]))
+        jobs.run_hot(source, f"{out}/hot", str(tmp_path / attempt), F.lit("2024-01-01").cast("timestamp")).awaitTermination()
+    alerts = spark.read.parquet(f"{out}/hot/alerts")
+    assert alerts.count() == messages.count()
+    assert {r.topic for r in alerts.select("topic").distinct().collect()} <= {"logs.p0", "logs.p1"}
+
+
+def test_unreadable_table_is_an_error(spark, tmp_path):
+    assert read_table(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        read_table(spark, str(tmp_path / "bad")).count()
 
 
 def test_cold_consumer_restarts_and_redelivery(spark, tmp_path, sf_dir):
