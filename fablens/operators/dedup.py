@@ -6,7 +6,9 @@ below works on that table of registrations, one row per (hash, slot):
 
 1. Hashes that occur in one slot only (almost all) are settled by an aggregate.
 2. Hashes in several slots are folded in time order by a vectorised function that keeps one number per hash.
-3. Among them, hashes with more copies than a task should hold advance slot by slot, one small aggregate each.
+3. Hashes with more copies than a task should hold go by pointer doubling: each distinct time of a copy knows the first
+   copy at or after its expiry; the pointers are composed with themselves, and the registrations found so far jump along
+   them, so the number of rounds is the logarithm of the number of slots.
 
 Rows then look their slot's registrations up; no group of copies is ever gathered.
 """
@@ -23,7 +25,7 @@ from pyspark.sql.window import Window
 
 from fablens import constants as C
 from fablens.operators.skew import MAX_GROUP_ROWS, floor_div, lookup_join
-from fablens.session import durable, scratch_path, stored
+from fablens.session import stored
 
 _MICROS = 1_000_000
 _KEYS = "hash string, at long, job long"
@@ -53,29 +55,47 @@ def _chain_function(ttl_us: int):
     return registrations
 
 
-def _hot_registrations(rows: DataFrame, first: DataFrame, slots: list[int], ttl_us: int) -> DataFrame:
-    """Registrations of hashes with very many copies: one step per time slot.
+# Parts into which a time to live is cut to look up the next copy.
+_PARTS = 1024
 
-    `rows` is (hash, at, job, slot) partitioned by slot on storage, so each step reads one slot. The state is one
-    row per hash: the time from which its next registration is due. It is a written table after each step; a
-    checkpointed frame would carry the constraints of all earlier steps into the plans of the later ones.
+
+def _successors(copies: DataFrame, ttl_us: int) -> DataFrame:
+    """(hash, at, next): for each copy the time of the first one at or after its expiry, if there is one.
+
+    Time is cut into parts. The copy is looked for in the part of the expiry, by an ordered pass over it, and else is the
+    first one of the next part that has any.
     """
-    spark = rows.sparkSession
-    due = first.select("hash", F.col("at").alias("due"))
-    found = None
-    for slot in slots:
-        in_slot = rows.filter(F.col("slot") == slot).join(F.broadcast(due), "hash").filter(F.col("at") >= F.col("due"))
-        step = in_slot.groupBy("hash").agg(F.min(F.struct("at", "job")).alias("r")).select("hash", "r.at", "r.job")
-        step = stored(step, "step")
-        found = step if found is None else found.unionByName(step)
-        moved = due.join(F.broadcast(step.select("hash", "at")), "hash", "left")
-        due = stored(moved.select("hash", F.coalesce(F.col("at") + ttl_us, F.col("due")).alias("due")).coalesce(1), "due")
-    return found if found is not None else spark.createDataFrame([], _KEYS)
+    width = max(1, ttl_us // _PARTS)
+    part = lambda c: floor_div(c, width)
+    expiry = F.col("at") + ttl_us
+    marks = copies.select("hash", part(F.col("at")).alias("part"), F.col("at").alias("t"), F.col("at").alias("copy"), F.lit(None).cast("long").alias("asks"))
+    marks = marks.unionByName(copies.select("hash", part(expiry).alias("part"), expiry.alias("t"), F.lit(None).cast("long").alias("copy"), F.col("at").alias("asks")))
+    from_here = Window.partitionBy("hash", "part").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = marks.withColumn("found", F.min("copy").over(from_here))
+    firsts = marks.groupBy("hash", "part").agg(F.min("copy").alias("first"))
+    later = Window.partitionBy("hash").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    after = firsts.select("hash", "part", F.min("first").over(later).alias("later"))
+    asked = inside.filter(F.col("asks").isNotNull()).join(after, ["hash", "part"])
+    found = asked.select("hash", F.col("asks").alias("at"), F.coalesce("found", "later").alias("next"))
+    return found.filter(F.col("next").isNotNull())
+
+
+def _hot_registrations(copies: DataFrame, ttl_us: int) -> DataFrame:
+    """Registrations of hashes with very many copies (hash, at, job), by pointer doubling."""
+    times = stored(copies.groupBy("hash", "at").agg(F.min("job").alias("job")), "copy-times")
+    reached = stored(times.groupBy("hash").agg(F.min("at").alias("at")), "reached")
+    jumps = stored(_successors(times.select("hash", "at"), ttl_us), "jumps")
+    while True:
+        new = stored(reached.join(jumps, ["hash", "at"]).select("hash", F.col("next").alias("at")), "new")
+        if not new.take(1):
+            return times.join(reached, ["hash", "at"], "left_semi").select("hash", "at", "job")
+        reached = stored(reached.unionByName(new), "reached")
+        onwards = jumps.select("hash", F.col("at").alias("next"), F.col("next").alias("beyond"))
+        jumps = stored(jumps.join(onwards, ["hash", "next"]).select("hash", "at", F.col("beyond").alias("next")), "jumps")
 
 
 def _registrations(keys: DataFrame, ttl_us: int, max_group_rows: int) -> DataFrame:
     """(hash, at, job) of every registering row among `keys` (hash, at, job, slot)."""
-    spark = keys.sparkSession
     sizes = keys.groupBy("hash").agg(
         F.count(F.lit(1)).alias("copies"),
         F.min("slot").alias("first_slot"),
@@ -86,21 +106,16 @@ def _registrations(keys: DataFrame, ttl_us: int, max_group_rows: int) -> DataFra
     several = F.col("first_slot") != F.col("last_slot")
     single = sizes.filter(~several).select("hash", "first.at", "first.job")
     large = several & (F.col("copies") > max_group_rows)
-    hot = durable(sizes.filter(large).select("hash", "first.at", "first_slot", "last_slot"))
     fold = lookup_join(keys, sizes.filter(several & ~large).select("hash"), ["hash"], "left_semi", spread_by=["job"])
     chained = (
         fold.select("hash", "at", "job").repartition("hash").sortWithinPartitions("hash", "at", "job")
         .mapInPandas(_chain_function(ttl_us), _KEYS)
     )
     result = single.unionByName(chained)
-    span = hot.agg(F.min("first_slot").alias("a"), F.max("last_slot").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if span["n"]:
-        path = scratch_path(spark, "copies")
-        copies = keys.join(F.broadcast(hot.select("hash")), "hash", "left_semi")
-        copies.write.partitionBy("slot").parquet(path)
-        by_slot = spark.read.schema("hash string, at long, job long, slot long").parquet(path)
-        slots = list(range(span["a"], span["b"] + 1))
-        result = result.unionByName(_hot_registrations(by_slot, hot, slots, ttl_us))
+    large_hashes = sizes.filter(large).select("hash")
+    if large_hashes.take(1):
+        copies = lookup_join(keys, large_hashes, ["hash"], "left_semi", spread_by=["job"])
+        result = result.unionByName(_hot_registrations(copies.select("hash", "at", "job"), ttl_us))
     return result
 
 

@@ -6,13 +6,15 @@ size is checked to be small and salts hot keys otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fablens import constants as C
 from fablens.functions.classify import equipment_class, keyword_category
-from fablens.operators.skew import MAX_BROADCAST_ROWS, has_at_most, lookup_join
-from fablens.session import durable
+from fablens.operators.skew import is_small, lookup_join
+from fablens.session import stored
 
 _EVENT_ID = ["job_id", "event_id"]
 
@@ -86,36 +88,50 @@ def best_rules(rules: DataFrame) -> DataFrame:
 
 def with_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Events with the best rule of their source; `has_rule` tells whether there is one."""
-    best = durable(best_rules(rules)).withColumn("has_rule", F.lit(True))
+    best = stored(best_rules(rules), "best-rules").withColumn("has_rule", F.lit(True))
     joined = lookup_join(events, best, ["source"], "left", spread_by=_EVENT_ID)
     return joined.withColumn("has_rule", F.coalesce("has_rule", F.lit(False)))
 
 
-def alias_rules(rules: DataFrame, max_rules: int = 10_000) -> dict[str, list[str]]:
-    """Rule aliases per canonical field, from rows (field, alias). A configuration table of checked size."""
-    kept = rules.filter(F.col("field").isin(list(C.FIELD_ALIASES))).select("field", "alias").distinct()
-    rows = kept.orderBy("field", "alias").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} alias rules")
+def alias_rules(rules: DataFrame) -> dict[str, list[str]]:
+    """Rule aliases per canonical field, from rows (field, alias) of a configuration table, in the order of the alias."""
+    kept = rules.filter(F.col("field").isin(list(C.FIELD_ALIASES)) & F.col("alias").isNotNull()).select("field", "alias").distinct()
     aliases: dict[str, list[str]] = {field: [] for field in C.FIELD_ALIASES}
-    for row in rows:
+    for row in kept.orderBy("field", "alias").toLocalIterator():
         aliases[row["field"]].append(row["alias"])
     return aliases
 
 
-def catalog_match(events: DataFrame, catalog: DataFrame) -> DataFrame:
+def catalog_match(events: DataFrame, catalog: DataFrame, spread_by: Sequence[str] = ("event_id",)) -> DataFrame:
     """Events with category and priority of the catalog rule for (vendor, field name, field value)."""
     keys = ["vendor_id", "field_name", "field_value"]
-    return lookup_join(events, catalog, keys, "inner")
+    return lookup_join(events, catalog, keys, "inner", spread_by=spread_by)
+
+
+# Steps into which the values of a catalog are cut, if it is too large to broadcast.
+_RANGE_STEPS = 256
 
 
 def catalog_range_match(readings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Numeric form of the match: (vendor, field name) equal and the value inside [low, high)."""
-    if has_at_most(catalog, MAX_BROADCAST_ROWS):
-        catalog = F.broadcast(catalog)
-    return readings.join(catalog, ["vendor_id", "field_name"]).filter(
-        (F.col("value") >= F.col("low")) & (F.col("value") < F.col("high"))
-    )
+    """Numeric form of the match: (vendor, field name) equal and the value inside [low, high).
+
+    A large catalog is joined on a step of the value as well: each range goes to the steps it touches, so that a vendor
+    with very many readings is spread over its values and no reading meets all ranges of its vendor.
+    """
+    inside = (F.col("value") >= F.col("low")) & (F.col("value") < F.col("high"))
+    if is_small(catalog):
+        return readings.join(F.broadcast(catalog), ["vendor_id", "field_name"]).filter(inside)
+    finite = F.when(F.abs("low") < 1e300, F.col("low"))
+    span = catalog.agg(F.min(finite).alias("low"), F.max(finite).alias("high")).first()
+    low, high = span["low"] or 0.0, span["high"] or 0.0
+    width = max((high - low) / _RANGE_STEPS, 1e-300)
+
+    def step(value: Column) -> Column:
+        inner = F.floor((value - F.lit(low)) / F.lit(width)).cast("int")
+        return F.when(value >= high, _RANGE_STEPS).when(value <= low, 0).otherwise(inner)
+
+    spread = catalog.filter(F.col("low") < F.col("high")).withColumn("_step", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
+    return readings.withColumn("_step", step(F.col("value"))).join(spread, ["vendor_id", "field_name", "_step"]).filter(inside).drop("_step")
 
 
 def approved_pool(events: DataFrame, statuses: DataFrame, limit: int = C.POOL_LIMIT) -> DataFrame:
@@ -126,7 +142,7 @@ def approved_pool(events: DataFrame, statuses: DataFrame, limit: int = C.POOL_LI
         F.coalesce("ai_category", F.lit("unknown")).alias("category"), "job_id", "event_id", "message", "source",
         F.col("confidence_score").alias("confidence"),
     )
-    return durable(first)
+    return stored(first, "pool")
 
 
 def tentative_category(rule_category: Column) -> Column:
@@ -137,19 +153,16 @@ def tentative_category(rule_category: Column) -> Column:
 
 def with_examples(
     events: DataFrame, pool: DataFrame, category: str, limit: int = C.EXAMPLES_PER_EVENT,
-    pool_limit: int = C.POOL_LIMIT,
 ) -> DataFrame:
     """Add `examples`: up to three approved examples of the category, those of the same machine first, then of
     the same equipment class, then others, each in pool order.
 
-    The pool is bounded by `pool_limit` rows, so it is grouped into one short array per category and broadcast;
+    The pool, bounded by `approved_pool`, is grouped into one array per category and broadcast if it is small, so that
     no event is multiplied and nothing is shuffled.
     """
-    bounded = pool.orderBy("job_id", "event_id").limit(pool_limit)
     example = F.struct("job_id", "event_id", "source", "message", "confidence")
-    grouped = F.broadcast(
-        bounded.groupBy(F.col("category").alias(category)).agg(F.array_sort(F.collect_list(example)).alias("_pool"))
-    )
+    grouped = pool.groupBy(F.col("category").alias(category)).agg(F.array_sort(F.collect_list(example)).alias("_pool"))
+    grouped = F.broadcast(grouped) if is_small(pool) else grouped
     machine = F.col("source")
     kind = equipment_class(machine)
     joined = events.join(grouped, category, "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fablens.functions.routing import approved_topic
 from fablens.functions.scoring import feedback_boost
-from fablens.operators.skew import first_per_key, lookup_join
+from fablens.operators.skew import OrderedGroups, first_per_key, lookup_join
 
 DECISIONS = ["approved", "rejected"]
 
@@ -81,17 +81,12 @@ def forward_approved(events: DataFrame, decisions: DataFrame) -> DataFrame:
     return forwarded.withColumn("topic", approved_topic(F.col("severity"))).drop("_severity", "_category")
 
 
-def rules_by_vendor(rules: DataFrame, max_list: int = 1_000) -> DataFrame:
-    """Rules of each vendor as lists of at most `max_list` rules, with the vendor's rule count.
+def rules_by_vendor(rules: DataFrame) -> DataFrame:
+    """One row per rule, with its place in the order of its vendor's rules and the vendor's rule count beside it.
 
-    A vendor with more rules has several numbered lists, so no list grows without bound.
+    A vendor's rules are counted by an aggregate and numbered in blocks, so their number has no bound.
     """
+    order = ["field_name", "field_value", "category", "priority"]
     counts = rules.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("rule_count"))
-    parts = F.ceil(F.col("rule_count") / F.lit(max_list))
-    spread = lookup_join(rules, counts, ["vendor_id"], "left", spread_by=["field_name", "field_value"]).withColumn(
-        "part", F.pmod(F.xxhash64("field_name", "field_value"), parts)
-    )
-    rule = F.struct("field_name", "field_value", "category", "priority")
-    return spread.groupBy("vendor_id", "part").agg(
-        F.max("rule_count").alias("rule_count"), F.array_sort(F.collect_list(rule)).alias("rules")
-    )
+    numbered = OrderedGroups(rules.select("vendor_id", *order), ["vendor_id"], order).evaluate(number="place")
+    return lookup_join(numbered, counts, ["vendor_id"], "left", spread_by=["field_name", "field_value"])

@@ -22,13 +22,17 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _value_steps(seq: OrderedGroups) -> OrderedGroups:
-    """Add direction of the step from the previous value, and the number of the monotone run it belongs to."""
-    seq = seq.lag(prev_value="value", prev_ts="ts")
-    seq = seq.with_column("direction", F.signum(F.col("value") - F.col("prev_value")).cast("int"))
-    seq = seq.lag(prev_direction="direction")
-    continues = (F.col("direction") != 0) & (F.col("direction") == F.col("prev_direction"))
-    return seq.with_column("starts", F.when(continues, 0).otherwise(1)).running_sum("run", "starts")
+# Values and times one and two rows before; a run goes on while the direction stays.
+_VALUE_LAGS = {"prev_value": ("value", 1), "earlier_value": ("value", 2), "prev_ts": ("ts", 1)}
+
+
+def _direction() -> Column:
+    return F.signum(F.col("value") - F.col("prev_value")).cast("int")
+
+
+def _value_run_starts() -> Column:
+    before = F.signum(F.col("prev_value") - F.col("earlier_value")).cast("int")
+    return ~F.coalesce((_direction() != 0) & (_direction() == before), F.lit(False))
 
 
 def numeric_runs(
@@ -36,7 +40,8 @@ def numeric_runs(
 ) -> DataFrame:
     """Longest stretches of strictly rising or strictly falling values per machine, of at least `min_events`."""
     rows = events.select("source", *ORDER, "value")
-    steps = _value_steps(OrderedGroups(rows, ["source"], ORDER, max_group_rows)).rows().filter(F.col("direction") != 0)
+    ordered = OrderedGroups(rows, ["source"], ORDER, max_group_rows).evaluate(_VALUE_LAGS, _value_run_starts())
+    steps = ordered.withColumn("direction", _direction()).filter(F.col("direction") != 0)
     at = F.struct(*ORDER)
     runs = steps.groupBy("source", "run").agg(
         F.max("direction").alias("direction"),
@@ -64,8 +69,8 @@ def _moved_to_safety() -> Column:
 def severity_escalations(events: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Events whose severity is above that of the machine's previous event."""
     rows = events.select("source", *ORDER, "severity")
-    seq = OrderedGroups(rows, ["source"], ORDER, max_group_rows).lag(prev_severity="severity")
-    return seq.rows().withColumn("levels", _levels_up()).filter(F.col("levels") > 0)
+    ordered = OrderedGroups(rows, ["source"], ORDER, max_group_rows).evaluate({"prev_severity": ("severity", 1)})
+    return ordered.withColumn("levels", _levels_up()).filter(F.col("levels") > 0)
 
 
 def shrinking_gaps(
@@ -73,11 +78,12 @@ def shrinking_gaps(
 ) -> DataFrame:
     """Stretches in which one event type of a machine repeats at strictly shrinking gaps."""
     rows = events.select("source", "event_type", *ORDER)
-    seq = OrderedGroups(rows, ["source", "event_type"], ORDER, max_group_rows).lag(prev_ts="ts")
-    seq = seq.with_column("gap_us", micros(F.col("ts")) - micros(F.col("prev_ts"))).lag(prev_gap_us="gap_us")
-    shrinks = F.coalesce(F.col("gap_us") < F.col("prev_gap_us"), F.lit(False))
-    seq = seq.with_column("shrinks", shrinks).with_column("starts", F.when(shrinks, 0).otherwise(1))
-    steps = seq.running_sum("run", "starts").rows().filter(F.col("gap_us").isNotNull())
+    gap = micros(F.col("ts")) - micros(F.col("prev_ts"))
+    gap_before = micros(F.col("prev_ts")) - micros(F.col("earlier_ts"))
+    ordered = OrderedGroups(rows, ["source", "event_type"], ORDER, max_group_rows).evaluate(
+        {"prev_ts": ("ts", 1), "earlier_ts": ("ts", 2)}, ~F.coalesce(gap < gap_before, F.lit(False))
+    )
+    steps = ordered.withColumn("gap_us", gap).filter(F.col("gap_us").isNotNull())
     runs = steps.groupBy("source", "event_type", "run").agg(
         F.count(F.lit(1)).alias("n_gaps"),
         F.min("prev_ts").alias("start_ts"),
@@ -91,8 +97,8 @@ def shrinking_gaps(
 def safety_shifts(events: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Events that move a machine from another category to safety, or to critical severity in a new category."""
     rows = events.select("source", *ORDER, "ai_category", "severity")
-    seq = OrderedGroups(rows, ["source"], ORDER, max_group_rows).lag(prev_category="ai_category")
-    return seq.rows().filter(_moved_to_safety())
+    ordered = OrderedGroups(rows, ["source"], ORDER, max_group_rows).evaluate({"prev_category": ("ai_category", 1)})
+    return ordered.filter(_moved_to_safety())
 
 
 def _slope_aggregates() -> list[Column]:
@@ -131,11 +137,11 @@ def trend_alerts(
     """
     at = F.struct(*ORDER)
     rows = events.select("source", *ORDER, "value", "severity", "ai_category")
-    seq = _value_steps(OrderedGroups(rows, ["source"], ORDER, max_group_rows).lag(
-        prev_severity="severity", prev_category="ai_category"
-    ))
+    ordered = OrderedGroups(rows, ["source"], ORDER, max_group_rows).evaluate(
+        {**_VALUE_LAGS, "prev_severity": ("severity", 1), "prev_category": ("ai_category", 1)}, _value_run_starts()
+    ).withColumn("direction", _direction())
     one = F.lit(1).cast("long")
-    per_run = seq.rows().groupBy("source", "run").agg(
+    per_run = ordered.groupBy("source", "run").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.sum(F.when(F.col("direction") != 0, one)).alias("n_steps"),
         F.sum(F.when(_levels_up() > 0, one)).alias("n_escalations"),
@@ -149,10 +155,12 @@ def trend_alerts(
         F.max_by("severity", "last").alias("last_severity"), F.max("last.ts").alias("last_ts"),
     ).filter(F.col("n_events") >= 2)
     repeats = shrinking_gaps(events, min_gaps, max_group_rows).groupBy("source").agg(F.count(F.lit(1)).alias("n_shrinking"))
-    # Every part has one row per machine.
-    found = machines.join(repeats, "source", "left").join(
-        time_to_critical(events, limit).select("source", "estimate"), "source", "left"
-    )
+    # Every part has one row per machine; events without a machine are one of them.
+    estimates = time_to_critical(events, limit).select(F.col("source").alias("_s2"), "estimate")
+    repeats = repeats.withColumnRenamed("source", "_s1")
+    found = machines.join(repeats, F.col("source").eqNullSafe(F.col("_s1")), "left").join(
+        estimates, F.col("source").eqNullSafe(F.col("_s2")), "left"
+    ).drop("_s1", "_s2")
     counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_runs", "n_escalations", "n_shrinking", "n_shifts")}
     texts = [
         ("n_runs", "%d monotone value runs"), ("n_escalations", "%d severity escalations"),
@@ -228,7 +236,7 @@ def refit_epochs(
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Running index of each event and the model it is scored with: 0 while warming up, then 1, 2, 3, ..."""
-    numbered = OrderedGroups(events.select("event_id", "ts"), [], ORDER, max_group_rows).row_number("n").rows()
+    numbered = OrderedGroups(events.select("event_id", "ts"), [], ORDER, max_group_rows).evaluate(number="n")
     n = F.col("n")
     fits = floor_div(n, every) - (min_rows // every) + 1
     return numbered.withColumn("epoch", F.when(n < min_rows, F.lit(0).cast("long")).otherwise(fits))

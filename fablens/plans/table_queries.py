@@ -127,7 +127,7 @@ def catalog_match(spark, sf_dir):
     part = B.table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_brand").alias("vendor_id"), F.lit("type").alias("field_name"), F.col("p_type").alias("field_value")
     )
-    return joins.catalog_match(part, _catalog(spark, sf_dir)).drop("field_name")
+    return joins.catalog_match(part, _catalog(spark, sf_dir), spread_by=["p_partkey"]).drop("field_name")
 
 
 @query("c10_catalog_range_match", """
@@ -305,12 +305,10 @@ def feedback_counters(spark, sf_dir):
 
 @query("e17_rules_by_vendor", f"""
 WITH {_CATALOG_SQL}
-SELECT vendor_id, 0::BIGINT AS part, count(*) AS rule_count, string_agg(field_value || ':' || category || ':' || priority, ','
-  ORDER BY field_value) AS rules FROM catalog GROUP BY vendor_id""")
+SELECT vendor_id, row_number() OVER (PARTITION BY vendor_id ORDER BY field_name, field_value) AS place,
+  count(*) OVER (PARTITION BY vendor_id) AS rule_count, field_value, category, priority FROM catalog""")
 def rules_by_vendor(spark, sf_dir):
-    grouped = review.rules_by_vendor(_catalog(spark, sf_dir))
-    text = F.transform("rules", lambda r: F.concat_ws(":", r["field_value"], r["category"], r["priority"]))
-    return grouped.select("vendor_id", "part", "rule_count", F.concat_ws(",", text).alias("rules"))
+    return review.rules_by_vendor(_catalog(spark, sf_dir)).drop("field_name")
 
 
 @query("e18_category_set", """

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fablens.operators import dedup, review, sequences, skew
+from fablens.operators import dedup, joins, review, sequences, skew
 from fablens.plans import bindings as B
+from fablens.session import stored
 
 START = dt.datetime(2024, 1, 1)
 
@@ -33,31 +34,72 @@ def skewed_events(spark, rows=3000, seed=7):
     return spark.createDataFrame(data, schema).repartition(8)
 
 
+def with_null_machines(events):
+    """A fifth of the events has no machine, and some no value."""
+    nothing = F.lit(None)
+    return events.withColumns({
+        "source": F.when(F.col("event_id") % 5 == 0, nothing.cast("string")).otherwise(F.col("source")),
+        "value": F.when(F.col("event_id") % 11 == 0, nothing.cast("double")).otherwise(F.col("value")),
+    })
+
+
+@pytest.mark.parametrize("limit", [5, 100])
 @pytest.mark.parametrize("keys", [["source"], ["source", "event_type"], []])
-def test_ordered_groups(spark, keys):
-    events = skewed_events(spark)
+def test_ordered_groups(spark, keys, limit):
+    events = with_null_machines(skewed_events(spark, 1500)).cache()
     order = ["ts", "event_id"]
+    lags = {"p": ("value", 1), "q": ("severity", 2), "r": ("value", 2)}
+    starts = ~F.coalesce((F.col("value") >= F.col("p")) & (F.col("p") >= F.col("r")), F.lit(False))
 
     def all_of(limit):
         seq = skew.OrderedGroups(events, keys, order, limit)
-        return seq, seq.lag(p="value", q="severity").running_sum("total", "value").row_number("n").rows()
+        return seq, seq.evaluate(lags, starts, sums={"total": "value"}, number="n")
 
     plain, expected = all_of(10**6)
-    split, got = all_of(100)
+    split, got = all_of(limit)
     assert not plain.split and split.split
     assert split.df.groupBy(*keys, "_block").count().agg(F.max("count")).first()[0] < 400
     same(got, expected)
+    # Against brute force.
+    groups = {}
+    for row in sorted(events.collect(), key=lambda r: (r.ts, r.event_id)):
+        groups.setdefault(tuple(row[k] for k in keys), []).append(row)
+    want = {}
+    for rows in groups.values():
+        run, total, seen = 0, 0.0, False
+        for i, row in enumerate(rows):
+            one, two = (rows[i - 1] if i > 0 else None), (rows[i - 2] if i > 1 else None)
+            p, r = (one.value if one else None), (two.value if two else None)
+            on = None not in (row.value, p, r) and row.value >= p >= r
+            run += not on
+            total, seen = total + (row.value or 0.0), seen or row.value is not None
+            want[row.event_id] = (p, two.severity if two else None, r, run, total if seen else None, i + 1)
+    assert {r.event_id: (r.p, r.q, r.r, r.run, r.total, r.n) for r in expected.collect()} == want
 
 
 def test_sequence_operators_on_hot_machines(spark):
-    events = skewed_events(spark)
-    for operator in (sequences.numeric_runs, sequences.shrinking_gaps):
-        same(operator(events, 3, max_group_rows=100), operator(events, 3))
-    for operator in (sequences.severity_escalations, sequences.safety_shifts, sequences.refit_epochs):
-        same(operator(events, max_group_rows=100), operator(events))
+    events = with_null_machines(skewed_events(spark)).cache()
+    for limit in (5, 100):
+        for operator in (sequences.numeric_runs, sequences.shrinking_gaps):
+            same(operator(events, 3, max_group_rows=limit), operator(events, 3))
+        for operator in (sequences.severity_escalations, sequences.safety_shifts, sequences.refit_epochs):
+            same(operator(events, max_group_rows=limit), operator(events))
     same(sequences.trend_alerts(events, 60.0, 4, 3, max_group_rows=100), sequences.trend_alerts(events, 60.0, 4, 3))
 
 
+def test_split_form_needs_one_ordered_pass_per_group(spark, monkeypatch):
+    """The frames that the split form stores hold all its ordered work: two over rows, for machines and for event types."""
+    plans = []
+    monkeypatch.setattr(skew, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or stored(df, name))
+    alerts = sequences.trend_alerts(skewed_events(spark), 60.0, 4, 3, max_group_rows=100)
+    ordered = [plan for name, plan in plans if name == "ordered"]
+    assert len(ordered) == 2
+    for plan in ordered:
+        physical = plan.split("== Physical Plan ==")[1]
+        assert physical.count("Exchange hashpartitioning") == 1 and physical.count("Sort [") == 1
+    assert alerts.count() > 0
+
+
 def test_trend_alerts_count_what_the_operators_find(spark):
     events = skewed_events(spark)
     found = sequences.severity_escalations(events).groupBy("source").count().collect()
@@ -94,6 +136,19 @@ def brute_force_marks(rows, ttl):
     return marks
 
 
+def test_hot_hash_over_many_slots(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [("hot", START + dt.timedelta(hours=rng.uniform(0, 24 * 420)), job) for job in range(4000)]
+    rows += [(f"h{job % 9}", START + dt.timedelta(hours=rng.uniform(0, 400)), job) for job in range(4000, 4200)]
+    files = spark.createDataFrame(rows, "file_hash string, ts timestamp_ntz, job_id long").repartition(6)
+    tables = []
+    monkeypatch.setattr(dedup, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    marked = dedup.mark_duplicates(files, max_group_rows=500)
+    got = {r["job_id"]: (r["original_job_id"], r["first_seen"], r["is_duplicate"]) for r in marked.collect()}
+    assert got == brute_force_marks(rows, dt.timedelta(days=1))
+    assert tables.count("new") <= 10
+
+
 @pytest.mark.parametrize("limit", [10**6, 60, 3])
 def test_duplicates_against_brute_force(spark, limit):
     rng = random.Random(3)
@@ -144,15 +199,38 @@ def test_insert_if_absent_is_idempotent(spark):
     assert once.count() == once.select("job_id").distinct().count()
 
 
-def test_rules_by_vendor_in_parts(spark):
+def test_rules_of_a_large_vendor(spark):
     rules = spark.createDataFrame(
-        [("v", f"f{i}", str(i), "c", "P1") for i in range(50)] + [("w", "f", "1", "c", "P0")],
+        [("v", f"f{i:04d}", str(i), "c", "P1") for i in range(5000)] + [("w", "f", "1", "c", "P0")],
         "vendor_id string, field_name string, field_value string, category string, priority string",
     )
-    rows = review.rules_by_vendor(rules, max_list=10).collect()
-    assert sum(len(r["rules"]) for r in rows if r["vendor_id"] == "v") == 50
-    assert {r["rule_count"] for r in rows if r["vendor_id"] == "v"} == {50}
-    assert len([r for r in rows if r["vendor_id"] == "v"]) > 1
+    rows = review.rules_by_vendor(rules).filter("vendor_id = 'v'").orderBy("place").collect()
+    assert [(r["place"], r["field_name"]) for r in rows] == [(i + 1, f"f{i:04d}") for i in range(5000)]
+    assert {r["rule_count"] for r in rows} == {5000}
+
+
+def test_examples_of_a_large_pool(spark):
+    pool = spark.createDataFrame(
+        [("thermal", i, i, "m", f"s{i}", 0.9) for i in range(200)],
+        "category string, job_id int, event_id int, message string, source string, confidence double",
+    )
+    asked = spark.createDataFrame([(1, "thermal", "s199")], "event_id int, category string, source string")
+    found = joins.with_examples(asked, pool, "category").first()["examples"]
+    assert [e["event_id"] for e in found] == [199, 0, 1]
+
+
+def test_catalog_ranges_without_broadcast(spark, monkeypatch):
+    inf = float("inf")
+    catalog = spark.createDataFrame(
+        [(v, "f", low, high, f"{v}-{low}") for v in ("a", "b", None) for low, high in ((-inf, 0.0), (0.0, 1.5), (1.5, 90.0), (90.0, inf))],
+        "vendor_id string, field_name string, low double, high double, priority string",
+    )
+    rng = random.Random(3)
+    readings = spark.createDataFrame([("a" if i % 2 else "b", "f", rng.uniform(-100, 200)) for i in range(400)], "vendor_id string, field_name string, value double")
+    want = joins.catalog_range_match(readings, catalog)
+    monkeypatch.setattr(joins, "is_small", lambda df: False)
+    same(joins.catalog_range_match(readings, catalog), want)
+    assert want.count() == 400
 
 
 def test_events_view_has_one_row_per_event(spark, sf_dir):
