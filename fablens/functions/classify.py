@@ -91,7 +91,7 @@ def candidate_categories(source: Column) -> Column:
 
 def valid_category_name(name: Column) -> Column:
     """Trimmed, lower-cased category name, or null if the form is not allowed."""
-    clean = F.lower(F.trim(name))
+    clean = F.lower(F.regexp_replace(name, r"^[\s\x0B\x{0085}\x{00A0}\x1C-\x1F]+|[\s\x0B\x{0085}\x{00A0}\x1C-\x1F]+$", ""))
     return F.when(F.rlike(clean, F.lit(C.CATEGORY_NAME_PATTERN)), clean)
 
 

@@ -91,7 +91,7 @@ def feature_vector(
     known = lambda c: F.when(F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown")) != "unknown", 1.0).otherwise(0.0)
     return F.array(
         severity_code(severity),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.0)))),
         category_code(category),
         known(source),
         known(event_type),

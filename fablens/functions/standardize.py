@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,9 @@ from fablens import constants as C
 # ISO-8601 dates and times; a bare year is not a timestamp although a cast would take it.
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?([+-]\d{2}(:?\d{2})?|Z)?)?$"
 _ISO_HOUR = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}$"
+# The basic form without separators, and dates by week, each with an optional time behind.
+_BASIC = r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})?(\d{2})?([.,]\d{1,9})?([+-]\d{2}:?\d{0,2}|Z)?)?$"
+_WEEK = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?:[T ](.*))?$"
 
 
 def computed_once(*columns: Column) -> Column:
@@ -23,10 +27,13 @@ def computed_once(*columns: Column) -> Column:
     return F.inline(F.array(F.struct(*columns)))
 
 
-def detect_format(content: Column, hint: Column | None = None) -> Column:
-    """Format of a file from a hint or, without a known hint, from its first bytes. `content` is binary."""
+def detect_format(content: Column, hint: Column | None = None, sniff_bytes: int = C.FORMAT_SNIFF_BYTES) -> Column:
+    """Format of a file from a hint or, without a known hint, from its first `sniff_bytes` bytes. `content` is binary.
+
+    A file that begins with more blanks than that is taken for a log.
+    """
     # One character per byte, so that the byte limit and the whitespace trim act on bytes.
-    head = F.decode(F.substring(content, 1, C.FORMAT_SNIFF_BYTES), "ISO-8859-1")
+    head = F.decode(F.substring(content, 1, sniff_bytes), "ISO-8859-1")
     head = F.regexp_replace(head, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
     first_line = F.substring_index(head, "\n", 1)
     commas = F.length(first_line) - F.length(F.replace(first_line, F.lit(","), F.lit("")))
@@ -42,6 +49,10 @@ def detect_format(content: Column, hint: Column | None = None) -> Column:
     return F.when(known.isin(C.FILE_FORMATS), known).otherwise(sniffed)
 
 
+# Up to so many aliases of a field are tried by an expression each.
+_ALIASES_AS_EXPRESSIONS = 40
+
+
 def resolve_field(raw: Column, field: str, rule_aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
     """Value of a canonical field in the raw map: rule aliases first, then the built-in ones, ignoring case.
 
@@ -54,12 +65,39 @@ def resolve_field(raw: Column, field: str, rule_aliases: Mapping[str, Sequence[s
         named = F.filter(entries, lambda e: F.lower(e["key"]) == F.lit(alias.lower()))
         return F.get(named, F.lit(0))["value"]
 
-    return F.coalesce(*[value_of(alias) for alias in aliases])
+    if len(aliases) <= _ALIASES_AS_EXPRESSIONS:
+        return F.coalesce(*[value_of(alias) for alias in aliases])
+    # Many aliases are one constant map to their places in the list; the entry with the smallest place wins.
+    places: dict[str, int] = {}
+    for place, alias in enumerate(aliases):
+        places.setdefault(alias.lower(), place)
+    known = F.from_json(F.lit(json.dumps(places)), "map<string,int>")
+    ranked = F.filter(
+        F.transform(entries, lambda e, i: F.struct(F.try_element_at(known, F.lower(e["key"])).alias("place"), i.alias("i"), e["value"].alias("value"))),
+        lambda r: r["place"].isNotNull(),
+    )
+    return F.array_min(ranked)["value"]
 
 
 def parse_timestamp(text: Column) -> Column:
     """ISO-8601 text as TIMESTAMP; null if it is not a valid one."""
-    iso = F.when(F.rlike(text, F.lit(_ISO_HOUR)), F.concat(text, F.lit(":00"))).when(
+    part = lambda pattern, n: F.regexp_extract(text, pattern, n)
+    or_zero = lambda c: F.when(c == "", "00").otherwise(c)
+    basic = F.concat(
+        part(_BASIC, 1), F.lit("-"), part(_BASIC, 2), F.lit("-"), part(_BASIC, 3), F.lit("T"), or_zero(part(_BASIC, 4)), F.lit(":"),
+        or_zero(part(_BASIC, 5)), F.lit(":"), or_zero(part(_BASIC, 6)), F.regexp_replace(part(_BASIC, 7), ",", "."), part(_BASIC, 8),
+    )
+    # Week 1 holds January 4th; weeks begin on Monday.
+    fourth = F.concat(part(_WEEK, 1), F.lit("-01-04")).try_cast("date")
+    day = F.when(part(_WEEK, 3) == "", "1").otherwise(part(_WEEK, 3)).try_cast("int")
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    of_week = F.date_add(monday, (part(_WEEK, 2).try_cast("int") - 1) * 7 + day - 1)
+    time = part(_WEEK, 4)
+    clock = F.when(F.rlike(time, F.lit(r"^\d{2}$")), F.concat(time, F.lit(":00"))).otherwise(time)
+    week = F.when(F.year(F.date_add(of_week, 4 - day)) == part(_WEEK, 1).try_cast("int"), F.concat(
+        of_week.cast("string"), F.when(time == "", "").otherwise(F.concat(F.lit("T"), clock))
+    ))
+    iso = F.when(F.rlike(text, F.lit(_WEEK)), week).when(F.rlike(text, F.lit(_BASIC)), basic).when(F.rlike(text, F.lit(_ISO_HOUR)), F.concat(text, F.lit(":00"))).when(
         F.rlike(text, F.lit(_ISO)), F.regexp_replace(text, ",", ".")
     )
     return iso.try_cast("timestamp")

@@ -194,7 +194,7 @@ FROM (SELECT replace(file_name, '.txt', CASE WHEN lang = 'en' THEN '.log' ELSE '
 def replay_order(spark, sf_dir):
     suffix = F.when(F.col("lang") == "en", ".log").otherwise(".json")
     names = B.files(spark, sf_dir).select(F.concat(F.replace("file_name", F.lit(".txt"), F.lit("")), suffix).alias("file_name"))
-    return S.replay_batches(names, 25)
+    return S.numbered_batches(names, 25)
 
 
 # Byte-wise patterns over the hex form of the first 500 bytes: the detection acts on bytes.

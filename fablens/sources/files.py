@@ -1,4 +1,4 @@
-"""Log files as Spark sources: whole files, JSON, XML, CSV and line logs, table dumps and folder replay.
+"""Log files as Spark sources: whole files, JSON, XML, CSV and line logs and table dumps.
 
 Two forms exist for each format. `read_*` uses Spark's own splittable readers and is the form for large files.
 `parse_*` takes a text column that holds one whole document per row, for small files of mixed shapes.
@@ -16,7 +16,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, MapType, StringType, StructField, StructType
 
 from fablens.functions.standardize import computed_once, line_fields
 from fablens.operators.skew import OrderedGroups, first_per_key
@@ -68,26 +68,15 @@ def register_raw_logs(
     return first_per_key(rows, ["job_id", "timestamp"], ["file_name", "file_hash"])
 
 
-def replay_batches(files: DataFrame, batch_size: int, name: str = "file_name") -> DataFrame:
+def numbered_batches(files: DataFrame, batch_size: int, name: str = "file_name") -> DataFrame:
     """Number the json, log, csv and xml files in name order and cut them into batches."""
     kept = files.filter(F.lower(F.substring_index(name, ".", -1)).isin("json", "log", "csv", "xml"))
-    numbered = OrderedGroups(kept, [], [name]).row_number("position").rows()
+    numbered = OrderedGroups(kept, [], [name]).evaluate(number="position")
     return numbered.withColumn("batch", F.floor((F.col("position") - 1) / F.lit(batch_size)))
 
 
-def replay_stream(spark: SparkSession, path: str, glob: str, files_per_trigger: int) -> DataFrame:
-    """The same folder as a stream of whole files, a fixed number per trigger."""
-    return (
-        spark.readStream.format("binaryFile")
-        .schema("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(path)
-    )
-
-
-# Nesting that is flattened without a look at the data first.
-JSON_DEPTH = 16
+# Levels of nested objects that are flattened by expressions; deeper records go through a function.
+_NATIVE_LEVELS = 2
 
 
 # ---- JSON --------------------------------------------------------------------------------------------------
@@ -100,22 +89,6 @@ def _is_array(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("ARRAY")
 
 
-def json_nesting_depth(df: DataFrame, text: str) -> int:
-    """Depth of the most deeply nested object in a column of JSON texts."""
-    no_strings = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
-    braces = F.split(F.regexp_replace(no_strings, r"[^{}]", ""), "")
-    level = lambda now, deepest: F.struct(now.alias("now"), deepest.alias("deepest"))
-    walked = F.aggregate(
-        braces,
-        level(F.lit(0), F.lit(0)),
-        lambda at, b: level(
-            at["now"] + F.when(b == "{", 1).when(b == "}", -1).otherwise(0),
-            F.greatest(at["deepest"], at["now"] + F.when(b == "{", 1).otherwise(0)),
-        ),
-    )
-    return df.agg(F.max(walked["deepest"])).first()[0] or 0
-
-
 def flatten_entries(entries: Column, depth: int) -> Column:
     """Replace object-valued entries (key, value VARIANT) by their members, key parts joined with '_'."""
     for _ in range(depth):
@@ -143,17 +116,74 @@ def _as_map(entries: Column) -> Column:
     return F.when(unique, F.map_from_entries(entries)).otherwise(F.map_from_entries(last))
 
 
-def parse_json_logs(df: DataFrame, text: str, depth: int | None = JSON_DEPTH) -> DataFrame:
+def _json_text(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _flat_fields(record: dict) -> dict[str, str]:
+    """Members of nested objects under joined keys; nulls are left out, of equal keys the last one stays."""
+    fields, pending = {}, [("", iter(record.items()))]
+    while pending:
+        prefix, members = pending[-1]
+        for key, value in members:
+            if isinstance(value, dict):
+                pending.append((f"{prefix}{key}_", iter(value.items())))
+                break
+            if value is not None:
+                fields[prefix + key] = _json_text(value)
+        else:
+            pending.pop()
+    return fields
+
+
+_FIELDS = MapType(StringType(), StringType())
+_RECORDS = ArrayType(StructType([StructField("fields", _FIELDS), StructField("error", StringType())]))
+
+
+@F.pandas_udf(_RECORDS)
+def _json_records_udf(texts: pd.Series) -> pd.Series:
+    """Records of JSON documents that the expressions do not read: repeated keys, very long numbers."""
+
+    def records(text: str) -> list[dict]:
+        try:
+            document = json.loads(text, strict=False)
+        except (ValueError, RecursionError):
+            return [{"fields": None, "error": "document is not valid JSON"}]
+        if isinstance(document, dict):
+            document = next((v for v in document.values() if isinstance(v, list)), [document])
+        elif not isinstance(document, list):
+            document = [document]
+        return [
+            {"fields": _flat_fields(item), "error": None} if isinstance(item, dict)
+            else {"fields": None, "error": "item is not a JSON object"} for item in document
+        ]
+
+    return texts.map(records, na_action="ignore")
+
+
+@F.pandas_udf(_FIELDS)
+def _flat_record_udf(items: pd.Series) -> pd.Series:
+    """Flat fields of deeply nested records; null if Python cannot read one either."""
+
+    def fields(text: str) -> dict | None:
+        try:
+            return _flat_fields(json.loads(text, strict=False))
+        except (ValueError, RecursionError):
+            return None
+
+    return items.map(fields, na_action="ignore")
+
+
+def parse_json_logs(df: DataFrame, text: str) -> DataFrame:
     """One row per record of a JSON document, or per error.
 
     An array gives its items, an object the items of its first list-valued member or else itself. Items that
-    are no objects are errors of their own; a document that is no JSON is one error. Objects nested in up to
-    `depth` others are flattened; a record with deeper ones is an error, and can be parsed again with depth=None,
-    which measures the depth in a pass of its own.
+    are no objects are errors of their own; a document that is no JSON is one error. Nested objects are flattened,
+    however deep. Expressions read the usual documents; only those with repeated keys in one object or numbers of more
+    digits than a decimal holds, and records nested more than a few levels deep, go through a vectorised function.
     """
-    if depth is None:
-        depth = max(0, json_nesting_depth(df, text) - 1)
-    shallow = min(depth, 2)
     doc = F.col(text)
     # A failed parse is costly, so each document is tried only as what its first character allows.
     begins = lambda c, brace: F.ltrim(c).startswith(brace)
@@ -166,31 +196,48 @@ def parse_json_logs(df: DataFrame, text: str, depth: int | None = JSON_DEPTH) ->
     one = F.when(F.col("_object").isNotNull(), F.array(doc)).when(
         ~begins(doc, "{") & ~begins(doc, "["), F.when(F.try_parse_json(doc).isNotNull(), F.array(doc))
     )
+    braced = begins(doc, "{") | begins(doc, "[")
+    long_number = F.regexp_like(doc, F.lit(r"\d{38}"))
+    # Repeated keys inside a list show only when its items are read.
+    broken = F.exists("_items", lambda e: F.ltrim(e).startswith("{") & F.from_json(e, "MAP<STRING,VARIANT>").isNull())
+    hard = braced & (F.col("_items").isNull() | long_number | F.coalesce(broken, F.lit(False)))
+    nothing = F.lit(None)
+    read = F.transform("_read", lambda r: F.struct(nothing.cast("string").alias("item"), r["fields"].alias("fields"), r["error"].alias("error")))
+    plain = F.transform("_items", lambda i: F.struct(i.alias("item"), nothing.cast("map<string,string>").alias("fields"), nothing.cast("string").alias("error")))
     parsed = (
         df.withColumn("_object", as_object(doc))
         .withColumn("_member", member)
         .withColumn("_list", list_text)
         .withColumn("_items", F.coalesce(items, one))
-        .select(*df.columns, F.col("_items").isNull().alias("_bad"), F.posexplode_outer("_items").alias("record_index", "_item"))
+        .withColumn("_read", _json_records_udf(F.when(hard, doc)))
+        .withColumn("_all", F.coalesce(read, plain))
+        .select(*df.columns, F.col("_all").isNull().alias("_bad"), F.posexplode_outer("_all").alias("record_index", "_one"))
         # An empty list leaves no row: it has neither records nor errors.
         .filter(F.col("_bad") | F.col("record_index").isNotNull())
+        .withColumn("record_index", F.when(F.col("_one.error") != "document is not valid JSON", F.col("record_index")).when(
+            F.col("_one.error").isNull(), F.col("record_index")
+        ))
     )
     nested = lambda entries: F.exists(entries, lambda e: _is_object(e["value"]))
     error = (
-        F.when(F.col("_bad"), "document is not valid JSON")
-        .when(F.col("_record").isNull(), "item is not a JSON object")
-        .when(nested("_flat"), f"objects are nested deeper than {depth}")
+        F.when(F.col("_bad"), "document is not valid JSON").when(F.col("_one.error").isNotNull(), F.col("_one.error"))
+        .when(F.col("_one.fields").isNull() & F.col("_record").isNull(), "item is not a JSON object")
+        .when(F.col("_deep") & F.col("_deep_fields").isNull(), "item is not valid JSON")
+    )
+    fields = (
+        F.when(F.col("_one.fields").isNotNull(), F.col("_one.fields")).when(F.col("_deep"), F.col("_deep_fields"))
+        .otherwise(_as_map(F.col("_entries")))
     )
-    # Step by step, so that no step is evaluated twice. Only records with deep objects pay for the deep step.
+    # Step by step, so that no step is evaluated twice.
     return (
-        parsed.withColumn("_record", as_object(F.col("_item")))
-        .withColumn("_near", flatten_entries(F.map_entries("_record"), shallow))
-        .withColumn("_flat", F.when(
-            nested("_near"), flatten_entries(F.col("_near"), depth - shallow)
-        ).otherwise(F.col("_near")))
-        .withColumns({"error": error, "_entries": _text_entries(F.col("_flat"))})
+        parsed.withColumn("_record", as_object(F.col("_one.item")))
+        .withColumn("_flat", flatten_entries(F.map_entries("_record"), _NATIVE_LEVELS))
+        .withColumn("_deep", F.coalesce(nested("_flat"), F.lit(False)))
+        .withColumn("_deep_fields", _flat_record_udf(F.when(F.col("_deep"), F.col("_one.item"))))
+        .withColumn("_entries", _text_entries(F.col("_flat")))
+        .withColumn("error", error)
         .select(*df.columns, "record_index", computed_once(
-            F.col("error"), F.when(F.col("error").isNull(), _as_map(F.col("_entries"))).alias("raw_fields")
+            F.col("error"), F.when(F.col("error").isNull(), fields).alias("raw_fields")
         ))
     )
 
@@ -201,40 +248,47 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def _add_xml_fields(element, prefix: str, fields: dict[str, str]) -> None:
-    for name, value in element.attrib.items():
-        fields[prefix + _local(name)] = value
-    for child in element:
-        key = prefix + _local(child.tag)
-        if len(child):
-            _add_xml_fields(child, key + "_", fields)
-        else:
+def _xml_fields(element) -> dict[str, str]:
+    """Attributes and texts of an element's descendants, keys joined with '_'; any depth."""
+    fields = {_local(name): value for name, value in element.attrib.items()}
+    pending = [("", iter(element))]
+    while pending:
+        prefix, children = pending[-1]
+        for child in children:
+            key = prefix + _local(child.tag)
+            if len(child):
+                fields.update((f"{key}_{_local(name)}", value) for name, value in child.attrib.items())
+                pending.append((key + "_", iter(child)))
+                break
             fields[key] = child.text or ""
-            for name, value in child.attrib.items():
-                fields[f"{key}_{_local(name)}"] = value
+            fields.update((f"{key}_{_local(name)}", value) for name, value in child.attrib.items())
+        else:
+            pending.pop()
+    return fields
+
+
+_DOCUMENT = StructType([StructField("records", ArrayType(_FIELDS)), StructField("error", StringType())])
 
 
-def _xml_records(text: str | None) -> str:
+def _documents(results: list[tuple[list[dict] | None, str | None]]) -> pd.DataFrame:
+    return pd.DataFrame({"records": [r for r, _ in results], "error": [e for _, e in results]}, dtype=object)
+
+
+def _xml_records(text: str | None) -> tuple[list[dict] | None, str | None]:
     try:
         root = ElementTree.fromstring(text or "")
     except (ElementTree.ParseError, ValueError) as problem:
-        return json.dumps({"error": str(problem)})
-    records = []
-    for element in list(root) or [root]:
-        fields: dict[str, str] = {}
-        _add_xml_fields(element, "", fields)
-        records.append(fields)
-    return json.dumps({"records": records})
+        return None, str(problem)
+    return [_xml_fields(element) for element in list(root) or [root]], None
 
 
-@F.pandas_udf(StringType())
-def _xml_records_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(_xml_records)
+@F.pandas_udf(_DOCUMENT)
+def _xml_records_udf(texts: pd.Series) -> pd.DataFrame:
+    return _documents([_xml_records(t) for t in texts])
 
 
 def _explode_records(df: DataFrame, result: Column) -> DataFrame:
-    schema = "records ARRAY<MAP<STRING,STRING>>, error STRING"
-    parsed = df.withColumn("_result", F.from_json(result, schema)).select(
+    parsed = df.withColumn("_result", result).select(
         *df.columns, computed_once(F.col("_result.records").alias("_records"), F.col("_result.error").alias("error"))
     )
     rows = parsed.select(*df.columns, F.posexplode_outer("_records").alias("record_index", "raw_fields"), "error")
@@ -261,54 +315,66 @@ def read_xml_logs(spark: SparkSession, path: str, row_tag: str, schema: StructTy
 
 # ---- CSV ---------------------------------------------------------------------------------------------------
 
-def _csv_records(text: str | None) -> str:
+def _csv_records(text: str | None) -> tuple[list[dict] | None, str | None]:
+    if text is None:
+        return None, None
     try:
-        header, *rows = [r for r in csv.reader(io.StringIO(text or "", newline="")) if r]
+        header, *rows = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
     except (csv.Error, ValueError) as problem:
-        return json.dumps({"error": str(problem)})
+        return None, str(problem)
     records = []
     for row in rows:
         record = dict(zip(header, row))
         if len(row) > len(header):
             record["_corrupt_record"] = ",".join(row[len(header):])
         records.append(record)
-    return json.dumps({"records": records})
+    return records, None
 
 
-@F.pandas_udf(StringType())
-def _csv_records_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(_csv_records)
+@F.pandas_udf(_DOCUMENT)
+def _csv_records_udf(texts: pd.Series) -> pd.DataFrame:
+    return _documents([_csv_records(t) for t in texts])
 
 
 def parse_csv_logs(df: DataFrame, text: str) -> DataFrame:
     """One row per CSV row, fields named by the document's own header; surplus cells go to `_corrupt_record`.
 
-    Documents without quotes are split by expressions; only those with quotes pass through Python's reader.
+    Documents without quotes are split by expressions; only those with quotes pass through Python's reader. Of repeated
+    names in the header the last cell stays.
     """
-    plain = df.filter(~F.contains(F.col(text), F.lit('"')))
-    quoted = df.filter(F.contains(F.col(text), F.lit('"')))
+    quoted = F.coalesce(F.contains(F.col(text), F.lit('"')), F.lit(False))
     lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda line: line != "")
-    rows = plain.withColumn("_lines", lines).withColumn("_header", F.split(F.get("_lines", F.lit(0)), ","))
-    rows = rows.select(
-        *df.columns, "_header",
-        F.posexplode(F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1)))).alias("record_index", "_line"),
-    ).withColumn("_cells", F.split("_line", ","))
+    nothing = F.lit(None)
+    own = F.transform(
+        F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1))),
+        lambda line: F.struct(line.alias("line"), nothing.cast("map<string,string>").alias("fields")),
+    )
+    read = F.transform("_read.records", lambda r: F.struct(nothing.cast("string").alias("line"), r.alias("fields")))
+    rows = (
+        df.withColumn("_quoted", quoted)
+        .withColumn("_read", _csv_records_udf(F.when(F.col("_quoted"), F.col(text))))
+        .withColumn("_lines", F.when(~F.col("_quoted"), lines))
+        .withColumn("_header", F.split(F.get("_lines", F.lit(0)), ","))
+        .withColumn("_all", F.when(F.col("_quoted"), read).otherwise(own))
+        .select(*df.columns, "_header", F.col("_read.error").alias("error"), F.posexplode_outer("_all").alias("record_index", "_one"))
+        .filter(F.col("record_index").isNotNull() | F.col("error").isNotNull())
+        .withColumn("_cells", F.split("_one.line", ","))
+    )
     width = F.size("_header")
     surplus = F.when(
         F.size("_cells") > width, F.concat_ws(",", F.slice("_cells", width + 1, F.size("_cells")))
     )
     pairs = F.arrays_zip(F.col("_header").alias("key"), F.col("_cells").alias("value"))
-    pairs = F.slice(pairs, F.lit(1), F.least(width, F.size("_cells")))
+    pairs = F.slice(pairs, F.lit(1), F.greatest(F.lit(0), F.least(width, F.size("_cells"))))
     entries = F.concat(
         pairs,
         F.when(surplus.isNotNull(), F.array(F.struct(F.lit("_corrupt_record").alias("key"), surplus.alias("value"))))
         .otherwise(F.array().cast("array<struct<key:string,value:string>>")),
     )
-    fast = rows.select(
-        *df.columns, "record_index", F.map_from_entries(entries).alias("raw_fields"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    return fast.unionByName(_explode_records(quoted, _csv_records_udf(F.col(text))))
+    fields = F.when(F.col("_one.line").isNull(), F.col("_one.fields")).otherwise(_as_map(F.col("_entries")))
+    return rows.withColumn("_entries", entries).select(
+        *df.columns, "record_index", computed_once(fields.alias("raw_fields"), F.col("error"))
+    ).select(*df.columns, "record_index", "raw_fields", "error")
 
 
 def read_csv_logs(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -355,7 +421,34 @@ _DUMP_ESCAPES = [("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")]
 def read_dump(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
     r"""Tab-separated table dump: \N is null, an empty cell the empty text, t and f are booleans, \. ends a block."""
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    lines = spark.read.option("lineSep", "\n").text(path).filter(~F.col("value").isin("\\.", ""))
+    lines = spark.read.option("lineSep", "\n").text(path).filter(F.col("value") != "\\.")
+    return _dump_rows(lines, fields)
+
+
+def dump_blocks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines of a dump file of several tables: table, columns and value, from each COPY ... FROM stdin block.
+
+    A block is read as one value, as the names of its table stand in its first line only.
+    """
+    blocks = spark.read.option("lineSep", "\n\\.\n").text(path)
+    copy = r"(?is)(?:^|.*?\n)COPY\s+(\S+)\s*\(([^)]*)\)\s+FROM\s+stdin[^\n]*;(?:\n(.*))?$"
+    named = blocks.filter(F.regexp_like("value", F.lit(copy))).select(
+        F.regexp_extract("value", copy, 1).alias("table"),
+        F.split(F.regexp_replace(F.regexp_extract("value", copy, 2), r"\s", ""), ",").alias("columns"),
+        F.regexp_extract("value", copy, 3).alias("_body"),
+        F.regexp_like("value", F.lit(r"(?i)FROM\s+stdin[^\n]*;$")).alias("_empty"),
+    )
+    return named.filter(~F.col("_empty")).select("table", "columns", F.explode(F.split("_body", "\n", -1)).alias("value"))
+
+
+def read_dump_table(spark: SparkSession, path: str | Sequence[str], table: str, schema: StructType | str) -> DataFrame:
+    """One table of a dump file of several. `schema` lists its columns in the order of the block."""
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    blocks = dump_blocks(spark, path).filter(F.element_at(F.split("table", r"\."), -1) == table)
+    return _dump_rows(blocks.select("value"), fields)
+
+
+def _dump_rows(lines: DataFrame, fields: StructType) -> DataFrame:
     cells = lines.select(F.split("value", "\t", -1).alias("cells"))
     # A backslash pair must not be taken for the start of an escape, so it is set aside first.
     mark = "\x00"
