@@ -84,11 +84,24 @@ def hourly_severity(events: DataFrame, as_of, hours: int) -> DataFrame:
     return series.orderBy("hour", "severity")
 
 
-def hourly_category_rollup(events: DataFrame) -> DataFrame:
+def _whole_buckets(events: DataFrame, unit: str, start, end, ts: str = "ts") -> DataFrame:
+    """Rows of all buckets of a unit (hour or day) that begin in [start, end], by bounds on the bare time column."""
+    if start is None:
+        return events
+    floor = {"hour": dict(minute=0, second=0, microsecond=0), "day": dict(hour=0, minute=0, second=0, microsecond=0)}[unit]
+    low, high = _as_datetime(start).replace(**floor), _as_datetime(end).replace(**floor) + dt.timedelta(**{f"{unit}s": 1})
+    return events.filter((F.col(ts) >= _literal(events, ts, low)) & (F.col(ts) < _literal(events, ts, high)))
+
+
+def hourly_category_rollup(events: DataFrame, start=None, end=None) -> DataFrame:
+    """All buckets, or those that a read of [start, end] needs; the bounds reach the scan."""
+    events = _whole_buckets(events, "hour", start, end)
     return events.groupBy(hour_of(events).alias("bucket"), "ai_category", F.upper("severity").alias("severity")).agg(_count())
 
 
-def daily_machine_rollup(events: DataFrame) -> DataFrame:
+def daily_machine_rollup(events: DataFrame, start=None, end=None) -> DataFrame:
+    """All buckets, or those that a read of [start, end] needs; the bounds reach the scan."""
+    events = _whole_buckets(events, "day", start, end)
     return events.groupBy(
         day_of(events).alias("bucket"), "source", "ai_category", F.upper("severity").alias("severity")
     ).agg(_count(), _mean("confidence_score", "avg_confidence"))

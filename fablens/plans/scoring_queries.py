@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from fablens import constants as C
 from fablens.functions import classify, routing, scoring
-from fablens.operators import joins, rollups
+from fablens.operators import iforest, joins, rollups
 from fablens.plans import bindings as B
 from fablens.plans.registry import query
-from fablens.streaming.jobs import alert_rows, event_rows, scored_events
+from fablens.streaming.jobs import alert_rows, event_rows, normalize_logs, scored_events
 
 
 def keyword_case(text: str) -> str:
@@ -269,6 +269,36 @@ def anomaly_escalation(spark, sf_dir):
     return sure.filter(due).select("event_id", "novelty_score", reason.alias("reason"))
 
 
+_NOVEL_SQL = """novel AS (
+  SELECT *, review OR novelty >= 0.72 AS due FROM (
+    SELECT *, round(least(1.0, floor("value") / 100), 2) AS novelty FROM decided))"""
+
+
+@query("p2_scored_events", B.sql(*SCORED_VIEWS, _NOVEL_SQL, select="""
+SELECT event_id, due AS requires_review, final_category AS category, round(exact_confidence, 8) AS confidence,
+  CASE WHEN due THEN NULL
+    WHEN final_confidence < 0.3 OR (final_category = 'unknown' AND severity = 'ERROR') THEN 'logs.deadletter'
+    WHEN severity = 'CRITICAL' THEN 'logs.p0' WHEN severity = 'ERROR' THEN 'logs.p1' ELSE 'logs.p2' END AS topic
+FROM novel WHERE event_id % 10 <> 3"""))
+def scored_from_records(spark, sf_dir):
+    """Duplicates split off, rules, a given novelty score, review and route in one entry."""
+    events = B.events(spark, sf_dir).withColumns({"novelty_score": _novelty(), "is_duplicate": F.col("event_id") % 10 == 3})
+    scored = normalize_logs(events, B.rules(spark, sf_dir))
+    return scored.select(
+        "event_id", "requires_review", F.col("final_category").alias("category"),
+        F.round("exact_confidence", 8).alias("confidence"), "topic",
+    )
+
+
+@query("k3_forest_escalation")
+def forest_escalation(spark, sf_dir):
+    """The same with the scores of a forest fitted to the events."""
+    events = with_features(B.as_events(B.wide_table(spark, sf_dir, "events")))
+    pool = joins.approved_pool(events, B.jobs(spark, sf_dir))
+    scored = normalize_logs(events, B.rules(spark, sf_dir), pool, iforest.fit_forest(events))
+    return scored.select("event_id", "novelty_score", "review_reason", "topic", F.size("examples").alias("n_examples"))
+
+
 @query("b22_route_decision", B.sql(B.EVENTS_SQL, select="""
 SELECT event_id,
   CASE WHEN requires_review THEN NULL WHEN ai_category = 'unknown' AND severity = 'ERROR' THEN 'logs.deadletter'

@@ -255,6 +255,36 @@ def canonical_record(spark, sf_dir):
     return _canonical(_json_records(spark, sf_dir))
 
 
+_PLAIN_CSV = """FROM ev WHERE event_type <> 'error'"""
+
+
+@query("p1_parse_mixed_files", B.sql(B.EVENTS_SQL, _RECORDS_SQL, select=f"""
+SELECT 'json' AS format, * EXCLUDE n_fields FROM expected
+UNION ALL SELECT 'xml', event_id, 0, TIMESTAMP '{B.AS_OF}', source, 'unknown', lower(severity), message FROM ev WHERE event_type <> 'signup'
+UNION ALL SELECT 'xml', event_id, 1, TIMESTAMP '{B.AS_OF}', 'unknown', 'unknown', 'info', '' FROM ev WHERE event_type <> 'signup'
+UNION ALL SELECT 'csv', event_id, 0, date_trunc('second', ts), source, 'unknown', lower(severity), '' {_PLAIN_CSV}
+UNION ALL SELECT 'csv', event_id, 1, TIMESTAMP '2024-01-01 00:00:00', source, 'unknown', 'info', '' {_PLAIN_CSV}
+UNION ALL SELECT 'csv', event_id, 2, TIMESTAMP '2024-01-02 00:00:00', 'a', 'unknown', 'info', '' {_PLAIN_CSV}
+UNION ALL SELECT 'csv', event_id, 0, TIMESTAMP '{B.AS_OF}', source, 'unknown', 'info', message || ', two' || chr(10) || 'lines "x"'
+  FROM ev WHERE event_type = 'error'
+UNION ALL SELECT 'log', event_id, 0, date_trunc('second', ts), split_part(source, '-', 1), 'unknown', lower(severity),
+  strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || severity || ' ' || source || ' ' || event_type FROM ev"""))
+def parse_mixed_files(spark, sf_dir):
+    """One folder of JSON, XML, CSV and line files through one entry, to canonical records."""
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "severity", "source", "event_type")
+    kinds = [
+        (B.payloads(spark, sf_dir), None), (B.xml_documents(spark, sf_dir), None), (B.csv_documents(spark, sf_dir), "CSV"),
+        (B.events(spark, sf_dir).select("event_id", line.alias("document")), None),
+    ]
+    files = None
+    for documents, hint in kinds:
+        part = documents.withColumn("hint", F.lit(hint).cast("string"))
+        files = part if files is None else files.unionByName(part)
+    parsed = S.parse_logs(files, "document", "hint").filter(F.col("error").isNull())
+    records = standardize.canonical_record(parsed, _as_of())
+    return records.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).select("format", *_RECORD_COLUMNS)
+
+
 @query("c6_alias_rules", B.sql(B.EVENTS_SQL, _RECORDS_SQL, select="""
 SELECT event_id, record_index, x."timestamp", x.source,
   CASE ev.event_type WHEN 'error' THEN 'WARN' WHEN 'view' THEN ev.severity ELSE x.event_type END AS event_type,

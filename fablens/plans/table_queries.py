@@ -221,14 +221,14 @@ def hourly_tool_rollup(spark, sf_dir):
 @query("e8_hourly_analytics", B.sql(B.EVENTS_SQL, select=f"""
 SELECT * FROM ({_BY_HOUR}) WHERE bucket BETWEEN TIMESTAMP '{_START}' AND TIMESTAMP '{_END}' ORDER BY bucket DESC"""))
 def hourly_analytics(spark, sf_dir):
-    return rollups.read_hourly(rollups.hourly_category_rollup(B.events(spark, sf_dir)), _START, _END)
+    return rollups.read_hourly(rollups.hourly_category_rollup(B.events(spark, sf_dir), _START, _END), _START, _END)
 
 
 @query("e9_machine_health", B.sql(B.EVENTS_SQL, select=f"""
 SELECT * FROM ({_BY_DAY}) WHERE source = '{_MACHINE}' AND bucket BETWEEN TIMESTAMP '{_START}' AND TIMESTAMP '{_END}'
 ORDER BY bucket DESC"""))
 def machine_health(spark, sf_dir):
-    return rollups.machine_health(rollups.daily_machine_rollup(B.events(spark, sf_dir)), _MACHINE, _START, _END)
+    return rollups.machine_health(rollups.daily_machine_rollup(B.events(spark, sf_dir), _START, _END), _MACHINE, _START, _END)
 
 
 _STATS_SQL = """stats AS (

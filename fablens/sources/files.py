@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType, StringType, StructField, StructType
 
-from fablens.functions.standardize import computed_once, line_fields
+from fablens.functions.standardize import computed_once, detect_format, line_fields
 from fablens.operators.skew import OrderedGroups, first_per_key
 
 _LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{0085}\x{2028}\x{2029}]"
@@ -405,6 +405,26 @@ def read_line_logs(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.col("line") != "").withColumn("raw_fields", line_fields(F.col("line")))
 
 
+def parse_logs(files: DataFrame, content: str = "content", hint: str | None = None) -> DataFrame:
+    """Records of files of mixed formats: the other columns, format, record_index, raw_fields and error.
+
+    Each file's format comes from the column `hint` or else from its first bytes, and its own parser reads it.
+    """
+    known = F.col(hint) if hint else None
+    rest = [c for c in files.columns if c != content]
+    named = files.withColumn("format", detect_format(F.col(content).cast("binary"), known))
+    named = named.select(*rest, "format", F.col(content).cast("string").alias("_text"))
+    parsers = {"json": parse_json_logs, "xml": parse_xml_logs, "csv": parse_csv_logs}
+    columns = [*rest, "format", "record_index", "raw_fields", "error"]
+    parts = [parse(named.filter(F.col("format") == name), "_text").select(*columns) for name, parse in parsers.items()]
+    lines = parse_line_logs(named.filter(~F.col("format").isin(list(parsers))), "_text")
+    parts.append(lines.withColumns({"record_index": (F.col("line_no") - 1).cast("int"), "error": F.lit(None).cast("string")}).select(*columns))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 # ---- errors and dumps --------------------------------------------------------------------------------------
 
 def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

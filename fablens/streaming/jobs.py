@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fablens import constants as C
 from fablens.functions import routing, scoring
 from fablens.operators import dedup, iforest, rollups, sequences
-from fablens.operators.joins import with_rule
+from fablens.operators.joins import with_examples, with_rule
 from fablens.sources.topics import encode_messages, write_messages
 from fablens.session import scratch_scope, stored
 from fablens.streaming.tables import append_batch, append_if_absent, current_rows, keep_last, read_table
@@ -325,15 +325,19 @@ def run_append(stream: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_N
 # ---- scoring with feedback and a growing model -------------------------------------------------------------
 
 def scored_events(events: DataFrame, rules: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Events with the rules of their source applied: category, confidence, review flag, reason and topic."""
+    """Events with the rules of their source applied: category, confidence, review flag, reason and topic.
+
+    A column novelty_score, if there is one, sends anomalies to review.
+    """
+    novelty = F.col("novelty_score") if "novelty_score" in events.columns else None
     ruled = with_rule(events, rules)
     conflict = F.col("has_rule") & scoring.rule_conflict(F.col("ai_category"), F.col("rule_category"))
     confidence = scoring.combined_confidence(
         F.col("confidence_score"), F.col("source"), F.col("event_type"), F.col("message"), F.col("ai_category"),
         F.col("has_rule"), F.col("rule_category"), F.col("rule_boost"),
     )
-    scored = ruled.withColumns({"exact_confidence": confidence, "review_reason": scoring.review_reason(conflict)})
-    due = scoring.requires_review(F.col("exact_confidence"), F.col("review_reason"), threshold=threshold)
+    scored = ruled.withColumns({"exact_confidence": confidence, "review_reason": scoring.review_reason(conflict, novelty)})
+    due = scoring.requires_review(F.col("exact_confidence"), F.col("review_reason"), novelty, threshold=threshold)
     return scored.withColumns({
         "requires_review": due,
         "final_category": F.coalesce(F.nullif("rule_category", F.lit("")), F.col("ai_category")),
@@ -344,6 +348,23 @@ def scored_events(events: DataFrame, rules: DataFrame, threshold: float = C.CONF
     ))
 
 
+def normalize_logs(
+    events: DataFrame, rules: DataFrame, pool: DataFrame | None = None, forest: DataFrame | None = None,
+    features: str = "features", keep_duplicates: bool = False,
+) -> DataFrame:
+    """From classified events to scored and routed ones.
+
+    Events of duplicate files are left out if they carry `is_duplicate`; rules, novelty under `forest` and review decide
+    the topic; with an approved `pool` each event gets the examples of its category.
+    """
+    if "is_duplicate" in events.columns and not keep_duplicates:
+        events = dedup.split_duplicates(events)
+    if forest is not None:
+        events = events.withColumn("novelty_score", iforest.novelty(forest, F.col(features)))
+    scored = scored_events(events, rules)
+    return scored if pool is None else with_examples(scored, pool, "final_category")
+
+
 def run_scoring(
     events: DataFrame, rules: Callable[[SparkSession], DataFrame], out: str, checkpoint: str, trigger=AVAILABLE_NOW
 ) -> StreamingQuery:

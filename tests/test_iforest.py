@@ -53,3 +53,24 @@ def test_identical_rows_score_the_same(spark):
 
 def test_refit_schedule():
     assert [iforest.refits_due(n) for n in (49, 50, 59, 60, 79, 80, 100)] == [0, 1, 1, 2, 2, 3, 4]
+
+
+def test_forest_scores_send_events_to_review(spark, sf_dir):
+    """What the forest calls an anomaly goes to review with its reason, and nothing else changes."""
+    from fablens.plans import scoring_queries
+
+    got = scoring_queries.forest_escalation(spark, sf_dir).collect()
+    base = {r["event_id"]: r["topic"] for r in scoring_queries.route(spark, sf_dir).collect()}
+    assert len(got) == len(base)
+    for row in got:
+        anomaly = row["novelty_score"] >= 0.72
+        assert ("anomaly" in (row["review_reason"] or "")) == anomaly
+        assert row["topic"] == (None if anomaly else base[row["event_id"]])
+
+
+def test_rollup_reads_push_their_bounds_down(spark, sf_dir):
+    from fablens.plans import table_queries
+
+    for build in (table_queries.hourly_analytics, table_queries.machine_health):
+        plan = build(spark, sf_dir)._jdf.queryExecution().toString()
+        assert "PushedFilters: [" in plan and "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
