@@ -1,7 +1,8 @@
 """Isolation forest (Liu, Ting and Zhou, 2008): fit on small seeded samples, score in vectorised batches.
 
-Fitting needs 256 rows per tree, whatever the size of the data. Each row draws, by a seeded hash, the few trees
-it is a candidate for; of each tree's candidates the 256 with the smallest hash are kept. A tree is built from
+Fitting needs 256 rows per tree, whatever the size of the data. Each row has one seeded hash for every ten trees; those ten
+read it from starting points a tenth of its range apart, so that their samples are drawn without replacement. Of each
+tree's candidates the 256 with the smallest draw are kept. A tree is built from
 its 256 rows in one Python call, trees run in parallel. The model, at most 511 nodes per tree, is a small table
 that is sent to the scoring tasks.
 """
@@ -23,6 +24,9 @@ NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int,
 _EULER_GAMMA = 0.5772156649015329
 # Candidates per tree, as a multiple of the sample size: far above the spread of a binomial draw.
 _OVERSAMPLING = 1.5
+# Draws are below _RANGE; the trees that share a hash read it _STEP apart.
+_TREES_PER_HASH, _RANGE = 10, 1 << 32
+_STEP = _RANGE // _TREES_PER_HASH
 
 
 def _mean_path(size: np.ndarray | float) -> np.ndarray:
@@ -43,14 +47,22 @@ def tree_samples(
     the result is the sample of all rows, so a growing data set need not be read again.
     """
     fraction = min(1.0, _OVERSAMPLING * sample / max(rows, 1))
-    limit = math.ceil(fraction * 2**31)
-    draw = lambda row, tree: F.pmod(F.xxhash64(row, tree, F.lit(seed)), F.lit(2**31))
-    candidates = df.select(
-        F.col(row_id).alias("row_id"), F.col(features).alias("features"),
-        F.explode(F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(F.col(row_id), t) < limit
-        )).alias("tree"),
-    ).withColumn("draw", draw(F.col("row_id"), F.col("tree")))
+    limit = math.ceil(fraction * _RANGE)
+    hashes = [
+        F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(f"{group}|{seed}"))), 1, 8), 16, 10).cast("long")
+        for group in range(math.ceil(trees / _TREES_PER_HASH))
+    ]
+
+    def drawn(value: Column, group: Column) -> Column:
+        places = F.sequence(F.lit(0), F.lit(_TREES_PER_HASH - 1))
+        draws = F.transform(places, lambda k: F.struct(
+            (group * _TREES_PER_HASH + k).alias("tree"), ((value + k.cast("long") * _STEP) % _RANGE).alias("draw")
+        ))
+        return F.filter(draws, lambda d: (d["draw"] < limit) & (d["tree"] < trees))
+
+    # The hashes are a column of their own, so that none is worked out again for each tree.
+    hashed = df.select(F.col(row_id).alias("row_id"), F.col(features).alias("features"), F.array(*hashes).alias("_hashes"))
+    candidates = hashed.select("row_id", "features", F.inline(F.flatten(F.transform("_hashes", drawn))))
     if earlier is not None:
         candidates = candidates.unionByName(earlier.select("row_id", "features", "tree", "draw"))
     # A fixed number of tasks: the rows are few, but growing a tree takes time.

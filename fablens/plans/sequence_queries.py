@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fablens import constants as C
 from fablens.operators import dedup, iforest, listings, sequences
 from fablens.plans import bindings as B
 from fablens.plans.registry import query
@@ -231,6 +232,58 @@ def forest_fit(spark, sf_dir):
     return iforest.fit_forest(with_features(B.events(spark, sf_dir)))
 
 
+@query("k1_tree_samples", B.sql(B.EVENTS_SQL, select="""
+SELECT tree, event_id AS row_id, draw FROM (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY draw, event_id) AS n FROM (
+    SELECT event_id, g * 10 + k AS tree,
+      (CAST('0x' || substr(md5(event_id || '|' || g || '|42'), 1, 8) AS BIGINT) + k * 429496729) % 4294967296 AS draw
+    FROM ev, (SELECT unnest(range(10)) AS g), (SELECT unnest(range(10)) AS k)))
+WHERE n <= 256"""))
+def tree_samples(spark, sf_dir):
+    """The rows each tree is grown on."""
+    rows = with_features(B.events(spark, sf_dir))
+    drawn = iforest.tree_samples(rows, "event_id", "features", rows.count())
+    return drawn.select(F.col("tree").cast("long").alias("tree"), "row_id", "draw")
+
+
+@query("k1_forest_shape", "SELECT 100::BIGINT AS trees, least(256, count(*)) AS root_size, true AS shallow FROM events")
+def forest_shape(spark, sf_dir):
+    nodes = iforest.fit_forest(with_features(B.events(spark, sf_dir)))
+    return nodes.agg(
+        F.countDistinct("tree").alias("trees"), F.min(F.when(F.col("node") == 0, F.col("size"))).cast("long").alias("root_size"),
+        (F.max("depth") <= 8).alias("shallow"),
+    )
+
+
+def _mean_path_sql(size: int) -> str:
+    return f"{float(iforest._mean_path(size))!r}::DOUBLE"
+
+
+# Two literal trees over a sample of eight rows: node, feature, cut, left, right, size, depth.
+_LITERAL_FOREST = [
+    (0, 0, 0, 1.5, 1, 2, 8, 0), (0, 1, -1, 0.0, -1, -1, 3, 1), (0, 2, -1, 0.0, -1, -1, 5, 1),
+    (1, 0, 1, 0.5, 1, 2, 8, 0), (1, 1, -1, 0.0, -1, -1, 4, 1), (1, 2, 5, 0.09, 3, 4, 4, 1),
+    (1, 3, -1, 0.0, -1, -1, 1, 2), (1, 4, -1, 0.0, -1, -1, 3, 2),
+]
+
+
+@query("k2_literal_forest", B.sql(B.EVENTS_SQL, select=f"""
+SELECT event_id, round(power(2.0, -(a + b) / 2 / {_mean_path_sql(8)}), 4) AS novelty_score FROM (
+  SELECT event_id,
+    CASE WHEN CASE severity WHEN 'CRITICAL' THEN {C.SEVERITY_CODES['critical']} WHEN 'ERROR' THEN {C.SEVERITY_CODES['error']}
+      WHEN 'WARNING' THEN {C.SEVERITY_CODES['warning']} ELSE {C.SEVERITY_CODES['info']} END <= 1.5
+      THEN 1 + {_mean_path_sql(3)} ELSE 1 + {_mean_path_sql(5)} END AS a,
+    CASE WHEN confidence_score <= 0.5 THEN 1 + {_mean_path_sql(4)}
+      WHEN least(length(message) / 500.0, 1.0) <= 0.09 THEN 2 + {_mean_path_sql(1)} ELSE 2 + {_mean_path_sql(3)} END AS b
+  FROM ev)"""))
+def literal_forest(spark, sf_dir):
+    """Path lengths and scores under a small forest that SQL can follow as well."""
+    names = iforest.NODE_SCHEMA
+    forest = spark.createDataFrame([(*node, 8) for node in _LITERAL_FOREST], names)
+    rows = with_features(B.as_events(B.wide_table(spark, sf_dir, "events")))
+    return rows.select("event_id", iforest.novelty(forest, F.col("features")).alias("novelty_score"))
+
+
 @query("k2_forest_score")
 def forest_score(spark, sf_dir):
     rows = with_features(B.as_events(B.wide_table(spark, sf_dir, "events")))

@@ -331,3 +331,15 @@ def streaming_novelty(spark, sf_dir):
     return read_table(spark, f"{out}/scores").select("event_id", "novelty_score", "epoch")
 
 
+@query("k4_refit_epochs", """
+SELECT count(*) AS events, CASE WHEN count(*) < 50 THEN 0 ELSE count(*) // 20 - 50 // 20 + 1 END AS epoch,
+  count(*) AS seen, CAST(100 * least(256, count(*)) AS BIGINT) AS sampled FROM events""")
+def refit_epochs(spark, sf_dir):
+    """The model a stream ends with, and the state that is kept: the rows seen and the trees' samples."""
+    out = scratch_path(spark, "epochs")
+    stream = with_features(B.as_events(B.stream(spark, sf_dir, "events"))).select("event_id", "features")
+    _finished(jobs.run_novelty(stream, out, f"{out}/checkpoint"))
+    scores = read_table(spark, f"{out}/scores").agg(F.count(F.lit(1)).alias("events"), F.max("epoch").alias("epoch"))
+    seen = read_table(spark, f"{out}/seen").agg(F.max("rows").alias("seen"))
+    sampled = read_table(spark, f"{out}/samples").agg(F.count(F.lit(1)).alias("sampled"))
+    return scores.join(F.broadcast(seen)).join(F.broadcast(sampled))
