@@ -8,10 +8,15 @@ text. All documents of a batch take their steps together. The permutations are (
 Documents with equal sets are one class, found by a digest of the set; everything below works on classes.
 
 Banding: ROWS registers make a band; the number of bands follows from the threshold, so that a linked pair shares no band
-with a chance below MISS. Within a bucket not all pairs are compared: each class is compared with the bucket's pivot, its
-smallest class, on the full sets. Then the links are grouped. Buckets in which two classes that were not pivots still lie
-in different groups get further pivots, some of them at a time, until there is none left. So every pair that shares a
-bucket is either compared or grouped already, and a bucket costs a few comparisons per class, whatever its size.
+with a chance below MISS. Within a bucket not all pairs are compared: each class is compared with the bucket's pivot, on
+the full sets. The pivot is the class that shares most buckets with others, so in a cloud of copies that of the common
+original. Then the links are grouped.
+
+What is left are buckets whose classes lie in several groups. Among their classes, linked pairs are found exactly by a
+prefix filter: tokens are ordered from rare to frequent (by counts in a fixed number of hash buckets; any order is right),
+and two sets can only reach the threshold if they share a token so early in both orders that enough tokens follow. What
+makes a copy too different from its original are rare tokens, so these pairs are few. They are compared on the full sets
+too. So every pair that shares a bucket is compared, grouped already, or ruled out by the bound.
 
 Scale: texts are read once for signatures; only texts of classes that share a bucket travel. A pivot with very many
 classes is dealt out over salts, and holds one set per task. No group of copies is gathered.
@@ -41,8 +46,8 @@ from fablens.session import stored
 REGISTERS = 128
 ROWS = 4
 MISS = 1e-7
-PIVOTS = 32
 CLASSES_PER_SALT = 2048
+TOKEN_BUCKETS_BITS = 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FRACTION_BITS = 48
 
@@ -141,6 +146,74 @@ def _compare(size: int, percent: int):
     return run
 
 
+def _token_counts(size: int):
+    """Texts of a task -> (bucket, n): how many sets have a token in each hash bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << TOKEN_BUCKETS_BITS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(total, _bucket(shingles(text.as_py(), size)), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+
+    return run
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - TOKEN_BUCKETS_BITS)).astype(np.int64)
+
+
+def _prefixes(shared, size: int, percent: int):
+    """Rows (node, root, text) -> the rarest tokens of each: (token, place, n, node, root).
+
+    A partner shares at least percent/100 of this set's n tokens, so one token among the first n - that + 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in (b.slice(first, 256) for b in batches for first in range(0, b.num_rows, 256)):
+            tokens, places, sizes, nodes, roots = [], [], [], [], []
+            for node, root, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = shingles(text, size)
+                length = len(own) - -(-percent * len(own) // 100) + 1
+                tokens.append(own[np.lexsort((own, counts[_bucket(own)]))[:length]])
+                places.append(np.arange(len(tokens[-1])))
+                sizes.append(np.full(len(tokens[-1]), len(own)))
+                nodes += [node] * len(tokens[-1])
+                roots += [root] * len(tokens[-1])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes)),
+                pa.array(nodes, pa.binary()), pa.array(roots, pa.binary()),
+            ], names=["token", "place", "n", "node", "root"])
+
+    return run
+
+
+def _pairs_across(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(pivot, other): all pairs of classes in `left` (node, root) with different roots that may reach the threshold."""
+    own = texts.join(broadcast_if_small(left), "node").select("node", "root", "text")
+    counts = np.zeros(1 << TOKEN_BUCKETS_BITS, dtype=np.int32)
+    summed = own.select("text").mapInArrow(_token_counts(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[summed.column("bucket").to_numpy()] = np.minimum(summed.column("n").to_numpy(), np.iinfo(np.int32).max)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    rows = own.mapInArrow(_prefixes(shared, size, percent), "token long, place long, n long, node binary, root binary")
+    rows = stored(rows, "prefixes")
+    # Of the groups that meet at a token, the largest is compared with the others, and those with each other.
+    per_root = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("members"))
+    meeting = per_root.groupBy("token").agg(
+        F.max_by("root", F.struct("members", "root")).alias("main"), F.count(F.lit(1)).alias("groups")
+    ).filter(F.col("groups") > 1).select("token", "main")
+    met = stored(rows.join(meeting, "token"), "meetings")
+    side = lambda name: met.select("token", *[F.col(c).alias(f"{c}_{name}") for c in ("place", "n", "node", "root", "main")])
+    few, every = side("a").filter(F.col("root_a") != F.col("main_a")).drop("main_a"), side("b")
+    needed = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    reachable = (F.col("place_a") + needed <= F.col("n_a")) & (F.col("place_b") + needed <= F.col("n_b"))
+    once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
+    found = few.join(every, (few["token"] == every["token"]) & (F.col("root_a") != F.col("root_b")) & once & reachable)
+    return found.select(F.col("node_a").alias("pivot"), F.col("node_b").alias("other")).distinct()
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links among `pairs` (pivot, other), by full sets: (a, b). `texts` has node and text."""
     load = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CLASSES_PER_SALT).alias("salts"))
@@ -176,11 +249,14 @@ def near_groups(
     rows = stored(described, "signatures")
 
     in_bands = rows.select(F.explode("keys").alias("key"), "node")
-    buckets = in_bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter(F.col("pivot") != F.col("last"))
-    buckets = broadcast_if_small(stored(buckets.select("key", "pivot"), "buckets"))
-    members = stored(in_bands.join(buckets, "key").select("key", "node", "pivot").distinct(), "members")
-
-    involved = members.select("node").distinct()
+    buckets = in_bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
+    buckets = stored(buckets.filter(F.col("low") != F.col("high")).select("key", "n"), "buckets")
+    members = stored(in_bands.join(broadcast_if_small(buckets), "key").select("key", "node", "n").distinct(), "members")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    pivots = members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("pivot"))
+    members = stored(members.join(pivots, "key").filter(F.col("node") != F.col("pivot")).select("key", "node", "pivot"), "members")
+
+    involved = members.select("node").unionByName(members.select(F.col("pivot").alias("node"))).distinct()
     speaker = F.min(F.struct("doc_id", "print"))
     speakers = rows.join(involved, "node", "left_semi").groupBy("node").agg(speaker.alias("s"))
     speakers = stored(speakers.select("node", F.col("s.doc_id").alias("s_id"), F.col("s.print").alias("s_print")), "speakers")
@@ -189,38 +265,19 @@ def near_groups(
     # Repeated rows have the same text; one of them speaks for the class.
     texts = stored(texts.select("node", "text"), "texts").dropDuplicates(["node"])
 
-    pairs = members.filter(F.col("node") != F.col("pivot")).select("pivot", F.col("node").alias("other")).distinct()
-    pairs = stored(pairs, "pairs")
+    pairs = stored(members.select("pivot", F.col("node").alias("other")).distinct(), "pairs")
     links = stored(_verify(pairs, texts, shingle_words, percent), "links")
     groups = components(links)
-    waiting = members.filter(F.col("node") != F.col("pivot")).select("key", "node")
-    tested = pairs
-    turn = 0
-    while True:
-        turn += 1
-        placed = waiting.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.min("node").alias("first")
-        ).filter(F.col("low") != F.col("high")).select("key", "n", "first")
-        # Some PIVOTS members of each bucket, drawn by a hash, and at least its smallest.
-        draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) * F.col("n") < F.lit(PIVOTS << 30)
-        placed = placed.join(mixed, "key").select("key", "node", "root", ((F.col("n") <= PIVOTS) | draw | (F.col("node") == F.col("first"))).alias("drawn"))
-        placed = stored(placed, "waiting")
-        if not placed.take(1):
-            break
-        pivots = placed.filter("drawn").select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-        others = placed.select("key", F.col("node").alias("other"), "root", "drawn")
-        # A pair of two pivots is compared once, with the smaller one as the pivot.
-        once = ~F.col("drawn") | (F.col("pivot") < F.col("other"))
-        fresh = pivots.join(others, "key").filter((F.col("pivot_root") != F.col("root")) & once).select("pivot", "other").distinct()
-        done = tested.unionByName(tested.select(F.col("other").alias("pivot"), F.col("pivot").alias("other")))
-        pairs = stored(fresh.join(done, ["pivot", "other"], "left_anti"), "pairs")
+    # Classes that were not pivots where classes of another group were not either.
+    placed = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = stored(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high"))
+    left = stored(placed.join(mixed.select("key"), "key", "left_semi").select("node", "root").distinct(), "left")
+    if left.take(1):
+        pairs = stored(_pairs_across(left, texts, shingle_words, percent), "pairs")
         found = stored(_verify(pairs, texts, shingle_words, percent), "links")
         if found.take(1):
-            links = links.unionByName(found)
-            groups = components(links)
-        tested = tested.unionByName(pairs)
-        waiting = placed.filter("not drawn").select("key", "node")
+            groups = components(links.unionByName(found))
 
     classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")

@@ -379,12 +379,29 @@ def test_chains_of_near_copies(spark, monkeypatch):
         for _ in range(3):
             words[rng.randrange(200)] = f"n{rng.randrange(10_000)}"
     documents = frame(spark, rows).repartition(4)
-    monkeypatch.setattr(near_dedup, "PIVOTS", 4)
     monkeypatch.setattr(near_dedup, "CLASSES_PER_SALT", 3)
     got = near_dedup.near_groups(documents, shingle_words=3, percent=85)
     same(got.select("doc_id", "n_shingles", "component_id", "kept").collect(), near_brute(rows, 3, 85))
 
 
+@pytest.mark.parametrize("changes", [(6, 14), (3, 30)])
+def test_clouds_of_near_copies(spark, changes):
+    """Copies with about as many changes as the threshold allows, and copies of copies, of texts of several lengths."""
+    rng, rows = random.Random(sum(changes)), []
+    for cloud in range(3):
+        words = prose(70 + cloud, 120 + 90 * cloud, 10_000).split()
+        made = [words]
+        for i in range(60):
+            copy = list(made[0] if rng.random() < 0.7 else rng.choice(made))
+            for _ in range(rng.randrange(*changes) // (1 + (copy is not made[0]) * 2)):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(100_000)}"
+            made.append(copy[:len(copy) - rng.randrange(4)])
+        rows += [(1000 * cloud + i, " ".join(m)) for i, m in enumerate(made)]
+    rng.shuffle(rows)
+    got = near_dedup.near_groups(frame(spark, rows).repartition(4), shingle_words=3, percent=85)
+    same(got.select("doc_id", "n_shingles", "component_id", "kept").collect(), near_brute(rows, 3, 85))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     errors = []
