@@ -162,6 +162,18 @@ def raw_view(spark, sf_dir):
     )
 
 
+@query("a14_raw_view_cut", """
+SELECT doc_id, length(h) > 200 AS truncated, CASE WHEN substr(h, 201, 1) IN ('8', '9', 'A', 'B') THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+  substr(h, 1, 200) AS content_hex
+FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents)""")
+def raw_view_cut(spark, sf_dir):
+    """The content of cut texts: of 100 bytes, some of which end inside a character."""
+    docs = B.table(spark, sf_dir, "documents")
+    view = docs.select("doc_id", text.raw_view(F.col("text").cast("binary"), limit=100).alias("v"))
+    given = F.when(F.col("v.encoding") == "utf-8", F.encode("v.content", "UTF-8")).otherwise(F.encode("v.content", "ISO-8859-1"))
+    return view.select("doc_id", "v.truncated", "v.encoding", F.hex(given).alias("content_hex"))
+
+
 @query("a15_csv_export", B.sql(B.EVENTS_SQL, select="""
 SELECT ai_category, upper(severity) AS severity, CAST(count(*) AS VARCHAR) AS event_count
 FROM ev GROUP BY 1, 2"""))
