@@ -106,6 +106,17 @@ def numeric_runs(spark, sf_dir):
     return sequences.numeric_runs(B.events(spark, sf_dir), 3)
 
 
+_NO_MACHINE_SQL = f"""{B.EVENTS_SQL.replace('ev AS (', 'given AS (', 1)},
+ev AS (SELECT * EXCLUDE source, CASE WHEN event_id % 5 <> 0 THEN source END AS source FROM given)"""
+
+
+@query("f4_null_machines", B.sql(_NO_MACHINE_SQL, _RUNS_SQL, select="SELECT * FROM runs WHERE n_events >= 3"))
+def null_machines(spark, sf_dir):
+    """A fifth of the events without a machine, in the split form for hot machines."""
+    events = B.events(spark, sf_dir).withColumn("source", F.when(F.col("event_id") % 5 != 0, F.col("source")))
+    return sequences.numeric_runs(events, 3, max_group_rows=100)
+
+
 _ESCALATIONS_SQL = """esc AS (
   SELECT source, ts, event_id, severity, prev_severity, code - lag_code AS levels FROM (
     SELECT *, lag(severity) OVER w AS prev_severity, lag(code) OVER w AS lag_code FROM (

@@ -81,6 +81,17 @@ def json_records(spark, sf_dir):
     return parsed.select("event_id", _index(), n_fields.alias("n_fields"), "error")
 
 
+@query("a4_deep_records", B.sql(B.EVENTS_SQL, select="""
+SELECT event_id, repeat('k_', CAST(event_id % 40 AS INT)) || 'k' AS key, source AS value FROM ev"""))
+def deep_records(spark, sf_dir):
+    """Records nested up to forty levels deep."""
+    levels = (F.col("event_id") % 40 + 1).cast("int")
+    document = F.concat(F.repeat(F.lit('{"k":'), levels), F.lit('"'), F.col("source"), F.lit('"'), F.repeat(F.lit("}"), levels))
+    documents = B.events(spark, sf_dir).withColumn("document", document).select("event_id", "document")
+    parsed = S.parse_json_logs(documents, "document").filter(F.col("error").isNull())
+    return parsed.select("event_id", F.explode("raw_fields").alias("key", "value"))
+
+
 _XML_FIELDS = ["zone", "source", "severity", "message", "reading", "reading_unit", "fault_code", "vendor"]
 
 
