@@ -44,14 +44,15 @@ def drop_common_lines(
     rows = documents.select(F.col(id_column).alias("doc_id"), text.alias("text"))
     keys = rows.select("doc_id", F.xxhash64("text").alias("print"), _line_keys(F.col("text"), min_chars).alias("keys"))
 
+    # The outer forms, as the optimizer would put a filter on the array's size below the others and work out all keys twice.
     common = (
-        keys.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).filter(F.col("key").isNotNull())
+        keys.select("doc_id", F.explode_outer(F.array_distinct("keys")).alias("key")).filter(F.col("key").isNotNull())
         .groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n") >= min_documents).select("key", "keeper")
     )
     common = broadcast_if_small(stored(common, "common-lines"))
     found = (
-        keys.select("doc_id", "print", F.posexplode("keys").alias("pos", "key")).filter(F.col("key").isNotNull())
+        keys.select("doc_id", "print", F.posexplode_outer("keys").alias("pos", "key")).filter(F.col("key").isNotNull())
         .join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
         .select(F.col("doc_id").alias("id"), F.col("print").alias("id_print"), "gone")
