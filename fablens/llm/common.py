@@ -101,23 +101,35 @@ PLAIN_WORDS = delimiter_table(bytes(c for c in range(128) if not chr(c).isalnum(
 def word_hashes(data: bytes, prefixes: tuple[int, ...] = (), limit: int = 1 << 20) -> np.ndarray:
     """64-bit hashes of the space-separated words of `data`, in order.
 
-    Polynomial prefix sums over pieces of about `limit` bytes, cut at spaces, so memory is bounded whatever the length;
-    a word that is longer than a piece makes that piece longer. With `prefixes`, hashes of the words' beginnings of so many
-    bytes follow those of each piece, for words that are longer than that.
+    Polynomial prefix sums over pieces of about `limit` bytes, cut at spaces, so memory is bounded whatever the length. With
+    `prefixes`, hashes of the words' beginnings of so many bytes follow those of each piece, for words longer than that.
     """
-    if len(data) <= limit:
-        return _piece_hashes(data, prefixes)
     found, start = [], 0
     while start < len(data):
         end = start + limit
         if end < len(data):
             cut = data.rfind(b" ", start, end)
             if cut < 0:
-                cut = data.find(b" ", end)
-            end = len(data) if cut < 0 else cut + 1
+                stop = data.find(b" ", end)
+                stop = len(data) if stop < 0 else stop
+                found.append(_long_word(data[start:stop], prefixes, limit))
+                start = stop
+                continue
+            end = cut + 1
         found.append(_piece_hashes(data[start:end], prefixes))
         start = end
-    return np.concatenate(found)
+    return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+
+
+def _long_word(word: bytes, prefixes: tuple[int, ...], limit: int) -> np.ndarray:
+    """The same hashes for a word that is longer than a piece, summed up part by part."""
+    value = 0
+    for at in range(0, len(word), limit):
+        letters = np.frombuffer(word[at:at + limit], dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        part = int((letters * _power("up", _BASE, len(letters))).sum(dtype=np.uint64))
+        value = (value + part * pow(int(_BASE), at, 1 << 64)) % (1 << 64)
+    whole = mix(np.array([(value + len(word)) % (1 << 64)], dtype=np.uint64))
+    return np.concatenate([whole, *[_piece_hashes(word[:k + 1], (k,))[1:] for k in prefixes]])
 
 
 def _piece_hashes(data: bytes, prefixes: tuple[int, ...]) -> np.ndarray:
@@ -142,6 +154,17 @@ def _piece_hashes(data: bytes, prefixes: tuple[int, ...]) -> np.ndarray:
     return np.concatenate(found)
 
 
+def portions(batch, size: int, rows: int = 128):
+    """Slices of an Arrow batch of at most `rows` rows and about `size` bytes (a longer row is a slice of its own)."""
+    start = 0
+    while start < batch.num_rows:
+        count = min(rows, batch.num_rows - start)
+        while count > 1 and batch.slice(start, count).nbytes > size:
+            count = (count + 1) // 2
+        yield batch.slice(start, count)
+        start += count
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of `size` words; a shorter text is one shingle, an empty one has none."""
     if not len(words):

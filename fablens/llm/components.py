@@ -1,13 +1,14 @@
 """Connected components of a graph given as a table of edges, without gathering the graph anywhere.
 
-Each task first contracts its own edges with a union-find. What is left is contracted by alternating large-star and
-small-star steps: in turn, every node hands its larger (then its smaller) neighbours over to the smallest node it knows.
+Each task first contracts its own edges, at most about EDGES_PER_FOREST, with a union-find. If all edges fit into one such
+task, that is the result. Otherwise what is left is contracted by alternating large-star and small-star steps: in turn, every node hands its larger (then its smaller) neighbours over to the smallest node it knows.
 Both are an aggregate and a join on one endpoint; a node with very many edges is a skewed join, which adaptive execution
 splits. The number of edges never grows, and the steps end when nothing changes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fablens.session import stored
 
-_EDGES_PER_FOREST = 1 << 20
+EDGES_PER_FOREST = 1 << 19
 
 
 class UnionFind:
@@ -54,9 +55,6 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found.join(a, b)
-        if len(found.parent) > _EDGES_PER_FOREST:
-            yield flush()
-            found = UnionFind()
     yield flush()
 
 
@@ -79,9 +77,16 @@ def _print(edges: DataFrame):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """One row per node that has an edge and is not its component's smallest: node, root. `edges`: (a, b), binary."""
-    contracted = edges.select("a", "b").filter(F.col("a") != F.col("b")).mapInArrow(_contract, "a binary, b binary")
-    now = stored(contracted.distinct(), "edges")
+    """One row per node that has an edge and is not its component's smallest: node, root.
+
+    `edges` is (a, b), binary; they are counted and read again, so pass stored ones.
+    """
+    tasks = math.ceil(edges.count() / EDGES_PER_FOREST)
+    own = edges.select("a", "b").filter(F.col("a") != F.col("b"))
+    dealt = own.coalesce(1) if tasks <= 1 else own.repartition(tasks, "a", "b")
+    now = stored(dealt.mapInArrow(_contract, "a binary, b binary").distinct(), "edges")
+    if tasks <= 1:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = _print(now)
     while True:
         now = stored(_stars(_stars(now, large=True), large=False), "edges")

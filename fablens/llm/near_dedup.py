@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fablens.llm.common import (
-    SPACE_WORDS, broadcast_if_small, mix, one_of_each, shingle_hashes, text_print, without, word_hashes,
+    SPACE_WORDS, broadcast_if_small, mix, one_of_each, portions, shingle_hashes, text_print, without, word_hashes,
 )
 from fablens.llm.components import components
 from fablens.session import stored
@@ -47,6 +47,8 @@ REGISTERS = 128
 ROWS = 4
 MISS = 1e-7
 CLASSES_PER_SALT = 2048
+# Text that one step of a task works on.
+PORTION_BYTES = 1 << 20
 TOKEN_BUCKETS_BITS = 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FRACTION_BITS = 48
@@ -101,8 +103,7 @@ def _describe(size: int, bands: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                part = batch.slice(first, 128)
+            for part in portions(batch, PORTION_BYTES):
                 sets = [shingles(t.as_py(), size) for t in part.column(2)]
                 keys = band_keys(signatures(sets), bands).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
@@ -119,7 +120,7 @@ def _compare(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, own = None, None
-        for batch in (b.slice(first, 256) for b in batches for first in range(0, b.num_rows, 256)):
+        for batch in (p for b in batches for p in portions(b, PORTION_BYTES)):
             pivots, others, linked = [], [], []
             for pivot, salt, other, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if other is None:
@@ -172,7 +173,7 @@ def _prefixes(shared, size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        for batch in (b.slice(first, 256) for b in batches for first in range(0, b.num_rows, 256)):
+        for batch in (p for b in batches for p in portions(b, PORTION_BYTES)):
             tokens, places, sizes, nodes, roots = [], [], [], [], []
             for node, root, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = shingles(text, size)
@@ -277,7 +278,8 @@ def near_groups(
         pairs = stored(_pairs_across(left, texts, shingle_words, percent), "pairs")
         found = stored(_verify(pairs, texts, shingle_words, percent), "links")
         if found.take(1):
-            groups = components(links.unionByName(found))
+            known = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            groups = components(known.unionByName(found))
 
     classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")

@@ -430,7 +430,9 @@ def test_drop_near_copies(documents, rows):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [1 << 19, 40])
+def test_components(spark, monkeypatch, per_task):
+    monkeypatch.setattr("fablens.llm.components.EDGES_PER_FOREST", per_task)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(300 + i, 301 + i) for i in range(150)]
     name = lambda i: f"{i:05d}".encode()
@@ -637,5 +639,7 @@ def test_word_hashes_in_pieces():
         assert (word_hashes(data, limit=256) == whole).all()
         split = data.split()
         assert len(set(split)) == len(np.unique(whole))
+        both = word_hashes(data, prefixes=(4, 6))
+        assert (np.sort(word_hashes(data, prefixes=(4, 6), limit=256)) == np.sort(both)).all()
         starts = word_hashes(data, prefixes=(4,))[len(whole):]
         assert len(np.unique(starts)) == len({w[:4] for w in split if len(w) > 4})
