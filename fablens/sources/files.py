@@ -198,9 +198,7 @@ def parse_json_logs(df: DataFrame, text: str) -> DataFrame:
     )
     braced = begins(doc, "{") | begins(doc, "[")
     long_number = F.regexp_like(doc, F.lit(r"\d{38}"))
-    # Repeated keys inside a list show only when its items are read.
-    broken = F.exists("_items", lambda e: F.ltrim(e).startswith("{") & F.from_json(e, "MAP<STRING,VARIANT>").isNull())
-    hard = braced & (F.col("_items").isNull() | long_number | F.coalesce(broken, F.lit(False)))
+    hard = braced & (F.col("_items").isNull() | long_number)
     nothing = F.lit(None)
     read = F.transform("_read", lambda r: F.struct(nothing.cast("string").alias("item"), r["fields"].alias("fields"), r["error"].alias("error")))
     plain = F.transform("_items", lambda i: F.struct(i.alias("item"), nothing.cast("map<string,string>").alias("fields"), nothing.cast("string").alias("error")))
@@ -221,8 +219,8 @@ def parse_json_logs(df: DataFrame, text: str) -> DataFrame:
     nested = lambda entries: F.exists(entries, lambda e: _is_object(e["value"]))
     error = (
         F.when(F.col("_bad"), "document is not valid JSON").when(F.col("_one.error").isNotNull(), F.col("_one.error"))
+        .when(F.col("_deep"), F.when(F.col("_deep_fields").isNull(), "item is not valid JSON"))
         .when(F.col("_one.fields").isNull() & F.col("_record").isNull(), "item is not a JSON object")
-        .when(F.col("_deep") & F.col("_deep_fields").isNull(), "item is not valid JSON")
     )
     fields = (
         F.when(F.col("_one.fields").isNotNull(), F.col("_one.fields")).when(F.col("_deep"), F.col("_deep_fields"))
@@ -232,7 +230,8 @@ def parse_json_logs(df: DataFrame, text: str) -> DataFrame:
     return (
         parsed.withColumn("_record", as_object(F.col("_one.item")))
         .withColumn("_flat", flatten_entries(F.map_entries("_record"), _NATIVE_LEVELS))
-        .withColumn("_deep", F.coalesce(nested("_flat"), F.lit(False)))
+        # Objects that are still nested, or whose repeated keys the expression does not read.
+        .withColumn("_deep", F.coalesce(nested("_flat"), F.col("_record").isNull() & begins(F.col("_one.item"), "{"), F.lit(False)))
         .withColumn("_deep_fields", _flat_record_udf(F.when(F.col("_deep"), F.col("_one.item"))))
         .withColumn("_entries", _text_entries(F.col("_flat")))
         .withColumn("error", error)
