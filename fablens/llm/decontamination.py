@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fablens.llm.common import PLAIN_WORDS, text_print, without, word_hashes
 from fablens.session import stored
 
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 BLOCK_WORDS = 1 << 20
 MAX_VOCABULARY = 1 << 21
 GAP = 64
@@ -252,7 +252,8 @@ def _search(block, near_span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = block.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for number in range(batch.num_rows):  # a row is a whole shard
+                row = batch.slice(number, 1).to_pylist()[0]
                 shard = _Shard(items, row)
                 start, length, item = shard.phrases(items)
                 document = np.searchsorted(shard.starts, start, side="right") - 1

@@ -134,7 +134,8 @@ def _own(owner_bits: int):
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with their bitmaps -> rows with the suspect mark."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for number in range(batch.num_rows):  # a row is a whole block
+            row = batch.slice(number, 1).to_pylist()[0]
             prints = np.frombuffer(row["prints"], dtype=np.uint64)
             distinct, place, count = np.unique(prints, return_inverse=True, return_counts=True)
             answers = sorted(row["answers"] or [], key=lambda a: a["owner"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fablens.llm.common import PLAIN_WORDS, broadcast_if_small, text_print, without, word_hashes
+from fablens.llm.common import PLAIN_WORDS, broadcast_if_small, portions, text_print, without, word_hashes
 from fablens.session import stored
 
 SAMPLE_ROWS = 8192
@@ -36,6 +36,8 @@ MIN_ASSOCIATION = 28.0
 PREFIXES = (4, 5, 6)
 FOLDS = 3
 SHAPES = 3
+# Text that one step of a task works on.
+PORTION_BYTES = 1 << 21
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -104,20 +106,31 @@ class Chain:
 
 def _choose(found: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Sorted hashes with the largest chi-squared of presence against any category."""
-    owner = np.repeat(np.arange(len(found)), np.array([len(f) for f in found], dtype=np.int64))
-    distinct, place, count = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+    every = np.concatenate(found) if found else np.empty(0, np.uint64)
+    every.sort()  # in place: this is the largest array here
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][:len(every)])
+    count = np.diff(starts, append=len(every))
+    distinct, count = every[starts[count >= 3]], count[count >= 3]
+    del every, starts
+    known = ~np.isnan(labels)
+    present = np.zeros((labels.shape[1], len(distinct)))
+    both = np.zeros_like(present)
+    for first in range(0, len(found), 256):  # in portions, as all rows together are large
+        part = slice(first, first + 256)
+        columns = [_columns(distinct, f) for f in found[part]]
+        place, sizes = np.concatenate(columns), [len(c) for c in columns]
+        for k in range(labels.shape[1]):
+            present[k] += np.bincount(place, np.repeat(known[part, k].astype(float), sizes), len(distinct))
+            both[k] += np.bincount(place, np.repeat(np.nan_to_num(labels[part, k]), sizes), len(distinct))
     best = np.zeros(len(distinct))
-    for label in labels.T:
-        known = ~np.isnan(label)
-        total, positive = known.sum(), np.nansum(label)
+    for k, label in enumerate(labels.T):
+        total, positive = known[:, k].sum(), np.nansum(label)
         if positive in (0, total):
             continue
-        present = np.bincount(place[known[owner]], minlength=len(distinct))
-        both = np.bincount(place, weights=np.nan_to_num(label)[owner], minlength=len(distinct))
-        expected = present * positive / total
-        spread = np.maximum(expected * (1 - positive / total) * (1 - present / total), 1e-9)
-        best = np.maximum(best, (both - expected) ** 2 / spread)
-    best[(count < 3) | (best < MIN_ASSOCIATION)] = 0
+        expected = present[k] * positive / total
+        spread = np.maximum(expected * (1 - positive / total) * (1 - present[k] / total), 1e-9)
+        best = np.maximum(best, (both[k] - expected) ** 2 / spread)
+    best[best < MIN_ASSOCIATION] = 0
     order = np.lexsort((distinct, -best))[:FEATURES]
     return np.sort(distinct[order[best[order] > 0]])
 
@@ -181,7 +194,7 @@ def chain_scores(chain: Chain, found: list[np.ndarray], shapes: np.ndarray) -> n
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, labels, text) -> (doc_id, labels, hashes, shape)."""
-    for batch in batches:
+    for batch in (p for b in batches for p in portions(b, PORTION_BYTES)):
         both = [features(t.as_py()) for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1),
@@ -208,12 +221,14 @@ def train(
     sample = rows.select("__id", "__labels", "__text").mapInArrow(
         _extract, "doc_id long, labels array<double>, hashes array<long>, shape array<double>"
     ).toArrow()
-    order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable")
-    sample = sample.take(order)
     ids = sample.column("doc_id").to_numpy()
-    found = [np.array(h.values.to_numpy(zero_copy_only=False)).view(np.uint64) for h in sample.column("hashes")]
-    shapes = np.array(sample.column("shape").to_pylist(), dtype=float).reshape(len(ids), SHAPES)
-    given = np.array(sample.column("labels").to_pylist(), dtype=float).reshape(len(ids), len(categories))
+    # The rows' order must not depend on that of the tasks. The hashes stay where they are, in the collected table.
+    order = np.lexsort((np.array([len(h) for h in sample.column("hashes")], dtype=np.int64), ids))
+    hashes = [h.values.to_numpy().view(np.uint64) for h in sample.column("hashes")]
+    found = [hashes[i] for i in order]
+    shapes = np.array(sample.column("shape").to_pylist(), dtype=float).reshape(len(ids), SHAPES)[order]
+    given = np.array(sample.column("labels").to_pylist(), dtype=float).reshape(len(ids), len(categories))[order]
+    ids = ids[order]
     folds = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % FOLDS
     return fit_chain(found, shapes, given, folds, list(categories))
 
@@ -222,8 +237,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in portions(batch, PORTION_BYTES, 256):
                 both = [features(t.as_py()) for t in part.column(part.num_columns - 1)]
                 scores = chain_scores(chain, [h for h, _ in both], np.array([s for _, s in both]))
                 yield pa.RecordBatch.from_arrays(
