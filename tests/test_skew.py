@@ -46,7 +46,7 @@ def with_null_machines(events):
 @pytest.mark.parametrize("limit", [5, 100])
 @pytest.mark.parametrize("keys", [["source"], ["source", "event_type"], []])
 def test_ordered_groups(spark, keys, limit):
-    events = with_null_machines(skewed_events(spark, 1500)).cache()
+    events = with_null_machines(skewed_events(spark, 60 * limit if limit < 50 else 1500)).cache()
     order = ["ts", "event_id"]
     lags = {"p": ("value", 1), "q": ("severity", 2), "r": ("value", 2)}
     starts = ~F.coalesce((F.col("value") >= F.col("p")) & (F.col("p") >= F.col("r")), F.lit(False))
@@ -78,13 +78,13 @@ def test_ordered_groups(spark, keys, limit):
 
 
 def test_sequence_operators_on_hot_machines(spark):
-    events = with_null_machines(skewed_events(spark)).cache()
-    for limit in (5, 100):
+    for rows, limit in ((200, 5), (2000, 200)):
+        events = with_null_machines(skewed_events(spark, rows)).cache()
         for operator in (sequences.numeric_runs, sequences.shrinking_gaps):
             same(operator(events, 3, max_group_rows=limit), operator(events, 3))
         for operator in (sequences.severity_escalations, sequences.safety_shifts, sequences.refit_epochs):
             same(operator(events, max_group_rows=limit), operator(events))
-    same(sequences.trend_alerts(events, 60.0, 4, 3, max_group_rows=100), sequences.trend_alerts(events, 60.0, 4, 3))
+    same(sequences.trend_alerts(events, 60.0, 4, 3, max_group_rows=200), sequences.trend_alerts(events, 60.0, 4, 3))
 
 
 def test_split_form_needs_one_ordered_pass_per_group(spark, monkeypatch):

@@ -36,7 +36,7 @@ def values(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-ORDERS = pytest.mark.parametrize("shuffled", [None, 1, 2])
+ORDERS = pytest.mark.parametrize("shuffled", [None, 1])
 
 
 @ORDERS
@@ -96,11 +96,11 @@ def test_rollups_over_batches(spark, tmp_path, shuffled):
 
 
 def test_figures_of_many_batches(spark, tmp_path):
-    rows = spark.createDataFrame([(str(i) if i % 5 else "",) for i in range(130)], "job_id string")
-    stream = in_files(rows, str(tmp_path / "in"), 130, "job_id")
+    rows = spark.createDataFrame([(str(i) if i % 5 else "",) for i in range(110)], "job_id string")
+    stream = in_files(rows, str(tmp_path / "in"), 110, "job_id")
     jobs.run_measured(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     figures = jobs.consumer_metrics(spark, str(tmp_path / "out/figures"))
-    assert figures.agg(F.count("*"), F.sum("total_received"), F.sum("total_written")).first() == (130, 130, 104)
+    assert figures.agg(F.count("*"), F.sum("total_received"), F.sum("total_written")).first() == (110, 110, 88)
 
 
 def test_key_on_two_days_is_inserted_once(spark, tmp_path, sf_dir):
