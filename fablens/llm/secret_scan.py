@@ -1,7 +1,11 @@
 """Secret scans; DataFrame operations only.
 
-Base spans come from three patterns. The method adds strings that look drawn at random: each run of 20 or more characters
-of the usual encodings goes through a battery of tests over the alphabet of the encoding inferred for it.
+Base spans come from three patterns. The method adds strings that look drawn at random. `=` belongs to a string only as its
+final padding, and `+` or `/` never stand together with `-` or `_`, so three scans cut a text into strings of 20 or more
+characters (padding counts): the longest runs of base64, those of base64url that have a `-` or `_`, and those of letters and
+digits next to a `+` or `/`. Thus KEY=value and parts of paths are tested by themselves, and no string is tested twice. Each
+goes through a battery of tests over the alphabet of the encoding inferred for it. Of the strings called, those that lie
+within another one are left out.
 
 * chi-squared: its symbols, in bins of equal size, against a uniform alphabet
 * runs: the number of runs above and below the middle of the alphabet (Wald-Wolfowitz)
@@ -32,8 +36,15 @@ from fablens.session import stored
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-STRINGS = r"[A-Za-z0-9+/_=-]{20,}"
+_PADDING = r"(?![A-Za-z0-9+/_=-])"
+_SIZED = rf"(?:%s{{20,}}+(?:={{1,2}}{_PADDING})?|%s{{19}}={{1,2}}{_PADDING}|%s{{18}}=={_PADDING})"
+STRINGS = (
+    r"(?<![A-Za-z0-9+/])" + _SIZED.replace("%s", "[A-Za-z0-9+/]"),
+    r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*+[_-])" + _SIZED.replace("%s", "[A-Za-z0-9_-]"),
+    r"(?<![A-Za-z0-9])(?:(?<=[+/])[A-Za-z0-9]{20,}+|[A-Za-z0-9]{20,}+(?=[+/]))",
+)
 KINDS = ("assign", "access", "hex", "random")
+SCANS = (*KINDS[:3], *(f"random{k}" for k in range(len(STRINGS))))
 MIN_ASSIGNED = 12
 LEVEL = 0.01
 RATE = 0.05
@@ -71,19 +82,20 @@ def _strings(documents: DataFrame, id_column: str, text_column: str) -> DataFram
     return documents.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"),
         _found(text, ASSIGN).alias("assign"), _found(text, ACCESS, whole).alias("access"),
-        _found(text, HEX, whole).alias("hex"), _found(text, STRINGS, whole).alias("random"),
+        _found(text, HEX, whole).alias("hex"), *[_found(text, pattern, whole).alias(name) for name, pattern in zip(SCANS[3:], STRINGS)],
     )
 
 
 def _placed(rows: DataFrame) -> DataFrame:
     """One row per match: row, kind (its number), start, stop, value."""
     each = None
-    for number, kind in enumerate(KINDS):
-        part = rows.filter(F.col(kind).isNotNull()).select("row", F.lit(number).alias("kind"), F.posexplode(kind).alias("i", "m"))
+    for number, scan in enumerate(SCANS):
+        part = rows.filter(F.col(scan).isNotNull()).select("row", F.lit(number).alias("scan"), F.posexplode(scan).alias("i", "m"))
         each = part if each is None else each.unionByName(part)
-    upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("row", "scan").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stop = F.sum(F.col("m.gap") + F.col("m.size")).over(upto)
-    return each.select("row", "kind", (stop - F.col("m.size")).alias("start"), stop.alias("stop"), F.col("m.value").alias("value"))
+    kind = F.least("scan", F.lit(len(KINDS) - 1)).alias("kind")
+    return each.select("row", kind, (stop - F.col("m.size")).alias("start"), stop.alias("stop"), F.col("m.value").alias("value"))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -156,6 +168,13 @@ def natural_cut(tested: DataFrame, rate: float = RATE) -> float:
     return cut
 
 
+def _outermost(strings: DataFrame) -> DataFrame:
+    """The strings that lie within no other one of their row."""
+    before = Window.partitionBy("row").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    reached = strings.withColumn("reached", F.max("stop").over(before))
+    return reached.filter(F.col("reached").isNull() | (F.col("stop") > F.col("reached"))).drop("reached")
+
+
 def find_secrets(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id and spans, an array of (start, kind, stop) by start and kind.
 
@@ -165,7 +184,7 @@ def find_secrets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     placed = _placed(rows)
     base = placed.filter((F.col("kind") == 1) | (F.col("kind") == 2) | ((F.col("kind") == 0) & (F.char_length("value") >= MIN_ASSIGNED)))
     tested = stored(battery(placed.filter(F.col("kind") == 3)), "tested")
-    random = tested.filter((F.col("p_random") >= LEVEL) & (F.col("p_natural") <= natural_cut(tested)))
+    random = _outermost(tested.filter((F.col("p_random") >= LEVEL) & (F.col("p_natural") <= natural_cut(tested))))
     columns = ["row", "start", "kind", "stop"]
     spans = base.select(*columns).unionByName(random.select(*columns)).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans")

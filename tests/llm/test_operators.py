@@ -538,6 +538,45 @@ def test_random_strings_are_told_from_words(spark):
     assert len(called - set(range(40))) <= 2
 
 
+STANDARD = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+URL_SAFE = STANDARD[:-2] + "-_"
+
+
+def test_strings_within_runs(spark):
+    rng = random.Random(6)
+    around = [
+        ("AWS_SECRET_ACCESS_KEY=", STANDARD, ""), ("SESSION_KEY=", STANDARD, "=="), ("https://host.example/get?sig=", STANDARD[:-2], "&x=1"),
+        ("https://host.example/v1/keys/", STANDARD[:-2], "/edit_all"), ("GET /v1/keys/sk_live/", URL_SAFE, " "), ("my_key-", STANDARD, "\n"),
+        ("/home/someone/projects/configuration/", STANDARD[:-2], ""),
+    ]
+    secret = lambda alphabet: "q" + "".join(rng.choice(alphabet) for _ in range(62)) + "Q"
+    rows = [(100 * k + i, before + secret(alphabet) + after) for k, (before, alphabet, after) in enumerate(around) for i in range(40)]
+    words = ["/".join(rng.choice(["ab", "the", "ing", "tion", "er"]) * 3 for _ in range(9)) + "=some_other/value" for _ in range(280)]
+    got = secret_scan.find_secrets(frame(spark, rows + list(enumerate(words, 1000)))).collect()
+    called = {r.doc_id for r in got if any(s.kind == 3 for s in r.spans)}
+    whole = {r.doc_id for r in got if r.doc_id < 1000 and any(s.kind == 3 and s.stop >= len(around[r.doc_id // 100][0]) + 64 for s in r.spans)}
+    for k in range(len(around)):
+        assert len(whole & set(range(100 * k, 100 * k + 40))) >= 32, around[k]
+    assert len(called & set(range(1000, 1280))) <= 2
+
+
+def test_places_of_strings(spark):
+    a, b, c = "k7" * 15, "Zq" * 9, "x_" * 12
+    text = f"KEY_OF_SOME_LONG_NAME={a}== /v1/{c}/{a}_1+{b}== {b}= {b}x={b}"
+    want = set()
+    for pattern in ("[A-Za-z0-9+/]+", "[A-Za-z0-9_-]+"):
+        for m in re.finditer(pattern + "(?:={1,2}(?![A-Za-z0-9+/_=-]))?", text):
+            core = m[0].rstrip("=")
+            if len(m[0]) >= 20 and len(core) >= 18 and ("+/" in pattern or set(core) & set("_-")):
+                want.add((m.start(), m.end()))
+    for m in re.finditer("[A-Za-z0-9]{20,}", text):
+        if set(text[m.start() - 1:m.start()] + text[m.end():m.end() + 1]) & set("+/"):
+            want.add(m.span())
+    rows = secret_scan._placed(secret_scan._strings(frame(spark, [(1, text)]), "doc_id", "text")).filter("kind = 3").collect()
+    assert sorted((r.start, r.stop) for r in rows) == sorted(want)
+    assert all(text[r.start:r.stop] == r.value for r in rows)
+
+
 def test_normal_cdf_and_chi_squared(spark):
     from math import erf
 
