@@ -14,10 +14,13 @@ within another one are left out.
 A string passes if none of the three rejects randomness (Bonferroni, level LEVEL). Short natural strings may pass by chance,
 so false discoveries are controlled with regard to length: in natural text the chi-squared statistic is noncentral, with
 a noncentrality of SKEW per character. The chance p of a statistic as small as the observed one under that law shrinks with the
-length. The cut on p over all strings of the corpus is that of Benjamini and Hochberg at RATE, from counts per bin of log p.
+length. The strings of the corpus are cut on p per group, as Benjamini and Hochberg do at RATE, from counts per bin of log p. A group
+has one encoding, one band of lengths and the same classes of characters (capitals, small letters, digits, signs), so paths
+and words do not hide rare secrets. Where almost all strings of a group are natural, a short secret among them stays
+uncalled: 20 random characters of base64 have a p of about 0.02, 40 of 0.001.
 
 Scale: one scan reads the texts and keeps only the strings found, with the lengths of the gaps before them. Places are
-running sums per row and kind; the cut needs one small table. Decimal strings are numbers, not tested.
+running sums per row and kind; the cuts need one table with at most 301 counts for each of 975 groups. Decimal strings are numbers, not tested.
 
 Defined results: a null text is empty. Rows that repeat an id, or a whole row, are scanned one by one. Other columns are
 not looked at. A text's strings meet in one row of the result, as the text itself does.
@@ -52,6 +55,9 @@ RATE = 0.05
 SKEW = 1.0
 BINS = 8
 _LOG_STEP = 0.1
+# Lengths from 20 on, in bands of a factor of the square root of 2; the last one is open.
+_LAST_BAND = 12
+_CLASSES = ("[A-Z]", "[a-z]", "[0-9]", "[^A-Za-z0-9]")
 _LETTERS = string.ascii_uppercase + string.ascii_lowercase
 # Encodings from the narrowest on: pattern of the whole string, alphabet.
 ENCODINGS = (
@@ -105,9 +111,9 @@ def normal_cdf(z: Column) -> Column:
 
 
 def battery(strings: DataFrame) -> DataFrame:
-    """`strings` (with a column value) with p_random (the battery) and p_natural (the length-aware chance).
+    """`strings` (with a column value) with p_random (the battery), p_natural (the length-aware chance) and group.
 
-    Both are null for decimal strings and for those in no known encoding.
+    The p values are null for decimal strings and for those in no known encoding.
     """
     core = F.rtrim(F.col("value"), F.lit("="))
     alphabet = F.when(F.regexp_like("core", F.lit("^[0-9]*$")), F.lit(None).cast("string"))
@@ -147,25 +153,25 @@ def battery(strings: DataFrame) -> DataFrame:
     beyond = F.lit(SKEW) * F.col("n")
     natural = normal_cdf((F.col("chi") - df - beyond) / F.sqrt(2 * df + 4 * beyond))
     known = F.col("alphabet").isNotNull()
+    band = F.least(F.lit(_LAST_BAND), F.greatest(F.lit(0), F.floor(2 * F.log2(F.col("n") / 20)))).cast("int")
+    classes = sum((F.regexp_like("core", F.lit(c)).cast("int") * (1 << k) for k, c in enumerate(_CLASSES)), F.lit(0))
     return stats.select(
-        *strings.columns, F.when(known, F.least(F.lit(1.0), 3 * least)).alias("p_random"), F.when(known, natural).alias("p_natural")
+        *strings.columns, F.when(known, F.least(F.lit(1.0), 3 * least)).alias("p_random"), F.when(known, natural).alias("p_natural"),
+        F.concat_ws(" ", "alphabet", band, classes).alias("group"),
     )
 
 
-def natural_cut(tested: DataFrame, rate: float = RATE) -> float:
-    """Benjamini-Hochberg cut on p_natural over all tested strings, to a bin of log p; -1 if none may be called."""
-    bins = tested.filter(F.col("p_natural").isNotNull()).select(
-        F.ceil(F.log10(F.greatest(F.col("p_natural"), F.lit(1e-30))) / _LOG_STEP).cast("int").alias("bin"),
+def natural_cuts(tested: DataFrame, rate: float = RATE) -> DataFrame:
+    """Benjamini-Hochberg cut on p_natural within each group, to a bin of log p; groups of which none may be called are left out."""
+    counts = tested.filter(F.col("p_natural").isNotNull()).select(
+        "group", F.ceil(F.log10(F.greatest(F.col("p_natural"), F.lit(1e-30))) / _LOG_STEP).cast("int").alias("bin"),
         (F.col("p_random") >= LEVEL).alias("passed"),
-    ).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"))
-    counts = sorted(bins.collect())  # 301 bins at most
-    strings, called, cut = sum(n for _, n, _ in counts), 0, -1.0
-    for number, _, passed in counts:
-        called += passed
-        edge = 10.0 ** (number * _LOG_STEP)
-        if called and edge <= rate * called / strings:
-            cut = edge
-    return cut
+    ).groupBy("group", "bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"))
+    whole = Window.partitionBy("group")
+    called = F.sum("passed").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = counts.select("group", called.alias("called"), F.sum("n").over(whole).alias("n"), F.pow(F.lit(10.0), F.col("bin") * _LOG_STEP).alias("edge"))
+    may = (F.col("called") > 0) & (F.col("edge") <= F.lit(rate) * F.col("called") / F.col("n"))
+    return edges.filter(may).groupBy("group").agg(F.max("edge").alias("cut"))
 
 
 def _outermost(strings: DataFrame) -> DataFrame:
@@ -184,7 +190,8 @@ def find_secrets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     placed = _placed(rows)
     base = placed.filter((F.col("kind") == 1) | (F.col("kind") == 2) | ((F.col("kind") == 0) & (F.char_length("value") >= MIN_ASSIGNED)))
     tested = stored(battery(placed.filter(F.col("kind") == 3)), "tested")
-    random = _outermost(tested.filter((F.col("p_random") >= LEVEL) & (F.col("p_natural") <= natural_cut(tested))))
+    passed = tested.filter(F.col("p_random") >= LEVEL).join(F.broadcast(natural_cuts(tested)), "group")
+    random = _outermost(passed.filter(F.col("p_natural") <= F.col("cut")))
     columns = ["row", "start", "kind", "stop"]
     spans = base.select(*columns).unionByName(random.select(*columns)).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans")

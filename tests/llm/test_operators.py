@@ -560,6 +560,19 @@ def test_strings_within_runs(spark):
     assert len(called & set(range(1000, 1280))) <= 2
 
 
+def test_rare_short_secrets(spark):
+    rng = random.Random(9)
+    pieces = ["ab", "the", "ing", "tion", "er", "config", "value", "Name", "Key", "src", "main", "lib"]
+    join = lambda sign: sign.join(rng.choice(pieces) for _ in range(rng.randrange(6, 16)))
+    words = [join(rng.choice(["/", "_", "-", ""])) for _ in range(30_000)]
+    secrets = ["".join(rng.choice(STANDARD[:-2]) for _ in range(size)) for size in (20, 32, 40) for _ in range(10)]
+    got = secret_scan.find_secrets(frame(spark, list(enumerate(secrets + words)))).collect()
+    called = {r.doc_id for r in got if any(s.kind == 3 for s in r.spans)}
+    for first in (0, 10, 20):
+        assert len(called & set(range(first, first + 10))) >= 7
+    assert len(called - set(range(30))) <= 3
+
+
 def test_places_of_strings(spark):
     a, b, c = "k7" * 15, "Zq" * 9, "x_" * 12
     text = f"KEY_OF_SOME_LONG_NAME={a}== /v1/{c}/{a}_1+{b}== {b}= {b}x={b}"
