@@ -232,14 +232,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return compared.filter("linked").select("a", "b")
 
 
-def near_groups(
-    documents: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    shingle_words: int = 5,
-    percent: int = 80,
-) -> DataFrame:
-    """One row per document: doc_id, print (of its text), n_shingles, component_id, kept."""
+def _grouped(documents: DataFrame, id_column: str, text_column: str, shingle_words: int, percent: int) -> DataFrame:
+    """near_groups with `keeper`: whether the row has the smallest id (null last), then print, of its group."""
     bands = n_bands(percent)
     own = documents.select(
         F.col(id_column).cast("long").alias("doc_id"), text_print(text_column).alias("print"), F.col(text_column).alias("text")
@@ -281,16 +275,31 @@ def near_groups(
             known = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
             groups = components(known.unionByName(found))
 
-    classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "print"))
+    classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(first.alias("least"))
     rooted = classes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("node", "component_id"), "named")
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    named = least.select("root", F.col("least.doc_id").alias("component_id"), F.col("least.print").alias("keeper_print"))
+    named = stored(rooted.select("node", "root").join(named, "root").drop("root"), "named")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
     return rows.select("doc_id", "print", "n_shingles", "node").join(named, "node", "left").select(
-        "doc_id", "print", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "print", "n_shingles", component.alias("component_id"), kept.alias("kept"),
+        (kept & (F.col("node").isNull() | (F.col("print") == F.col("keeper_print")))).alias("keeper"),
     )
 
 
+def near_groups(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle_words: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """One row per document: doc_id, print (of its text), n_shingles, component_id, kept."""
+    return _grouped(documents, id_column, text_column, shingle_words, percent).drop("keeper")
+
+
 def drop_near_copies(
     documents: DataFrame,
     id_column: str = "doc_id",
@@ -298,7 +307,7 @@ def drop_near_copies(
     shingle_words: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """`documents` with one row of each group: the one with the smallest id, once if it is repeated."""
-    groups = stored(near_groups(documents, id_column, text_column, shingle_words, percent), "groups")
+    """`documents` with one row of each group: the one with the smallest id, and of these with the smallest print of its text."""
+    groups = stored(_grouped(documents, id_column, text_column, shingle_words, percent), "groups")
     mark = text_print(text_column)
-    return one_of_each(without(documents, groups.filter("not kept"), id_column, mark), groups.filter("kept"), id_column, mark)
+    return one_of_each(without(documents, groups.filter("not keeper"), id_column, mark), groups.filter("keeper"), id_column, mark)

@@ -430,6 +430,20 @@ def test_drop_near_copies(documents, rows):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_one_document_of_each_group(spark):
+    body, other = prose(41, 160).split(), prose(42, 160).split()
+    near = lambda words, k: " ".join([*words[:k], f"n{k}", *words[k + 1:]])
+    rows = [(5, near(body, k)) for k in (3, 40, 70)] + [(6, near(body, 20)), (None, near(body, 60)), (5, " ".join(other)), (9, near(other, 9))]
+    third, fourth = prose(43, 160).split(), prose(44, 160).split()
+    rows += [(None, near(words, k)) for words in (third, fourth) for k in (2, 30, 75)] + [(5, ""), (5, " "), (None, "")]
+    got = near_dedup.drop_near_copies(frame(spark, rows + rows)).collect()
+    for words, doc_id in ((body, 5), (other, 5), (third, None), (fourth, None)):
+        own = {text for i, text in rows if len(set(text.split()) - set(words)) <= 1 and text.strip()}
+        assert [r.doc_id for r in got if r.text in own] == [doc_id]
+    assert sorted(((r.doc_id, r.text) for r in got if not r.text.strip()), key=str) == sorted([(5, ""), (5, " "), (None, "")], key=str)
+    assert len(got) == 7
+
+
 @pytest.mark.parametrize("per_task", [1 << 19, 40])
 def test_components(spark, monkeypatch, per_task):
     monkeypatch.setattr("fablens.llm.components.EDGES_PER_FOREST", per_task)
