@@ -129,8 +129,10 @@ def rules() -> tuple[Rule, ...]:
         add(label, names, keywords, NAME)
         for version in versions:
             dotted, short = version.replace(" ", "."), re.sub(r" 0$", "(?: 0)?", version)
+            if " " not in version:
+                version = short = rf"{version}(?: 0)?"
             named = rf"(?:{names})(?: licen[sc]e)?(?: international| unported)?(?: version| v)? ?{short}"
-            later = r" (?:or|and) (?:\(?at your option\)? )?any later(?: version)?"
+            later = r" (?:or (?:\(?at your option\)? )?(?:any )?|and (?:\(?at your option\)? )?any )later(?: version)?"
             add(f"{label}-{dotted}", rf"spdx license identifier {spoken} {version}(?: only)?", ("spdx",), IDENTIFIER)
             add(f"{label}-{dotted}-or-later", rf"spdx license identifier {spoken} {version} or later", ("spdx",), IDENTIFIER)
             add(f"{label}-{dotted}", named, keywords, VERSIONED)

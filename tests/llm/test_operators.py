@@ -485,6 +485,17 @@ def test_license_labels():
     assert 200 < len(licenses.rules()) < 1000
 
 
+def test_license_versions_with_zero():
+    cases = {
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2-or-later", "GPL-3.0-or-later": "gpl-3-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only": "gpl-3", "SPDX-License-Identifier: AGPL-3.0-or-later": "agpl-3-or-later",
+        "LGPL-3.0-or-later": "lgpl-3-or-later", "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1-or-later",
+        "GPL 3.0 or any later version": "gpl-3-or-later", "GNU GPL version 2 or later": "gpl-2-or-later", "GPL 3.0": "gpl-3",
+    }
+    for text, want in cases.items():
+        assert {d[2] for d in licenses.scan(text)["detections"]} == {want}, text
+
+
 def test_license_suppression():
     raw = [(0, 10, 0), (2, 6, 0), (0, 10, 1), (8, 12, 0), (20, 30, 2)]
     rng = random.Random(6)
