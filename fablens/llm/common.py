@@ -7,6 +7,7 @@ import string
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fablens.session import stored
 
@@ -59,6 +60,20 @@ def one_of_each(documents: DataFrame, names: DataFrame, id_column: str, mark: Co
     return keyed.join(tied, same, "left_anti").unionByName(once).select(*documents.columns)
 
 
+def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
+    """`df`, stored, with dense numbers from 0 in `column`: in the order of its partitions, so a sorted frame in its order.
+
+    The numbers are fixed once written. What is broadcast has one row per partition.
+    """
+    rows = stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+    task = F.shiftright(column, 33)
+    sizes = rows.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    first = sizes.select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
+    dense = (F.col("_first") + F.col(column).bitwiseAND(F.lit((1 << 33) - 1))).alias(column)
+    return rows.join(F.broadcast(first), task == F.col("_task")).select(*df.columns, dense)
+
+
 # --- words of byte strings, in numpy -------------------------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

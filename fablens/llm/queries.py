@@ -11,6 +11,7 @@ from fablens.llm.chat import fold, read_loss_texts, read_turns, render, turn_log
 from fablens.llm.common import table
 from fablens.llm.decontamination import find_matches, n_hit
 from fablens.llm.exact_dedup import exact_groups
+from fablens.llm.filter_audit import audit
 from fablens.llm import language_id, toxicity
 from fablens.llm.licenses import scan_licenses
 from fablens.llm.line_dedup import drop_common_lines
@@ -230,3 +231,44 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@query("op13_filter_audit", r"""
+    with recursive d as (
+        select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+    ), f as (
+        select doc_id, part,
+            case when len(w) < 100 then 'A' else '' end
+            || case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' else '' end
+            || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 'C' else '' end
+            || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+            || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as failed
+        from d
+    ), o as (
+        select '' as filter_order
+        union all select filter_order || l from o, unnest(['A', 'B', 'C', 'D', 'E']) u(l) where not contains(filter_order, l)
+    ), s as (
+        select filter_order, step::int as step, filter_order[step] as own, filter_order[1:step - 1] as before
+        from o, range(1, 6) r(step) where length(filter_order) = 5
+    ), c as (
+        select part, failed, count(*) as n, count(quality) as good, count(toxic) as toxic from f
+        left join (select distinct doc_id, 1 as quality from labels where quality = 1) using (doc_id)
+        left join (select distinct doc_id, 1 as toxic from labels where toxic = 1) using (doc_id)
+        group by part, failed
+    ), e as (
+        select *, contains(failed, own) as fails, translate(failed, before, '') = failed as there from c, s
+    ), m as (
+        select part, filter_order, step, own,
+            coalesce(sum(n) filter (there and not fails), 0)::bigint as kept,
+            coalesce(sum(n) filter (there and fails), 0)::bigint as removed,
+            coalesce(sum(n) filter (not there and fails), 0)::bigint as redundant,
+            coalesce(sum(n) filter (failed = own), 0)::bigint as unique_fails,
+            coalesce(sum(good) filter (there and fails), 0)::bigint as good_lost,
+            coalesce(sum(toxic) filter (there and fails), 0)::bigint as toxic_lost
+        from e group by all
+    )
+    select * exclude (own), (sum(removed) over (partition by part, own))::bigint as shapley from m
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
