@@ -2,8 +2,9 @@
 
 1. Shards: a task turns some MB of texts into a sparse matrix in CSR form: one row per document, one column per word, with
    the shard's own word list.
-2. Global dictionary: the distinct words of all shards get dense numbers. Only a shard's word list travels to be numbered,
-   not its documents, so a frequent word is one row per shard.
+2. Global dictionary: the shards' word lists are dealt out by a hash of the word, a list per shard and bucket; a bucket
+   numbers its words, and the buckets' sizes make the numbers dense. Documents do not travel, and a frequent word is one
+   entry per shard. The number of buckets follows from the number of entries, so a bucket is of bounded size.
 3. The shards' columns are put into global numbers. Row sums (words) and nonzero counts (distinct words) decide filters A
    and B; C and D come from the bytes of the text, E from a table with the smallest id of each repeated text.
 4. Documents are counted by part and set of failed filters, at most 32 rows per part. All orders follow from these rows: a
@@ -21,6 +22,7 @@ columns are not looked at. A text longer than a shard is a shard of its own and
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fablens.llm.common import broadcast_if_small, numbered, portions
+from fablens.llm.common import broadcast_if_small, portions, word_hashes
 from fablens.session import stored
 
 FILTERS = "ABCDE"
@@ -41,6 +44,7 @@ MAX_UPPER_PERCENT = 10
 SHARD_BYTES = 8 << 20
 SHARD_ROWS = 1 << 14
 PIECE_BYTES = 1 << 20
+WORDS_PER_BUCKET = 1 << 18
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SYMBOLS = b"#$%&*|"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -83,22 +87,69 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         yield pa.RecordBatch.from_arrays([
             batch.column(0).slice(0, 1), _one(rows), _one(pa.array(ends, pa.int64())),
-            _one(pa.array(np.concatenate(columns), pa.int32())), _one(pa.array(np.concatenate(counts), pa.int64())),
-            _one(pa.array(list(numbers), pa.binary())),
-        ], names=["shard", "rows", "ends", "local", "counts", "words"])
+            _one(pa.array(np.concatenate(columns), pa.int32())), _one(pa.array(np.concatenate(counts), pa.int32())),
+            pa.array([b" ".join(numbers)], pa.binary()), pa.array([len(numbers)], pa.int64()),
+        ], names=["shard", "rows", "ends", "local", "counts", "words", "n_words"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards with their numbers of the dictionary -> the same matrices with global columns, ascending in each row."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            rows, ends, local, counts, codes = (batch.column(i).slice(k, 1).flatten() for i in range(1, 6))
-            ends, columns = ends.to_numpy(), codes.to_numpy()[local.to_numpy()]
-            order = np.lexsort((columns, np.repeat(np.arange(len(rows)), np.diff(ends))))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(k, 1), _one(rows), _one(pa.array(ends)), _one(pa.array(columns[order])),
-                _one(pa.array(counts.to_numpy()[order])),
-            ], names=["shard", "rows", "ends", "columns", "counts"])
+def _buckets(words: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each of the words, and the order that brings those of a bucket together."""
+    at = (word_hashes(words) % np.uint64(buckets)).astype(np.int64)
+    return at, np.argsort(at, kind="stable")
+
+
+def _dealt(buckets: int):
+    """Rows (shard, words) -> (shard, bucket, words): a shard's words of each bucket, in the shard's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words in zip(*(c.to_pylist() for c in batch.columns)):
+                at, order = _buckets(words, buckets)
+                every, cuts = np.array(words.split(), dtype=object)[order], np.flatnonzero(np.diff(at[order])) + 1
+                dealt = [b" ".join(part) for part in np.split(every, cuts)] if len(every) else []
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard] * len(dealt), pa.int64()), pa.array(np.unique(at)), pa.array(dealt, pa.binary()),
+                ], names=["shard", "bucket", "words"])
+
+    return run
+
+
+def _number(table: pa.Table) -> pa.Table:
+    """The rows (shard, bucket, words) of a bucket -> each shard's word numbers within the bucket; without a shard, the words."""
+    numbers: dict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    coded = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in (words.as_py().split() for words in table.column("words"))]
+    shards = table.column("shard").to_pylist()
+    return pa.table({
+        "shard": pa.array([*shards, None], pa.int64()),
+        "bucket": pa.array([table.column("bucket")[0].as_py()] * (len(shards) + 1), pa.int64()),
+        "numbers": pa.array([*coded, None], pa.list_(pa.int32())),
+        "size": pa.array([len(numbers)] * (len(shards) + 1), pa.int64()),
+        "words": pa.array([None] * len(shards) + [b" ".join(numbers)], pa.binary()),
+    })
+
+
+def _encode(buckets: int):
+    """Shards with their codes by bucket -> the same matrices with global columns, ascending in each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, ends, local, counts = (batch.column(i).slice(k, 1).flatten() for i in range(1, 5))
+                words, codes = batch.column(5)[k].as_py(), batch.column(6).slice(k, 1).flatten()
+                _, order = _buckets(words, buckets)
+                number = np.empty(len(order), dtype=np.int64)
+                if len(order):
+                    first, own = codes.field("first").to_numpy(), codes.field("numbers")
+                    number[order] = np.repeat(first, own.value_lengths().to_numpy()) + own.flatten().to_numpy()
+                ends, columns = ends.to_numpy(), number[local.to_numpy()]
+                sort = np.lexsort((columns, np.repeat(np.arange(len(rows)), np.diff(ends))))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(k, 1), _one(rows), _one(pa.array(ends)), _one(pa.array(columns[sort])),
+                    _one(pa.array(counts.to_numpy()[sort])),
+                ], names=["shard", "rows", "ends", "columns", "counts"])
+
+    return run
 
 
 def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +171,10 @@ def _row_type(documents: DataFrame, id_column: str) -> str:
 def document_term_matrix(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", part_column: str = "lang",
 ) -> tuple[DataFrame, DataFrame]:
-    """(matrix, dictionary): CSR shards (shard, rows, ends, columns, counts) and the words' numbers (word, number).
+    """(matrix, dictionary): CSR shards (shard, rows, ends, columns, counts) and the words in the order of their numbers.
 
-    Row i of a shard has the entries ends[i] to ends[i + 1] of `columns` (word numbers, ascending) and `counts`.
+    Row i of a shard has the entries ends[i] to ends[i + 1] of `columns` (word numbers, ascending) and `counts`. A row of
+    the dictionary (first, size, words) has `size` words, joined by blanks, with the numbers from `first` on.
     """
     own = documents.select(
         F.monotonically_increasing_id().alias("at"), F.col(id_column).alias("doc_id"),
@@ -132,16 +184,25 @@ def document_term_matrix(
     )
     row = _row_type(documents, id_column)
     shards = stored(own.mapInArrow(
-        _shards, f"shard long, rows array<struct<{row}>>, ends array<long>, local array<int>, counts array<long>, words array<binary>"
+        _shards,
+        f"shard long, rows array<struct<{row}>>, ends array<long>, local array<int>, counts array<int>, words binary, n_words long",
     ), "shards")
-    dictionary = numbered(shards.select(F.explode("words").alias("word")).distinct(), "dictionary", "number")
-    asked = shards.select("shard", F.posexplode("words").alias("at", "word"))
+    buckets = max(1, math.ceil((shards.agg(F.sum("n_words")).first()[0] or 0) / WORDS_PER_BUCKET))
+    dealt = shards.select("shard", "words").mapInArrow(_dealt(buckets), "shard long, bucket long, words binary")
+    coded = stored(dealt.groupBy("bucket").applyInArrow(
+        _number, "shard long, bucket long, numbers array<int>, size long, words binary"
+    ), "coded")
+    # One row per bucket: some millionth of the words.
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    dictionary = coded.filter(F.col("shard").isNull())
+    first = dictionary.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    placed = coded.filter(F.col("shard").isNotNull()).select("shard", "bucket", "numbers").join(broadcast_if_small(stored(first, "first")), "bucket")
     # As many as a shard has words, so its size bounds the list.
-    coded = asked.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("codes"))
-    codes = F.coalesce(F.col("codes.number"), F.array().cast("array<long>")).alias("codes")
-    together = shards.drop("words").join(coded, "shard", "left").select("shard", "rows", "ends", "local", "counts", codes)
-    schema = f"shard long, rows array<struct<{row}>>, ends array<long>, columns array<long>, counts array<long>"
-    return together.mapInArrow(_encode, schema), dictionary
+    codes = placed.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "first", "numbers"))).alias("codes"))
+    together = shards.drop("n_words").join(codes, "shard", "left")
+    schema = f"shard long, rows array<struct<{row}>>, ends array<long>, columns array<long>, counts array<int>"
+    words = dictionary.join(first, "bucket").select("first", "size", "words")
+    return together.mapInArrow(_encode(buckets), schema), words
 
 
 def failures(

@@ -17,7 +17,9 @@ from fablens.llm.licenses import scan_licenses
 from fablens.llm.line_dedup import drop_common_lines
 from fablens.llm.mixing import mix
 from fablens.llm.near_dedup import near_groups
+from fablens.llm.ngram_join import join_groups
 from fablens.llm.secret_scan import find_secrets, spans_text
+from fablens.llm.spelling import variant_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -272,3 +274,77 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_ngram_join", f"""
+    with recursive w as (
+        select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+') as w from documents
+    ), s as (
+        select distinct doc_id, array_to_string(w[p:p + 4], ' ') as s
+        from (select *, unnest(generate_series(1, greatest(1, len(w) - 4))) as p from w where len(w) > 0)
+    ), n as (select doc_id, count(*) as n from s group by doc_id),
+    i as (
+        select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b using (s) where a.doc_id <> b.doc_id group by 1, 2
+    ), links as (
+        select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)
+    ), reach as (
+        select doc_id, doc_id as other from documents
+        union
+        select r.doc_id, l.b from reach r join links l on l.a = r.other
+    ), c as (select doc_id, min(other) as component_id from reach group by doc_id)
+    select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from documents join c using (doc_id) left join n using (doc_id)
+""")
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = join_groups(table(spark, sf_dir, "documents"), shingle_words=5, percent=80)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+def _crc_steps() -> str:
+    """The 16 entries by which a checksum takes four bits."""
+    entries = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ 0xEDB88320 * (value & 1)
+        entries.append(value)
+    return str(entries)
+
+
+_CODES = "flatten([case when ord(c) < 128 then [ord(c)] else [192 + ord(c) // 64, 128 + ord(c) % 64] end for c in string_split({0}, '')])"
+_HALF = f"xor({{0}} >> 4, ({_crc_steps()})[({{0}} & 15) + 1])"
+
+
+@query("op11_spelling_variants", f"""
+    with recursive t as (
+        select doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[a-z\u00C0-\u00FF]+')) as run from documents
+    ), r as (
+        select coalesce(doc_id::varchar, '') as id, run, count(*) as times from t where length(run) >= 7 group by all
+    ), b as (
+        select *, list_prepend(4294967295::bigint, [x::bigint for x in {_CODES.format("id || ':' || run")}]) as codes from r
+    ), h as (
+        select *, xor(4294967295::bigint, list_reduce(codes, lambda acc, x:
+            list_reduce([xor(acc, x), 0::bigint, 0::bigint], lambda v, k: {_HALF.format('v')}))) as h from b
+    ), s as (
+        select case when h % 31 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, times from h
+    ), v as (
+        select word, sum(times)::bigint as n from s where length(word) >= 7 group by word having sum(times) >= 2
+    ), x as (select word, n, unnest(generate_series(1, length(word))) as i from v),
+    k as (
+        select word, n, i, word[:i - 1] || '?' || word[i + 1:] as mask, word[:i - 1] || word[i + 1:] as less from x
+    ), near as (
+        select a.word, b.word as other, b.n from k a join k b on a.mask = b.mask and a.word <> b.word
+        union select k.word, v.word, v.n from k join v on k.less = v.word
+        union select v.word, k.word, k.n from k join v on k.less = v.word
+    ), best as (
+        select word, count(*) as n_near, max(n) as top, arg_min(other, (-n, other)) as other from near group by word
+    ), f as (
+        select v.word, v.n, coalesce(n_near, 0) as n_near, case when top >= 10 * v.n then other end as form,
+            case when top >= 10 * v.n then top end as form_n
+        from v left join best using (word)
+    ), walk as (
+        select word, word as root, form as next from f
+        union all select w.word, w.next, f.form from walk w join f on f.word = w.next
+    )
+    select f.word, f.form, walk.root, f.n, f.n_near, f.form_n from f join walk on walk.word = f.word and walk.next is null
+""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(table(spark, sf_dir, "documents"))
