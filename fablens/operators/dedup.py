@@ -11,6 +11,8 @@ below works on that table of registrations, one row per (hash, slot):
    them, so the number of rounds is the logarithm of the number of slots.
 
 Rows then look their slot's registrations up; no group of copies is ever gathered.
+
+A file without a hash or a time cannot be told to be a copy: it passes as new, and registers nothing.
 """
 
 from __future__ import annotations
@@ -128,7 +130,7 @@ def mark_duplicates(
     ttl_seconds: int = C.DEDUP_TTL_SECONDS,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Add `original_job_id`, `first_seen` and `is_duplicate` to each file.
+    """Add `original_job_id`, `first_seen` and `is_duplicate` to each file; the first two are null where hash or time is.
 
     `seen` holds earlier registrations (file_hash, job_id, first_seen); of each hash only the last one counts.
     `job_id` must be a number that is unique per file. Hash, time and job are stored once, so the contents behind
@@ -136,10 +138,12 @@ def mark_duplicates(
     """
     ttl_us = ttl_seconds * _MICROS
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    keyed = stored(files.withColumns({"_at": at(ts), "_slot": floor_div(at(ts), ttl_us)}), "files")
+    every = stored(files.withColumns({"_at": at(ts), "_slot": floor_div(at(ts), ttl_us)}), "files")
+    told = F.col(file_hash).isNotNull() & F.col("_at").isNotNull()
+    keyed = every.filter(told)
     keys = keyed.select(F.col(file_hash).alias("hash"), F.col("_at").alias("at"), F.col(job_id).cast("long").alias("job"))
     if seen is not None:
-        last = seen.groupBy("file_hash").agg(F.max(F.struct(at("first_seen").alias("at"), "job_id")).alias("r"))
+        last = seen.filter(F.col("file_hash").isNotNull() & F.col("first_seen").isNotNull()).groupBy("file_hash").agg(F.max(F.struct(at("first_seen").alias("at"), "job_id")).alias("r"))
         keys = keys.unionByName(last.select(
             F.col("file_hash").alias("hash"), F.col("r.at").alias("at"), F.col("r.job_id").cast("long").alias("job")
         ))
@@ -154,13 +158,16 @@ def mark_duplicates(
         "before", F.last("inside", ignorenulls=True).over(earlier)
     ).select(F.col("hash").alias(file_hash), F.col("slot").alias("_slot"), "inside", "before")
     joined = lookup_join(keyed, stored(table, "registrations"), [file_hash, "_slot"], "left", spread_by=[job_id])
-    own = F.struct(F.col("_at").alias("at"), F.col(job_id).cast("long").alias("job"))
+    own, own_type = F.struct(F.col("_at").alias("at"), F.col(job_id).cast("long").alias("job")), "struct<at: long, job: long>"
     registered = F.when(F.col("inside").isNotNull() & (F.col("inside") <= own), F.col("inside")).otherwise(F.col("before"))
-    return joined.withColumn("_r", registered).select(
+    # Apart from the join, where they would all meet under the key null.
+    untold = every.filter(~told).withColumn("_r", F.lit(None).cast(own_type))
+    marked = joined.withColumn("_r", registered).select(*files.columns, "_r").unionByName(untold.select(*files.columns, "_r"))
+    return marked.select(
         *files.columns,
         F.col("_r.job").alias("original_job_id"),
         F.timestamp_micros("_r.at").cast(files.schema[ts].dataType).alias("first_seen"),
-        (F.col("_r.job") != F.col(job_id).cast("long")).alias("is_duplicate"),
+        F.coalesce(F.col("_r.job") != F.col(job_id).cast("long"), F.lit(False)).alias("is_duplicate"),
     )
 
 
@@ -168,7 +175,7 @@ def active_registrations(marked: DataFrame, as_of, ttl_seconds: int = C.DEDUP_TT
     """Entries still alive at `as_of`: job, first_seen and remaining seconds per hash."""
     kind = marked.schema["first_seen"].dataType
     now = F.unix_micros(F.lit(str(as_of)).cast(kind).cast("timestamp"))
-    last = marked.filter(~F.col("is_duplicate")).groupBy("file_hash").agg(
+    last = marked.filter(~F.col("is_duplicate") & F.col("first_seen").isNotNull()).groupBy("file_hash").agg(
         F.max(F.struct("first_seen", F.col("original_job_id").alias("job_id"))).alias("r")
     )
     left = F.lit(ttl_seconds) - floor_div(now - F.unix_micros(F.col("r.first_seen").cast("timestamp")), _MICROS)
@@ -179,8 +186,8 @@ def active_registrations(marked: DataFrame, as_of, ttl_seconds: int = C.DEDUP_TT
 
 
 def split_duplicates(marked: DataFrame, keep_duplicates: bool = False) -> DataFrame:
-    """Files to go on with: without duplicates unless they are wanted."""
-    return marked if keep_duplicates else marked.filter(~F.col("is_duplicate"))
+    """Files to go on with: without duplicates unless they are wanted. A row whose mark is null goes on."""
+    return marked if keep_duplicates else marked.filter(~F.coalesce(F.col("is_duplicate"), F.lit(False)))
 
 
 def batch_summary(marked: DataFrame) -> DataFrame:
