@@ -153,14 +153,25 @@ def trend_alerts(
         F.sum(F.when(F.col("n_steps") + 1 >= min_run, one)).alias("n_runs"),
         F.sum("n_escalations").alias("n_escalations"), F.sum("n_shifts").alias("n_shifts"),
         F.max_by("severity", "last").alias("last_severity"), F.max("last.ts").alias("last_ts"),
-    ).filter(F.col("n_events") >= 2)
+    )
     repeats = shrinking_gaps(events, min_gaps, max_group_rows).groupBy("source").agg(F.count(F.lit(1)).alias("n_shrinking"))
     # Every part has one row per machine; events without a machine are one of them.
-    estimates = time_to_critical(events, limit).select(F.col("source").alias("_s2"), "estimate")
+    fits = events.filter(F.col("value").isNotNull()).groupBy(F.col("source").alias("_s2")).agg(*_slope_aggregates())
     repeats = repeats.withColumnRenamed("source", "_s1")
     found = machines.join(repeats, F.col("source").eqNullSafe(F.col("_s1")), "left").join(
-        estimates, F.col("source").eqNullSafe(F.col("_s2")), "left"
+        fits, F.col("source").eqNullSafe(F.col("_s2")), "left"
     ).drop("_s1", "_s2")
+    return rated_alerts(found, limit, as_of)
+
+
+def rated_alerts(machines: DataFrame, limit: float, as_of=None) -> DataFrame:
+    """Alerts from the figures of each machine.
+
+    Columns: source, n_events, n_runs, n_escalations, n_shrinking, n_shifts, last_severity, last_ts, slope (an hour),
+    last_value. Counts may be null.
+    """
+    estimate = _estimate(F.col("slope"), F.col("last_value"), limit)
+    found = machines.filter(F.col("n_events") >= 2).withColumn("estimate", estimate)
     counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_runs", "n_escalations", "n_shrinking", "n_shifts")}
     texts = [
         ("n_runs", "%d monotone value runs"), ("n_escalations", "%d severity escalations"),
@@ -169,7 +180,7 @@ def trend_alerts(
     pattern = F.concat_ws("; ", *[F.when(F.col(c) > 0, F.format_string(t, F.col(c))) for c, t in texts])
     kinds = sum(((F.col(c) > 0).cast("int") for c in counts), F.lit(0))
     severe = F.upper("last_severity").isin("CRITICAL", "ERROR") | (F.col("n_shifts") > 0)
-    created = F.lit(str(as_of)).cast(events.schema["ts"].dataType) if as_of is not None else F.col("last_ts")
+    created = F.lit(str(as_of)).cast(machines.schema["last_ts"].dataType) if as_of is not None else F.col("last_ts")
     rated = found.withColumns(counts).withColumn("kinds", kinds)
     return rated.filter(F.col("kinds") > 0).select(
         F.col("source").alias("machine"),

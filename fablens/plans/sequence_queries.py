@@ -217,15 +217,15 @@ alerts AS (
       AS confidence,
     last_ts AS created_at
   FROM found WHERE n_runs > 0 OR n_escalations > 0 OR n_shrinking > 0 OR n_shifts > 0)"""
-_ALERT_VIEWS = (B.EVENTS_SQL, _RUNS_SQL, _ESCALATIONS_SQL, _GAPS_SQL, _SHIFTS_SQL, _SLOPE_SQL, _ALERTS_SQL)
+ALERT_VIEWS = (B.EVENTS_SQL, _RUNS_SQL, _ESCALATIONS_SQL, _GAPS_SQL, _SHIFTS_SQL, _SLOPE_SQL, _ALERTS_SQL)
 
 
-@query("f8_trend_alerts", B.sql(*_ALERT_VIEWS, select="SELECT * FROM alerts"))
+@query("f8_trend_alerts", B.sql(*ALERT_VIEWS, select="SELECT * FROM alerts"))
 def trend_alerts(spark, sf_dir):
     return sequences.trend_alerts(B.events(spark, sf_dir), B.LIMIT)
 
 
-@query("g3_latest_alerts", B.sql(*_ALERT_VIEWS, select="SELECT * FROM alerts ORDER BY created_at DESC, machine LIMIT 50"))
+@query("g3_latest_alerts", B.sql(*ALERT_VIEWS, select="SELECT * FROM alerts ORDER BY created_at DESC, machine LIMIT 50"))
 def latest_alerts(spark, sf_dir):
     return listings.latest_alerts(sequences.trend_alerts(B.events(spark, sf_dir), B.LIMIT), 50)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 
 import pandas as pd
@@ -12,12 +13,13 @@ from fablens.functions import routing
 from fablens.plans import bindings as B
 from fablens.plans.registry import query
 from fablens.plans.scoring_queries import SCORED_VIEWS, with_features
-from fablens.plans.sequence_queries import DOC_COPIES, chain_sql
+from fablens.plans.sequence_queries import ALERT_VIEWS, DOC_COPIES, chain_sql
 from fablens.session import scratch_path
 from fablens.sources import topics
 from fablens.sources.files import content_hash
 from fablens.streaming import jobs
-from fablens.streaming.tables import read_table
+from fablens.streaming.alerts import run_alerts, stream_alerts
+from fablens.streaming.tables import compact_batches, read_table
 
 _AS_OF_SQL = f"TIMESTAMP '{B.AS_OF}'"
 
@@ -199,6 +201,20 @@ def redelivery(spark, sf_dir):
     return _table(spark, f"{out}/events").select(*_ROW)
 
 
+@query("i6_indexed_redelivery", B.sql(B.EVENTS_SQL, _TOPIC_SQL, select=f"""
+SELECT {_ROW_SQL} FROM t WHERE topic = 'logs.p2'"""))
+def indexed_redelivery(spark, sf_dir):
+    """All messages delivered twice in small batches; between the two the table's folders are merged."""
+    out, path = scratch_path(spark, "indexed"), scratch_path(spark, "topics")
+    messages = topics.encode_messages(_classified(B.events(spark, sf_dir))).repartition(6, "value")
+    topics.write_messages(messages, path)
+    for run in ("first", "second"):
+        source = topics.read_topics(spark, path, topics.CONSUMER_TOPICS["cold"], options={"maxFilesPerTrigger": "2"})
+        _finished(jobs.run_cold(topics.decode_messages(source), out, f"{out}/checkpoint-{run}", _as_of(), jobs.AVAILABLE_NOW, run))
+        compact_batches(spark, f"{out}/events", run, ["job_id", "event_index"], before=2)
+    return _table(spark, f"{out}/events").select(*_ROW)
+
+
 def _file_stream(spark, sf_dir):
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     docs = B.stream(spark, sf_dir, "documents")
@@ -289,6 +305,21 @@ def rollup_1hour(spark, sf_dir):
     return _rollup(spark, sf_dir, 60)
 
 
+@query("f8_streaming_alerts", B.sql(*ALERT_VIEWS, select="SELECT * FROM alerts"))
+def streaming_alerts(spark, sf_dir):
+    """Trend alerts while events arrive out of order by up to a day and a half, and some of them at the very end."""
+    out, path = scratch_path(spark, "alerts"), scratch_path(spark, "arrivals")
+    events = B.events(spark, sf_dir)
+    late = F.when(F.col("event_id") % 997 == 0, F.make_interval(days=F.lit(400))).otherwise(
+        F.make_interval(hours=F.pmod(F.xxhash64("event_id"), F.lit(36)).cast("int"))
+    )
+    arrivals = events.withColumn("arrival", F.col("ts") + late).repartitionByRange(6, "arrival").sortWithinPartitions("arrival")
+    arrivals.drop("arrival").write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    _finished(run_alerts(stream, f"{out}/figures", f"{out}/checkpoint", delay=dt.timedelta(days=3)))
+    return stream_alerts(spark, f"{out}/figures", spark.read.parquet(path), B.LIMIT)
+
+
 @query("i8_feedback_scoring", B.sql(*SCORED_VIEWS, select="""
 SELECT event_id, topic, final_category AS category, round(exact_confidence, 8) AS confidence FROM routed"""))
 def feedback_scoring(spark, sf_dir):

@@ -1,18 +1,18 @@
 """Streaming jobs: fan-out to topics, the three consumers, deduplication, spikes, rollups, scoring, metrics.
 
-All jobs share one form: a streaming frame in, a started StreamingQuery out. State is kept in tables that a batch reads
-by time range or key bucket. The order in which rows arrive does not matter: no job drops late rows, and results that a
+All jobs share one form: a streaming frame in, a started StreamingQuery out. State is kept in tables of which a batch reads
+only the files that may hold its keys (`key_index`): hashes, time windows, event keys. The order in which rows arrive does not matter: no job drops late rows, and results that a
 late row changes are written again, so that the current rows of the table are those of the batch form. `trigger` is
 passed to writeStream.trigger; its default processes what is there and stops.
 """
 
 from __future__ import annotations
 
-import datetime as dt
+import json
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,13 +20,18 @@ from fablens import constants as C
 from fablens.functions import routing, scoring
 from fablens.operators import dedup, iforest, rollups, sequences
 from fablens.operators.joins import with_examples, with_rule
+from fablens.operators.skew import first_per_key, floor_div, lookup_join
 from fablens.sources.topics import encode_messages, write_messages
 from fablens.session import scratch_scope, stored
-from fablens.streaming.tables import append_batch, append_if_absent, current_rows, keep_last, read_table
+from fablens.streaming.key_index import folder
+from fablens.streaming.tables import (
+    BATCH, append_batch, append_if_absent, append_indexed, current_rows, earlier_rows, keep_last, read_table,
+)
 
 AVAILABLE_NOW: Mapping[str, Any] = {"availableNow": True}
-# The cold consumer's pace: a batch each 300 seconds.
+# The cold consumer's pace: a batch each 300 seconds, and on a topic of Kafka at most so many rows in it.
 COLD_TRIGGER: Mapping[str, Any] = {"processingTime": f"{C.COLD_BATCH_SECONDS} seconds"}
+COLD_KAFKA_OPTIONS: Mapping[str, str] = {"maxOffsetsPerTrigger": str(C.COLD_BATCH_ROWS)}
 
 
 def for_each_batch(
@@ -102,10 +107,23 @@ def alert_rows(rows: DataFrame, topic: Column, as_of: Column, keep: Sequence[str
 
 # ---- fan-out and consumers ---------------------------------------------------------------------------------
 
-def batch_figures(batch: DataFrame, valid: Column | None = None) -> DataFrame:
-    """One row: rows received, and those of them that are written (with a job id)."""
+def with_figures(batch: DataFrame, valid: Column | None = None) -> tuple[DataFrame, Observation]:
+    """The batch, and the count of its rows received and of those to be written (with a job id).
+
+    The rows are counted on their way when the frame is first computed; that takes no pass of its own.
+    """
     valid = F.coalesce(F.col("job_id").cast("string"), F.lit("")) != "" if valid is None else valid
-    return batch.agg(F.count(F.lit(1)).alias("total_received"), F.count_if(valid).alias("total_written"))
+    counted = Observation()
+    columns = F.count(F.lit(1)).alias("total_received"), F.count_if(valid).alias("total_written")
+    return batch.observe(counted, *columns), counted
+
+
+def store_figures(spark: SparkSession, counted: Observation, path: str, batch_id: int) -> None:
+    """One small file per batch, written by the driver; a repeated batch writes it again."""
+    system, where = folder(spark, f"{path}/{BATCH}={batch_id}/figures.json")
+    out = system.create(where, True)
+    out.write(bytearray(json.dumps(counted.get).encode()))
+    out.close()
 
 
 def run_fan_out(
@@ -135,30 +153,37 @@ def run_hot(events: DataFrame, out: str, checkpoint: str, as_of: Column, trigger
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = event_rows(batch, "hot", as_of)
+        counted, figures = with_figures(batch)
+        # One message on two topics is the row and the alert of the first topic by name, the more urgent one.
+        topics = first_per_key(batch.select(*_EVENT_KEY, "topic"), _EVENT_KEY, ["topic"]).withColumnRenamed("topic", "_topic")
+        rows = event_rows(counted, "hot", as_of)
+        rows = first_per_key(rows, _EVENT_KEY, ["timestamp", *[c for c in rows.columns if c not in _EVENT_KEY]])
         append_if_absent(rows, f"{out}/events", batch_id, _EVENT_KEY, ["timestamp"], "hot")
-        topics = batch.select("job_id", "event_index", "topic").dropDuplicates(_EVENT_KEY)
-        alerts = rows.dropDuplicates(_EVENT_KEY).join(topics, _EVENT_KEY)
-        numbered = alert_rows(alerts, F.col("topic"), as_of, keep=["event_index"])
+        alerts = rows.join(topics.select(*[F.col(k).alias(f"_{k}") for k in _EVENT_KEY], "_topic"), _same_event(), "left")
+        numbered = alert_rows(alerts, F.col("_topic"), as_of, keep=["event_index"])
         append_if_absent(numbered, f"{out}/alerts", batch_id, _EVENT_KEY, ["timestamp"], "hot")
-        append_batch(batch_figures(batch), f"{out}/figures/run=hot", batch_id)
+        store_figures(batch.sparkSession, figures, f"{out}/figures/run=hot", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, "hot")
 
 
+def _same_event() -> Column:
+    return (F.col("job_id") == F.col("_job_id")) & F.col("event_index").eqNullSafe(F.col("_event_index"))
+
+
 def run_cold(
     events: DataFrame, out: str, checkpoint: str, as_of: Column, trigger=COLD_TRIGGER, run: str = "cold"
 ) -> StreamingQuery:
-    """Event rows in larger batches; the batch size is set on the source (maxFilesPerTrigger or maxOffsetsPerTrigger).
+    """Event rows in larger batches; the batch size is set on the source (maxFilesPerTrigger, or COLD_KAFKA_OPTIONS).
 
     A failed batch is run again from the checkpoint, and what is left at a stop is the next start's first batch.
     `run` names the writer in the table; a new checkpoint needs a new name.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = event_rows(batch, "cold", as_of)
-        append_if_absent(rows, f"{out}/events", batch_id, _EVENT_KEY, ["timestamp"], run)
-        append_batch(batch_figures(batch), f"{out}/figures/run={run}", batch_id)
+        counted, figures = with_figures(batch)
+        append_if_absent(event_rows(counted, "cold", as_of), f"{out}/events", batch_id, _EVENT_KEY, ["timestamp"], run)
+        store_figures(batch.sparkSession, figures, f"{out}/figures/run={run}", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, run)
 
@@ -167,57 +192,52 @@ def run_dead_letter(events: DataFrame, out: str, checkpoint: str, as_of: Column,
     """Audit rows that require review, and one pending review row per job."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = event_rows(batch, "deadletter", as_of)
+        counted, figures = with_figures(batch)
+        rows = event_rows(counted, "deadletter", as_of)
         append_if_absent(rows, f"{out}/events", batch_id, _EVENT_KEY, ["timestamp"], "deadletter")
         pending = rows.select("job_id", F.lit("pending").alias("status"), F.lit(0).alias("at"))
         append_if_absent(pending, f"{out}/reviews", batch_id, ["job_id"], ["at"], "deadletter")
-        append_batch(batch_figures(batch), f"{out}/figures/run=deadletter", batch_id)
+        store_figures(batch.sparkSession, figures, f"{out}/figures/run=deadletter", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, "dead_letter")
 
 
 # ---- deduplication -----------------------------------------------------------------------------------------
 
-_FILES = "file_hash STRING, ts TIMESTAMP, job_id LONG, original_job_id LONG, first_seen TIMESTAMP, is_duplicate BOOLEAN, event_date DATE"
+_FILES = "file_hash STRING, ts TIMESTAMP, job_id LONG, original_job_id LONG, first_seen TIMESTAMP, is_duplicate BOOLEAN"
 
 
 def run_dedup(files: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW, ttl: int = C.DEDUP_TTL_SECONDS) -> StreamingQuery:
     """Files (file_hash, ts, job_id) with their duplicate mark, by the exact rule over event time.
 
-    Earlier registrations come from the table written so far, of which only the days that may hold live ones are read.
-    If a file arrives after a later one with the same hash, the marks of that hash's files are worked out again from its
-    whole history, and written as new versions. `marked_files` gives the current marks.
+    Of the table written so far a batch reads the files that may hold its hashes, whatever their time: of each hash the
+    last registration before the batch's first copy, and the copies after it. These are marked again and written as new
+    versions; so a late file costs its own hash, however late it is. `marked_files` gives the current marks.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = batch.select("file_hash", F.col("ts").cast("timestamp").alias("ts"), F.col("job_id").cast("long").alias("job_id"))
-        start = rows.agg(F.min("ts").alias("m")).first()["m"]
-        if start is None:
-            return
-        earlier, seen = read_table(spark, f"{out}/files", _FILES), None
+        rows, seen = stored(rows, "rows"), None
+        earlier, _ = earlier_rows(rows, f"{out}/files", _FILES, ["file_hash"], "dedup", batch_id)
         if earlier is not None:
-            bound = start - dt.timedelta(seconds=ttl)
-            earlier = earlier.filter(F.col("batch_id") != batch_id)
-            recent = stored(current_rows(earlier.filter(F.col("event_date") >= F.lit(bound.date())), ["job_id"]), "recent")
-            first = rows.groupBy("file_hash").agg(F.min("ts").alias("first"))
-            late = recent.join(first, "file_hash").filter(F.col("ts") >= F.col("first")).select("file_hash").distinct()
-            late = stored(late, "late")
-            seen = recent.filter(~F.col("is_duplicate") & (F.col("first_seen") > F.lit(bound)))
-            seen = seen.select("file_hash", F.col("original_job_id").alias("job_id"), "first_seen")
-            if late.take(1):
-                history = current_rows(earlier.join(late, "file_hash", "left_semi"), ["job_id"])
-                rows = rows.unionByName(history.select("file_hash", "ts", "job_id")).dropDuplicates(["job_id"])
-                seen = seen.join(late, "file_hash", "left_anti")
-        marked = dedup.mark_duplicates(rows, seen=seen, ttl_seconds=ttl).withColumn("event_date", F.to_date("ts"))
-        append_batch(marked, f"{out}/files", batch_id, ["event_date"])
+            told = rows.filter(F.col("file_hash").isNotNull() & F.col("ts").isNotNull())
+            first = told.groupBy("file_hash").agg(F.min("ts").alias("first"))
+            history = lookup_join(earlier.drop("run"), stored(first, "first"), ["file_hash"], "inner", spread_by=["job_id"])
+            history = stored(current_rows(history, ["job_id"]), "history")
+            before = history.filter(~F.col("is_duplicate") & F.col("first_seen").isNotNull() & (F.col("ts") < F.col("first")))
+            last = before.groupBy("file_hash").agg(F.max(F.struct("first_seen", "job_id")).alias("r"))
+            seen = last.select("file_hash", "r.job_id", "r.first_seen")
+            after = history.filter(F.col("ts") >= F.col("first")).select("file_hash", "ts", "job_id")
+            rows = rows.unionByName(after).dropDuplicates(["job_id"])
+        marked = dedup.mark_duplicates(rows, seen=seen, ttl_seconds=ttl)
+        append_indexed(marked, f"{out}/files", batch_id, ["file_hash"], "dedup")
 
     return for_each_batch(files, handle, checkpoint, trigger, "dedup")
 
 
 def marked_files(spark: SparkSession, out: str) -> DataFrame:
     """The current marks that run_dedup has written."""
-    return current_rows(read_table(spark, f"{out}/files", _FILES), ["job_id"]).drop("event_date")
+    return current_rows(read_table(spark, f"{out}/files", f"{_FILES}, run STRING").drop("run"), ["job_id"])
 
 
 # ---- spikes and rollups ------------------------------------------------------------------------------------
@@ -226,27 +246,31 @@ def run_spikes(
     events: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW,
     seconds: int = C.SPIKE_WINDOW_SECONDS, threshold: int = C.SPIKE_THRESHOLD, ts: str = "ts",
 ) -> StreamingQuery:
-    """Exact trailing counts on a stream: a batch plus the stored times around it.
+    """Exact trailing counts on a stream: a batch plus the stored times in the windows around it.
 
-    Late times change the counts of the window after them, which are written again; `spike_counts` gives the current ones.
+    Time is cut into windows of `seconds`. A time counts in its own window and in the next one, so a batch reads the files
+    that may hold its windows and their neighbours, and writes the counts of its windows and the next ones again. What
+    lies between a late row and the newest is not touched. `spike_counts` gives the current counts.
     """
+    window = lambda column: floor_div(F.unix_micros(column), seconds * 1_000_000)
+    schema = "ts TIMESTAMP, slot LONG"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        times = batch.select(F.col(ts).cast("timestamp").alias("ts"))
-        span = times.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-        if span["a"] is None:
-            return
-        reach = dt.timedelta(seconds=seconds)
-        earlier, around = read_table(spark, f"{out}/times", "ts TIMESTAMP, event_date DATE"), times
+        times = batch.select(F.col(ts).cast("timestamp").alias("ts")).filter(F.col("ts").isNotNull())
+        times = stored(times.withColumn("slot", window(F.col("ts"))), "times")
+        own = stored(times.select("slot").distinct(), "slots")
+        shifted = lambda *by: stored(
+            own.select(F.explode(F.array(*[F.col("slot") + k for k in by])).alias("slot")).distinct(), "slots"
+        )
+        around = times
+        needed = shifted(-1, 0, 1)
+        earlier, _ = earlier_rows(needed, f"{out}/times", schema, ["slot"], "spikes", batch_id)
         if earlier is not None:
-            low, high = span["a"] - reach, span["b"] + reach
-            days = F.col("event_date").between(F.lit(low.date()), F.lit(high.date()))
-            near = earlier.filter(days & F.col("ts").between(F.lit(low), F.lit(high)) & (F.col("batch_id") != batch_id))
-            around = times.unionByName(near.select("ts"))
-        counts = sequences.rolling_counts(around, seconds, threshold, "ts")
-        touched = counts.filter(F.col("ts").between(F.lit(span["a"]), F.lit(span["b"] + reach)))
-        append_batch(times.withColumn("event_date", F.to_date("ts")), f"{out}/times", batch_id, ["event_date"])
+            near = lookup_join(earlier.select("ts", "slot"), needed, ["slot"], "left_semi", spread_by=["ts"])
+            around = times.unionByName(near)
+        counts = sequences.rolling_counts(around, seconds, threshold, "ts").withColumn("slot", window(F.col("ts")))
+        touched = lookup_join(counts, shifted(0, 1), ["slot"], "left_semi").drop("slot")
+        append_indexed(times, f"{out}/times", batch_id, ["slot"], "spikes")
         append_batch(touched, f"{out}/counts", batch_id)
 
     return for_each_batch(events, handle, checkpoint, trigger, "spikes")
@@ -425,16 +449,17 @@ def run_measured(stream: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE
     """Rows to a table, and the figures of each batch beside them."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        append_batch(batch, f"{out}/rows", batch_id)
-        append_batch(batch_figures(batch), f"{out}/figures", batch_id)
+        counted, figures = with_figures(batch)
+        append_batch(counted, f"{out}/rows", batch_id)
+        store_figures(batch.sparkSession, figures, f"{out}/figures", batch_id)
 
     return for_each_batch(stream, handle, checkpoint, trigger, name)
 
 
 def consumer_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Rows received and written in each batch of a consumer, from the figures it has written; of all batches."""
-    figures = read_table(spark, path, "total_received LONG, total_written LONG")
-    return figures.filter(F.col("total_received") > 0).select("batch_id", "total_received", "total_written")
+    """Rows received and written in each batch of a consumer, from the figures it has stored; of all batches."""
+    figures = spark.read.schema(f"total_received LONG, total_written LONG, {BATCH} LONG").json(path)
+    return figures.filter(F.col("total_received") > 0).select(BATCH, "total_received", "total_written")
 
 
 def spike_state(counts: DataFrame, as_of, ts: str = "ts", seconds: int = C.SPIKE_WINDOW_SECONDS,
