@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from fablens.functions import routing
+from fablens.operators import rollups
 from fablens.plans import bindings as B
-from fablens.plans.registry import query
+from fablens.plans.registry import CHECKS, query
 from fablens.plans.scoring_queries import SCORED_VIEWS, with_features
 from fablens.plans.sequence_queries import ALERT_VIEWS, DOC_COPIES, chain_sql
+from fablens.plans.table_queries import ROLLUP_END, ROLLUP_MACHINE, ROLLUP_START
 from fablens.session import scratch_path
 from fablens.sources import topics
 from fablens.sources.files import content_hash
-from fablens.streaming import jobs
+from fablens.streaming import jobs, stored_rollups
 from fablens.streaming.alerts import run_alerts, stream_alerts
 from fablens.streaming.tables import compact_batches, read_table
 
@@ -289,10 +291,10 @@ FROM ev GROUP BY 1, 2, 3""")
 
 
 def _rollup(spark, sf_dir, minutes):
-    out = scratch_path(spark, "rollup")
-    _finished(jobs.run_rollup(_reading_stream(spark, sf_dir), f"{out}/parts", f"{out}/checkpoint", minutes))
-    rollup = jobs.read_rollup(read_table(spark, f"{out}/parts"))
-    return rollup.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    out, rollup = scratch_path(spark, "rollup"), stored_rollups.tool_rollup(minutes)
+    _finished(stored_rollups.run_rollup(_reading_stream(spark, sf_dir), rollup, out, f"{out}/checkpoint"))
+    stored_rollups.refresh(spark, out, rollup, before=1)
+    return stored_rollups.read_rollup(spark, out, rollup).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @query("i5_rollup_5min", _rollup_sql("time_bucket(INTERVAL 5 MINUTE, ts)"))
@@ -305,6 +307,41 @@ def rollup_1hour(spark, sf_dir):
     return _rollup(spark, sf_dir, 60)
 
 
+def _kept_rollup(spark, sf_dir, rollup):
+    """Events in four batches with a refresh after the second; the last two come late, one more refresh leaves the end open."""
+    out, path = scratch_path(spark, "kept"), scratch_path(spark, "arrivals")
+    events, turn = B.events(spark, sf_dir), F.pmod(F.xxhash64("event_id"), F.lit(4))
+    for number in range(4):
+        events.filter(turn == number).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        _finished(stored_rollups.run_rollup(stream, rollup, out, f"{out}/checkpoint"))
+        if number in (1, 2):
+            end = None if number == 1 else dt.datetime.fromisoformat(B.AS_OF) - dt.timedelta(days=2)
+            stored_rollups.refresh(spark, out, rollup, before=number, end=end)
+    return out
+
+
+def _range():
+    return dt.datetime.fromisoformat(ROLLUP_START), dt.datetime.fromisoformat(ROLLUP_END)
+
+
+@query("e8_stored_rollup", CHECKS["e8_hourly_analytics"])
+def stored_hourly(spark, sf_dir):
+    """The hourly read from what is kept, after late events."""
+    rollup = stored_rollups.HOURLY_CATEGORY
+    rows = stored_rollups.read_rollup(spark, _kept_rollup(spark, sf_dir, rollup), rollup, *_range())
+    return rollups.read_hourly(rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")), ROLLUP_START, ROLLUP_END)
+
+
+@query("e9_stored_rollup", CHECKS["e9_machine_health"])
+def stored_machine_health(spark, sf_dir):
+    """The machine's days from what is kept, after late events."""
+    rollup = stored_rollups.DAILY_MACHINE
+    rows = stored_rollups.read_rollup(spark, _kept_rollup(spark, sf_dir, rollup), rollup, *_range())
+    rows = rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return rollups.machine_health(rows, ROLLUP_MACHINE, ROLLUP_START, ROLLUP_END)
+
+
 @query("f8_streaming_alerts", B.sql(*ALERT_VIEWS, select="SELECT * FROM alerts"))
 def streaming_alerts(spark, sf_dir):
     """Trend alerts while events arrive out of order by up to a day and a half, and some of them at the very end."""

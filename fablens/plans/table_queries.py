@@ -10,10 +10,10 @@ from fablens.plans.registry import query
 from fablens.plans.scoring_queries import SCORED_VIEWS, keyword_case
 from fablens.streaming.jobs import scored_events
 
-_START, _END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
+ROLLUP_START, ROLLUP_END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
 _AS_OF_SQL = f"TIMESTAMP '{B.AS_OF}'"
-_RANGE_SQL = f"ts BETWEEN TIMESTAMP '{_START}' AND TIMESTAMP '{_END}'"
-_MACHINE = "tool_ETCH-01"
+_RANGE_SQL = f"ts BETWEEN TIMESTAMP '{ROLLUP_START}' AND TIMESTAMP '{ROLLUP_END}'"
+ROLLUP_MACHINE = "tool_ETCH-01"
 
 
 # ---- joins -------------------------------------------------------------------------------------------------
@@ -166,7 +166,7 @@ def without_resolved(spark, sf_dir):
 @query("e1_category_severity", B.sql(B.EVENTS_SQL, select=f"""
 SELECT ai_category, severity, count(*) AS "count" FROM ev WHERE {_RANGE_SQL} GROUP BY ALL ORDER BY "count" DESC"""))
 def counts_by_category_severity(spark, sf_dir):
-    return rollups.counts_by_category_severity(B.events(spark, sf_dir), _START, _END)
+    return rollups.counts_by_category_severity(B.events(spark, sf_dir), ROLLUP_START, ROLLUP_END)
 
 
 @query("e2_severity_breakdown", B.sql(B.EVENTS_SQL, select="""
@@ -219,16 +219,16 @@ def hourly_tool_rollup(spark, sf_dir):
 
 
 @query("e8_hourly_analytics", B.sql(B.EVENTS_SQL, select=f"""
-SELECT * FROM ({_BY_HOUR}) WHERE bucket BETWEEN TIMESTAMP '{_START}' AND TIMESTAMP '{_END}' ORDER BY bucket DESC"""))
+SELECT * FROM ({_BY_HOUR}) WHERE bucket BETWEEN TIMESTAMP '{ROLLUP_START}' AND TIMESTAMP '{ROLLUP_END}' ORDER BY bucket DESC"""))
 def hourly_analytics(spark, sf_dir):
-    return rollups.read_hourly(rollups.hourly_category_rollup(B.events(spark, sf_dir), _START, _END), _START, _END)
+    return rollups.read_hourly(rollups.hourly_category_rollup(B.events(spark, sf_dir), ROLLUP_START, ROLLUP_END), ROLLUP_START, ROLLUP_END)
 
 
 @query("e9_machine_health", B.sql(B.EVENTS_SQL, select=f"""
-SELECT * FROM ({_BY_DAY}) WHERE source = '{_MACHINE}' AND bucket BETWEEN TIMESTAMP '{_START}' AND TIMESTAMP '{_END}'
+SELECT * FROM ({_BY_DAY}) WHERE source = '{ROLLUP_MACHINE}' AND bucket BETWEEN TIMESTAMP '{ROLLUP_START}' AND TIMESTAMP '{ROLLUP_END}'
 ORDER BY bucket DESC"""))
 def machine_health(spark, sf_dir):
-    return rollups.machine_health(rollups.daily_machine_rollup(B.events(spark, sf_dir), _START, _END), _MACHINE, _START, _END)
+    return rollups.machine_health(rollups.daily_machine_rollup(B.events(spark, sf_dir), ROLLUP_START, ROLLUP_END), ROLLUP_MACHINE, ROLLUP_START, ROLLUP_END)
 
 
 _STATS_SQL = """stats AS (
@@ -394,9 +394,9 @@ def events_detail(spark, sf_dir):
 
 
 @query("g2_machine_events", B.sql(B.EVENTS_SQL, select=f"""
-SELECT * FROM ev WHERE source = '{_MACHINE}' AND {_RANGE_SQL} ORDER BY ts DESC"""))
+SELECT * FROM ev WHERE source = '{ROLLUP_MACHINE}' AND {_RANGE_SQL} ORDER BY ts DESC"""))
 def machine_events(spark, sf_dir):
-    return listings.machine_events(B.events(spark, sf_dir), _MACHINE, _START, _END)
+    return listings.machine_events(B.events(spark, sf_dir), ROLLUP_MACHINE, ROLLUP_START, ROLLUP_END)
 
 
 @query("g4_category_detail", B.sql(B.EVENTS_SQL, select=f"""

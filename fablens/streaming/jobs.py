@@ -22,8 +22,7 @@ from fablens.operators import dedup, iforest, rollups, sequences
 from fablens.operators.joins import with_examples, with_rule
 from fablens.operators.skew import first_per_key, floor_div, lookup_join
 from fablens.sources.topics import encode_messages, write_messages
-from fablens.session import scratch_scope, stored
-from fablens.streaming.key_index import folder
+from fablens.session import scratch_scope, stored, write_text
 from fablens.streaming.tables import (
     BATCH, append_batch, append_if_absent, append_indexed, current_rows, earlier_rows, keep_last, read_table,
 )
@@ -120,10 +119,7 @@ def with_figures(batch: DataFrame, valid: Column | None = None) -> tuple[DataFra
 
 def store_figures(spark: SparkSession, counted: Observation, path: str, batch_id: int) -> None:
     """One small file per batch, written by the driver; a repeated batch writes it again."""
-    system, where = folder(spark, f"{path}/{BATCH}={batch_id}/figures.json")
-    out = system.create(where, True)
-    out.write(bytearray(json.dumps(counted.get).encode()))
-    out.close()
+    write_text(spark, f"{path}/{BATCH}={batch_id}/figures.json", json.dumps(counted.get))
 
 
 def run_fan_out(
@@ -305,39 +301,6 @@ def sliding_spikes(
     )
 
 
-_MEANS = {
-    "normalize_confidence": "avg_norm_conf", "temperature_k": "avg_temp_k", "pressure_pa": "avg_pressure_pa",
-    "rf_power_w": "avg_rf_power_w",
-}
-
-
-def run_rollup(readings: DataFrame, out: str, checkpoint: str, minutes: int, trigger=AVAILABLE_NOW) -> StreamingQuery:
-    """Tumbling partial rollups per batch, by tool and severity; `read_rollup` adds them up.
-
-    The newest buckets are there at once, and late rows add to theirs.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        level = F.col("severity")
-        sums = [a for c in _MEANS for a in (F.sum(F.col(c).cast("double")).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n"))]
-        parts = batch.groupBy(F.window("event_time", f"{minutes} minutes").alias("w"), "tool_id", "severity").agg(
-            F.count(F.lit(1)).alias("event_count"), F.count_if(level == "CRITICAL").alias("critical_count"),
-            F.count_if(level == "ERROR").alias("error_count"), *sums,
-        )
-        append_batch(parts.select(F.col("w.start").alias("bucket"), *[c for c in parts.columns if c != "w"]), out, batch_id)
-
-    return for_each_batch(readings, handle, checkpoint, trigger, f"rollup_{minutes}")
-
-
-def read_rollup(parts: DataFrame) -> DataFrame:
-    """The rollup that the parts written by run_rollup add up to."""
-    mean = lambda c: F.round(F.sum(f"{c}_sum") / F.nullif(F.sum(f"{c}_n"), F.lit(0)), 8)
-    total = lambda c: F.sum(c).alias(c)
-    return parts.groupBy("bucket", "tool_id", "severity").agg(
-        total("event_count"), total("critical_count"), total("error_count"), *[mean(c).alias(n) for c, n in _MEANS.items()]
-    )
-
-
 def run_append(stream: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW, name: str = "append") -> StreamingQuery:
     """Stream to a Parquet folder, exactly once."""
     return (

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fablens.operators.skew import first_per_key
-from fablens.session import remove_path, stored
+from fablens.session import read_text, remove_path, stored, write_text
 from fablens.streaming.key_index import (
     BATCH, batch_folders, files_that_may_hold, filters_of, folder, index_path, remove_filters, write_filters,
 )
@@ -146,10 +146,7 @@ def compact_batches(spark: SparkSession, path: str, run: str, keys: Sequence[str
     rows.coalesce(max(1, math.ceil(sum(sizes[b] for b in small) / target))).write.parquet(f"{staging}/rows")
     merged = spark.read.schema(rows.schema).parquet(f"{staging}/rows")
     filters_of(merged, keys, run, small[-1]).write.parquet(f"{staging}/keys")
-    system, where = folder(spark, f"{staging}/plan")
-    out = system.create(where, True)
-    out.write(bytearray(" ".join([*map(str, small), "end"]).encode()))
-    out.close()
+    write_text(spark, f"{staging}/plan", " ".join([*map(str, small), "end"]))
     finish_compaction(spark, path, run)
     return len(small)
 
@@ -157,12 +154,10 @@ def compact_batches(spark: SparkSession, path: str, run: str, keys: Sequence[str
 def finish_compaction(spark: SparkSession, path: str, run: str) -> None:
     """Carry out the plan of a compaction, if there is one."""
     staging = _staging(path, run)
-    system, plan = folder(spark, f"{staging}/plan")
-    if not system.exists(plan):
+    plan = read_text(spark, f"{staging}/plan")
+    if plan is None:
         return
-    source = system.open(plan)
-    words = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode().split()
-    source.close()
+    words, system = plan.split(), folder(spark, staging)[0]
     if words[-1:] == ["end"]:
         batches = [int(word) for word in words[:-1]]
         rows, keys = (folder(spark, f"{staging}/{name}")[1] for name in ("rows", "keys"))

@@ -10,7 +10,7 @@ from fablens.operators import dedup, iforest, rollups, sequences
 from fablens.plans import bindings as B
 from fablens.plans.scoring_queries import with_features
 from fablens.sources import topics
-from fablens.streaming import jobs
+from fablens.streaming import jobs, stored_rollups
 from fablens.streaming.tables import append_if_absent, read_table
 
 START = dt.datetime(2024, 1, 1)
@@ -61,6 +61,75 @@ def test_expired_hashes_register_anew(spark, tmp_path):
     assert values(got, "job_id") == [(0,), (30,), (60,), (90,)]
 
 
+def folders_read(df):
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def test_a_very_late_row_touches_its_own_window_and_hash(spark, tmp_path):
+    """One row ten years old: the stored rows of the days between are neither read nor written again."""
+    for number in range(3):
+        rows = [(f"h{number}-{i}", START + dt.timedelta(days=number, minutes=i), number * 50 + i) for i in range(50)]
+        spark.createDataFrame(rows, "file_hash string, ts timestamp, job_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if number == 1:
+            old = [("h0-0", START - dt.timedelta(days=3650), 999), (None, START - dt.timedelta(days=3650), 1000)]
+            spark.createDataFrame(old, "file_hash string, ts timestamp, job_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("file_hash string, ts timestamp, job_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        jobs.run_dedup(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        jobs.run_spikes(stream, str(tmp_path / "spikes"), str(tmp_path / "ck2")).awaitTermination()
+    files = spark.read.parquet(str(tmp_path / "in"))
+    columns = ["job_id", "original_job_id", "first_seen", "is_duplicate"]
+    none_first = lambda rows: sorted(rows, key=lambda r: r[0])
+    assert none_first(values_of(jobs.marked_files(spark, str(tmp_path / "out")), *columns)) == none_first(
+        values_of(dedup.mark_duplicates(files), *columns))
+    written = {r["batch_id"]: r["n"] for r in read_table(spark, str(tmp_path / "out/files")).groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
+    late = next(b for b, n in written.items() if n < 50)
+    assert written[late] == 3  # the two old rows, and the one of their hash
+    counts = read_table(spark, str(tmp_path / "spikes/counts"))
+    assert counts.filter(F.col("batch_id") == late).count() == 1
+    got = jobs.spike_counts(spark, str(tmp_path / "spikes"))
+    assert values(got, "ts", "window_count") == values(sequences.rolling_counts(files), "ts", "window_count")
+
+
+def test_refresh_writes_touched_days_only(spark, tmp_path):
+    rollup, out, path = stored_rollups.HOURLY_CATEGORY, str(tmp_path / "out"), str(tmp_path / "in")
+    schema = "ts timestamp, ai_category string, severity string"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        stored_rollups.run_rollup(stream, rollup, out, str(tmp_path / "ck")).awaitTermination()
+
+    def read(**bounds):
+        return stored_rollups.read_rollup(spark, out, rollup, **bounds)
+
+    def same():
+        whole = rollups.hourly_category_rollup(spark.read.parquet(path))
+        columns = ["bucket", "ai_category", "severity", "event_count"]
+        assert values(read(), *columns) == values(whole, *columns)
+
+    day = lambda d, h=0: START + dt.timedelta(days=d, hours=h)
+    arrive([(day(d, h), "c", "error") for d in range(5) for h in (1, 2, 2)])
+    same()
+    assert stored_rollups.refresh(spark, out, rollup, before=1, end=day(4)) == [day(d).date() for d in range(4)]
+    same()
+    arrive([(day(1, 2), "c", "ERROR"), (day(1, 7), "d", "info")])  # late
+    same()
+    assert stored_rollups.refresh(spark, out, rollup, before=2, end=day(4)) == [day(1).date()]
+    same()
+    # A read of one day opens its folder, the tail and nothing else.
+    assert len(folders_read(read(start=day(1), end=day(1, 23)))) == 2
+    arrive([(day(4, 2), "c", "error")])
+    same()
+    # Refreshing under the same number again, as after a stop, changes nothing.
+    state = tmp_path / "out" / "states"
+    assert stored_rollups.refresh(spark, out, rollup, before=3) == [day(4).date()]
+    last = max(int(p.name) for p in state.iterdir() if p.name.isdigit())
+    (state / str(last)).unlink()
+    same()
+    stored_rollups.refresh(spark, out, rollup, before=3)
+    same()
+
+
 @ORDERS
 def test_spikes_over_batches(spark, tmp_path, shuffled):
     rng = random.Random(6)
@@ -83,8 +152,9 @@ def test_rollups_over_batches(spark, tmp_path, shuffled):
     names = "event_time timestamp, tool_id string, severity string, normalize_confidence double, temperature_k double, pressure_pa double, rf_power_w double"
     readings = spark.createDataFrame(rows, names)
     stream = in_files(readings, str(tmp_path / "in"), 4, "event_time", shuffled)
-    jobs.run_rollup(stream, str(tmp_path / "out"), str(tmp_path / "ck"), 5).awaitTermination()
-    got = jobs.read_rollup(read_table(spark, str(tmp_path / "out")))
+    rollup = stored_rollups.tool_rollup(5)
+    stored_rollups.run_rollup(stream, rollup, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = stored_rollups.read_rollup(spark, str(tmp_path / "out"), rollup)
     want = rollups.five_minute_rollup(readings)
     columns = ["bucket", "tool_id", "severity", "event_count", "avg_norm_conf", "avg_temp_k", "avg_pressure_pa", "avg_rf_power_w"]
     assert sorted(map(repr, values_of(got, *columns))) == sorted(map(repr, values_of(want, *columns)))
