@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fablens.llm.common import numbered
 from fablens.session import stored
@@ -142,15 +143,14 @@ def pair_dictionary(words: DataFrame) -> DataFrame:
     nodes = inner.groupBy("forward", "key").agg(F.count(F.lit(1)).alias("words")).filter(F.col("words") > 1).drop("words")
     nodes = numbered(nodes, "nodes", "node").withColumn("node", F.col("node") + 1)
     placed = inner.join(nodes, ["forward", "key"]).unionByName(paths.filter(root).withColumn("node", F.lit(0).cast("long")))
-    skipped = F.when(F.col("forward"), F.col("at")).otherwise(F.col("at") - 1)
-    slots = placed.select("forward", "node", "id", "n", "fresh", F.explode(F.array(
-        F.struct(F.lit(SPLIT).alias("kind"), F.col("at").alias("slot")), F.struct(F.lit(SKIP).alias("kind"), skipped.alias("slot")),
+    # The suffix nodes at a prefix's own end and one letter further.
+    ends = Window.partitionBy("id").orderBy("at")
+    suffix = lambda step: F.max(F.when(~F.col("forward"), F.col("node"))).over(ends.rangeBetween(step, step))
+    met = placed.withColumns({"split": suffix(0), "skip": suffix(1)}).filter("forward")
+    pairs = met.select(F.col("node").alias("prefix"), "id", "n", "fresh", F.explode(F.array(
+        F.struct(F.lit(SPLIT).alias("kind"), F.col("split").alias("suffix")), F.struct(F.lit(SKIP).alias("kind"), F.col("skip").alias("suffix")),
     )).alias("s"))
-    own = lambda forward: F.max(F.when(F.col("forward") == forward, F.col("node")))
-    pairs = slots.groupBy("id", "s.kind", "s.slot").agg(
-        own(True).alias("prefix"), own(False).alias("suffix"), F.max("n").alias("n"), F.max("fresh").alias("fresh")
-    )
-    return pairs.filter(F.col("prefix").isNotNull() & F.col("suffix").isNotNull()).drop("slot")
+    return pairs.select("prefix", "s.suffix", "s.kind", "id", "n", "fresh").filter(F.col("suffix").isNotNull())
 
 
 def near_words(words: DataFrame) -> DataFrame:
