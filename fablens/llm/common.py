@@ -36,28 +36,35 @@ def text_print(text_column: str) -> Column:
 
 
 def _keyed(documents: DataFrame, id_column: str, mark: Column) -> DataFrame:
-    return documents.withColumns({"__id": F.col(id_column).cast("long"), "__print": mark})
+    """(row, id, print): the row as one struct, so that its columns may have any names."""
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns])
+    return documents.select(row.alias("row"), F.col(id_column).cast("long").alias("id"), mark.alias("print"))
+
+
+def _named(names: DataFrame, what: str) -> DataFrame:
+    """(name, name_print) of the rows that `names` lists by doc_id and print, stored, broadcast if they are few."""
+    return broadcast_if_small(stored(names.select(F.col("doc_id").alias("name"), F.col("print").alias("name_print")), what))
+
+
+def _same() -> Column:
+    return F.col("id").eqNullSafe(F.col("name")) & (F.col("print") == F.col("name_print"))
 
 
 def without(documents: DataFrame, gone: DataFrame, id_column: str, mark: Column) -> DataFrame:
     """`documents` without the rows that `gone` names by doc_id and print; `mark` computes the print. All columns stay."""
-    names = stored(gone.select(F.col("doc_id").alias("__gone"), F.col("print").alias("__gone_print")).distinct(), "gone")
-    names = broadcast_if_small(names)
-    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__print") == F.col("__gone_print"))
-    return _keyed(documents, id_column, mark).join(names, same, "left_anti").select(*documents.columns)
+    names = _named(gone.select("doc_id", "print").distinct(), "gone")
+    return _keyed(documents, id_column, mark).join(names, _same(), "left_anti").select("row.*")
 
 
 def one_of_each(documents: DataFrame, names: DataFrame, id_column: str, mark: Column) -> DataFrame:
     """`documents` with repeats of rows that `names` (doc_id, print) lists more than once cut to one row."""
     tied = names.groupBy("doc_id", "print").count().filter("count > 1")
-    tied = stored(tied.select(F.col("doc_id").alias("__tied"), F.col("print").alias("__tied_print")), "tied")
+    tied = _named(tied, "tied")
     if not tied.take(1):
         return documents
-    tied = broadcast_if_small(tied)
     keyed = _keyed(documents, id_column, mark)
-    same = F.col("__id").eqNullSafe(F.col("__tied")) & (F.col("__print") == F.col("__tied_print"))
-    once = keyed.join(tied, same, "left_semi").dropDuplicates(["__id", "__print"])
-    return keyed.join(tied, same, "left_anti").unionByName(once).select(*documents.columns)
+    once = keyed.join(tied, _same(), "left_semi").dropDuplicates(["id", "print"])
+    return keyed.join(tied, _same(), "left_anti").unionByName(once).select("row.*")
 
 
 def numbered(df: DataFrame, name: str, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ different documents lie GAP apart, so no phrase or neighbourhood reaches from on
 A query block of benchmark items is broadcast (its size is bounded by BLOCK_WORDS). Corpus-wide posting counts order each
 window's terms; every shard takes the posting list of the rarest term, shifted by its offset in the window, and intersects
 it with the shifted lists of the next rarer terms. What survives all of them are exact phrase matches. Proximity matches
-start from the postings of an item's rarest term and keep those with the item's other rare terms nearby. Benchmarks that
+start from the postings of an item's rarest term in the corpus and keep those with its other rare terms nearby. Benchmarks that
 are larger than one block take several passes over the index, never over the texts.
 
 Only terms of the benchmark are indexed if their number is checked to be small; otherwise all terms are. 64-bit hashes
@@ -36,6 +36,7 @@ BLOCK_WORDS = 1 << 20
 MAX_VOCABULARY = 1 << 21
 GAP = 64
 CANDIDATES = 1 << 20
+MIN_NEAR_TERMS = 3
 _INDEX = (
     "shard long, ids array<long>, prints array<long>, starts array<long>, lengths array<long>, "
     "terms binary, counts binary, gaps binary, gap_bytes long"
@@ -146,7 +147,9 @@ class Block:
         known = self.windows >= 0
         rarity = np.where(known, counts[np.maximum(self.windows, 0)] if len(counts) else 0, np.iinfo(np.int64).max)
         self.offsets = np.argsort(rarity, axis=1, kind="stable")
-        self.near = [w[np.argsort(counts[w], kind="stable")][: self.near_terms] for w in self.words_of_item]
+        known = [w[counts[w] > 0] for w in self.words_of_item]
+        rarest = [w[np.argsort(counts[w], kind="stable")][: self.near_terms] for w in known]
+        self.near = [w if len(w) >= MIN_NEAR_TERMS else w[:0] for w in rarest]
 
 
 def _counts(block):
@@ -322,8 +325,9 @@ def find_matches(
     """One row per document: doc_id, print (of its text), n_words, items, spans and near_items.
 
     items: ids with a window of `window` consecutive words in the document (a shorter item is one window); spans: the words
-    covered by them, merged, as [start, stop); near_items: ids whose `near_terms` rarest words in the corpus all occur
-    within `near_span` (at most GAP) words of an occurrence of the rarest.
+    covered by them, merged, as [start, stop); near_items: ids whose `near_terms` rarest words all occur within `near_span`
+    (at most GAP) words of an occurrence of the rarest. Words that the corpus does not have are left out; an item with
+    fewer than MIN_NEAR_TERMS others is never near.
     """
     if near_span >= GAP or window >= GAP:
         raise ValueError(f"window and near_span must be below {GAP}")

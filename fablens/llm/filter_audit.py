@@ -66,30 +66,38 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(size: int, most_rows: int):
     """Rows (at, doc_id, part, print, text) -> one row per shard: its documents and its matrix in local word numbers."""
-    for batch in (p for b in batches for p in portions(b, SHARD_BYTES, SHARD_ROWS)):
-        numbers: dict[bytes, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        columns, counts, ends, upper, symbols = [], [], [0], [], []
-        for text in batch.column(4):
-            data = text.as_py() or b""
-            found = [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in map(bytes.split, _pieces(data))]
-            own, times = np.unique(np.concatenate(found) if found else np.empty(0, np.int32), return_counts=True)
-            columns.append(own)
-            counts.append(times)
-            ends.append(ends[-1] + len(own))
-            points = len(data.translate(None, _CONTINUATION))
-            upper.append(100 * (len(data) - len(data.translate(None, _UPPER))) > MAX_UPPER_PERCENT * points)
-            symbols.append(len(data.translate(None, _SYMBOLS)) < len(data))
-        rows = pa.StructArray.from_arrays(
-            [*batch.columns[1:4], pa.array(upper), pa.array(symbols)], names=["doc_id", "part", "print", "fails_c", "fails_d"]
-        )
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0).slice(0, 1), _one(rows), _one(pa.array(ends, pa.int64())),
-            _one(pa.array(np.concatenate(columns), pa.int32())), _one(pa.array(np.concatenate(counts), pa.int32())),
-            pa.array([b" ".join(numbers)], pa.binary()), pa.array([len(numbers)], pa.int64()),
-        ], names=["shard", "rows", "ends", "local", "counts", "words", "n_words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in portions(b, size, most_rows)):
+            yield _shard(batch)
+
+    return run
+
+
+def _shard(batch: pa.RecordBatch) -> pa.RecordBatch:
+    numbers: dict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    columns, counts, ends, upper, symbols = [], [], [0], [], []
+    for text in batch.column(4):
+        data = text.as_py() or b""
+        found = [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in map(bytes.split, _pieces(data))]
+        own, times = np.unique(np.concatenate(found) if found else np.empty(0, np.int32), return_counts=True)
+        columns.append(own)
+        counts.append(times)
+        ends.append(ends[-1] + len(own))
+        points = len(data.translate(None, _CONTINUATION))
+        upper.append(100 * (len(data) - len(data.translate(None, _UPPER))) > MAX_UPPER_PERCENT * points)
+        symbols.append(len(data.translate(None, _SYMBOLS)) < len(data))
+    rows = pa.StructArray.from_arrays(
+        [*batch.columns[1:4], pa.array(upper), pa.array(symbols)], names=["doc_id", "part", "print", "fails_c", "fails_d"]
+    )
+    return pa.RecordBatch.from_arrays([
+        batch.column(0).slice(0, 1), _one(rows), _one(pa.array(ends, pa.int64())),
+        _one(pa.array(np.concatenate(columns), pa.int32())), _one(pa.array(np.concatenate(counts), pa.int32())),
+        pa.array([b" ".join(numbers)], pa.binary()), pa.array([len(numbers)], pa.int64()),
+    ], names=["shard", "rows", "ends", "local", "counts", "words", "n_words"])
 
 
 def _buckets(words: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +192,7 @@ def document_term_matrix(
     )
     row = _row_type(documents, id_column)
     shards = stored(own.mapInArrow(
-        _shards,
+        _shards(SHARD_BYTES, SHARD_ROWS),
         f"shard long, rows array<struct<{row}>>, ends array<long>, local array<int>, counts array<int>, words binary, n_words long",
     ), "shards")
     buckets = max(1, math.ceil((shards.agg(F.sum("n_words")).first()[0] or 0) / WORDS_PER_BUCKET))

@@ -8,12 +8,14 @@ Features of a text, all of it: its distinct words (lower case, ASCII letters and
 distinct beginnings of 4, 5 and 6 bytes of longer words, which catch inflected forms, and three shape figures. Words count
 by their 64-bit hashes; a model keeps at most FEATURES hashes, those with the strongest association with any category, and none that may be chance.
 
-Fitting uses a bounded sample of labelled rows, at most about `sample_rows`, drawn by a hash of the id; it is collected as
-word hashes. Prediction covers all rows. The cut for each category maximises F1 on the out-of-fold predictions.
+Fitting uses a bounded sample of labelled texts, about `sample_rows`, drawn by a hash of the id; if ids have many texts or
+these are long, by one of the text too (see `train`). It is collected as word hashes. Prediction covers all rows. The cut for each category maximises F1 on the out-of-fold predictions.
 
 Defined results: a null text is empty. Null labels leave a row out of that category's training; a category without both
 labels among the sample gets the constant share of its positives (0 if there are none) and never rejects. Labels join
-by id; null ids have no labels, repeated label rows are averaged and rounded, repeated documents are samples of their own.
+by id; null ids have no labels, repeated label rows are averaged and rounded, repeats of a document are one sample. Ids
+must be whole numbers. Very long texts are read whole, a portion at a time. Other columns are not looked at, whatever their
+names; `drop_toxic` keeps them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from fablens.llm.common import PLAIN_WORDS, broadcast_if_small, portions, text_p
 from fablens.session import stored
 
 SAMPLE_ROWS = 8192
+SAMPLE_BYTES = 256 << 20
 FEATURES = 8192
 # Chi-squared with one degree of freedom at a chance of 1e-7: one in a hundred for the best of 100,000 unrelated features.
 MIN_ASSOCIATION = 28.0
@@ -209,15 +212,29 @@ def train(
     id_column: str = "doc_id",
     text_column: str = "text",
     sample_rows: int = SAMPLE_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Chain:
-    """`categories`: name -> 0/1 column over `labels`, in the order of the chain."""
+    """`categories`: name -> 0/1 column over `labels`, in the order of the chain.
+
+    The driver gets the features of about `sample_rows` texts if each id has one, and of about twice as many and
+    `sample_bytes` bytes of text at most.
+    """
     known = labels.filter(F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("__id")).agg(
         F.array(*[F.round(F.avg(value)).cast("double") for value in categories.values()]).alias("__labels")
     )
     share = min(1.0, sample_rows / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     drawn = broadcast_if_small(stored(drawn, "labels"), 2 * sample_rows)
-    rows = documents.select(F.col(id_column).cast("long").alias("__id"), F.col(text_column).alias("__text")).join(drawn, "__id")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    own = documents.select(F.col(id_column).cast("long").alias("__id"), text_print(text_column).alias("__print"), text.alias("__text"))
+    # One row for each text of an id, however often it is repeated. An id may have very many texts, so they are drawn too.
+    texts = own.join(drawn, "__id").groupBy("__id", "__print").agg(F.max(F.octet_length("__text")).alias("__size"))
+    texts = stored(texts, "drawn-texts")
+    found = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("size")).first()
+    fits = min(1.0, 2 * sample_rows / max(1, found["n"]), sample_bytes / max(1, found["size"] or 0))
+    texts = texts.filter(F.pmod(F.xxhash64("__print", "__id"), F.lit(1 << 20)) < int(fits * (1 << 20))).drop("__size")
+    texts = broadcast_if_small(stored(texts.join(drawn, "__id"), "sample"), 3 * sample_rows)
+    rows = own.join(texts, ["__id", "__print"]).dropDuplicates(["__id", "__print"])
     sample = rows.select("__id", "__labels", "__text").mapInArrow(
         _extract, "doc_id long, labels array<double>, hashes array<long>, shape array<double>"
     ).toArrow()

@@ -162,7 +162,8 @@ def test_mix(documents, rows):
 def test_language_counts_and_scores(spark):
     texts = [("xx", "aba ab"), ("yy", "Cdc!! dc"), ("xx", "ab"), (None, "zz"), ("yy", None)]
     training = spark.createDataFrame(texts, "lang string, text string").repartition(3)
-    model = language_id.train(training)
+    learned = language_id.train(training)
+    model = next(learned.blocks())
     assert model.languages == ["xx", "yy"]
     # Brute force: count n-grams one by one.
     counts = np.zeros((2, language_id.BUCKETS)) + 0.5
@@ -176,7 +177,7 @@ def test_language_counts_and_scores(spark):
     assert model.weights == pytest.approx(np.log(counts / counts.sum(axis=1, keepdims=True)))
     assert model.prior == pytest.approx(np.log([2 / 3, 1 / 3]))
     asked = spark.createDataFrame([(1, "abab"), (2, "dcdc"), (3, None), (4, "12 !"), (5, "")], "doc_id long, text string")
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(asked, model, {"doc_id": F.col("doc_id")}).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(asked, learned, {"doc_id": F.col("doc_id")}).collect()}
     assert got[1][0] == "xx" and got[2][0] == "yy" and got[1][1] > 0.9
     assert got[3] == got[4] == got[5] == ("und", 0.0)
 
@@ -189,6 +190,26 @@ def test_language_pieces(monkeypatch, spark):
     assert [r.lang_pred for r in sorted(whole)] == ["xx", "yy", "yy"]
 
 
+def test_long_text_is_cut_between_words(monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", 5)
+    assert list(language_id._pieces("abcdefgh ij klmnop")) == ["abcdefgh", " ij k"[:5] + "lmnop"]
+    assert list(language_id._pieces("")) == []
+
+
+def test_more_languages_than_a_block(spark):
+    """1,000 languages, each with a word of its own: blocks give what one matrix gives."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3)) * 2
+    texts = [(f"l{i:04}", word(i)) for i in range(1000)]
+    training = spark.createDataFrame(texts, "lang string, text string")
+    asked = spark.createDataFrame([(i, word(i)) for i in range(0, 1000, 7)] + [(-1, None), (-2, "1 2")], "doc_id long, text string")
+    keep = {"doc_id": F.col("doc_id")}
+    whole = language_id.predict(asked, language_id.train(training, block_languages=1000), keep)
+    blocks = language_id.predict(asked, language_id.train(training, block_languages=300), keep)
+    as_rows = lambda df: sorted((r.doc_id, r.lang_pred, round(r.score, 5)) for r in df.collect())
+    assert as_rows(blocks) == as_rows(whole)
+    assert sum(r.lang_pred == f"l{r.doc_id:04}" for r in blocks.collect() if r.doc_id >= 0) > 120
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.train(documents.filter(~language_id.held_out()))
@@ -309,6 +330,37 @@ def test_toxicity_corners(documents, nothing, spark):
     assert toxicity.drop_toxic(nothing, labels).count() == 0
 
 
+def test_hot_label_id_is_a_bounded_sample(spark, monkeypatch):
+    """One labelled id holds most rows, with repeats and with texts of its own; what is collected stays bounded."""
+    rows = [(1, "same words again")] * 500 + [(1, f"other text {i}") for i in range(500)] + [(i, f"mild {i}") for i in range(2, 30)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(30)], "doc_id long, vile int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda found, *rest: seen.append(len(found)))
+    toxicity.train(documents, labels, {"vile": F.col("vile")}, sample_rows=40)
+    toxicity.train(documents, labels, {"vile": F.col("vile")}, sample_rows=1000)
+    toxicity.train(documents, labels, {"vile": F.col("vile")}, sample_rows=1000, sample_bytes=700)
+    assert 30 < seen[0] < 140 and seen[1] == 529 and 10 < seen[2] < 140
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the helper columns, and like fields of rows."""
+    odd = ["__id", "__print", "__gone", "__gone_print", "__tied", "id", "print", "row", "name", "name_print", "a.b", "`"]
+    base = spark.createDataFrame(
+        [(1, "Same text here"), (2, "same text here"), (3, "another one"), (3, "another one"), (None, None)], "doc_id long, text string"
+    )
+    documents = base.select("*", *[F.lit(f"v{i}").alias(name) for i, name in enumerate(odd)])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(9, "nothing of this kind")], "item_id long, text string")
+    for kept, n in (
+        (exact_dedup.drop_copies(documents), 3), (near_dedup.drop_near_copies(documents), 3),
+        (toxicity.drop_toxic(documents, labels), 5), (decontamination.drop_contaminated(documents, benchmark), 5),
+    ):
+        assert kept.columns == documents.columns
+        found = kept.collect()
+        assert len(found) == n and all(list(r)[2:] == [f"v{i}" for i in range(len(odd))] for r in found)
+
+
 # --- op6 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -663,7 +715,8 @@ def test_decontamination(documents, spark, monkeypatch, settings):
 
 
 def test_near_matches(documents, rows, spark):
-    items = [("a", "w1 w2 w3"), ("b", "zzz w1"), ("f", prose(105, 55))]
+    # Words that no document has do not count; an item of two known ones is never near.
+    items = [("a", "w1 w2 w3"), ("b", "zzz w1"), ("c", "zzz w1 yyy w2 w3 xxx vvv"), ("d", "w1 w2 zzz"), ("f", prose(105, 55))]
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     got = decontamination.find_matches(documents, benchmark, near_terms=3, near_span=60).select("doc_id", "near_items").collect()
     words = [PLAIN_WORD.findall(lower(t)) for _, t in rows]
@@ -676,7 +729,9 @@ def test_near_matches(documents, rows, spark):
     for (doc_id, _), own in zip(rows, words):
         near = []
         for name, text in items:
-            rare = sorted(set(text.split()), key=lambda w: (total.get(w, 0), hashed(w)))[:3]
+            rare = sorted({w for w in text.split() if w in total}, key=lambda w: (total[w], hashed(w)))[:3]
+            if len(rare) < 3:
+                continue
             places = [[i for i, w in enumerate(own) if w == r] for r in rare]
             if all(places) and any(all(min(abs(p - q) for q in other) <= 60 for other in places[1:]) for p in places[0]):
                 near.append(name)
