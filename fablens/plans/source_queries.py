@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from fablens.functions import standardize, text
 from fablens.operators.joins import alias_rules
 from fablens.plans import bindings as B
 from fablens.plans.registry import query
-from fablens.session import scratch_path
+from fablens.session import scratch_path, stored
 from fablens.sources import files as S
+from fablens.sources import large
 
 
 def _as_of():
@@ -210,14 +213,66 @@ def dump_load(spark, sf_dir):
     return S.read_dump(spark, path, rows.schema)
 
 
-@query("a17_replay_order", B.sql(B.FILES_SQL, select="""
-SELECT file_name, row_number() OVER (ORDER BY file_name) AS "position",
-       (row_number() OVER (ORDER BY file_name) - 1) // 25 AS batch
-FROM (SELECT replace(file_name, '.txt', CASE WHEN lang = 'en' THEN '.log' ELSE '.json' END) AS file_name FROM files)"""))
-def replay_order(spark, sf_dir):
-    suffix = F.when(F.col("lang") == "en", ".log").otherwise(".json")
-    names = B.files(spark, sf_dir).select(F.concat(F.replace("file_name", F.lit(".txt"), F.lit("")), suffix).alias("file_name"))
-    return S.numbered_batches(names, 25)
+@query("a16_dump_blocks", B.sql(B.EVENTS_SQL, select="""
+SELECT job_id, ts, source, message, CASE WHEN NOT requires_review THEN confidence_score END AS confidence_score,
+       requires_review FROM ev WHERE event_type <> 'view'"""))
+def dump_blocks(spark, sf_dir):
+    """One table of a dump with three, read in many splits; lines of another table look like headers and ends."""
+    rows = B.events(spark, sf_dir).filter(F.col("event_type") != "view").select(
+        "job_id", "ts", "source", "message",
+        F.when(~F.col("requires_review"), F.col("confidence_score")).alias("confidence_score"), "requires_review",
+    )
+    plain, path = scratch_path(spark, "dump"), scratch_path(spark, "dump-blocks")
+    S.write_dump(rows, plain)
+    head = "COPY public.{} ({}) FROM stdin;"
+    before = [
+        "-- seed data", "", head.format("notes", "note"), "first", head.format("events", "job_id, ts"), "\\.", "", "",
+        head.format("events", ", ".join(f'"{c}"' for c in rows.columns)),
+    ]
+    after = ["\\.", "", head.format("empty", "a, b"), "\\.", "-- end"]
+    lines = lambda texts, turn: spark.createDataFrame([(turn, i, t) for i, t in enumerate(texts)], "turn int, at long, line string")
+    body = spark.read.text(plain).select(F.lit(1).alias("turn"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    every = lines(before, 0).unionByName(body).unionByName(lines(after, 2))
+    # One file: the order of its lines is what the reader has to follow.
+    every.coalesce(1).sortWithinPartitions("turn", "at").select("line").write.text(path)
+    with small_splits(spark, 1 << 16):
+        table = large.read_dump_table(spark, path, "events", rows.schema)
+        return stored(table, "dump-table")
+
+
+@query("a4_large_array", B.sql(B.EVENTS_SQL, select="""
+SELECT event_id AS record_index, map(['n', 'who_name', 'tags', 'note'], [CAST(event_id AS VARCHAR), source, '["[","}"]', message || ' } ] , " \\']) AS fields
+FROM ev"""))
+def large_array(spark, sf_dir):
+    """One document with all events as its list, read in many splits; strings hold brackets, quotes and backslashes."""
+    record = F.to_json(F.struct(
+        F.col("event_id").alias("n"), F.struct(F.col("source").alias("name")).alias("who"), F.array(F.lit("["), F.lit("}")).alias("tags"),
+        F.concat("message", F.lit(' } ] , " \\')).alias("note"),
+    ))
+    events = B.events(spark, sf_dir)
+    first = events.agg(F.min("event_id")).first()[0]
+    rows = events.select("event_id", F.concat(F.when(F.col("event_id") > first, ",").otherwise(""), record).alias("line"))
+    edges = spark.createDataFrame([(-1, '{"made": {"by": "["}, "events": ['), (1 << 60, '], "more": [1, 2]}')], "event_id long, line string")
+    path = scratch_path(spark, "document")
+    rows.unionByName(edges).coalesce(1).sortWithinPartitions("event_id").select("line").write.text(path)
+    with small_splits(spark, 1 << 16):
+        parsed = stored(large.read_json_documents(spark, path), "records")
+    fields = [F.col("raw_fields").getItem(name).alias(name) for name in ("n", "who_name", "tags", "note")]
+    return parsed.select(F.col("record_index").cast("long").alias("record_index"), *fields)
+
+
+@contextmanager
+def small_splits(spark, size):
+    """Files are cut into splits of `size` bytes inside, so that small ones have many."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 # Byte-wise patterns over the hex form of the first 500 bytes: the detection acts on bytes.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType, StringType, StructField, StructType
 
 from fablens.functions.standardize import computed_once, detect_format, line_fields
-from fablens.operators.skew import OrderedGroups, first_per_key
+from fablens.operators.skew import first_per_key
 
 _LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{0085}\x{2028}\x{2029}]"
 
@@ -68,13 +68,6 @@ def register_raw_logs(
     return first_per_key(rows, ["job_id", "timestamp"], ["file_name", "file_hash"])
 
 
-def numbered_batches(files: DataFrame, batch_size: int, name: str = "file_name") -> DataFrame:
-    """Number the json, log, csv and xml files in name order and cut them into batches."""
-    kept = files.filter(F.lower(F.substring_index(name, ".", -1)).isin("json", "log", "csv", "xml"))
-    numbered = OrderedGroups(kept, [], [name]).evaluate(number="position")
-    return numbered.withColumn("batch", F.floor((F.col("position") - 1) / F.lit(batch_size)))
-
-
 # Levels of nested objects that are flattened by expressions; deeper records go through a function.
 _NATIVE_LEVELS = 2
 
@@ -441,33 +434,11 @@ def read_dump(spark: SparkSession, path: str | Sequence[str], schema: StructType
     r"""Tab-separated table dump: \N is null, an empty cell the empty text, t and f are booleans, \. ends a block."""
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     lines = spark.read.option("lineSep", "\n").text(path).filter(F.col("value") != "\\.")
-    return _dump_rows(lines, fields)
-
-
-def dump_blocks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Lines of a dump file of several tables: table, columns and value, from each COPY ... FROM stdin block.
-
-    A block is read as one value, as the names of its table stand in its first line only.
-    """
-    blocks = spark.read.option("lineSep", "\n\\.\n").text(path)
-    copy = r"(?is)(?:^|.*?\n)COPY\s+(\S+)\s*\(([^)]*)\)\s+FROM\s+stdin[^\n]*;(?:\n(.*))?$"
-    named = blocks.filter(F.regexp_like("value", F.lit(copy))).select(
-        F.regexp_extract("value", copy, 1).alias("table"),
-        F.split(F.regexp_replace(F.regexp_extract("value", copy, 2), r"\s", ""), ",").alias("columns"),
-        F.regexp_extract("value", copy, 3).alias("_body"),
-        F.regexp_like("value", F.lit(r"(?i)FROM\s+stdin[^\n]*;$")).alias("_empty"),
-    )
-    return named.filter(~F.col("_empty")).select("table", "columns", F.explode(F.split("_body", "\n", -1)).alias("value"))
-
-
-def read_dump_table(spark: SparkSession, path: str | Sequence[str], table: str, schema: StructType | str) -> DataFrame:
-    """One table of a dump file of several. `schema` lists its columns in the order of the block."""
-    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    blocks = dump_blocks(spark, path).filter(F.element_at(F.split("table", r"\."), -1) == table)
-    return _dump_rows(blocks.select("value"), fields)
+    return dump_rows(lines, fields)
 
 
-def _dump_rows(lines: DataFrame, fields: StructType) -> DataFrame:
+def dump_rows(lines: DataFrame, fields: StructType) -> DataFrame:
+    """Rows of a table from the lines (value) of its dump."""
     cells = lines.select(F.split("value", "\t", -1).alias("cells"))
     # A backslash pair must not be taken for the start of an escape, so it is set aside first.
     mark = "\x00"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fablens.functions import classify, scoring, standardize
 from fablens.operators.joins import alias_rules
 from fablens.sources import files as S
+from fablens.sources import large
 
 AS_OF = dt.datetime(2024, 5, 1)
 
@@ -199,11 +200,11 @@ def test_dump_of_several_tables(spark, tmp_path):
     with open(path, "w") as out:
         out.write("SET x = 1;\n\nCOPY public.marks (id, word) FROM stdin;\n1\ta\n2\t\\N\n\\.\n\nCOPY public.none (id) FROM stdin;\n\\.\n"
                   "-- next\nCOPY public.words (word) FROM stdin;\nb\n\nc\n\\.\n\nSELECT 1;\n")
-    got = S.read_dump_table(spark, path, "marks", "id int, word string").orderBy("id").collect()
+    got = large.read_dump_table(spark, path, "marks", "id int, word string").orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "a"), (2, None)]
-    words = S.read_dump_table(spark, path, "words", "word string").collect()
+    words = large.read_dump_table(spark, path, "words", "word string").collect()
     assert sorted(r["word"] for r in words) == ["", "b", "c"]
-    assert S.read_dump_table(spark, path, "none", "id int").count() == 0
+    assert large.read_dump_table(spark, path, "none", "id int").count() == 0
 
 
 def test_small_functions(spark):
