@@ -240,9 +240,9 @@ def dump_blocks(spark, sf_dir):
         return stored(table, "dump-table")
 
 
-@query("a4_large_array", B.sql(B.EVENTS_SQL, select="""
-SELECT event_id AS record_index, map(['n', 'who_name', 'tags', 'note'], [CAST(event_id AS VARCHAR), source, '["[","}"]', message || ' } ] , " \\']) AS fields
-FROM ev"""))
+@query("a4_large_array", B.sql(B.EVENTS_SQL, select=r"""
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS record_index, CAST(event_id AS VARCHAR) AS n, source AS who_name,
+  '["[","}"]' AS tags, message || ' } ] , " \' AS note FROM ev"""))
 def large_array(spark, sf_dir):
     """One document with all events as its list, read in many splits; strings hold brackets, quotes and backslashes."""
     record = F.to_json(F.struct(

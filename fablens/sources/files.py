@@ -179,7 +179,7 @@ def parse_json_logs(df: DataFrame, text: str) -> DataFrame:
     """
     doc = F.col(text)
     # A failed parse is costly, so each document is tried only as what its first character allows.
-    begins = lambda c, brace: F.ltrim(c).startswith(brace)
+    begins = lambda c, brace: F.ltrim(c, F.lit(" \t\r\n")).startswith(brace)
     as_object = lambda c: F.when(begins(c, "{"), F.from_json(c, "MAP<STRING,VARIANT>"))
     member = F.get(F.filter(F.map_entries("_object"), lambda e: _is_array(e["value"])), F.lit(0))["key"]
     list_text = F.when(begins(doc, "["), doc).when(

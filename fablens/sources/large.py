@@ -301,10 +301,11 @@ def _fragments(states, window: int):
             high = last if split[1] == last_split else end if split[1] < last_split else start
             low, high = max(low, start), min(high, end)
             borders = places[(letters == _COMMA) & (depths == level + 1)] + offset
-            borders = borders[(borders > low) & (borders < high)]
             opens = split[1] == first_split and start <= first < end
+            edge = low if opens else low - 1
+            borders = borders[(borders > edge) & (borders < high)]
             if low < high or opens:
-                cuts = np.r_[low if opens else low - 1, borders, high]
+                cuts = np.r_[edge, borders, high]
                 number = k + int(opens) + np.arange(len(cuts) - 1)
                 texts = [data[a + 1 - offset:b - offset] for a, b in zip(cuts, cuts[1:])]
                 k, n = int(number[-1]), len(texts)
