@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping, Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,34 +46,18 @@ def detect_format(content: Column, hint: Column | None = None, sniff_bytes: int
     return F.when(known.isin(C.FILE_FORMATS), known).otherwise(sniffed)
 
 
-# Up to so many aliases of a field are tried by an expression each.
-_ALIASES_AS_EXPRESSIONS = 40
-
-
-def resolve_field(raw: Column, field: str, rule_aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """Value of a canonical field in the raw map: rule aliases first, then the built-in ones, ignoring case.
+def resolve_field(raw: Column, field: str) -> Column:
+    """Value of a canonical field in the raw map, by the built-in aliases, ignoring case.
 
     The first alias that occurs wins, and among keys that differ only in case the first in record order.
     """
-    aliases = [*(rule_aliases or {}).get(field, []), *C.FIELD_ALIASES[field]]
     entries = F.filter(F.map_entries(raw), lambda e: e["value"].isNotNull())
 
     def value_of(alias: str) -> Column:
         named = F.filter(entries, lambda e: F.lower(e["key"]) == F.lit(alias.lower()))
         return F.get(named, F.lit(0))["value"]
 
-    if len(aliases) <= _ALIASES_AS_EXPRESSIONS:
-        return F.coalesce(*[value_of(alias) for alias in aliases])
-    # Many aliases are one constant map to their places in the list; the entry with the smallest place wins.
-    places: dict[str, int] = {}
-    for place, alias in enumerate(aliases):
-        places.setdefault(alias.lower(), place)
-    known = F.from_json(F.lit(json.dumps(places)), "map<string,int>")
-    ranked = F.filter(
-        F.transform(entries, lambda e, i: F.struct(F.try_element_at(known, F.lower(e["key"])).alias("place"), i.alias("i"), e["value"].alias("value"))),
-        lambda r: r["place"].isNotNull(),
-    )
-    return F.array_min(ranked)["value"]
+    return F.coalesce(*[value_of(alias) for alias in C.FIELD_ALIASES[field]])
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -116,10 +97,17 @@ def canonical_record(
     df: DataFrame,
     as_of: Column,
     raw: str = "raw_fields",
-    rule_aliases: Mapping[str, Sequence[str]] | None = None,
+    rule_fields: str | None = None,
 ) -> DataFrame:
-    """Add the canonical fields resolved from the raw map column. `as_of` replaces missing timestamps."""
-    field = lambda name: resolve_field(F.col(raw), name, rule_aliases)
+    """Add the canonical fields resolved from the raw map column. `as_of` replaces missing timestamps.
+
+    `rule_fields` is a column that maps fields to the values that aliases of the rules have found (`joins.with_rule_fields`);
+    these come before the built-in aliases.
+    """
+    def field(name: str) -> Column:
+        own = resolve_field(F.col(raw), name)
+        return own if rule_fields is None else F.coalesce(F.try_element_at(F.col(rule_fields), F.lit(name)), own)
+
     message = F.coalesce(F.nullif(field("message"), F.lit("")), F.try_element_at(F.col(raw), F.lit("raw_line")), F.lit(""))
     return df.select("*", computed_once(
         F.coalesce(parse_timestamp(field("timestamp")), as_of.cast("timestamp")).alias("timestamp"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fablens import constants as C
 from fablens.functions.classify import equipment_class, keyword_category
-from fablens.operators.skew import is_small, lookup_join
+from fablens.operators.skew import MAX_BROADCAST_ROWS, hot_keys, is_small, lookup_join
 from fablens.session import stored
 
 _EVENT_ID = ["job_id", "event_id"]
@@ -93,13 +93,24 @@ def with_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("has_rule", F.coalesce("has_rule", F.lit(False)))
 
 
-def alias_rules(rules: DataFrame) -> dict[str, list[str]]:
-    """Rule aliases per canonical field, from rows (field, alias) of a configuration table, in the order of the alias."""
-    kept = rules.filter(F.col("field").isin(list(C.FIELD_ALIASES)) & F.col("alias").isNotNull()).select("field", "alias").distinct()
-    aliases: dict[str, list[str]] = {field: [] for field in C.FIELD_ALIASES}
-    for row in kept.orderBy("field", "alias").toLocalIterator():
-        aliases[row["field"]].append(row["alias"])
-    return aliases
+def with_rule_fields(records: DataFrame, rules: DataFrame, raw: str = "raw_fields") -> DataFrame:
+    """Records with `rule_fields`: the values that aliases of a configuration table (field, alias) find, by field.
+
+    Keys of the raw map are joined with the aliases, ignoring case. Of several aliases of a field that occur the first in
+    order wins, among keys that differ only in case the first in record order; null values do not count.
+    """
+    kept = rules.filter(F.col("field").isin(list(C.FIELD_ALIASES)) & F.col("alias").isNotNull())
+    per_key = kept.groupBy(F.lower("alias").alias("_key"), "field").agg(F.min("alias").alias("alias"))
+    # One row per key, with at most one entry per canonical field.
+    by_key = stored(per_key.groupBy("_key").agg(F.collect_list(F.struct("field", "alias")).alias("_named")), "aliases")
+    own = stored(records.withColumn("_record", F.monotonically_increasing_id()), "records")
+    entries = own.select("_record", F.posexplode(F.map_entries(raw)).alias("_at", "_entry")).filter(F.col("_entry.value").isNotNull())
+    entries = entries.select("_record", "_at", F.lower("_entry.key").alias("_key"), F.col("_entry.value").alias("_value"))
+    found = lookup_join(entries, by_key, ["_key"], "inner", spread_by=["_record"])
+    found = found.select("_record", "_at", "_value", F.explode("_named").alias("_named"))
+    first = found.groupBy("_record", "_named.field").agg(F.min_by("_value", F.struct("_named.alias", "_at")).alias("_value"))
+    fields = first.groupBy("_record").agg(F.map_from_entries(F.collect_list(F.struct("field", "_value"))).alias("rule_fields"))
+    return own.join(fields, "_record", "left").drop("_record")
 
 
 def catalog_match(events: DataFrame, catalog: DataFrame, spread_by: Sequence[str] = ("event_id",)) -> DataFrame:
@@ -108,30 +119,56 @@ def catalog_match(events: DataFrame, catalog: DataFrame, spread_by: Sequence[str
     return lookup_join(events, catalog, keys, "inner", spread_by=spread_by)
 
 
-# Steps into which the values of a catalog are cut, if it is too large to broadcast.
-_RANGE_STEPS = 256
+# Rows of readings per segment of their group, and the number of segments of a group at most.
+SEGMENT_ROWS = 1_000_000
+MAX_SEGMENTS = 1024
+_GROUP = ["vendor_id", "field_name"]
+
+
+def with_segments(readings: DataFrame, segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Readings with `_segment`, and the cuts (vendor_id, field_name, _cuts) between segments of about equal depth.
+
+    The cuts are quantiles of each group's own values, from sketches that tasks fill and Spark merges; a group has as many
+    segments as its rows ask for. So readings that crowd in a narrow range are spread like any others. A value that is
+    itself frequent stays in one segment; such segments are salted by the join.
+    """
+    steps = F.array(*[F.lit(k / MAX_SEGMENTS) for k in range(1, MAX_SEGMENTS)])
+    groups = readings.groupBy(*_GROUP).agg(
+        F.count("value").alias("_n"), F.percentile_approx(F.col("value").cast("double"), steps, 10 * MAX_SEGMENTS).alias("_quantiles")
+    )
+    stride = F.greatest(F.lit(1), F.floor(F.lit(MAX_SEGMENTS * segment_rows) / F.greatest(F.col("_n"), F.lit(1))))
+    cuts = F.array_sort(F.array_distinct(F.filter("_quantiles", lambda q, i: (i + 1) % stride == 0)))
+    cuts = stored(groups.select(*_GROUP, F.coalesce(cuts, F.array().cast("array<double>")).alias("_cuts")), "cuts")
+    placed = lookup_join(readings, cuts, _GROUP, "inner", spread_by=["value"])
+    return placed.withColumn("_segment", _segment("value")).drop("_cuts"), cuts
+
 
+def _segment(value: str) -> Column:
+    """Number of cuts that are not above the value."""
+    return F.size(F.filter("_cuts", lambda cut: cut <= F.col(value)))
 
-def catalog_range_match(readings: DataFrame, catalog: DataFrame) -> DataFrame:
+
+def catalog_range_match(
+    readings: DataFrame, catalog: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS, segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
     """Numeric form of the match: (vendor, field name) equal and the value inside [low, high).
 
-    A large catalog is joined on a step of the value as well: each range goes to the steps it touches, so that a vendor
-    with very many readings is spread over its values and no reading meets all ranges of its vendor.
+    A large catalog is joined by segments of the values: each range goes to the segments it touches, so that a vendor with
+    very many readings is spread, wherever they lie, and no reading meets all ranges of its vendor.
     """
     inside = (F.col("value") >= F.col("low")) & (F.col("value") < F.col("high"))
-    if is_small(catalog):
-        return readings.join(F.broadcast(catalog), ["vendor_id", "field_name"]).filter(inside)
-    finite = F.when(F.abs("low") < 1e300, F.col("low"))
-    span = catalog.agg(F.min(finite).alias("low"), F.max(finite).alias("high")).first()
-    low, high = span["low"] or 0.0, span["high"] or 0.0
-    width = max((high - low) / _RANGE_STEPS, 1e-300)
-
-    def step(value: Column) -> Column:
-        inner = F.floor((value - F.lit(low)) / F.lit(width)).cast("int")
-        return F.when(value >= high, _RANGE_STEPS).when(value <= low, 0).otherwise(inner)
-
-    spread = catalog.filter(F.col("low") < F.col("high")).withColumn("_step", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
-    return readings.withColumn("_step", step(F.col("value"))).join(spread, ["vendor_id", "field_name", "_step"]).filter(inside).drop("_step")
+    if is_small(catalog, max_broadcast_rows):
+        return readings.join(F.broadcast(catalog), _GROUP).filter(inside)
+    placed, cuts = with_segments(stored(readings, "readings"), segment_rows)
+    ranges = lookup_join(catalog.filter(F.col("low") < F.col("high")), cuts, _GROUP, "inner", spread_by=["low", "high"])
+    ranges = ranges.withColumn("_segment", F.explode(F.sequence(_segment("low"), _segment("high")))).drop("_cuts")
+    keys = [*_GROUP, "_segment"]
+    hot = stored(hot_keys(placed, keys, 2 * segment_rows), "hot-segments")
+    rest = [c for c in readings.columns if c not in _GROUP]
+    salted = placed.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_salts")), F.lit(0)).cast("int"))
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    spread = ranges.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
+    return salted.drop("_salts").join(spread, [*keys, "_salt"]).filter(inside).drop("_segment", "_salt")
 
 
 def approved_pool(events: DataFrame, statuses: DataFrame, limit: int = C.POOL_LIMIT) -> DataFrame:

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from fablens.functions import standardize, text
-from fablens.operators.joins import alias_rules
+from fablens.operators.joins import with_rule_fields
 from fablens.plans import bindings as B
 from fablens.plans.registry import query
 from fablens.session import scratch_path, stored
@@ -322,8 +322,12 @@ def nested_flatten(spark, sf_dir):
 _RECORD_COLUMNS = ["event_id", "record_index", "timestamp", "source", "event_type", "severity", "message"]
 
 
-def _canonical(parsed, rule_aliases=None):
-    records = standardize.canonical_record(parsed.filter(F.col("error").isNull()), _as_of(), rule_aliases=rule_aliases)
+def _canonical(parsed, rules=None):
+    good = parsed.filter(F.col("error").isNull())
+    if rules is None:
+        records = standardize.canonical_record(good, _as_of())
+    else:
+        records = standardize.canonical_record(with_rule_fields(good, rules), _as_of(), rule_fields="rule_fields")
     return records.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).select(*_RECORD_COLUMNS)
 
 
@@ -376,7 +380,7 @@ def alias_rule_lookup(spark, sf_dir):
         F.when(F.col("r_regionkey") == 0, "MACHINE_ID").when(F.col("r_regionkey") == 1, "log_level")
         .when(F.col("r_regionkey") == 2, "level").otherwise("x").alias("alias"),
     )
-    return _canonical(_json_records(spark, sf_dir), alias_rules(given))
+    return _canonical(_json_records(spark, sf_dir), given)
 
 
 @query("b3_xml_merge", B.sql(B.EVENTS_SQL, select="""

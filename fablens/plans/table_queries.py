@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from fablens.operators import categories, joins, listings, review, rollups
 from fablens.plans import bindings as B
 from fablens.plans.registry import query
 from fablens.plans.scoring_queries import SCORED_VIEWS, keyword_case
+from fablens.session import scratch_path, stored
+from fablens.streaming import retention as partitions
 from fablens.streaming.jobs import scored_events
 
 ROLLUP_START, ROLLUP_END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
@@ -130,12 +134,14 @@ def catalog_match(spark, sf_dir):
     return joins.catalog_match(part, _catalog(spark, sf_dir), spread_by=["p_partkey"]).drop("field_name")
 
 
-@query("c10_catalog_range_match", """
+_BANDS_SQL = """
 WITH bands AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 20.0 ELSE 30.0 END AS cut FROM supplier)
 SELECT l_orderkey, l_linenumber, l_suppkey AS vendor_id, l_quantity AS value,
   CASE WHEN l_quantity < cut THEN 'P1' ELSE 'P0' END AS priority
-FROM lineitem JOIN bands ON s_suppkey = l_suppkey WHERE l_quantity >= 10.0""")
-def catalog_range_match(spark, sf_dir):
+FROM lineitem JOIN bands ON s_suppkey = l_suppkey WHERE l_quantity >= 10.0"""
+
+
+def _range_match(spark, sf_dir, **settings):
     cut = F.when(F.col("s_acctbal") < 0, 20.0).otherwise(30.0)
     bands = B.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("vendor_id"), F.lit("quantity").alias("field_name"),
@@ -148,10 +154,21 @@ def catalog_range_match(spark, sf_dir):
         "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("vendor_id"), F.lit("quantity").alias("field_name"),
         F.col("l_quantity").alias("value"),
     )
-    matched = joins.catalog_range_match(rows, bands)
+    matched = joins.catalog_range_match(rows, bands, **settings)
     return matched.select("l_orderkey", "l_linenumber", "vendor_id", "value", "priority")
 
 
+@query("c10_catalog_range_match", _BANDS_SQL)
+def catalog_range_match(spark, sf_dir):
+    return _range_match(spark, sf_dir)
+
+
+@query("c10_range_segments", _BANDS_SQL)
+def range_segments(spark, sf_dir):
+    """The form for a catalog that is too large to broadcast."""
+    return _range_match(spark, sf_dir, max_broadcast_rows=0, segment_rows=100)
+
+
 @query("c11_without_resolved", B.sql(B.EVENTS_SQL, B.JOBS_SQL, select="""
 SELECT event_id, job_id, source FROM ev WHERE requires_review
   AND job_id NOT IN (SELECT job_id FROM jobs WHERE status <> 'pending')"""))
@@ -415,6 +432,23 @@ def queue_page(spark, sf_dir):
     return listings.queue_page(queue, 25, 50).select("event_id", "job_id", "ts")
 
 
+@query("g5_keyset_page", B.sql(B.EVENTS_SQL, B.JOBS_SQL, select="""
+SELECT w AS way, event_id, job_id, ts FROM (SELECT event_id, job_id, ts, row_number() OVER (ORDER BY ts DESC, event_id) AS n
+  FROM ev LEFT JOIN jobs USING (job_id) WHERE requires_review AND coalesce(status, 'pending') = 'pending'),
+  (VALUES ('next', 51, 75), ('jump', 301, 325)) t(w, low, high) WHERE n BETWEEN low AND high"""))
+def keyset_page(spark, sf_dir):
+    """The third page, by the last item of the second one; and a later page, by the counts per day."""
+    queue = joins.pending_reviews(B.events(spark, sf_dir), B.jobs(spark, sf_dir), sort=False)
+    after = None
+    for _ in range(2):
+        last = listings.queue_page_after(queue, 25, after).orderBy("ts", F.desc("event_id")).first()
+        after = (last["ts"], last["event_id"])
+    per_day = stored(listings.items_per_day(queue), "items-per-day")
+    pages = {"next": listings.queue_page_after(queue, 25, after), "jump": listings.queue_page_at(queue, per_day, 25, 300)}
+    found = [page.select(F.lit(way).alias("way"), "event_id", "job_id", "ts") for way, page in pages.items()]
+    return found[0].unionByName(found[1])
+
+
 # ---- categories, retention and updates -----------------------------------------------------------------------
 
 @query("h2_add_categories", """
@@ -452,6 +486,25 @@ def retention(spark, sf_dir):
     return listings.retained(B.events(spark, sf_dir), B.AS_OF, 7).select("event_id", "ts")
 
 
+@query("i7_partition_drop", B.sql(B.EVENTS_SQL, select=f"""
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN CAST(ts AS DATE) < CAST({_AS_OF_SQL} AS DATE) - 14 THEN 'deleted'
+    WHEN CAST(ts AS DATE) < CAST({_AS_OF_SQL} AS DATE) - 7 THEN 'hidden' ELSE 'kept' END AS state,
+  CASE WHEN CAST(ts AS DATE) < CAST({_AS_OF_SQL} AS DATE) - 7 THEN 0 ELSE count(*) END AS n_rows
+FROM ev GROUP BY CAST(ts AS DATE)"""))
+def partition_drop(spark, sf_dir):
+    """Retention of seven days, run a week ago and now: which days are gone, which are hidden, and the rows that stay."""
+    path, as_of = scratch_path(spark, "retained"), dt.date.fromisoformat(B.AS_OF[:10])
+    events = B.events(spark, sf_dir).withColumn("event_date", F.to_date("ts"))
+    events.select("event_id", "event_date").write.partitionBy("event_date").parquet(path)
+    partitions.drop_expired(spark, path, as_of - dt.timedelta(days=7), 7)
+    done = partitions.drop_expired(spark, path, as_of, 7)
+    state = F.when(F.col("day").isin(done["deleted"]), "deleted").when(F.col("day").isin(done["hidden"]), "hidden").otherwise("kept")
+    left = partitions.read_retained(spark, path).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+    days = events.select(F.col("event_date").alias("day")).distinct()
+    joined = days.join(left, F.col("day") == F.col("event_date"), "left")
+    return joined.select(F.col("day").cast("string").alias("day"), state.alias("state"), F.coalesce("n", F.lit(0)).alias("n_rows"))
+
+
 _LAST_DECISION = """last_decision AS (
   SELECT job_id, max_by(decision, (decided_at, decision_id)) AS decision, max_by(category, (decided_at, decision_id)) AS
     new_category, max_by(coalesce(severity, ''), (decided_at, decision_id)) AS new_severity,

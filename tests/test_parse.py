@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fablens.functions import classify, scoring, standardize
-from fablens.operators.joins import alias_rules
+from fablens.operators import joins
+from fablens.operators.skew import lookup_join
 from fablens.sources import files as S
 from fablens.sources import large
 
@@ -105,11 +106,18 @@ def test_json_repeated_keys_and_long_numbers(spark):
 def test_many_alias_rules(spark):
     aliases = [f"name{i:05d}" for i in range(20_000)]
     table = spark.createDataFrame([("source", a) for a in aliases], "field string, alias string")
-    rules = alias_rules(table)
-    assert rules["source"] == aliases
-    parsed = S.parse_json_logs(documents(spark, '{"NAME19999":"late","name00007":"early","source":"own"}', '{"source":"own"}'), "doc")
-    got = standardize.canonical_record(parsed, F.lit(AS_OF), rule_aliases=rules).orderBy("id").collect()
-    assert [r["source"] for r in got] == ["early", "own"]
+    more = spark.createDataFrame([("severity", "NAME00007"), ("source", "Name00009"), ("other", "x"), (None, "x"), ("source", None)], table.schema)
+    docs = documents(
+        spark, '{"NAME19999":"late","name00007":"early","source":"own"}', '{"source":"own"}', '{"name00001":null,"Name00009":"a","name00009":"b"}', "[]",
+    )
+    parsed = S.parse_json_logs(docs, "doc")
+    for small in (True, False):  # the aliases are broadcast, or joined with their hot keys salted
+        with pytest.MonkeyPatch.context() as patch:
+            if not small:
+                patch.setattr(joins, "lookup_join", lambda *a, **k: lookup_join(*a, **k, max_broadcast_rows=0, max_group_rows=1))
+            found = joins.with_rule_fields(parsed, table.unionByName(more))
+            got = standardize.canonical_record(found, F.lit(AS_OF), rule_fields="rule_fields").orderBy("id").collect()
+        assert [(r["id"], r["source"], r["severity"]) for r in got] == [(0, "early", "info"), (1, "own", "info"), (2, "a", "info")]
 
 
 def test_csv(spark):
@@ -233,7 +241,7 @@ def test_file_readers(spark, tmp_path):
 
 
 def test_opaque_vendor_message(spark):
-    message = "ALMID=0x4F2A GRP=DCBX MOD=PM3 CHNL=03 VAL=+237 THR=100 UNIT=mV SEQ=449812 RCP=ETCH_HBR_V4"
+    message = "almid 17, unit B, feed hbr low, step 5 of 9"
     got = spark.range(1).select(classify.keyword_category(F.lit(message)).alias("c")).first()["c"]
     assert got == "gas_leak"  # 'hbr' stands in an earlier group than 'almid'
 
