@@ -1,8 +1,9 @@
 """Isolation forest (Liu, Ting and Zhou, 2008): fit on small seeded samples, score in vectorised batches.
 
-Fitting needs 256 rows per tree, whatever the size of the data. Each row has one seeded hash for every ten trees; those ten
-read it from starting points a tenth of its range apart, so that their samples are drawn without replacement. Of each
-tree's candidates the 256 with the smallest draw are kept. A tree is built from
+Fitting needs 256 rows per tree, whatever the size of the data. Each row has one seeded number for every thirteen trees,
+four of them from one hash; those thirteen read it from starting points a thirteenth of its range apart, so that their
+samples are drawn without replacement. A comparison of each number tells first whether any tree may draw the row; only such
+rows go on. Of each tree's candidates the 256 with the smallest draw are kept. A tree is built from
 its 256 rows in one Python call, trees run in parallel. The model, at most 511 nodes per tree, is a small table
 that is sent to the scoring tasks.
 """
@@ -24,9 +25,9 @@ NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int,
 _EULER_GAMMA = 0.5772156649015329
 # Candidates per tree, as a multiple of the sample size: far above the spread of a binomial draw.
 _OVERSAMPLING = 1.5
-# Draws are below _RANGE; the trees that share a hash read it _STEP apart.
-_TREES_PER_HASH, _RANGE = 10, 1 << 32
-_STEP = _RANGE // _TREES_PER_HASH
+# Draws are below _RANGE; the trees that share a number read it _STEP apart. A hash has four numbers of eight digits.
+_TREES_PER_NUMBER, _NUMBERS_PER_HASH, _RANGE = 13, 4, 1 << 32
+_STEP = _RANGE // _TREES_PER_NUMBER
 
 
 def _mean_path(size: np.ndarray | float) -> np.ndarray:
@@ -48,21 +49,29 @@ def tree_samples(
     """
     fraction = min(1.0, _OVERSAMPLING * sample / max(rows, 1))
     limit = math.ceil(fraction * _RANGE)
-    hashes = [
-        F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(f"{group}|{seed}"))), 1, 8), 16, 10).cast("long")
-        for group in range(math.ceil(trees / _TREES_PER_HASH))
-    ]
+    numbers = math.ceil(trees / _TREES_PER_NUMBER)
+    row_hash = lambda h: F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(f"{h}|{seed}")))
+    hashes = {f"_hash{h}": row_hash(h) for h in range(math.ceil(numbers / _NUMBERS_PER_HASH))}
+
+    def number(n: int) -> Column:
+        h, at = divmod(n, _NUMBERS_PER_HASH)
+        return F.conv(F.substring(f"_hash{h}", 1 + 8 * at, 8), 16, 10).cast("long")
 
     def drawn(value: Column, group: Column) -> Column:
-        places = F.sequence(F.lit(0), F.lit(_TREES_PER_HASH - 1))
+        places = F.sequence(F.lit(0), F.lit(_TREES_PER_NUMBER - 1))
         draws = F.transform(places, lambda k: F.struct(
-            (group * _TREES_PER_HASH + k).alias("tree"), ((value + k.cast("long") * _STEP) % _RANGE).alias("draw")
+            (group * _TREES_PER_NUMBER + k).alias("tree"), ((value + k.cast("long") * _STEP) % _RANGE).alias("draw")
         ))
         return F.filter(draws, lambda d: (d["draw"] < limit) & (d["tree"] < trees))
 
-    # The hashes are a column of their own, so that none is worked out again for each tree.
-    hashed = df.select(F.col(row_id).alias("row_id"), F.col(features).alias("features"), F.array(*hashes).alias("_hashes"))
-    candidates = hashed.select("row_id", "features", F.inline(F.flatten(F.transform("_hashes", drawn))))
+    # Hashes and numbers are columns of their own, so that none is worked out again for each tree.
+    own = df.select(F.col(row_id).alias("row_id"), F.col(features).alias("features"))
+    hashed = own.withColumns(hashes).select("row_id", "features", F.array(*[number(n) for n in range(numbers)]).alias("_numbers"))
+    # A draw below the limit leaves a rest below it, or at most what the steps leave of the range beyond it.
+    rest = _RANGE - _STEP * _TREES_PER_NUMBER
+    if limit + rest < _STEP:
+        hashed = hashed.filter(F.exists("_numbers", lambda v: v % _STEP < limit + rest))
+    candidates = hashed.select("row_id", "features", F.inline(F.flatten(F.transform("_numbers", drawn))))
     if earlier is not None:
         candidates = candidates.unionByName(earlier.select("row_id", "features", "tree", "draw"))
     # A fixed number of tasks: the rows are few, but growing a tree takes time.

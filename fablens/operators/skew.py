@@ -38,17 +38,18 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 
 
 def is_small(table: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> bool:
-    """True if `table` has at most `rows` rows, and texts and arrays of at most `size` bytes in them."""
-    if not has_at_most(table, rows):
-        return False
+    """True if `table` has at most `rows` rows, and texts and arrays of at most `size` bytes in them.
+
+    One pass tells: the widths of at most rows + 1 rows are fetched, partitions a few at a time as in `has_at_most`.
+    """
     wide = [f.name for f in table.schema if f.dataType.typeName() in ("string", "binary")]
     nested = [f.name for f in table.schema if f.dataType.typeName() in ("array", "map", "struct", "variant")]
     widths = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in wide]
     widths += [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)) for c in nested]
     if not widths:
-        return True
-    total = table.agg(F.sum(reduce(lambda a, b: a + b, widths)).alias("n")).first()["n"]
-    return (total or 0) <= size
+        return has_at_most(table, rows)
+    found = table.select(reduce(lambda a, b: a + b, widths).alias("n")).limit(rows + 1).collect()
+    return len(found) <= rows and sum(r["n"] for r in found) <= size
 
 
 def spread_scan(scan: DataFrame) -> DataFrame:

@@ -264,10 +264,10 @@ def forest_fit(spark, sf_dir):
 @query("k1_tree_samples", B.sql(B.EVENTS_SQL, select="""
 SELECT tree, event_id AS row_id, draw FROM (
   SELECT *, row_number() OVER (PARTITION BY tree ORDER BY draw, event_id) AS n FROM (
-    SELECT event_id, g * 10 + k AS tree,
-      (CAST('0x' || substr(md5(event_id || '|' || g || '|42'), 1, 8) AS BIGINT) + k * 429496729) % 4294967296 AS draw
-    FROM ev, (SELECT unnest(range(10)) AS g), (SELECT unnest(range(10)) AS k)))
-WHERE n <= 256"""))
+    SELECT event_id, g * 13 + k AS tree,
+      (CAST('0x' || substr(md5(event_id || '|' || g // 4 || '|42'), 1 + 8 * (g % 4), 8) AS BIGINT) + k * 330382099) % 4294967296 AS draw
+    FROM ev, (SELECT unnest(range(8)) AS g), (SELECT unnest(range(13)) AS k)))
+WHERE n <= 256 AND tree < 100"""))
 def tree_samples(spark, sf_dir):
     """The rows each tree is grown on."""
     rows = with_features(B.events(spark, sf_dir))
