@@ -1,11 +1,13 @@
 """License scans: ordered signature rules over a text's words.
 
 A text becomes its words (lower case, ASCII letters and digits and anything beyond ASCII) joined by single spaces. Rules are
-regular expressions over that string, built from the families below and some templates: identifiers, names with versions,
-grants, and sentences of the license texts themselves. A rule runs only if its keywords occur, which one Aho-Corasick pass
+regular expressions over that string, built from the families below and some templates: identifiers and the operands of
+their expressions, license fields, names with versions, grants, and sentences of the license texts themselves. A rule runs only if its keywords occur, which one Aho-Corasick pass
 tells. Detections are ordered by priority, then length, then place; one whose words lie within those of an earlier one is
 suppressed. The base phrases are found by themselves and are never suppressed.
 
+A "+" behind a version is no letter and is not seen: GPL-2.0+ is read as GPL-2.0.
+
 Defined results: a null text has no words. Rows that repeat an id, or a whole row, are scanned one by one. Other columns are
 not looked at. Whole texts are scanned; memory is a batch of rows plus a few times one text.
 """
@@ -101,7 +103,7 @@ SENTENCES = (
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", "copyright"),
 )
 # Priority and confidence of each template.
-IDENTIFIER, VERSIONED, SENTENCE, GRANT, NAME = (5, 1.0), (4, 0.95), (3, 0.9), (2, 0.8), (1, 0.6)
+IDENTIFIER, OPERAND, FIELD, VERSIONED, SENTENCE, GRANT, NAME = (5, 1.0), (5, 0.9), (5, 0.9), (4, 0.95), (3, 0.9), (2, 0.8), (1, 0.6)
 BASE_CONFIDENCE = 0.6
 
 
@@ -125,16 +127,24 @@ def rules() -> tuple[Rule, ...]:
     for label, names, versions, keywords in FAMILIES:
         spoken = label.replace("-", " ")
         add(label, rf"spdx license identifier {spoken}", ("spdx",), IDENTIFIER)
+        # A field of a manifest or header, and a later operand of an identifier's expression.
+        add(label, rf"licen[sc]e {spoken}", ("licen",), FIELD)
+        add(label, rf"(?:or|and) {spoken}", ("spdx",), OPERAND)
         add(label, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{names})", keywords, GRANT)
         add(label, names, keywords, NAME)
         for version in versions:
             dotted, short = version.replace(" ", "."), re.sub(r" 0$", "(?: 0)?", version)
             if " " not in version:
                 version = short = rf"{version}(?: 0)?"
-            named = rf"(?:{names})(?: licen[sc]e)?(?: international| unported)?(?: version| v)? ?{short}"
+            # The version stands behind a space or a v, also as one word with the name: gpl 3, gpl v3, gplv3.
+            named = rf"(?:{names})(?: licen[sc]e)?(?: international| unported)?(?: version| v|v)? ?{short}"
             later = r" (?:or (?:\(?at your option\)? )?(?:any )?|and (?:\(?at your option\)? )?any )later(?: version)?"
             add(f"{label}-{dotted}", rf"spdx license identifier {spoken} {version}(?: only)?", ("spdx",), IDENTIFIER)
             add(f"{label}-{dotted}-or-later", rf"spdx license identifier {spoken} {version} or later", ("spdx",), IDENTIFIER)
+            add(f"{label}-{dotted}", rf"licen[sc]e {spoken} {version}(?: only)?", ("licen",), FIELD)
+            add(f"{label}-{dotted}-or-later", rf"licen[sc]e {spoken} {version} or later", ("licen",), FIELD)
+            add(f"{label}-{dotted}", rf"(?:or|and) {spoken} {version}(?: only)?", ("spdx",), OPERAND)
+            add(f"{label}-{dotted}-or-later", rf"(?:or|and) {spoken} {version} or later", ("spdx",), OPERAND)
             add(f"{label}-{dotted}", named, keywords, VERSIONED)
             add(f"{label}-{dotted}-or-later", named + later, keywords, VERSIONED)
     for label, pattern, keyword in SENTENCES:
