@@ -21,6 +21,7 @@ from fablens.sources import topics
 from fablens.sources.files import content_hash
 from fablens.streaming import jobs, stored_rollups
 from fablens.streaming.alerts import run_alerts, stream_alerts
+from fablens.streaming.ingest import run_ingest
 from fablens.streaming.tables import compact_batches, read_table
 
 _AS_OF_SQL = f"TIMESTAMP '{B.AS_OF}'"
@@ -370,6 +371,53 @@ def feedback_scoring(spark, sf_dir):
     )
 
 
+@query("p3_files_to_topics", B.sql(*SCORED_VIEWS, select="""
+SELECT event_id, CASE WHEN event_id % 50 = 7 THEN 'error' WHEN event_id % 10 = 3 AND event_id > first THEN 'duplicate'
+    ELSE coalesce(topic, 'review') END AS outcome,
+  CASE WHEN event_id % 50 <> 7 AND (event_id % 10 <> 3 OR event_id = first) THEN round(exact_confidence, 8) END AS confidence
+FROM routed, (SELECT min(event_id) AS first FROM ev)"""))
+def files_to_topics(spark, sf_dir):
+    """A file per event, some broken and some a copy of the one before, to messages, review, errors and duplicates."""
+    out, path = scratch_path(spark, "ingest"), scratch_path(spark, "uploads")
+    events = B.events(spark, sf_dir)
+    document = F.to_json(F.struct(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "source", "event_type", "severity",
+        "message", F.col("ai_category").alias("category"), F.col("ai_recommended_action").alias("action"), "confidence_score",
+    ))
+    texts = events.select("event_id", F.when(F.col("event_id") % 50 == 7, F.concat(F.lit("{"), document)).otherwise(document).alias("content"))
+    before = texts.select((F.col("event_id") + 1).alias("event_id"), F.col("content").alias("copied"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    files = texts.join(before, "event_id", "left").select(
+        F.col("event_id").alias("job_id"), (start + F.make_dt_interval(secs=F.col("event_id").cast("decimal(18,6)"))).alias("ts"),
+        F.when(F.col("event_id") % 10 == 3, F.coalesce("copied", "content")).otherwise(F.col("content")).alias("content"),
+    )
+    files.repartitionByRange(3, "job_id").write.parquet(path)
+    B.rules(spark, sf_dir).write.parquet(f"{out}/rules")
+
+    def given(records):
+        """The category and confidence that the file itself brings."""
+        field = lambda name: F.try_element_at("raw_fields", F.lit(name))
+        return records.withColumns({
+            "ai_category": field("category"), "ai_recommended_action": field("action"),
+            "confidence_score": field("confidence_score").cast("double"),
+        })
+
+    stream = spark.readStream.schema("job_id LONG, ts TIMESTAMP, content STRING").option("maxFilesPerTrigger", 2).parquet(path)
+    _finished(run_ingest(stream, lambda s: s.read.parquet(f"{out}/rules"), out, f"{out}/checkpoint", _as_of(), classify=given))
+    marked = jobs.marked_files(spark, out).filter("is_duplicate")
+    sent = topics.decode_messages(spark.read.schema(topics.MESSAGE_SCHEMA).parquet(f"{out}/topics"))
+    review = read_table(spark, f"{out}/review")
+    outcome = lambda rows, name, confidence: rows.select(
+        F.col("job_id").cast("long").alias("event_id"), name.alias("outcome"), F.round(confidence, 8).alias("confidence")
+    )
+    none, confidence = F.lit(None).cast("double"), F.col("ai_normalized.confidence")
+    parts = [
+        outcome(marked, F.lit("duplicate"), none), outcome(read_table(spark, f"{out}/errors"), F.lit("error"), none),
+        outcome(sent, F.col("topic"), confidence), outcome(review, F.lit("review"), confidence),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("i10_consumer_metrics", "SELECT 0::BIGINT AS batch_id, count(*) AS total_received, count(*) AS total_written FROM events")
 def consumer_metrics(spark, sf_dir):
     out = scratch_path(spark, "metrics")

@@ -212,25 +212,32 @@ def run_dedup(files: DataFrame, out: str, checkpoint: str, trigger=AVAILABLE_NOW
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("file_hash", F.col("ts").cast("timestamp").alias("ts"), F.col("job_id").cast("long").alias("job_id"))
-        rows, seen = stored(rows, "rows"), None
-        earlier, _ = earlier_rows(rows, f"{out}/files", _FILES, ["file_hash"], "dedup", batch_id)
-        if earlier is not None:
-            told = rows.filter(F.col("file_hash").isNotNull() & F.col("ts").isNotNull())
-            first = told.groupBy("file_hash").agg(F.min("ts").alias("first"))
-            history = lookup_join(earlier.drop("run"), stored(first, "first"), ["file_hash"], "inner", spread_by=["job_id"])
-            history = stored(current_rows(history, ["job_id"]), "history")
-            before = history.filter(~F.col("is_duplicate") & F.col("first_seen").isNotNull() & (F.col("ts") < F.col("first")))
-            last = before.groupBy("file_hash").agg(F.max(F.struct("first_seen", "job_id")).alias("r"))
-            seen = last.select("file_hash", "r.job_id", "r.first_seen")
-            after = history.filter(F.col("ts") >= F.col("first")).select("file_hash", "ts", "job_id")
-            rows = rows.unionByName(after).dropDuplicates(["job_id"])
-        marked = dedup.mark_duplicates(rows, seen=seen, ttl_seconds=ttl)
-        append_indexed(marked, f"{out}/files", batch_id, ["file_hash"], "dedup")
+        mark_batch(batch, out, batch_id, ttl)
 
     return for_each_batch(files, handle, checkpoint, trigger, "dedup")
 
 
+def mark_batch(batch: DataFrame, out: str, batch_id: int, ttl: int = C.DEDUP_TTL_SECONDS) -> DataFrame:
+    """One batch of run_dedup; returns what it has written: the marks of its files, and of those that they change."""
+    rows = batch.select("file_hash", F.col("ts").cast("timestamp").alias("ts"), F.col("job_id").cast("long").alias("job_id"))
+    rows, seen = stored(rows, "rows"), None
+    earlier, _ = earlier_rows(rows, f"{out}/files", _FILES, ["file_hash"], "dedup", batch_id)
+    if earlier is not None:
+        told = rows.filter(F.col("file_hash").isNotNull() & F.col("ts").isNotNull())
+        first = told.groupBy("file_hash").agg(F.min("ts").alias("first"))
+        history = lookup_join(earlier.drop("run"), stored(first, "first"), ["file_hash"], "inner", spread_by=["job_id"])
+        history = stored(current_rows(history, ["job_id"]), "history")
+        before = history.filter(~F.col("is_duplicate") & F.col("first_seen").isNotNull() & (F.col("ts") < F.col("first")))
+        last = before.groupBy("file_hash").agg(F.max(F.struct("first_seen", "job_id")).alias("r"))
+        seen = last.select("file_hash", "r.job_id", "r.first_seen")
+        after = history.filter(F.col("ts") >= F.col("first")).select("file_hash", "ts", "job_id")
+        rows = rows.unionByName(after).dropDuplicates(["job_id"])
+    marked = dedup.mark_duplicates(rows, seen=seen, ttl_seconds=ttl)
+    marked = stored(marked, "marked")
+    append_indexed(marked, f"{out}/files", batch_id, ["file_hash"], "dedup")
+    return marked
+
+
 def marked_files(spark: SparkSession, out: str) -> DataFrame:
     """The current marks that run_dedup has written."""
     return current_rows(read_table(spark, f"{out}/files", f"{_FILES}, run STRING").drop("run"), ["job_id"])

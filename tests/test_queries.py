@@ -4,10 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fablens.plans.catalog import CHECKS, QUERIES
 from tools.check import TABLES, rows_of
 
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def db(sf_dir):
@@ -37,4 +36,5 @@ def test_entry(spark):
 
 
 def test_every_check_has_a_query():
-    assert set(CHECKS) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(CHECKS) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries())
