@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next one's
 docs. All but the last keep the columns of documents; the last returns one row per document with the words the mix takes.
+
+Defined results: a null text counts as empty in every stage; it is toxic to no rule, one of its copies stays, it is near
+nothing and holds no benchmark passage. A null id is kept as such. Rows that repeat id and text are copies of one another:
+exact dedup leaves one. Of equal texts the row with the largest id stays, of a group of near copies the one with the
+smallest; ties go by a print of the text. Empty tables pass through all stages; without labels nothing is toxic, without
+benchmark items nothing is contaminated. Other columns are kept, whatever their names, up to the last stage. Ids must be
+whole numbers.
 """
 
 from __future__ import annotations
