@@ -138,7 +138,7 @@ def _number(table: pa.Table) -> pa.Table:
 
 
 def _encode(buckets: int):
-    """Shards with their codes by bucket -> the same matrices with global columns, ascending in each row."""
+    """Shards with their codes by bucket -> the same matrices with global columns, each once in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +150,8 @@ def _encode(buckets: int):
                 if len(order):
                     first, own = codes.field("first").to_numpy(), codes.field("numbers")
                     number[order] = np.repeat(first, own.value_lengths().to_numpy()) + own.flatten().to_numpy()
-                ends, columns = ends.to_numpy(), number[local.to_numpy()]
-                sort = np.lexsort((columns, np.repeat(np.arange(len(rows)), np.diff(ends))))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(k, 1), _one(rows), _one(pa.array(ends)), _one(pa.array(columns[sort])),
-                    _one(pa.array(counts.to_numpy()[sort])),
+                    batch.column(0).slice(k, 1), _one(rows), _one(ends), _one(pa.array(number[local.to_numpy()])), _one(counts),
                 ], names=["shard", "rows", "ends", "columns", "counts"])
 
     return run
@@ -181,7 +178,7 @@ def document_term_matrix(
 ) -> tuple[DataFrame, DataFrame]:
     """(matrix, dictionary): CSR shards (shard, rows, ends, columns, counts) and the words in the order of their numbers.
 
-    Row i of a shard has the entries ends[i] to ends[i + 1] of `columns` (word numbers, ascending) and `counts`. A row of
+    Row i of a shard has the entries ends[i] to ends[i + 1] of `columns` (word numbers, each once) and `counts`. A row of
     the dictionary (first, size, words) has `size` words, joined by blanks, with the numbers from `first` on.
     """
     own = documents.select(

@@ -249,7 +249,7 @@ def test_matrix_has_the_words_of_its_rows(spark, monkeypatch):
     for shard in matrix.collect():
         for i, document in enumerate(shard["rows"]):
             own = slice(shard["ends"][i], shard["ends"][i + 1])
-            assert shard["columns"][own] == sorted(set(shard["columns"][own]))
+            assert len(shard["columns"][own]) == len(set(shard["columns"][own]))
             counted = {words[c]: n for c, n in zip(shard["columns"][own], shard["counts"][own])}
             assert counted == Counter(w.decode() for w in texts[document["doc_id"]].encode().split())
             seen += 1
