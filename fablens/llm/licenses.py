@@ -114,22 +114,24 @@ class Rule:
     keywords: frozenset[str]
     priority: int
     confidence: float
+    also: str = ""  # a keyword that must occur besides
 
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     found = []
 
-    def add(label, pattern, keywords, kind):
+    def add(label, pattern, keywords, kind, also=""):
         whole = re.compile(rb"(?:(?<= )|^)(?:" + pattern.encode() + rb")(?= |$)")
-        found.append(Rule(label, whole, frozenset(keywords), *kind))
+        found.append(Rule(label, whole, frozenset(keywords), *kind, also))
 
     for label, names, versions, keywords in FAMILIES:
         spoken = label.replace("-", " ")
         add(label, rf"spdx license identifier {spoken}", ("spdx",), IDENTIFIER)
         # A field of a manifest or header, and a later operand of an identifier's expression.
-        add(label, rf"licen[sc]e {spoken}", ("licen",), FIELD)
-        add(label, rf"(?:or|and) {spoken}", ("spdx",), OPERAND)
+        field, operand = (f"license {spoken}", f"licence {spoken}"), (f"or {spoken}", f"and {spoken}")
+        add(label, rf"licen[sc]e {spoken}", field, FIELD)
+        add(label, rf"(?:or|and) {spoken}", operand, OPERAND, "spdx")
         add(label, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{names})", keywords, GRANT)
         add(label, names, keywords, NAME)
         for version in versions:
@@ -141,10 +143,10 @@ def rules() -> tuple[Rule, ...]:
             later = r" (?:or (?:\(?at your option\)? )?(?:any )?|and (?:\(?at your option\)? )?any )later(?: version)?"
             add(f"{label}-{dotted}", rf"spdx license identifier {spoken} {version}(?: only)?", ("spdx",), IDENTIFIER)
             add(f"{label}-{dotted}-or-later", rf"spdx license identifier {spoken} {version} or later", ("spdx",), IDENTIFIER)
-            add(f"{label}-{dotted}", rf"licen[sc]e {spoken} {version}(?: only)?", ("licen",), FIELD)
-            add(f"{label}-{dotted}-or-later", rf"licen[sc]e {spoken} {version} or later", ("licen",), FIELD)
-            add(f"{label}-{dotted}", rf"(?:or|and) {spoken} {version}(?: only)?", ("spdx",), OPERAND)
-            add(f"{label}-{dotted}-or-later", rf"(?:or|and) {spoken} {version} or later", ("spdx",), OPERAND)
+            add(f"{label}-{dotted}", rf"licen[sc]e {spoken} {version}(?: only)?", field, FIELD)
+            add(f"{label}-{dotted}-or-later", rf"licen[sc]e {spoken} {version} or later", field, FIELD)
+            add(f"{label}-{dotted}", rf"(?:or|and) {spoken} {version}(?: only)?", operand, OPERAND, "spdx")
+            add(f"{label}-{dotted}-or-later", rf"(?:or|and) {spoken} {version} or later", operand, OPERAND, "spdx")
             add(f"{label}-{dotted}", named, keywords, VERSIONED)
             add(f"{label}-{dotted}-or-later", named + later, keywords, VERSIONED)
     for label, pattern, keyword in SENTENCES:
@@ -159,6 +161,7 @@ def _keywords():
     automaton = ahocorasick.Automaton()
     for word in {k for rule in rules() for k in rule.keywords} | {phrase for phrase, _ in BASE}:
         automaton.add_word(word, word)
+    automaton.add_word("spdx", "spdx")
     automaton.make_automaton()
     return automaton
 
@@ -214,7 +217,7 @@ def scan(text: str | None) -> dict:
             at = words.find(wanted, at + 1)
     if present:
         for number, rule in enumerate(rules()):
-            if rule.keywords & present:
+            if rule.keywords & present and (not rule.also or rule.also in present):
                 raw += [(m.start(), m.end(), number) for m in rule.pattern.finditer(words)]
     every = rules()
     kept = _uncontained(raw)
