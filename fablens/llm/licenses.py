@@ -1,12 +1,13 @@
 """License scans: ordered signature rules over a text's words.
 
 A text becomes its words (lower case, ASCII letters and digits and anything beyond ASCII) joined by single spaces. Rules are
-regular expressions over that string, built from the families below and some templates: identifiers and the operands of
-their expressions, license fields, names with versions, grants, and sentences of the license texts themselves. A rule runs only if its keywords occur, which one Aho-Corasick pass
-tells. Detections are ordered by priority, then length, then place; one whose words lie within those of an earlier one is
+regular expressions over that string. Those written by hand (`license_rules.py`) are notices, passages of the license texts,
+addresses, package classifiers and names; the others come from the families below and templates: identifiers and the
+operands of their expressions, license fields, names with versions, and grants. A rule runs only if its keywords occur, which
+one Aho-Corasick pass tells. Detections are ordered by priority, then length, then place; one whose words lie within those of an earlier one is
 suppressed. The base phrases are found by themselves and are never suppressed.
 
-A "+" behind a version is no letter and is not seen: GPL-2.0+ is read as GPL-2.0.
+A "+" at the end of a word that ends in a digit stays on it for the rules: GPL-2.0+ is GPL-2.0 or later. It makes no word.
 
 Defined results: a null text has no words. Rows that repeat an id, or a whole row, are scanned one by one. Other columns are
 not looked at. Whole texts are scanned; memory is a batch of rows plus a few times one text.
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fablens.llm.common import PLAIN_WORDS
+from fablens.llm.common import delimiter_table
+from fablens.llm.license_rules import MARKS, NAMES, NOTICES, PASSAGES
 
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
@@ -103,8 +105,10 @@ SENTENCES = (
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", "copyright"),
 )
 # Priority and confidence of each template.
-IDENTIFIER, OPERAND, FIELD, VERSIONED, SENTENCE, GRANT, NAME = (5, 1.0), (5, 0.9), (5, 0.9), (4, 0.95), (3, 0.9), (2, 0.8), (1, 0.6)
+IDENTIFIER, OPERAND, VERSIONED, SENTENCE, GRANT, NAME = (5, 1.0), (5, 0.9), (4, 0.95), (3, 0.9), (2, 0.8), (1, 0.6)
 BASE_CONFIDENCE = 0.6
+_WORDS = delimiter_table(bytes(c for c in range(128) if not chr(c).isalnum() and chr(c) != "+"))
+_NO_MARK = re.compile(rb"(?<![0-9])\+|\+(?=[^ ])")
 
 
 @dataclass(frozen=True)
@@ -122,15 +126,15 @@ def rules() -> tuple[Rule, ...]:
     found = []
 
     def add(label, pattern, keywords, kind, also=""):
-        whole = re.compile(rb"(?:(?<= )|^)(?:" + pattern.encode() + rb")(?= |$)")
+        whole = re.compile(rb"(?:(?<= )|^)(?:" + pattern.encode() + rb")(?=[ +]|$)")
         found.append(Rule(label, whole, frozenset(keywords), *kind, also))
 
     for label, names, versions, keywords in FAMILIES:
         spoken = label.replace("-", " ")
-        add(label, rf"spdx license identifier {spoken}", ("spdx",), IDENTIFIER)
-        # A field of a manifest or header, and a later operand of an identifier's expression.
-        field, operand = (f"license {spoken}", f"licence {spoken}"), (f"or {spoken}", f"and {spoken}")
-        add(label, rf"licen[sc]e {spoken}", field, FIELD)
+        # An identifier or the field of a manifest or header, and a later operand of an identifier's expression.
+        field, operand = ("spdx", f"license {spoken}", f"licence {spoken}"), (f"or {spoken}", f"and {spoken}")
+        stated = rf"(?:spdx license identifier|licen[sc]e) {spoken}"
+        add(label, stated, field, IDENTIFIER)
         add(label, rf"(?:or|and) {spoken}", operand, OPERAND, "spdx")
         add(label, rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{names})", keywords, GRANT)
         add(label, names, keywords, NAME)
@@ -140,17 +144,19 @@ def rules() -> tuple[Rule, ...]:
                 version = short = rf"{version}(?: 0)?"
             # The version stands behind a space or a v, also as one word with the name: gpl 3, gpl v3, gplv3.
             named = rf"(?:{names})(?: licen[sc]e)?(?: international| unported)?(?: version| v|v)? ?{short}"
-            later = r" (?:or (?:\(?at your option\)? )?(?:any )?|and (?:\(?at your option\)? )?any )later(?: version)?"
-            add(f"{label}-{dotted}", rf"spdx license identifier {spoken} {version}(?: only)?", ("spdx",), IDENTIFIER)
-            add(f"{label}-{dotted}-or-later", rf"spdx license identifier {spoken} {version} or later", ("spdx",), IDENTIFIER)
-            add(f"{label}-{dotted}", rf"licen[sc]e {spoken} {version}(?: only)?", field, FIELD)
-            add(f"{label}-{dotted}-or-later", rf"licen[sc]e {spoken} {version} or later", field, FIELD)
+            more = r"(?:\+| or later)"
+            later = r"(?:\+| (?:or (?:\(?at your option\)? )?(?:any )?|and (?:\(?at your option\)? )?any )later(?: version)?)"
+            add(f"{label}-{dotted}", rf"{stated} {version}(?: only)?", field, IDENTIFIER)
+            add(f"{label}-{dotted}-or-later", rf"{stated} {version}{more}", field, IDENTIFIER)
             add(f"{label}-{dotted}", rf"(?:or|and) {spoken} {version}(?: only)?", operand, OPERAND, "spdx")
-            add(f"{label}-{dotted}-or-later", rf"(?:or|and) {spoken} {version} or later", operand, OPERAND, "spdx")
+            add(f"{label}-{dotted}-or-later", rf"(?:or|and) {spoken} {version}{more}", operand, OPERAND, "spdx")
             add(f"{label}-{dotted}", named, keywords, VERSIONED)
             add(f"{label}-{dotted}-or-later", named + later, keywords, VERSIONED)
     for label, pattern, keyword in SENTENCES:
         add(label, pattern, (keyword,), SENTENCE)
+    for table, kind in ((NOTICES, VERSIONED), (PASSAGES, SENTENCE), (MARKS, IDENTIFIER), (NAMES, NAME)):
+        for label, keyword, pattern in table:
+            add(label, pattern, (keyword,), kind)
     return tuple(found)
 
 
@@ -201,7 +207,8 @@ def _uncontained(raw: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def scan(text: str | None) -> dict:
     """n_words, base (list of (word, label)), detections (list of (start, stop, label, priority), in words) and score."""
-    split = (text or "").encode("utf-8", "replace").translate(PLAIN_WORDS).split()
+    marked = (text or "").encode("utf-8", "replace").translate(_WORDS)
+    split = _NO_MARK.sub(b" ", marked).split()
     words = b" ".join(split)
     present = {word for _, word in _keywords().iter(words.decode("utf-8", "replace"))}
     base, raw = [], []
