@@ -26,6 +26,8 @@ from fablens.session import stored
 
 # Rows one task may hold for a single key before the key is split.
 MAX_GROUP_ROWS = 2_000_000
+# Rows a task has at least when keys are split: smaller blocks share one.
+MIN_TASK_ROWS = 100_000
 # Rows and bytes of values a table may have to be broadcast.
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 << 20
@@ -133,10 +135,17 @@ class OrderedGroups:
         size = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
         self.split = (size["largest"] or 0) > max_group_rows
         if self.split:
-            blocks = max(2, math.ceil(2 * size["total"] / max_group_rows))
-            ranged = df.repartitionByRange(blocks, *self.keys, *self.order)
+            half = max(1, max_group_rows // 2)
+            ranged = df.repartitionByRange(
+                max(2, math.ceil(size["total"] / max(half, MIN_TASK_ROWS))), *self.keys, *self.order
+            )
+            block = F.spark_partition_id().cast("long")
+            if half < MIN_TASK_ROWS:
+                # A range would be too few rows for a task: it is sorted, and each `half` rows in it are a block.
+                ranged = ranged.sortWithinPartitions(*self.keys, *self.order)
+                block = floor_div(F.monotonically_increasing_id(), half)
             # The block number must not change when a task is run again, so it is stored with the rows.
-            self.df = stored(ranged.withColumn(_BLOCK, F.spark_partition_id()), "blocks")
+            self.df = stored(ranged.withColumn(_BLOCK, block), "blocks")
 
     def evaluate(
         self,
@@ -175,7 +184,7 @@ class OrderedGroups:
         at = [*self.keys, _BLOCK]
         # First and last two rows of each block: where blocks meet, they are neighbours as in the whole.
         ends = rows.filter((F.col(own_number) <= 2) | F.col(_LAST))
-        before = Window.partitionBy(*self.keys).orderBy(*self.order)
+        before = Window.partitionBy(*self.keys).orderBy(_BLOCK, own_number)
         heads = ends.withColumns({name: F.lag(column, k).over(before) for name, (column, k) in lags.items()})
         heads = heads.filter(F.col(own_number) <= 2)
         values = {name: F.col(name) for name in lags}

@@ -100,6 +100,20 @@ def test_split_form_needs_one_ordered_pass_per_group(spark, monkeypatch):
     assert alerts.count() > 0
 
 
+def test_small_blocks_share_tasks(spark, monkeypatch):
+    """A limit of few rows makes many blocks, not many tasks; rows that repeat may fall into two blocks."""
+    tasks = []
+    monkeypatch.setattr(skew, "stored", lambda df, name: tasks.append((name, df.rdd.getNumPartitions())) or stored(df, name))
+    events = with_null_machines(skewed_events(spark)).filter("event_id < 1000")
+    events = events.unionByName(events).unionByName(events).cache()
+    lags = {"p": ("value", 1), "r": ("value", 2)}
+    starts = ~F.coalesce((F.col("value") >= F.col("p")) & (F.col("p") >= F.col("r")), F.lit(False))
+    split = skew.OrderedGroups(events, ["source"], ["ts", "event_id"], 10)
+    assert split.df.groupBy("source", "_block").count().agg(F.max("count")).first()[0] <= 5
+    same(split.evaluate(lags, starts, number="n"), skew.OrderedGroups(events, ["source"], ["ts", "event_id"]).evaluate(lags, starts, number="n"))
+    assert dict(tasks)["blocks"] == 2
+
+
 def test_trend_alerts_count_what_the_operators_find(spark):
     events = skewed_events(spark)
     found = sequences.severity_escalations(events).groupBy("source").count().collect()
