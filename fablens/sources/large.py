@@ -10,7 +10,9 @@ no value is larger than a line of a dump, or a record of a document.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,12 +29,20 @@ from fablens.session import stored
 from fablens.sources.files import dump_rows, parse_json_logs
 
 WINDOW = 4 << 20
+# Bytes of small splits that one task reads.
+TASK_BYTES = 64 << 20
 
 
 def _splits(spark: SparkSession, path: str | Sequence[str], separator: str) -> DataFrame:
-    """(file, start, value): pieces of text between separators; those of a split stand in one task, in order."""
+    """(file, start, value): pieces of text between separators; those of a split stand in one task, in order.
+
+    Splits much smaller than TASK_BYTES share a task, as starting one costs more than reading such a split.
+    """
     text = spark.read.option("lineSep", separator).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
+    pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return pieces.coalesce(tasks)
 
 
 def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
@@ -73,15 +83,20 @@ def _block_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _headers_at_start(splits: pd.DataFrame) -> pd.DataFrame:
-    """The splits of a file with markers in them -> (file, start, header): in what the next ones begin."""
+    """The splits of a dump with markers in them -> (dump, file, start, header): in what the next ones begin."""
     header, rows = _OUTSIDE, []
-    for split in splits.sort_values("start").itertuples():
+    for split in splits.sort_values(["file", "start"]).itertuples():
         header = split.outside if header == _OUTSIDE else header if split.inside is None else split.inside
-        rows.append((split.file, split.start, header))
-    return pd.DataFrame(rows, columns=["file", "start", "header"])
+        rows.append((split.dump, split.file, split.start, header))
+    return pd.DataFrame(rows, columns=["dump", "file", "start", "header"])
+
+
+def _dump_of(file: str, parts: bool) -> str:
+    """What a file belongs to: its folder if that is a dump in parts, else the file is a dump itself."""
+    return file.rsplit("/", 1)[0] if parts else file
 
 
-def _lines_of(headers, table: str | None):
+def _lines_of(headers, table: str | None, parts: bool):
     """Rows of splits -> (table, columns, value) of the lines within blocks, of one table if it is named."""
     header = re.compile(_HEADER)
 
@@ -89,8 +104,8 @@ def _lines_of(headers, table: str | None):
         known, split, state = headers.value, None, _OUTSIDE
         for now, part in _by_split(batches):
             if now != split:
-                starts, values = known.get(now[0], (np.empty(0, np.int64), []))
-                before = int(np.searchsorted(starts, now[1])) - 1
+                places, values = known.get(_dump_of(now[0], parts), ([], []))
+                before = bisect_left(places, now) - 1
                 split, state = now, values[before] if before >= 0 else _OUTSIDE
             lines = part.column(2)
             marks = pc.or_(pc.equal(lines, _BLOCK_END), pc.match_substring_regex(lines, _HEADER))
@@ -116,30 +131,34 @@ def _lines_of(headers, table: str | None):
     return run
 
 
-def dump_blocks(spark: SparkSession, path: str | Sequence[str], table: str | None = None) -> DataFrame:
+def dump_blocks(spark: SparkSession, path: str | Sequence[str], table: str | None = None, parts: bool = False) -> DataFrame:
     """Lines of a dump file of several tables: table, columns and value, from each COPY ... FROM stdin block.
 
-    With `table`, the lines of that table only (with or without its schema's name). What is sent to the tasks are the
-    headers of the splits with a block's beginning or end in them.
+    With `table`, the lines of that table only (with or without its schema's name). With `parts`, the files of a folder are
+    parts of one dump, cut between lines, in the order of their names. What is sent to the tasks are the headers of the
+    splits with a block's beginning or end in them.
     """
     lines = _splits(spark, path, "\n")
     marks = lines.filter((F.col("value") == _BLOCK_END) | F.col("value").rlike(_HEADER))
     ends = stored(marks.mapInArrow(_block_ends, "file string, start long, outside string, inside string"), "block-ends")
-    schema = "file string, start long, header string"
-    states = ends.groupBy("file").applyInPandas(_headers_at_start, schema).orderBy("file", "start").toArrow()
-    known: dict[str, tuple] = {}
-    for file, start, header in zip(*(c.to_pylist() for c in states.columns)):
-        starts, values = known.setdefault(file, ([], []))
-        starts.append(start)
+    dump = F.regexp_replace("file", "/[^/]*$", "") if parts else F.col("file")
+    schema = "dump string, file string, start long, header string"
+    states = ends.withColumn("dump", dump).groupBy("dump").applyInPandas(_headers_at_start, schema).toArrow()
+    known: dict[str, tuple[list, list]] = {}
+    for whole, file, start, header in sorted(zip(*(c.to_pylist() for c in states.columns))):
+        places, values = known.setdefault(whole, ([], []))
+        places.append((file, start))
         values.append(header)
-    sent = spark.sparkContext.broadcast({f: (np.array(s), v) for f, (s, v) in known.items()})
-    return lines.mapInArrow(_lines_of(sent, table), "table string, columns array<string>, value string")
+    sent = spark.sparkContext.broadcast(known)
+    return lines.mapInArrow(_lines_of(sent, table, parts), "table string, columns array<string>, value string")
 
 
-def read_dump_table(spark: SparkSession, path: str | Sequence[str], table: str, schema: StructType | str) -> DataFrame:
-    """One table of a dump file of several. `schema` lists its columns in the order of the block."""
+def read_dump_table(
+    spark: SparkSession, path: str | Sequence[str], table: str, schema: StructType | str, parts: bool = False
+) -> DataFrame:
+    """One table of a dump of several, as `dump_blocks` reads it. `schema` lists its columns in the order of the block."""
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    return dump_rows(dump_blocks(spark, path, table).select("value"), fields)
+    return dump_rows(dump_blocks(spark, path, table, parts).select("value"), fields)
 
 
 # ---- JSON documents ----------------------------------------------------------------------------------------
@@ -349,7 +368,7 @@ def json_items(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     listed = {split: (*state, between[split[0]]) for split, state in begins.items() if split[0] in between}
     cut = stored(pieces.mapInArrow(
         _fragments(context.broadcast(listed), window), "file string, start long, k long, part long, whole boolean, text binary"
-    ), "fragments")
+    ), "fragments").coalesce(pieces.rdd.getNumPartitions())
     borders = cut.groupBy("file", "start").agg(F.max("k").alias("borders"))
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # splits of a file
     offsets = borders.select("file", "start", F.coalesce(F.sum("borders").over(earlier), F.lit(0)).alias("before"))

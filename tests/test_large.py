@@ -70,3 +70,24 @@ def test_dump_blocks(spark, tmp_path, size):
     assert sorted((r["table"], r["value"]) for r in got) == sorted(want)
     assert {tuple(r["columns"]) for r in got if r["table"] != "late"} == {("a", "b")}
     assert sorted((r.a, r.b) for r in one) == sorted((int(i), w) for i, w in (r.split("\t") for r in tables["public.one"]))
+
+
+@pytest.mark.parametrize("size", [100, 1 << 20])
+def test_dump_in_parts(spark, tmp_path, size):
+    """A block that begins in one file of a dump and ends in another, with lines that look like headers at the cuts."""
+    rows = [f"{i}\t{'x' * (i % 40)}" for i in range(200)]
+    rows[60:60] = ["COPY other (a, b) FROM stdin;"]
+    lines = ["-- dump", "COPY one (a, b) FROM stdin;", *rows, "\\.", "COPY two (a, b) FROM stdin;", "1\ttwo", "\\."]
+    for part, at in enumerate(range(0, len(lines), 31)):
+        (tmp_path / f"part-{part:03d}").write_text("\n".join(lines[at:at + 31]) + "\n")
+    with small_splits(spark, size):
+        got = large.dump_blocks(spark, str(tmp_path), parts=True).collect()
+    assert sorted((r["table"], r["value"]) for r in got) == sorted([*(("one", r) for r in rows), ("two", "1\ttwo")])
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    (tmp_path / "lines").write_text("some line\n" * 20_000)
+    with small_splits(spark, 1000):
+        pieces = large._splits(spark, str(tmp_path), "\n")
+        assert pieces.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert pieces.select("file", "start").distinct().count() == 200 and pieces.count() == 20_000
