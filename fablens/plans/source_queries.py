@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from fablens.sources import files as S
 from fablens.sources import large
 
 
+# Bytes of a dump's file; larger dumps are written in parts.
+DUMP_PART_BYTES = 256 << 20
+
+
 def _as_of():
     return F.lit(B.AS_OF).cast("timestamp")
 
@@ -233,10 +238,13 @@ def dump_blocks(spark, sf_dir):
     lines = lambda texts, turn: spark.createDataFrame([(turn, i, t) for i, t in enumerate(texts)], "turn int, at long, line string")
     body = spark.read.text(plain).select(F.lit(1).alias("turn"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     every = lines(before, 0).unionByName(body).unionByName(lines(after, 2))
-    # One file: the order of its lines is what the reader has to follow.
-    every.coalesce(1).sortWithinPartitions("turn", "at").select("line").write.text(path)
+    # The order of the lines is what the reader has to follow: in one file, or through the parts of a large dump.
+    size = spark.read.format("binaryFile").load(plain).agg(F.sum("length")).first()[0] or 0
+    parts = max(1, math.ceil(size / DUMP_PART_BYTES))
+    cut = every.repartitionByRange(parts, "turn", "at") if parts > 1 else every.coalesce(1)
+    cut.sortWithinPartitions("turn", "at").select("line").write.text(path)
     with small_splits(spark, 1 << 16):
-        table = large.read_dump_table(spark, path, "events", rows.schema)
+        table = large.read_dump_table(spark, path, "events", rows.schema, parts=True)
         return stored(table, "dump-table")
 
 
