@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, BooleanType, MapType, StringType, Struc
 
 from fablens.functions.standardize import computed_once, detect_format, line_fields
 from fablens.operators.skew import first_per_key
+from fablens.session import stored
 
 _LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{0085}\x{2028}\x{2029}]"
 
@@ -405,7 +406,8 @@ def parse_logs(files: DataFrame, content: str = "content", hint: str | None = No
     known = F.col(hint) if hint else None
     rest = [c for c in files.columns if c != content]
     named = files.withColumn("format", detect_format(F.col(content).cast("binary"), known))
-    named = named.select(*rest, "format", F.col(content).cast("string").alias("_text"))
+    # Stored, so that the files are read and told apart once, not by each parser again.
+    named = stored(named.select(*rest, "format", F.col(content).cast("string").alias("_text")), "named-files")
     parsers = {"json": parse_json_logs, "xml": parse_xml_logs, "csv": parse_csv_logs}
     columns = [*rest, "format", "record_index", "raw_fields", "error"]
     parts = [parse(named.filter(F.col("format") == name), "_text").select(*columns) for name, parse in parsers.items()]

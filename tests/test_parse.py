@@ -252,3 +252,11 @@ def test_result_validation(spark):
     assert [(r["r"]["category"], r["r"]["confidence"], r["r"]["recommended_action"]) for r in rows] == [
         ("thermal", 1.0, None), ("unknown", 0.5, None), ("unknown", 0.0, "manual review"), ("unknown", 0.0, "manual review")
     ]
+
+
+def test_mixed_files_are_read_once(spark, tmp_path):
+    """The parsers work on what was told apart once; none of them reads the files again."""
+    documents(spark, '{"source":"a"}', "<r><source>b</source></r>", "source,x,y\nc,1,2\n", "ERROR tool_d").write.parquet(str(tmp_path / "given"))
+    parsed = S.parse_logs(spark.read.parquet(str(tmp_path / "given")), "doc")
+    assert not [name for name in parsed.inputFiles() if "/given/" in name]
+    assert sorted((r["id"], r["format"]) for r in parsed.collect()) == [(0, "json"), (1, "xml"), (2, "csv"), (3, "log")]
