@@ -46,18 +46,14 @@ def detect_format(content: Column, hint: Column | None = None, sniff_bytes: int
     return F.when(known.isin(C.FILE_FORMATS), known).otherwise(sniffed)
 
 
-def resolve_field(raw: Column, field: str) -> Column:
-    """Value of a canonical field in the raw map, by the built-in aliases, ignoring case.
+def resolve_field(entries: Column, keys: Column, field: str) -> Column:
+    """Value of a canonical field by the built-in aliases, ignoring case, from entries of a raw map and their keys in lower case.
 
-    The first alias that occurs wins, and among keys that differ only in case the first in record order.
+    The first alias that occurs wins, and among keys that differ only in case the first in record order. Entries must not
+    hold nulls. Both should be columns that are computed once.
     """
-    entries = F.filter(F.map_entries(raw), lambda e: e["value"].isNotNull())
-
-    def value_of(alias: str) -> Column:
-        named = F.filter(entries, lambda e: F.lower(e["key"]) == F.lit(alias.lower()))
-        return F.get(named, F.lit(0))["value"]
-
-    return F.coalesce(*[value_of(alias) for alias in C.FIELD_ALIASES[field]])
+    at = lambda alias: (F.array_position(keys, alias.lower()) - 1).cast("int")
+    return F.coalesce(*[F.get(entries["value"], at(alias)) for alias in C.FIELD_ALIASES[field]])
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -105,16 +101,24 @@ def canonical_record(
     these come before the built-in aliases.
     """
     def field(name: str) -> Column:
-        own = resolve_field(F.col(raw), name)
+        own = resolve_field(F.col("_entries"), F.col("_keys"), name)
         return own if rule_fields is None else F.coalesce(F.try_element_at(F.col(rule_fields), F.lit(name)), own)
 
     message = F.coalesce(F.nullif(field("message"), F.lit("")), F.try_element_at(F.col(raw), F.lit("raw_line")), F.lit(""))
-    return df.select("*", computed_once(
-        F.coalesce(parse_timestamp(field("timestamp")), as_of.cast("timestamp")).alias("timestamp"),
-        _filled(field("source"), "unknown").alias("source"),
-        _filled(field("event_type"), "unknown").alias("event_type"),
-        canonical_severity(field("severity")).alias("severity"),
-        message.alias("message"),
+    # Step by step: a generator would look each field up as often as its expression names it.
+    found = (
+        df.withColumn("_entries", F.filter(F.map_entries(raw), lambda e: e["value"].isNotNull()))
+        .withColumn("_keys", F.transform("_entries", lambda e: F.lower(e["key"])))
+        .withColumns({f"_own_{name}": field(name) for name in ("timestamp", "source", "event_type", "severity")})
+        .withColumn("_own_message", message)
+        .withColumn("_time", parse_timestamp(F.col("_own_timestamp")))
+    )
+    return found.select(*df.columns, computed_once(
+        F.coalesce("_time", as_of.cast("timestamp")).alias("timestamp"),
+        _filled(F.col("_own_source"), "unknown").alias("source"),
+        _filled(F.col("_own_event_type"), "unknown").alias("event_type"),
+        canonical_severity(F.col("_own_severity")).alias("severity"),
+        F.col("_own_message").alias("message"),
     ))
 
 

@@ -28,6 +28,8 @@ from fablens.session import stored
 MAX_GROUP_ROWS = 2_000_000
 # Rows a task has at least when keys are split: smaller blocks share one.
 MIN_TASK_ROWS = 100_000
+# Rows a task takes of a scan whose work is heavy per row.
+SCAN_TASK_ROWS = 100_000
 # Rows and bytes of values a table may have to be broadcast.
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 << 20
@@ -54,16 +56,19 @@ def is_small(table: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_B
     return len(found) <= rows and sum(r["n"] for r in found) <= size
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Redistribute a table that is read in fewer tasks than there are cores, for work that is heavy per row.
+def spread_scan(scan: DataFrame, task_rows: int = SCAN_TASK_ROWS) -> DataFrame:
+    """Redistribute a table that is read in fewer tasks than there are cores, or in tasks of very many rows, for work that is
+    heavy per row.
 
-    A few files that cannot be split would otherwise keep most cores idle. A scan with enough splits, as any large
-    table has, is left as it is. `scan` must be a plain read, so that asking for its splits runs nothing.
+    A few files that cannot be split would otherwise keep most cores idle, and a well packed file holds millions of rows in
+    one split. A scan with enough splits is left as it is. `scan` must be a plain read, so that its splits and rows are
+    known from its files.
     """
     if scan.isStreaming:
         return scan
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    splits = scan.rdd.getNumPartitions()
+    tasks = max(scan.sparkSession.sparkContext.defaultParallelism, math.ceil(scan.count() / task_rows))
+    return scan if splits >= tasks else scan.repartition(tasks)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame:

@@ -249,3 +249,11 @@ def test_catalog_ranges_without_broadcast(spark, monkeypatch):
 
 def test_events_view_has_one_row_per_event(spark, sf_dir):
     assert B.events(spark, sf_dir).count() == B.table(spark, sf_dir, "events").count()
+
+
+def test_scan_of_many_rows_is_spread_over_more_tasks_than_cores(spark, tmp_path):
+    spark.range(4000).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    scan = spark.read.parquet(str(tmp_path / "rows"))
+    assert skew.spread_scan(scan, task_rows=100).rdd.getNumPartitions() == 40
+    assert skew.spread_scan(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert skew.spread_scan(scan, task_rows=100).agg(F.sum("id")).first()[0] == 4000 * 3999 // 2
