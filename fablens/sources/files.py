@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType, StringType, StructField, StructType
 
 from fablens.functions.standardize import computed_once, detect_format, line_fields
-from fablens.operators.skew import first_per_key
+from fablens.operators.skew import first_per_key, spread_scan
 from fablens.session import stored
 
 _LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{0085}\x{2028}\x{2029}]"
@@ -410,8 +410,10 @@ def parse_logs(files: DataFrame, content: str = "content", hint: str | None = No
     named = stored(named.select(*rest, "format", F.col(content).cast("string").alias("_text")), "named-files")
     parsers = {"json": parse_json_logs, "xml": parse_xml_logs, "csv": parse_csv_logs}
     columns = [*rest, "format", "record_index", "raw_fields", "error"]
-    parts = [parse(named.filter(F.col("format") == name), "_text").select(*columns) for name, parse in parsers.items()]
-    lines = parse_line_logs(named.filter(~F.col("format").isin(list(parsers))), "_text")
+    # Stored files are read in few splits, and parsing is heavy per row.
+    own = {name: spread_scan(named.filter(F.col("format") == name)) for name in parsers}
+    parts = [parse(own[name], "_text").select(*columns) for name, parse in parsers.items()]
+    lines = parse_line_logs(spread_scan(named.filter(~F.col("format").isin(list(parsers)))), "_text")
     parts.append(lines.withColumns({"record_index": (F.col("line_no") - 1).cast("int"), "error": F.lit(None).cast("string")}).select(*columns))
     result = parts[0]
     for part in parts[1:]:
