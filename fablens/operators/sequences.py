@@ -205,7 +205,7 @@ def rolling_counts(
                              - those in the first of them that lie before t - s
                              + those in the last second up to t.
     The two fractions are running sums inside one second, at most a million distinct times; the whole seconds
-    are a sum over per-second totals, cut into chunks of `seconds` with one chunk of context.
+    are running sums over per-second totals, cut into chunks of `seconds` that take over the total of the one before.
     """
     us = micros(F.col(ts))
     base = events.groupBy(us.alias("at")).agg(F.count(F.lit(1)).alias("n"))
@@ -223,14 +223,21 @@ def rolling_counts(
         F.max(F.when(~is_event, F.col("running"))).alias("before"),
     ).withColumn("second", floor_div(F.col("t"), _MICROS))
 
-    # A second of events, or a second in which an event needs the sum, is a row; each also serves the next chunk.
+    # Each second enters the sum with its total and leaves it `seconds` later, which is in the next chunk. So a chunk begins
+    # with the total of the one before, which is what leaves in it, and a running sum gives the rest: the work is that of
+    # a sort, however many seconds a window holds.
     per_second = base.groupBy(floor_div(F.col("at"), _MICROS).alias("second")).agg(F.sum("n").alias("total"))
-    chunk = floor_div(F.col("second"), seconds)
-    spread = per_second.withColumn("chunk", F.explode(F.array(chunk, chunk + 1)))
-    trailing = Window.partitionBy("chunk").orderBy("second").rangeBetween(-seconds, -1)
+    changes = per_second.select("second", F.explode(F.array(
+        F.struct(F.col("second").alias("at"), F.col("total").alias("change"), F.lit(True).alias("enters")),
+        F.struct((F.col("second") + seconds).alias("at"), (-F.col("total")).alias("change"), F.lit(False).alias("enters")),
+    )).alias("c")).select("second", "c.*").withColumn("chunk", floor_div(F.col("at"), seconds))
+    in_chunk = Window.partitionBy("chunk").orderBy("at")
+    all_of_it = in_chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = F.sum("change").over(in_chunk.rangeBetween(Window.unboundedPreceding, -1))
+    leaving = F.sum(F.when(~F.col("enters"), F.col("change"))).over(all_of_it)
     whole = (
-        spread.withColumn("whole", F.coalesce(F.sum("total").over(trailing), F.lit(0)))
-        .filter(F.col("chunk") == chunk).select("second", "whole")
+        changes.withColumn("whole", F.coalesce(so_far, F.lit(0)) - F.coalesce(leaving, F.lit(0)))
+        .filter("enters").select("second", "whole")
     )
     counted = parts.join(whole, "second")
     in_window = F.col("whole") - F.col("before") + F.col("upto")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,21 @@ def test_rolling_counts_against_brute_force(spark, seconds):
     assert got == expected
 
 
+def test_rolling_counts_of_filled_seconds(spark):
+    """No second is empty: the counts are right, and no frame that moves with the row is added up anew for each of them."""
+    second = F.timestamp_seconds(F.col("id") - 700)
+    events = spark.range(2500).select(F.explode(F.array(second, second + F.expr("interval 250 milliseconds"))).alias("ts"))
+    counts = sequences.rolling_counts(events, 1000, 2001)
+    frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", counts._jdf.queryExecution().analyzed().toString())
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+    got = {r["at"]: (r["window_count"], r["spike"]) for r in counts.withColumn("at", F.col("ts").cast("double")).collect()}
+    expected = {}
+    for i in range(2500):
+        expected[i - 700.0] = 2 * min(i, 1000) + 1
+        expected[i - 699.75] = min(i + 1, 1000) + min(i, 1000) + 1
+    assert got == {at: (n, n >= 2001) for at, n in expected.items()}
+
+
 def test_insert_if_absent_is_idempotent(spark):
     events = skewed_events(spark, 300)
     target = events.filter("job_id < 10").select("job_id", "source").dropDuplicates(["job_id"])
