@@ -5,8 +5,8 @@
 2. Global dictionary: the shards' word lists are dealt out by a hash of the word, a list per shard and bucket; a bucket
    numbers its words, and the buckets' sizes make the numbers dense. Documents do not travel, and a frequent word is one
    entry per shard. The number of buckets follows from the number of entries, so a bucket is of bounded size.
-3. The shards' columns are put into global numbers. Row sums (words) and nonzero counts (distinct words) decide filters A
-   and B; C and D come from the bytes of the text, E from a table with the smallest id of each repeated text.
+3. The shards' columns are put into global numbers, a shard at a time. Row sums (words) and nonzero counts (distinct words)
+   decide filters A and B; C and D come from the bytes of the text, E from a table with the smallest id of each repeated text.
 4. Documents are counted by part and set of failed filters, at most 32 rows per part. All orders follow from these rows: a
    filter removes those that fail it and none before it, and a document that fails k filters is removed first by each of
    them in 120 / k of the 120 orders.
@@ -18,6 +18,10 @@ Defined results: null text is empty: it fails A only (and E if another is empty
 other and never fails E; rows that share id and text pass E together, if no id is smaller. Equal texts are told by sha256.
 A null part is the empty string. Of repeated labels of an id, any 1 counts. An empty table has no parts and no rows. Other
 columns are not looked at. A text longer than a shard is a shard of its own and is cut into words piece by piece.
+
+Memory: a task holds one shard, and texts come to it in batches of BATCH_BYTES. Between the stages a shard is packed: gaps
+between a row's columns in 16 bits, counts in 8, larger numbers behind them. Row groups of the shards are of ROW_GROUP_BYTES,
+as a reader holds all of a row group's shards.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fablens.llm.common import broadcast_if_small, portions, word_hashes
+from fablens.llm.common import arrow_batches, broadcast_if_small, portions, word_hashes
 from fablens.session import stored
 
 FILTERS = "ABCDE"
@@ -44,6 +48,8 @@ MAX_UPPER_PERCENT = 10
 SHARD_BYTES = 8 << 20
 SHARD_ROWS = 1 << 14
 PIECE_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
+ROW_GROUP_BYTES = 8 << 20
 WORDS_PER_BUCKET = 1 << 18
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SYMBOLS = b"#$%&*|"
@@ -66,38 +72,56 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    """Numbers from 0 on in the small type `kind`; its highest value stands for a number that follows behind all."""
+    most = np.iinfo(kind).max
+    return np.minimum(values, most).astype(kind).tobytes() + values[values >= most].astype("<i8").tobytes()
+
+
+def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    values = np.frombuffer(data, kind, n).astype(np.int64)
+    values[values == np.iinfo(kind).max] = np.frombuffer(data, "<i8", offset=n * np.dtype(kind).itemsize)
+    return values
+
+
 def _shards(size: int, most_rows: int):
     """Rows (at, doc_id, part, print, text) -> one row per shard: its documents and its matrix in local word numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_bytes, held_rows = [], 0, 0
         for batch in (p for b in batches for p in portions(b, size, most_rows)):
-            yield _shard(batch)
+            if held and (held_bytes + batch.nbytes > size or held_rows + batch.num_rows > most_rows):
+                yield _shard(held)
+                held, held_bytes, held_rows = [], 0, 0
+            held.append(batch)
+            held_bytes, held_rows = held_bytes + batch.nbytes, held_rows + batch.num_rows
+        if held:
+            yield _shard(held)
 
     return run
 
 
-def _shard(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _shard(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     numbers: dict[bytes, int] = defaultdict()
     numbers.default_factory = numbers.__len__
-    columns, counts, ends, upper, symbols = [], [], [0], [], []
-    for text in batch.column(4):
+    gaps, counts, ends, upper, symbols = [], [], [0], [], []
+    for text in (text for batch in batches for text in batch.column(4)):
         data = text.as_py() or b""
         found = [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in map(bytes.split, _pieces(data))]
         own, times = np.unique(np.concatenate(found) if found else np.empty(0, np.int32), return_counts=True)
-        columns.append(own)
-        counts.append(times)
+        gaps.append(np.diff(own, prepend=np.int32(0)))
+        counts.append(times.astype(np.int32))
         ends.append(ends[-1] + len(own))
         points = len(data.translate(None, _CONTINUATION))
         upper.append(100 * (len(data) - len(data.translate(None, _UPPER))) > MAX_UPPER_PERCENT * points)
         symbols.append(len(data.translate(None, _SYMBOLS)) < len(data))
-    rows = pa.StructArray.from_arrays(
-        [*batch.columns[1:4], pa.array(upper), pa.array(symbols)], names=["doc_id", "part", "print", "fails_c", "fails_d"]
-    )
+    known = (pa.concat_arrays([batch.column(i) for batch in batches]) for i in range(1, 4))
+    rows = pa.StructArray.from_arrays([*known, pa.array(upper), pa.array(symbols)], names=["doc_id", "part", "print", "fails_c", "fails_d"])
+    packed = [_packed(np.concatenate(gaps), "<u2"), _packed(np.concatenate(counts), "u1"), b" ".join(numbers)]
     return pa.RecordBatch.from_arrays([
-        batch.column(0).slice(0, 1), _one(rows), _one(pa.array(ends, pa.int64())),
-        _one(pa.array(np.concatenate(columns), pa.int32())), _one(pa.array(np.concatenate(counts), pa.int32())),
-        pa.array([b" ".join(numbers)], pa.binary()), pa.array([len(numbers)], pa.int64()),
-    ], names=["shard", "rows", "ends", "local", "counts", "words", "n_words"])
+        batches[0].column(0).slice(0, 1), _one(rows), _one(pa.array(ends, pa.int64())),
+        *(pa.array([data], pa.binary()) for data in packed), pa.array([len(numbers)], pa.int64()),
+    ], names=["shard", "rows", "ends", "gaps", "counts", "words", "n_words"])
 
 
 def _buckets(words: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,42 +155,40 @@ def _number(table: pa.Table) -> pa.Table:
     return pa.table({
         "shard": pa.array([*shards, None], pa.int64()),
         "bucket": pa.array([table.column("bucket")[0].as_py()] * (len(shards) + 1), pa.int64()),
-        "numbers": pa.array([*coded, None], pa.list_(pa.int32())),
+        "numbers": pa.array([*(own.astype("<i4").tobytes() for own in coded), None], pa.binary()),
         "size": pa.array([len(numbers)] * (len(shards) + 1), pa.int64()),
         "words": pa.array([None] * len(shards) + [b" ".join(numbers)], pa.binary()),
     })
 
 
-def _encode(buckets: int):
-    """Shards with their codes by bucket -> the same matrices with global columns, each once in a row."""
+def _encode(buckets: int, then: Callable[[pa.Table], pa.Table] | None):
+    """A shard and its codes by bucket -> the same matrix with global columns, each once in a row, or what `then` makes of it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                rows, ends, local, counts = (batch.column(i).slice(k, 1).flatten() for i in range(1, 5))
-                words, codes = batch.column(5)[k].as_py(), batch.column(6).slice(k, 1).flatten()
-                _, order = _buckets(words, buckets)
-                number = np.empty(len(order), dtype=np.int64)
-                if len(order):
-                    first, own = codes.field("first").to_numpy(), codes.field("numbers")
-                    number[order] = np.repeat(first, own.value_lengths().to_numpy()) + own.flatten().to_numpy()
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(k, 1), _one(rows), _one(ends), _one(pa.array(number[local.to_numpy()])), _one(counts),
-                ], names=["shard", "rows", "ends", "columns", "counts"])
+    def run(shard: pa.Table, codes: pa.Table) -> pa.Table:
+        ends = shard.column("ends").combine_chunks().flatten().to_numpy()
+        gaps, counts, words = (shard.column(name)[0].as_py() for name in ("gaps", "counts", "words"))
+        codes, (_, order) = codes.sort_by("bucket"), _buckets(words, buckets)
+        own = codes.column("numbers").to_pylist()
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.repeat(codes.column("first").to_numpy(), np.array([len(x) // 4 for x in own], np.int64)) + np.frombuffer(b"".join(own), "<i4")
+        upto = np.concatenate(([0], np.cumsum(_unpacked(gaps, ends[-1], "<u2"))))
+        local = upto[1:] - np.repeat(upto[ends[:-1]], np.diff(ends))
+        matrix = shard.select(["shard", "rows", "ends"]).append_column("columns", _one(pa.array(number[local]))).append_column(
+            "counts", _one(pa.array(_unpacked(counts, ends[-1], "u1"), pa.int32()))
+        )
+        return matrix if then is None else then(matrix)
 
     return run
 
 
-def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matrices -> (doc_id, part, print, fails_c, fails_d, n_words, n_distinct): sums and nonzero counts of their rows."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            rows, ends, _, counts = (batch.column(i).slice(k, 1).flatten() for i in range(1, 5))
-            ends = ends.to_numpy()
-            upto = np.concatenate(([0], np.cumsum(counts.to_numpy())))
-            sums = pa.array(upto[ends[1:]] - upto[ends[:-1]]), pa.array(np.diff(ends))
-            names = ["doc_id", "part", "print", "fails_c", "fails_d", "n_words", "n_distinct"]
-            yield pa.RecordBatch.from_arrays([*rows.flatten(), *sums], names=names)
+def _row_sums(matrix: pa.Table) -> pa.Table:
+    """A shard's matrix -> (doc_id, part, print, fails_c, fails_d, n_words, n_distinct): sums and nonzero counts of its rows."""
+    rows, ends, counts = (matrix.column(name).combine_chunks().flatten() for name in ("rows", "ends", "counts"))
+    ends = ends.to_numpy()
+    upto = np.concatenate(([0], np.cumsum(counts.to_numpy(), dtype=np.int64)))
+    sums = pa.array(upto[ends[1:]] - upto[ends[:-1]]), pa.array(np.diff(ends))
+    names = ["doc_id", "part", "print", "fails_c", "fails_d", "n_words", "n_distinct"]
+    return pa.table([*rows.flatten(), *sums], names=names)
 
 
 def _row_type(documents: DataFrame, id_column: str) -> str:
@@ -175,11 +197,13 @@ def _row_type(documents: DataFrame, id_column: str) -> str:
 
 def document_term_matrix(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", part_column: str = "lang",
+    then: tuple[Callable[[pa.Table], pa.Table], str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(matrix, dictionary): CSR shards (shard, rows, ends, columns, counts) and the words in the order of their numbers.
 
     Row i of a shard has the entries ends[i] to ends[i + 1] of `columns` (word numbers, each once) and `counts`. A row of
-    the dictionary (first, size, words) has `size` words, joined by blanks, with the numbers from `first` on.
+    the dictionary (first, size, words) has `size` words, joined by blanks, with the numbers from `first` on. With `then`, a
+    function and its schema, the first frame has what the function makes of each shard's matrix, where it is made.
     """
     own = documents.select(
         F.monotonically_increasing_id().alias("at"), F.col(id_column).alias("doc_id"),
@@ -188,35 +212,36 @@ def document_term_matrix(
         F.col(text_column).cast("binary").alias("text"),
     )
     row = _row_type(documents, id_column)
-    shards = stored(own.mapInArrow(
-        _shards(SHARD_BYTES, SHARD_ROWS),
-        f"shard long, rows array<struct<{row}>>, ends array<long>, local array<int>, counts array<int>, words binary, n_words long",
-    ), "shards")
-    buckets = max(1, math.ceil((shards.agg(F.sum("n_words")).first()[0] or 0) / WORDS_PER_BUCKET))
-    dealt = shards.select("shard", "words").mapInArrow(_dealt(buckets), "shard long, bucket long, words binary")
-    coded = stored(dealt.groupBy("bucket").applyInArrow(
-        _number, "shard long, bucket long, numbers array<int>, size long, words binary"
-    ), "coded")
+    cut = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    with arrow_batches(documents.sparkSession, BATCH_BYTES):
+        shards = stored(own.mapInArrow(
+            _shards(SHARD_BYTES, SHARD_ROWS),
+            f"shard long, rows array<struct<{row}>>, ends array<long>, gaps binary, counts binary, words binary, n_words long",
+        ), "shards", **cut)
+        buckets = max(1, math.ceil((shards.agg(F.sum("n_words")).first()[0] or 0) / WORDS_PER_BUCKET))
+        dealt = shards.select("shard", "words").mapInArrow(_dealt(buckets), "shard long, bucket long, words binary")
+        coded = stored(dealt.groupBy("bucket").applyInArrow(
+            _number, "shard long, bucket long, numbers binary, size long, words binary"
+        ), "coded")
     # One row per bucket: some millionth of the words.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     dictionary = coded.filter(F.col("shard").isNull())
     first = dictionary.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
     placed = coded.filter(F.col("shard").isNotNull()).select("shard", "bucket", "numbers").join(broadcast_if_small(stored(first, "first")), "bucket")
-    # As many as a shard has words, so its size bounds the list.
-    codes = placed.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "first", "numbers"))).alias("codes"))
-    together = shards.drop("n_words").join(codes, "shard", "left")
-    schema = f"shard long, rows array<struct<{row}>>, ends array<long>, columns array<long>, counts array<int>"
+    # A shard has at most as many numbers as words, so its size bounds the group.
+    together = shards.drop("n_words").groupBy("shard").cogroup(placed.select("shard", "bucket", "first", "numbers").groupBy("shard"))
+    made, schema = then or (None, f"shard long, rows array<struct<{row}>>, ends array<long>, columns array<long>, counts array<int>")
     words = dictionary.join(first, "bucket").select("first", "size", "words")
-    return together.mapInArrow(_encode(buckets), schema), words
+    return together.applyInArrow(_encode(buckets, made), schema), words
 
 
 def failures(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", part_column: str = "lang",
 ) -> DataFrame:
     """One row per document: doc_id, part, n_words, n_distinct, failed (the letters of the filters it fails, in order)."""
-    matrix, _ = document_term_matrix(documents, id_column, text_column, part_column)
     row = _row_type(documents, id_column).replace(":", "")
-    rows = stored(matrix.mapInArrow(_row_sums, f"{row}, n_words long, n_distinct long"), "row-sums")
+    sums, _ = document_term_matrix(documents, id_column, text_column, part_column, then=(_row_sums, f"{row}, n_words long, n_distinct long"))
+    rows = stored(sums, "row-sums")
     repeated = rows.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     repeated = broadcast_if_small(stored(repeated.drop("n"), "repeated"))
     fails = {

@@ -88,11 +88,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         source.close()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write a frame once as Parquet in the shared folder and go on from there; later reads prune columns.
 
-    This cuts the lineage for good, and what was computed survives the loss of executors.
+    This cuts the lineage for good, and what was computed survives the loss of executors. `options` are the writer's.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

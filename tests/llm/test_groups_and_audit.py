@@ -6,10 +6,14 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fablens.llm import filter_audit, ngram_join, spelling
+from fablens.llm.common import arrow_batches
+from fablens.session import stored
 from tests.llm.test_operators import base_rows, frame, near_brute, prose
 
 
@@ -256,6 +260,75 @@ def test_matrix_has_the_words_of_its_rows(spark, monkeypatch):
     assert seen == len(texts)
 
 
+def own_batches(texts, per_batch):
+    """Rows as the shards get them: (at, doc_id, part, print, text)."""
+    for start in range(0, len(texts), per_batch):
+        own = texts[start:start + per_batch]
+        at = list(range(start, start + len(own)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at), pa.array(at), pa.array(["en"] * len(own)), pa.array([b"p"] * len(own)), pa.array(own, pa.binary())],
+            names=["at", "doc_id", "part", "print", "text"],
+        )
+
+
+def test_shards_are_packed_and_span_batches():
+    rng = random.Random(5)
+    texts = [" ".join(f"word{rng.randrange(3000)}" for _ in range(400)).encode() for _ in range(400)]
+    size = sum(map(len, texts))
+    shards = list(filter_audit._shards(size // 4, 1 << 14)(own_batches(texts, 10)))
+    assert 4 <= len(shards) <= 6 and sum(len(s.column("rows")[0]) for s in shards) == len(texts)
+    assert sum(s.nbytes for s in shards) < 0.6 * size
+    assert [len(s.column("rows")[0]) for s in filter_audit._shards(1 << 30, 150)(own_batches(texts, 50))] == [150, 150, 100]
+
+
+@pytest.mark.parametrize("kind", ["u1", "<u2"])
+def test_packed_numbers(kind):
+    values = np.array([0, 1, 254, 255, 256, 65534, 65535, 65536, 0, 255, 1 << 31, 7])
+    for own in (values, values[:0], values[:3]):
+        assert filter_audit._unpacked(filter_audit._packed(own, kind), len(own), kind).tolist() == own.tolist()
+
+
+def test_matrix_of_wide_gaps_and_high_counts(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(70_000)), "en"), (2, "w69999 " * 300 + "w0 w1 " + "w66000 " * 255, "en"), (3, None, "en")]
+    matrix, dictionary = filter_audit.document_term_matrix(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1))
+    words = {r["first"] + i: w for r in dictionary.collect() for i, w in enumerate(bytes(r["words"] or b"").decode().split())}
+    found = {}
+    for shard in matrix.collect():
+        for i, document in enumerate(shard["rows"]):
+            own = slice(shard["ends"][i], shard["ends"][i + 1])
+            found[document["doc_id"]] = {words[c]: n for c, n in zip(shard["columns"][own], shard["counts"][own])}
+    assert found == {i: Counter((text or "").split()) for i, text, _ in rows}
+
+
+def test_audit_gives_a_task_one_shard_and_small_batches(spark, monkeypatch):
+    """No task gathers the shards of a partition in one batch or passes matrices from one Python function to another."""
+    plans, batches = {}, {}
+
+    def spy(df, name, **options):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        batches[name] = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+        return stored(df, name, **options)
+
+    monkeypatch.setattr(filter_audit, "stored", spy)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    documents = spark.createDataFrame(audit_rows(), "doc_id long, text string, lang string")
+    filter_audit.failures(documents)
+    assert re.findall(r"\w+InArrow", plans["row-sums"]) == ["FlatMapCoGroupsInArrow"] and "collect_list" not in plans["row-sums"]
+    assert batches["shards"] == batches["coded"] == str(filter_audit.BATCH_BYTES) and filter_audit.BATCH_BYTES < filter_audit.SHARD_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def test_arrow_batches_hold_so_many_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("abcdefgh "), 100).alias("text"))
+    with arrow_batches(spark, 1 << 16):
+        got = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 2000 and max(r["size"] for r in got) < 1 << 17
+
+
 def test_audit_of_nothing(nothing, spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert filter_audit.audit(nothing, labels).count() == 0
